@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, secrets
+from . import media, mixing, packing, quality, secrets
 from .common import table
 
 
@@ -33,6 +33,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.hierarchical_pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    held = quality.held_out(F.col("doc_id")).alias("held_out")
+    return scored.select("doc_id", held, F.col("qc_score").alias("score"), F.col("qc_predicted").alias("predicted"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.link_credentials(table(spark, sf_dir, "documents"))
     of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == secrets.KINDS.index(k))).cast("long")
