@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, quality, secrets
+from . import lines, media, mixing, packing, quality, secrets
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.parse_transport_streams(stored, payload=False).drop("units")
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", F.col("ln_lines").alias("n_lines"), F.col("ln_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), vocabulary())
     return packing.hierarchical_pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -54,4 +59,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.SYSTEMATIC_MIX_SQL.replace("{documents}", "documents")}
+    columns = "doc_id, ln_lines AS n_lines, ln_dropped AS n_dropped, sha256(kept) AS kept_sha256"
+    return {
+        "op3_mixing": mixing.SYSTEMATIC_MIX_SQL.replace("{documents}", "documents"),
+        "op6_lines": lines.LINES_SQL.replace("{documents}", "documents").replace("{columns}", columns),
+    }
