@@ -65,7 +65,7 @@ def recurring_lines(docs: DataFrame, min_docs: int, depth: int, similar: float)
     return matched.join(counts.where(F.col("ln_docs") >= min_docs), ["ln_leaf", "ln_template"])
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, similar: float = 0.7) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, similar: float = 0.6) -> DataFrame:
     """``docs`` without the lines whose template recurs in ``min_docs`` documents, kept in the first one.
 
     All columns stay; ``text`` is cut, ``ln_lines`` and ``ln_dropped`` count its lines. Of a recurring
@@ -110,7 +110,7 @@ WITH docs AS (
          AVG(CASE WHEN f.token IS NULL OR f.token = '<*>' THEN 0 ELSE 1 END) AS share
   FROM places p LEFT JOIN frequent f ON p.leaf = f.leaf AND p.pos = f.pos AND p.token = f.token GROUP BY p.leaf, p.line
 ), matched AS (
-  SELECT h.*, template FROM held h JOIN templates t ON h.leaf = t.leaf AND h.line = t.line WHERE share >= 0.7
+  SELECT h.*, template FROM held h JOIN templates t ON h.leaf = t.leaf AND h.line = t.line WHERE share >= 0.6
 ), recurring AS (
   SELECT leaf, template, MIN(doc_id) AS first FROM matched GROUP BY ALL HAVING COUNT(DISTINCT k) >= 10
 ), dropped AS (
