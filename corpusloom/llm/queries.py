@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, packing, quality, secrets
+from . import lines, media, mixing, packing, quality, secrets, substrings
 from .common import table
 
 
@@ -54,6 +54,11 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substrings.drop_repeated_passages(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.col("words").alias("n_words"), F.col("removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
