@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +49,10 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int = 100_000) -> DataFra
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+# A byte's term of the polynomial: white space between words counts as nothing.
+_VALUE = np.where(_SPACE, 0, np.arange(256) + 1).astype(np.uint64)
+_LOWER_VALUE = _VALUE.copy()
+_LOWER_VALUE[65:91] += np.uint64(32)
 _BASE = 0x9E3779B97F4A7C15
 _powers = np.ones(1, dtype=np.uint64)
 _inverse = np.ones(1, dtype=np.uint64)
@@ -72,10 +76,11 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,15 +95,12 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(text: str | bytes | None, lower: bool = False) -> np.ndarray:
     """One 64-bit hash for each word: a polynomial of its bytes, mixed."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"", dtype=np.uint8)
-    if lower:
-        raw = _LOWER[raw]
     start, end = word_bounds(raw)
     if not len(start):
         return np.empty(0, dtype=np.uint64)
     power, inverse = _tables(len(raw) + 1)
-    terms = (raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)]
-    # White space between words adds to the sum of the word before it, so it is taken out.
-    terms[_SPACE[raw]] = 0
+    terms = (_LOWER_VALUE if lower else _VALUE)[raw]
+    terms *= power[: len(raw)]
     sums = np.add.reduceat(terms, start) * inverse[start]
     return mix(sums + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
@@ -110,6 +112,57 @@ def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     n = min(n, len(words))
     out = np.zeros(len(words) - n + 1, dtype=np.uint64)
     for i in range(n):
-        out = (out + words[i : len(words) - n + 1 + i]) * np.uint64(0xD1342543DE82EF95)
+        out += words[i : len(words) - n + 1 + i]
+        out *= np.uint64(0xD1342543DE82EF95)
         out ^= out >> np.uint64(29)
     return mix(out)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted and each value once."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+#: Bitmaps have at most this many bits, 32 MB, however many values are marked.
+MOST_BITS = 28
+
+
+def bitmap_of(values: DataFrame) -> np.ndarray:
+    """A bitmap in which the bit of each 64-bit value of the one column is set, for a broadcast.
+
+    Its size follows the number of values up to a fixed bound; beyond it more bits are set by
+    chance, so whoever asks must only spare work by a clear bit, never take a set one as proof.
+    Values meet by the segment of the bitmap they fall in; only finished segments come to the driver.
+    """
+    kept = stage(values.toDF("value"))
+    bits = min(MOST_BITS, max(16, int(32 * max(1, kept.count())).bit_length()))
+    width = np.uint64(bits - 8)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits)
+            low = at & ((np.uint64(1) << width) - np.uint64(1))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> width).astype(np.int32)), pa.array(low.astype(np.int32))], names=["segment", "low"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            which, low = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in distinct(which).tolist():
+                held.setdefault(k, np.zeros(1 << int(width), dtype=bool))[low[which == k]] = True
+        for k, v in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(v).tobytes()], pa.binary())], names=["segment", "bits"])
+
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    part = 1 << (int(width) - 3)
+    sent = kept.mapInArrow(place, "segment int, low int").repartition("segment").mapInArrow(fill, "segment int, bits binary")
+    for row in sent.toLocalIterator():
+        out[row["segment"] * part : (row["segment"] + 1) * part] |= np.frombuffer(row["bits"], dtype=np.uint8)
+    return out
+
+
+def marked(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values' bits are set."""
+    at = mix(values) >> np.uint64(64 - (len(bitmap).bit_length() + 2))
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, packing, quality, secrets, substrings
+from . import jaccard, lines, media, mixing, packing, quality, secrets, substrings
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.parse_transport_streams(stored, payload=False).drop("units")
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lines.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", F.col("ln_lines").alias("n_lines"), F.col("ln_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))

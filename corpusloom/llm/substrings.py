@@ -11,13 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, shingle_hashes, stage, word_hashes
+from .common import bitmap_of, distinct, marked, shingle_hashes, stage, word_hashes
 
 #: Words of an anchor. A phrase of n words holds n - ANCHOR + 1 of them, and the one with the least
 #: hash is chosen in every document that has the phrase.
 ANCHOR = 6
-#: The bitmap of shared anchors has at most this many bits, 32 MB, however large the corpus is.
-MOST_BITS = 28
 #: Phrases a task of the index reads at once.
 BLOCK_ROWS = 2_000_000
 _NONE = np.iinfo(np.int64).max
@@ -59,54 +57,20 @@ def shared_anchors(rows: DataFrame, n: int) -> DataFrame:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = _doc_keys(batch)
-            found = [np.unique(anchors_of_phrases(word_hashes(t), n)[1]) for t in texts]
+            found = [distinct(anchors_of_phrases(word_hashes(t), n)[1]) for t in texts]
             order = np.argsort(ids, kind="stable")
             # A document's rows count once: the anchors of one doc_id are made distinct together.
-            pairs = [np.unique(np.concatenate([found[i] for i in group])) for group in np.split(order, np.flatnonzero(np.diff(ids[order])) + 1) if len(group)]
-            values, counts = np.unique(np.concatenate(pairs), return_counts=True) if pairs else (np.empty(0, np.uint64), np.empty(0))
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(values)), pa.array(counts > 1)], schema=schema)
+            pairs = [found[group[0]] if len(group) == 1 else distinct(np.concatenate([found[i] for i in group])) for group in np.split(order, np.flatnonzero(np.diff(ids[order])) + 1) if len(group)]
+            values = np.sort(np.concatenate(pairs)) if pairs else np.empty(0, np.uint64)
+            edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
+            counts = np.diff(np.append(edge, len(values)))
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(values[edge])), pa.array(counts > 1)], schema=schema)
 
     # Each batch sends an anchor once, so a hot one comes once from each batch.
     found = rows.mapInArrow(index, "anchor long, shared boolean")
     return found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("shared").alias("shared")).where("n > 1 OR shared").select("anchor")
 
 
-def anchor_bitmap(anchors: DataFrame) -> np.ndarray:
-    """A bitmap with the bits of all ``anchors`` set; its size is bounded, so more anchors set more bits by chance."""
-    kept = stage(anchors)
-    bits = min(MOST_BITS, max(16, int(32 * max(1, kept.count())).bit_length()))
-    width = bits - 10
-
-    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            places = mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits)
-            which = (places >> np.uint64(width)).astype(np.int64)
-            for k in np.unique(which).tolist():
-                flags = held.setdefault(k, np.zeros(1 << width, dtype=bool))
-                flags[(places[which == k] & np.uint64((1 << width) - 1)).astype(np.int64)] = True
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(v).tobytes() for v in held.values()], pa.binary())], names=["k", "bits"])
-
-    # Anchors meet by the segment of the bitmap they fall in (their hash's upper bits), so that the segments, not their
-    # parts, come to the driver: 2**bits bits in all.
-    sent = kept.mapInArrow(_with_segment(bits, width), "seg int, anchor long").repartition(64, "seg").select("anchor").mapInArrow(segment, "k long, bits binary")
-    out = np.zeros(1 << bits, dtype=bool)
-    for row in sent.toLocalIterator():
-        part = np.unpackbits(np.frombuffer(row["bits"], dtype=np.uint8)).astype(bool)
-        out[row["k"] << width : (row["k"] + 1) << width] |= part
-    return np.packbits(out)
-
-
-def _with_segment(bits: int, width: int):
-    def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            places = mix(batch.column(0).to_numpy().view(np.uint64)) >> np.uint64(64 - bits)
-            yield pa.RecordBatch.from_arrays([pa.array((places >> np.uint64(width)).astype(np.int32)), batch.column(0)], names=["seg", "anchor"])
-
-    return tag
-
-
 PHRASES = "phrase long, doc long, at long, source long"
 
 
@@ -117,19 +81,17 @@ def repeated_phrases(rows: DataFrame, n: int) -> DataFrame:
     batch, a phrase's least document stands for it in the index; the others are resolved at once, so the
     index gets a hot phrase once a batch.
     """
-    bitmap = rows.sparkSession.sparkContext.broadcast(anchor_bitmap(shared_anchors(rows, n)))
+    bitmap = rows.sparkSession.sparkContext.broadcast(bitmap_of(shared_anchors(rows, n)))
     schema = pa.schema([("phrase", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("source", pa.int64())])
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = bitmap.value
-        shift = np.uint64(64 - (len(flags).bit_length() + 2))
         for batch in batches:
             ids, texts = _doc_keys(batch)
             held: list[tuple[np.ndarray, ...]] = []
             for i, raw in zip(ids.tolist(), texts, strict=True):
                 hashes, anchors = anchors_of_phrases(word_hashes(raw), n)
-                place = mix(anchors) >> shift
-                at = np.flatnonzero(flags[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8)) & 1)
+                at = np.flatnonzero(marked(flags, anchors))
                 if len(at):
                     held.append((hashes[at], np.full(len(at), i, np.int64), at | text_tag(raw) << 32))
             if held:
