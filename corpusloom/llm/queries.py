@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lines, media, mixing, neighbours, packing, quality, secrets, substrings
+from . import html, jaccard, lines, media, mixing, neighbours, packing, quality, secrets, substrings
 from .common import table
 
 
@@ -18,6 +18,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return neighbours.nearest(vectors, vectors.where("id % 100 = 0"))
