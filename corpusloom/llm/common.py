@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The words of every contract: runs of anything but ASCII white space.
@@ -45,6 +45,11 @@ def broadcast_if_small(df: DataFrame, rows: int, most: int = 100_000) -> DataFra
     return F.broadcast(df) if rows <= most else df
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash that is equal for rows of one doc_id and one text."""
+    return F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("\0")), F.coalesce(docs["text"], F.lit("\0")))
+
+
 # --- hashing of words with numpy, whole batches at a time ------------------------------------
 
 _SPACE = np.zeros(256, dtype=bool)

@@ -148,7 +148,7 @@ def features(blocks: list[Block]) -> list[tuple[int, ...]]:
         own += [f"sign {c}" for c in "©»→✕" if c in b.text[:200]]
         if n <= 12:
             own += [f"word {w}" for w in _WORDS.findall(b.text.lower())]
-        out.append(_path_columns(b.path) + tuple(_column(f) for f in own))
+        out.append(tuple({*_path_columns(b.path), *map(_column, own)}))
     return out
 
 

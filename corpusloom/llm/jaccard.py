@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, broadcast_if_small, distinct, marked, mix, shingle_hashes, stage, word_hashes
+from .common import bitmap_of, broadcast_if_small, distinct, marked, mix, row_key, shingle_hashes, stage, word_hashes
 
 #: Minimum hashes that propose groups: two at first, the rest for what they leave apart.
 HASHES = 6
@@ -45,20 +45,21 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, node, size, keys``: each row's set number (null without words), its size and minimum hashes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    """``doc_id, row, node, size, keys``: each row's set number (null without words), its size and minimum hashes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sizes, keys = [], [], []
-            for raw in _texts(batch, 1):
+            for raw in _texts(batch, 2):
                 tokens = shingle_set(raw, n)
                 sizes.append(len(tokens))
                 nodes.append(set_number(tokens) if len(tokens) else None)
                 keys.append([int(mix(tokens ^ s).min().view(np.int64)) for s in _SEEDS] if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, node long, size long, keys array<long>")
+    rows = docs.select("doc_id", row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row long, node long, size long, keys array<long>")
 
 
 def set_table(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -192,22 +193,8 @@ def open_groups(docs: DataFrame, groups: DataFrame, n: int, percent: int) -> Dat
     return stage(pairs.select(F.least("q", "node").alias("a"), F.greatest("q", "node").alias("b")).distinct())
 
 
-def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: documents joined by Jaccard similarity of their shingle sets.
-
-    Two documents link when 100 * intersection >= ``percent`` * union; a component is all that links reach, its
-    number the least doc_id in it.
-
-    1. Equal sets are one node, by an aggregate. 2. Nodes that share a minimum hash form a group; each
-    is compared whole with the group's leader, and what links makes components, the groups of the matrix.
-    3. Every set asks the token-group matrix for groups other than its own; only those that its
-    overlap bound lets qualify are opened and their members compared whole. So every link between different
-    components is found, and links inside one, which cannot change it, are not all looked up.
-
-    Words are compared by ASCII lower case; shingles are compared by 64-bit hashes. Null texts and texts without words
-    have size 0 and link with nothing; their component is their own doc_id. Rows count one by one; a null
-    doc_id takes the least number its links reach, or null. No rows give no rows.
-    """
+def grouped_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """``doc_id, row, size, group, component_id`` of each row; see ``jaccard_groups``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = stage(sketches(rows, n))
     nodes = stage(sketch.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
@@ -226,9 +213,28 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         groups = components(edges)
     numbered = nodes.join(groups, "node", "left").select("node", "least", F.coalesce("group", "node").alias("group"))
     least = numbered.groupBy("group").agg(F.min("least").alias("component_id"))
-    of = numbered.join(least, "group").select("node", "component_id")
-    joined = sketch.drop("keys").join(of, "node", "left")
-    return joined.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of = numbered.join(least, "group").select("node", "group", "component_id")
+    return sketch.drop("keys").join(of, "node", "left").drop("node")
+
+
+def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: documents joined by Jaccard similarity of their shingle sets.
+
+    Two documents link when 100 * intersection >= ``percent`` * union; a component is all that links reach, its
+    number the least doc_id in it.
+
+    1. Equal sets are one node, by an aggregate. 2. Nodes that share a minimum hash form a group; each
+    is compared whole with the group's leader, and what links makes components, the groups of the matrix.
+    3. Every set asks the token-group matrix for groups other than its own; only those that its
+    overlap bound lets qualify are opened and their members compared whole. So every link between different
+    components is found, and links inside one, which cannot change it, are not all looked up.
+
+    Words are compared by ASCII lower case; shingles are compared by 64-bit hashes. Null texts and texts without words
+    have size 0 and link with nothing; their component is their own doc_id. Rows count one by one; a null
+    doc_id takes the least number its links reach, or null. No rows give no rows.
+    """
+    found = grouped_rows(docs, n, percent)
+    return found.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -239,12 +245,12 @@ def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id numbers it.
+    """``docs`` with one row of each component: that of the least doc_id (null last), of the least hash of its row in a tie.
 
-    Of rows that repeat that doc_id within the component, one stays. Texts without words all stay.
+    Texts without words all stay, and all columns do.
     """
-    found = jaccard_groups(docs, n, percent)
-    chosen = found.where("n_shingles > 0 AND doc_id <=> component_id").select("doc_id").distinct()
-    tagged = docs.withColumn("jc_empty", ~F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)))
-    worded = tagged.where("NOT jc_empty").join(chosen.withColumnRenamed("doc_id", "jc_id"), F.col("doc_id").eqNullSafe(F.col("jc_id")), "left_semi")
-    return tagged.where("jc_empty").unionByName(worded.dropDuplicates(["doc_id"])).drop("jc_empty")
+    found = grouped_rows(docs, n, percent).where("size > 0")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("m")).select(F.col("m.row").alias("jc_chosen"))
+    tagged = docs.withColumn("jc_row", row_key(docs)).withColumn("jc_words", F.coalesce(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False)))
+    worded = tagged.where("jc_words").join(first, F.col("jc_row") == F.col("jc_chosen"), "left_semi").dropDuplicates(["jc_row"])
+    return tagged.where("NOT jc_words").unionByName(worded).drop("jc_row", "jc_words")

@@ -90,6 +90,25 @@ def systematic_mix(
     ).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
+    """``docs`` with each row as often as ``systematic_mix`` takes it; all columns stay.
+
+    Rows find their copies by doc_id and source. Where several rows have both alike, their copies are summed and dealt
+    out again: row by row, the share of each, the remainder to the first.
+    """
+    taken = systematic_mix(docs, **options).groupBy(F.col("doc_id").alias("mx_id"), F.col("source").alias("mx_from"))
+    copies = taken.agg(F.sum("copies").alias("mx_copies"), F.count(F.lit(1)).alias("mx_rows")).where("mx_copies > 0")
+    same = docs["doc_id"].eqNullSafe(copies["mx_id"]) & docs["source"].cast("string").eqNullSafe(copies["mx_from"])
+    joined = docs.join(copies, same)
+    # Nearly every document is one row; only repeated ones are numbered.
+    alone = joined.where("mx_rows = 1").withColumn("mx_each", F.col("mx_copies"))
+    number = F.row_number().over(Window.partitionBy("mx_id", "mx_from").orderBy(F.xxhash64(*docs.columns)))
+    share = F.floor(F.col("mx_copies") / F.col("mx_rows")) + F.when(number <= F.col("mx_copies") % F.col("mx_rows"), 1).otherwise(0)
+    repeated = joined.where("mx_rows > 1").withColumn("mx_each", share.cast("long"))
+    both = alone.unionByName(repeated).where("mx_each > 0")
+    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mx_each"))).alias("mx_copy")).drop("mx_copy")
+
+
 #: The same rows by DuckDB: the level at which the excess is shared out, by sorted caps.
 SYSTEMATIC_MIX_SQL = r"""
 WITH sized AS (
