@@ -7,17 +7,345 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FLAGSHIP = "token_counts"
+from ..functions import text as T
+from ..operators import corpus, evaluation, lexicon, predicates, spans
+from . import grammar
 
+FLAGSHIP = "grammar_matches"
 
-def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.select("doc_id", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"))
+TOK = r"[\p{L}\p{N}]+|[^\s\p{Z}]"
+#: Views that the SQL of several queries starts from.
+SENT_SQL = r"""sent AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sid, s AS text FROM (
+    SELECT doc_id, i, regexp_replace(a[i], '^[ \t\r\n\x{00A0}]+|[ \t\r\n\x{00A0}]+$', '', 'g') AS s
+    FROM (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?]*') AS a FROM documents), UNNEST(range(1, len(a) + 1)) AS u(i)
+  ) WHERE s <> ''
+)"""
+TOK_SQL = SENT_SQL + r""", tok AS (
+  SELECT doc_id, sid, i - 1 AS tid, a[i] AS form, len(a) AS n_tok
+  FROM (SELECT doc_id, sid, regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{Z}]') AS a FROM sent), UNNEST(range(1, len(a) + 1)) AS u(i)
+)"""
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.sentences_of(_docs(spark, sf_dir))
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.nested(_sentences(spark, sf_dir))
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.tokens_of(_sentences(spark, sf_dir))
+
+
+def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences whose tokens are feature maps: the form, its kind, and its last two letters."""
+    kind = lambda w: F.when(w.rlike(r"\A\p{Lu}"), "cap").when(w.rlike(r"\A\p{Ll}"), "low").when(w.rlike(r"\A\p{N}"), "num").otherwise("sign")
+    features = F.transform("forms", lambda w: F.create_map(F.lit("WORD"), w, F.lit("kind"), kind(w), F.lit("end"), F.right(w, F.lit(2))))
+    return _nested(spark, sf_dir).select("doc_id", "sid", features.alias("features"))
+
+
+#: A capitalised word, then lower-case words, up to a sign: greedy, with an alternative of two numbers.
+PHRASE = grammar.Grammar({"Main": grammar.Graph({
+    0: grammar.Node("<E>", [1, 4]), 1: grammar.Node("<+kind=cap>", [2, 3]), 2: grammar.Node("<+kind=low>", [2, 3]), 3: grammar.Node("<+kind=sign>", [6]),
+    4: grammar.Node("<+kind=num>", [5]), 5: grammar.Node("<+kind=num>", [6]), 6: grammar.Node("<E>"),
+}, 0, 6)})
+
+
+def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.spans_from(grammar.match(_featured(spark, sf_dir), PHRASE), "PHRASE").drop("span_id")
+
+
+def grammar_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grammar.match(_featured(spark, sf_dir), PHRASE)
+
+
+PHRASE_SQL = TOK_SQL + r""", sym AS (
+  SELECT doc_id, sid, string_agg(CASE WHEN regexp_matches(form, '^\p{Lu}') THEN 'U' WHEN regexp_matches(form, '^\p{Ll}') THEN 'L'
+                                      WHEN regexp_matches(form, '^\p{N}') THEN 'N' ELSE 'S' END, '' ORDER BY tid) AS sym FROM tok GROUP BY doc_id, sid
+), tiles AS (
+  SELECT doc_id, sid, regexp_extract_all(sym, 'UL*S|NN|.') AS a, regexp_extract_all(sym, '(UL*S|NN)|.', 1) AS b FROM sym
+), phrases AS (
+  SELECT doc_id, sid, COALESCE(list_sum(list_transform(a[1:i - 1], lambda x: length(x))), 0)::INT AS start, length(b[i])::INT AS len
+  FROM tiles, UNNEST(range(1, len(a) + 1)) AS u(i) WHERE b[i] <> ''
+)"""
+
+
+def look_ahead_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lower-case word with a capitalised one right after it, which is not part of the match."""
+    return grammar.match(_featured(spark, sf_dir), grammar.Grammar({"Main": grammar.sequence("<+kind=low>", "?=<+kind=sign>", "?!<+WORD=.>")}))
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir).select("doc_id", "sid", F.col("tid").cast("long"), "form")
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentences(spark, sf_dir)
+
+
+def token_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = corpus.tiles_of(_docs(spark, sf_dir))
+    return tiles.where(F.trim("part") != "").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("start").cast("long").alias("starts"), F.max(F.col("start") + F.length("part")).cast("long").alias("last")
+    )
+
+
+def global_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = corpus.numbered(_tokens(spark, sf_dir))
+    return found.groupBy("doc_id", "sid").agg(F.min("gtid").cast("long").alias("first_tok"), F.count(F.lit(1)).alias("n_tok"))
+
+
+def key_words_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.kwic(_nested(spark, sf_dir), F.lower("form").isin("the", "und", "que", "des")).withColumn("tid", F.col("tid").cast("long"))
+
+
+def context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.context(_tokens(spark, sf_dir)).withColumn("tid", F.col("tid").cast("long"))
+
+
+def label_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = _tokens(spark, sf_dir).withColumn("label", F.when(F.col("form").rlike(r"\A\p{Lu}"), "cap").when(F.col("form").rlike(r"\A\p{Ll}"), "low"))
+    found = corpus.islands(marked, "label")
+    return found.select("doc_id", "sid", "label", F.col("start").cast("long"), F.col("end").cast("long"))
+
+
+def covered_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.covering(_tokens(spark, sf_dir), _phrases(spark, sf_dir))
+    return found.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("sid", "start").alias("n_spans"))
+
+
+def span_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.mean_lengths(_phrases(spark, sf_dir))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans from each capitalised word to two places after the next sign's word: they may cross."""
+    w = _tokens(spark, sf_dir).withColumn("cap", F.col("form").rlike(r"\A\p{Lu}"))
+    size = F.count(F.lit(1)).over(corpus.Window.partitionBy("doc_id", "sid"))
+    end = F.least(F.col("tid") + 2 + F.length("form") % 4, size - 1)
+    return w.withColumn("end", end).where("cap").select("doc_id", "sid", F.col("tid").cast("long").alias("span_id"), F.lit("X").alias("name"), F.col("tid").alias("start"), F.col("end").cast("int"))
+
+
+PAIRS_SQL = TOK_SQL + r""", pairs AS (
+  SELECT doc_id, sid, tid AS span_id, tid AS start, LEAST(tid + 2 + length(form) % 4, n_tok - 1) AS "end" FROM tok WHERE regexp_matches(form, '^\p{Lu}')
+)"""
+CROSS_SQL = """a.doc_id = b.doc_id AND a.sid = b.sid AND a.start < b.start AND a."end" >= b.start AND a."end" < b."end\""""
+
+
+def crossing_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.crossing(_pairs(spark, sf_dir))
+
+
+def crossing_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.crossing_degree(_pairs(spark, sf_dir))
+
+
+def nestable_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.nestable(_pairs(spark, sf_dir)).select("doc_id", "sid", "span_id")
+
+
+def span_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.differences(_phrases(spark, sf_dir), _pairs(spark, sf_dir))
+    return found.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def intersecting_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spans.intersecting(_phrases(spark, sf_dir), _pairs(spark, sf_dir))
+    return found.select("doc_id", "sid", F.col("start").cast("long"), F.col("end").cast("long"))
+
+
+def word_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir).groupBy(F.lower("form").alias("word")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+def canonical_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return docs.select("doc_id", F.md5(T.canonical_word(F.col("text"))).alias("canonical"), F.md5(T.stripped_diacritics(F.col("text"))).alias("stripped"))
+
+
+def word_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = T.shape(F.col("form"))
+    return _tokens(spark, sf_dir).select(s.alias("s"), F.right("form", F.lit(2)).alias("ending")).groupBy("s.starts_cap", "s.has_digit", "ending").agg(F.count(F.lit(1)).alias("n"), F.sum("s.length").alias("letters"))
+
+
+def attribute_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.distinct_values(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["lang", "source", "n_chars"])
+
+
+def nearest_attribute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.nearest_attribute(attribute_counts(spark, sf_dir), 15)
+
+
+def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.fingerprint(_sentences(spark, sf_dir), "text")
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary read off the conversations: each word with a made-up tag by its form."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.explode(T.tokens(F.lower("text"))).alias("word")).where(F.col("word").rlike(r"\A\p{L}+\z"))
+    tag = F.when(F.col("word").endswith("ing"), "Vmg---").when(F.length("word") <= 3, "Sp----").when(F.col("word").endswith("s"), "Ncfpry").otherwise("Ncmsrn")
+    return said.distinct().withColumn("msd", tag).withColumn("lemma", F.regexp_replace("word", "(?:ing|s)$", "")).withColumn("extra", F.lit(None).cast("string"))
+
+
+ENTRIES_SQL = r"""entries AS (
+  SELECT word, CASE WHEN word LIKE '%ing' THEN 'Vmg---' WHEN length(word) <= 3 THEN 'Sp----' WHEN word LIKE '%s' THEN 'Ncfpry' ELSE 'Ncmsrn' END AS msd,
+         regexp_replace(word, '(?:ing|s)$', '') AS lemma
+  FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+|[^\s\p{Z}]')) AS word FROM conversations) WHERE regexp_full_match(word, '\p{L}+')
+)"""
+
+
+def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = lexicon.policy(lexicon.with_stripped(_entries(spark, sf_dir)))
+    words = _tokens(spark, sf_dir).where(F.col("form").rlike(r"\A[A-Za-z]+\z"))
+    found = lexicon.looked_up(words, held)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("entries").isNotNull()).alias("known"), F.count_if(F.size("entries") == 1).alias("unambiguous"))
+
+
+def frequent_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _tokens(spark, sf_dir).groupBy(F.lower("form").alias("lemma")).agg(F.count(F.lit(1)).cast("int").alias("freq"))
+    return lexicon.most_frequent_lemma(_entries(spark, sf_dir).select(F.left("word", F.lit(3)).alias("head"), "lemma").distinct(), counts, ["head"])
+
+
+def invalid_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.invalid_tags(_entries(spark, sf_dir), spark.createDataFrame([("Ncmsrn",), ("Sp----",)], "msd string"))
+
+
+def negated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.negated_verbs(_entries(spark, sf_dir), "re").select("word", "msd", "positive_lemma")
+
+
+def multiword_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = spark.createDataFrame([("of the",), ("of the and",), ("and the",), ("de la",), ("in the of",)], "unit string")
+    found = lexicon.longest_units(_nested(spark, sf_dir), units, 3)
+    return found.select("doc_id", "sid", F.col("tid").cast("long"), "unit", F.col("n").cast("long"))
+
+
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with a gold tag (by their case) and a found one (by their length), and how many entries they have."""
+    gold = F.when(F.col("form").rlike(r"\A\p{Lu}"), "Np").otherwise("Nc")
+    found = F.when(F.length("form") > 5, "Npx").when(F.length("form") > 2, "Nc").otherwise("Sp")
+    return _tokens(spark, sf_dir).withColumn("gold", gold).withColumn("found", found).withColumn("n_entries", F.length("form") % 3)
+
+
+TAGGED_SQL = TOK_SQL + r""", tagged AS (
+  SELECT *, CASE WHEN regexp_matches(form, '^\p{Lu}') THEN 'Np' ELSE 'Nc' END AS gold, CASE WHEN length(form) > 5 THEN 'Npx' WHEN length(form) > 2 THEN 'Nc' ELSE 'Sp' END AS found,
+         length(form) % 3 AS n_entries FROM tok
+), judged AS (SELECT *, (gold = found OR (gold LIKE 'Np%' AND found LIKE 'Np%')) AS good FROM tagged)"""
+
+
+def tag_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.accuracy(_tagged(spark, sf_dir))
+
+
+def tag_failures_by_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.failures_by(_tagged(spark, sf_dir).withColumn("word", F.lower("form")), "word")
+
+
+def tag_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.failures(_tagged(spark, sf_dir)).select("doc_id", "sid", F.col("tid").cast("long"), F.col("char_start").cast("long"))
+
+
+def position_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boolean algebra on sets of positions: capitalised, long, and right after a sign."""
+    f = _tokens(spark, sf_dir).select("doc_id", "sid", "tid", F.col("form").rlike(r"\A\p{Lu}").alias("a"), (F.length("form") > 5).alias("b"), (~F.col("form").rlike(r"\A[\p{L}\p{N}]")).alias("s"))
+    f = f.withColumn("after", corpus.shifted(f, "s", 1))
+    a, b, c = F.col("a"), F.col("b"), F.col("after")
+    return f.groupBy("doc_id").agg(F.count_if(a & b).alias("n_and"), F.count_if(a | b).alias("n_or"), F.count_if(a != b).alias("n_xor"), F.count_if(a & ~b).alias("n_andnot"), F.count_if(~a).alias("n_not"), F.count_if(c).alias("n_shifted"))
+
+
+def appended_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("sid"), "text")
+    both = corpus.appended(_sentences(spark, sf_dir), said)
+    return both.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("sid").alias("sids"), F.max("sid").alias("last"))
+
+
+def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token conditions over feature maps, counted."""
+    f = _featured(spark, sf_dir).select("doc_id", F.explode("features").alias("f"))
+    where = lambda code: F.count_if(predicates.condition(code, F.col("f"), {"c": "cap"}))
+    return f.groupBy("doc_id").agg(
+        where("<+kind=@c@>").alias("macro"), where("<+WORD=/th.*/i -kind=cap>").alias("regex"), where("<-absent=1>").alias("missing"), where("<+absent=1>").alias("absent"),
+        where("<+/ki.*/=/l.w/>|<+end=on>").alias("either"),
+    )
+
+
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "tokens": (tokens, f"WITH {TOK_SQL} SELECT doc_id, sid, tid, form FROM tok"),
+    "sentences": (sentences, f"WITH {SENT_SQL} SELECT doc_id, sid, text FROM sent"),
+    "token_tiles": (token_tiles, r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+|[\s\p{Z}]+|[^\p{L}\p{N}\s\p{Z}]+') AS a FROM documents),
+        o AS (SELECT doc_id, unnest(a) AS part, generate_subscripts(a, 1) AS i FROM t),
+        p AS (SELECT doc_id, part, SUM(length(part)) OVER (PARTITION BY doc_id ORDER BY i) - length(part) AS start FROM o)
+        SELECT doc_id, COUNT(*) AS n, SUM(start)::BIGINT AS starts, MAX(start + length(part))::BIGINT AS last FROM p WHERE trim(part, ' ') <> '' GROUP BY doc_id"""),
+    "global_positions": (global_positions, f"""WITH {TOK_SQL}, n AS (SELECT doc_id, sid, COUNT(*) AS n_tok FROM tok GROUP BY ALL)
+        SELECT doc_id, sid, (SUM(n_tok) OVER (PARTITION BY doc_id ORDER BY sid) - n_tok)::BIGINT AS first_tok, n_tok FROM n"""),
+    "key_words_in_context": (key_words_in_context, rf"""WITH {SENT_SQL}, f AS (SELECT doc_id, sid, regexp_extract_all(text, '{TOK}') AS a FROM sent)
+        SELECT doc_id, sid, i - 1 AS tid, array_to_string(a[greatest(i - 3, 1):i - 1], ' ') AS "left", a[i] AS key, array_to_string(a[i + 1:i + 7], ' ') AS "right"
+        FROM f, UNNEST(range(1, len(a) + 1)) AS u(i) WHERE lower(a[i]) IN ('the', 'und', 'que', 'des')"""),
+    "context_features": (context_features, f"""WITH {TOK_SQL} SELECT doc_id, sid, tid, form, lag(form, 1, '*SB*') OVER w AS p, lag(form, 2, '*SB*') OVER w AS pp,
+        lead(form, 1, '*SE*') OVER w AS n, lead(form, 2, '*SE*') OVER w AS nn FROM tok WINDOW w AS (PARTITION BY doc_id, sid ORDER BY tid)"""),
+    "label_islands": (label_islands, rf"""WITH {TOK_SQL}, m AS (SELECT *, CASE WHEN regexp_matches(form, '^\p{{Lu}}') THEN 'cap' WHEN regexp_matches(form, '^\p{{Ll}}') THEN 'low' END AS label FROM tok),
+        r AS (SELECT *, tid - row_number() OVER (PARTITION BY doc_id, sid, label ORDER BY tid) AS run FROM m)
+        SELECT doc_id, sid, label, MIN(tid) AS start, MAX(tid) AS "end" FROM r WHERE label IS NOT NULL GROUP BY doc_id, sid, label, run"""),
+    "grammar_matches": (grammar_matches, f"WITH {PHRASE_SQL} SELECT doc_id, sid, start, len FROM phrases"),
+    "look_ahead_matches": (look_ahead_matches, rf"""WITH {TOK_SQL}, n AS (SELECT *, lead(form) OVER (PARTITION BY doc_id, sid ORDER BY tid) AS nxt FROM tok)
+        SELECT doc_id, sid, tid::INT AS start, 1 AS len FROM n WHERE regexp_matches(form, '^\p{{Ll}}') AND NOT regexp_matches(nxt, '^(\p{{Lu}}|\p{{Ll}}|\p{{N}})') AND nxt <> '.'"""),
+    "covered_tokens": (covered_tokens, f"""WITH {PHRASE_SQL} SELECT doc_id, 'PHRASE' AS name, SUM(len)::BIGINT AS n_tokens, COUNT(*) AS n_spans FROM phrases GROUP BY doc_id"""),
+    "span_lengths": (span_lengths, f"""WITH {PHRASE_SQL} SELECT 'PHRASE' AS name, COUNT(*) AS n, AVG(len) AS mean_length FROM phrases"""),
+    "crossing_spans": (crossing_spans, f"WITH {PAIRS_SQL} SELECT a.doc_id, a.sid, a.span_id AS a, b.span_id AS b FROM pairs a JOIN pairs b ON {CROSS_SQL}"),
+    "crossing_degrees": (crossing_degrees, f"""WITH {PAIRS_SQL}, x AS (SELECT a.doc_id, a.sid, a.span_id AS a, b.span_id AS b FROM pairs a JOIN pairs b ON {CROSS_SQL})
+        SELECT doc_id, sid, span_id, COUNT(*) AS degree FROM (SELECT doc_id, sid, a AS span_id FROM x UNION ALL SELECT doc_id, sid, b FROM x) GROUP BY ALL"""),
+    "nestable_spans": (nestable_spans, None),
+    "span_differences": (span_differences, f"""WITH {PHRASE_SQL}, {PAIRS_SQL.split("), pairs AS")[1].join(["pairs AS", ""])},
+        f AS (SELECT DISTINCT doc_id, sid, start, start + len - 1 AS e FROM phrases), g AS (SELECT DISTINCT doc_id, sid, start, "end" AS e FROM pairs)
+        SELECT doc_id, 'false' AS kind, COUNT(*) AS n FROM (SELECT * FROM f EXCEPT SELECT * FROM g) GROUP BY doc_id
+        UNION ALL SELECT doc_id, 'missed', COUNT(*) FROM (SELECT * FROM g EXCEPT SELECT * FROM f) GROUP BY doc_id"""),
+    "intersecting_spans": (intersecting_spans, f"""WITH {PHRASE_SQL}, {PAIRS_SQL.split("), pairs AS")[1].join(["pairs AS", ""])}
+        SELECT doc_id, sid, start::BIGINT AS start, (start + len - 1)::BIGINT AS "end" FROM phrases a WHERE EXISTS (SELECT 1 FROM pairs b WHERE a.doc_id = b.doc_id AND a.sid = b.sid
+        AND (a.start BETWEEN b.start AND b."end" OR a.start + a.len - 1 BETWEEN b.start AND b."end"))"""),
+    "word_frequencies": (word_frequencies, f"WITH {TOK_SQL} SELECT lower(form) AS word, COUNT(*) AS n, COUNT(DISTINCT doc_id) AS docs FROM tok GROUP BY lower(form)"),
+    "canonical_words": (canonical_words, rf"""SELECT doc_id, md5(lower(regexp_replace(translate(translate(translate(translate(text, '{T.CEDILLA}', '{T.COMMA}'), '{T.ACCENTED}', '{T.UNACCENTED}'), 'âÂ', 'îÎ'), '{T.DASHES}', '{"-" * len(T.DASHES)}'), '[ \t\n\x0B\f\r]+', '~', 'g'))) AS canonical,
+        md5(translate(text, '{T.DIACRITICS}', '{T.STRIPPED}')) AS stripped FROM documents"""),
+    "word_shapes": (word_shapes, rf"""WITH {TOK_SQL} SELECT regexp_matches(form, '^\p{{Lu}}') AS starts_cap, regexp_matches(form, '\p{{N}}') AS has_digit, right(form, 2) AS ending, COUNT(*) AS n, SUM(length(form))::BIGINT AS letters FROM tok GROUP BY 1, 2, 3"""),
+    "attribute_counts": (attribute_counts, """SELECT 'lang' AS attribute, COUNT(DISTINCT lang) AS n_values FROM documents UNION ALL SELECT 'source', COUNT(DISTINCT source) FROM documents UNION ALL SELECT 'n_chars', COUNT(DISTINCT n_chars) FROM documents"""),
+    "nearest_attribute": (nearest_attribute, """SELECT attribute FROM (SELECT 'lang' AS attribute, COUNT(DISTINCT lang) AS n FROM documents UNION ALL SELECT 'source', COUNT(DISTINCT source) FROM documents
+        UNION ALL SELECT 'n_chars', COUNT(DISTINCT n_chars) FROM documents) ORDER BY abs(n - 15), attribute LIMIT 1"""),
+    "corpus_fingerprint": (corpus_fingerprint, f"WITH {SENT_SQL} SELECT bit_xor(('0x' || substr(md5(text), 1, 8))::BIGINT) AS fingerprint, COUNT(*) AS n FROM sent"),
+    "dictionary_lookup": (dictionary_lookup, rf"""WITH {TOK_SQL}, {ENTRIES_SQL}, keyed AS (
+          SELECT lower(translate(translate(translate(word, '{T.CEDILLA}', '{T.COMMA}'), '{T.ACCENTED}', '{T.UNACCENTED}'), 'âÂ', 'îÎ')) AS key, COUNT(DISTINCT (msd, lemma)) AS k FROM entries GROUP BY 1)
+        SELECT doc_id, COUNT(*) AS n, COUNT(k) AS known, COUNT(*) FILTER (k = 1) AS unambiguous FROM tok LEFT JOIN keyed ON lower(form) = key WHERE regexp_full_match(form, '[A-Za-z]+') GROUP BY doc_id"""),
+    "frequent_lemmas": (frequent_lemmas, f"""WITH {TOK_SQL}, {ENTRIES_SQL}, c AS (SELECT DISTINCT left(word, 3) AS head, lemma FROM entries), f AS (SELECT lower(form) AS lemma, COUNT(*) AS freq FROM tok GROUP BY 1)
+        SELECT head, lemma FROM (SELECT head, c.lemma, row_number() OVER (PARTITION BY head ORDER BY COALESCE(freq, -100) DESC, c.lemma) AS r FROM c LEFT JOIN f ON c.lemma = f.lemma) WHERE r = 1"""),
+    "invalid_tags": (invalid_tags, f"WITH {ENTRIES_SQL} SELECT msd, COUNT(*) AS n FROM entries WHERE msd NOT IN ('Ncmsrn', 'Sp----') GROUP BY msd"),
+    "negated_words": (negated_words, f"""WITH {ENTRIES_SQL} SELECT DISTINCT a.word, a.msd, b.lemma AS positive_lemma FROM entries a JOIN entries b ON substr(a.word, 3) = b.word AND left(a.msd, 3) = left(b.msd, 3) WHERE a.word LIKE 're%'"""),
+    "multiword_units": (multiword_units, rf"""WITH {SENT_SQL}, f AS (SELECT doc_id, sid, regexp_extract_all(lower(text), '{TOK}') AS a FROM sent),
+        g AS (SELECT doc_id, sid, i - 1 AS tid, k AS n, array_to_string(a[i:i + k - 1], ' ') AS unit FROM f, UNNEST(range(1, len(a) + 1)) AS u(i), UNNEST([2, 3]) AS v(k) WHERE i + k - 1 <= len(a))
+        SELECT doc_id, sid, tid, arg_max(unit, n) AS unit, MAX(n)::BIGINT AS n FROM g WHERE unit IN ('of the', 'of the and', 'and the', 'de la', 'in the of') GROUP BY doc_id, sid, tid"""),
+    "tag_accuracy": (tag_accuracy, f"""WITH {TAGGED_SQL}, c AS (SELECT COUNT(*) AS total, COUNT(*) FILTER (n_entries = 1) AS unambiguous, COUNT(*) FILTER (n_entries = 0) AS guesses,
+        COUNT(*) FILTER (good) AS correct, COUNT(*) FILTER (good AND n_entries = 0) AS correct_guesses FROM judged) SELECT *, 100.0 * correct::DOUBLE / total AS percent, 100.0 * correct_guesses::DOUBLE / guesses AS percent_guesses FROM c"""),
+    "tag_failures_by_word": (tag_failures_by_word, f"WITH {TAGGED_SQL} SELECT lower(form) AS word, COUNT(*) AS total, COUNT(*) FILTER (NOT good) AS failed FROM judged GROUP BY 1"),
+    "tag_failures": (tag_failures, f"""WITH {TAGGED_SQL}, p AS (SELECT *, SUM(length(form) + 1) OVER (PARTITION BY doc_id, sid ORDER BY tid) - length(form) - 1 AS place FROM judged) SELECT doc_id, sid, tid, place::BIGINT AS char_start FROM p WHERE NOT good"""),
+    "position_sets": (position_sets, rf"""WITH {TOK_SQL}, s AS (SELECT doc_id, sid, tid, regexp_matches(form, '^\p{{Lu}}') AS a, length(form) > 5 AS b, NOT regexp_matches(form, '^[\p{{L}}\p{{N}}]') AS s FROM tok),
+        f AS (SELECT *, lag(s, 1, false) OVER (PARTITION BY doc_id, sid ORDER BY tid) AS c FROM s)
+        SELECT doc_id, COUNT(*) FILTER (a AND b) AS n_and, COUNT(*) FILTER (a OR b) AS n_or, COUNT(*) FILTER (a <> b) AS n_xor, COUNT(*) FILTER (a AND NOT b) AS n_andnot, COUNT(*) FILTER (NOT a) AS n_not, COUNT(*) FILTER (c) AS n_shifted FROM f GROUP BY doc_id"""),
+    "appended_corpus": (appended_corpus, f"""WITH {SENT_SQL}, e AS (SELECT doc_id, MAX(sid) + 1 AS shift FROM sent GROUP BY doc_id),
+        b AS (SELECT doc_id, sid FROM sent UNION ALL SELECT conv_id, turn + COALESCE(shift, 0) FROM conversations LEFT JOIN e ON conv_id = doc_id)
+        SELECT doc_id, COUNT(*) AS n, SUM(sid)::BIGINT AS sids, MAX(sid)::BIGINT AS last FROM b GROUP BY doc_id"""),
+    "conditions": (conditions, rf"""WITH {TOK_SQL}, k AS (SELECT doc_id, form, CASE WHEN regexp_matches(form, '^\p{{Lu}}') THEN 'cap' WHEN regexp_matches(form, '^\p{{Ll}}') THEN 'low' WHEN regexp_matches(form, '^\p{{N}}') THEN 'num' ELSE 'sign' END AS kind FROM tok)
+        SELECT doc_id, COUNT(*) FILTER (kind = 'cap') AS macro, COUNT(*) FILTER (regexp_full_match(form, '[Tt][Hh].*') AND kind <> 'cap') AS regex, COUNT(*) AS missing, 0 AS absent,
+               COUNT(*) FILTER (kind = 'low' OR right(form, 2) = 'on') AS either FROM k GROUP BY doc_id"""),
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"token_counts": token_counts}
+    return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"token_counts": r"SELECT doc_id, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n_words FROM documents"}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
