@@ -15,7 +15,7 @@ from .common import mix
 
 #: Tables, hash functions of a table, buckets visited in each, and the width of a hash cell as a
 #: multiple of the median distance to the 10th nearest of a sample of at most SAMPLE vectors.
-TABLES, FUNCTIONS, PROBES, WIDTH, SAMPLE = 8, 8, 48, 1.85, 2048
+TABLES, FUNCTIONS, PROBES, WIDTH, SAMPLE = 8, 8, 64, 1.85, 2048
 #: Vectors of a bucket that one task reads; larger buckets are split.
 BUCKET = 1024
 
