@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from .common import bitmap_of, broadcast_if_small, distinct, marked, mix, row_key, shingle_hashes, stage, word_hashes
 
-#: Minimum hashes that propose groups: two at first, the rest for what they leave apart.
+#: Minimum hashes that propose groups.
 HASHES = 6
-#: A token in so many index prefixes stands at the end of the token order.
-COMMON = 16
+#: A token that so many of the sets have that share a minimum hash with another stands at the end of the token order.
+COMMON = 8
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
@@ -34,9 +34,15 @@ def least_overlap(a: int, percent: int) -> int:
     return -(-percent * a // 100)
 
 
-def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * common >= percent * (len(a) + len(b) - common)
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """The overlap of two sets of distinct values; an upper bound of it where some values were cut short."""
+    both = np.sort(np.concatenate([a, b]))
+    return int((both[1:] == both[:-1]).sum())
+
+
+def may_link(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * overlap >= percent * union, in whole numbers."""
+    return (100 + percent) * overlap(a, b) >= percent * (len(a) + len(b))
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes]:
@@ -62,36 +68,48 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row long, node long, size long, keys array<long>")
 
 
-def set_table(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """``node, tokens`` (packed) of the sets in ``nodes``; equal texts of a batch come once."""
-    flags = docs.sparkSession.sparkContext.broadcast(bitmap_of(nodes.select("node")))
+def ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, row``: the distinct ends of pairs (a, b), each with the row that stands for it."""
+    found = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return stage(found.join(nodes.select("node", "row"), "node"))
+
+
+def set_table(docs: DataFrame, nodes: DataFrame, n: int, short: bool) -> DataFrame:
+    """``node, tokens`` of the sets of ``nodes`` (node, row), packed; ``short``: the tokens' lower 32 bits.
+
+    Only the rows that stand for a node are read in Python.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[int, bytes] = {}
-            for raw in _texts(batch, 0):
-                tokens = shingle_set(raw, n)
-                if len(tokens) and (node := set_number(tokens)) not in held and marked(flags.value, np.array([node]).view(np.uint64))[0]:
-                    held[node] = tokens.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(held.values(), pa.binary())], names=["node", "tokens"])
+            sets = [shingle_set(raw, n) for raw in _texts(batch, 1)]
+            packed = pa.array([(_low(t) if short else t).tobytes() for t in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["node", "tokens"])
 
-    # The bitmap may let others pass, so the numbers are joined as well; equal sets of several batches become one.
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, tokens binary")
-    return stage(found.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    few = broadcast_if_small(nodes.withColumnRenamed("row", "of_row"), nodes.count(), 1_000_000)
+    rows = docs.select(row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
+    return stage(rows.join(few, F.col("row") == F.col("of_row")).select("node", "text").mapInArrow(run, "node long, tokens binary"))
 
 
-def linked_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets link, compared whole."""
+def compared(pairs: DataFrame, sets: DataFrame, kind: type, percent: int) -> DataFrame:
+    """The pairs ``a, b`` whose packed sets link, or may."""
     left = pairs.join(sets.withColumnsRenamed({"node": "a", "tokens": "a_tokens"}), "a")
     both = left.join(sets.withColumnsRenamed({"node": "b", "tokens": "b_tokens"}), "b")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of = lambda k: [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in batch.column(k)]  # noqa: B023, E731
-            keep = pa.array([links(x, y, percent) for x, y in zip(of(2), of(3), strict=True)], pa.bool_())
+            of = lambda k: (np.frombuffer(x.as_buffer(), kind) for x in batch.column(k))  # noqa: B023, E731
+            keep = pa.array([may_link(x, y, percent) for x, y in zip(of(2), of(3), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
 
-    return stage(both.select("a", "b", "a_tokens", "b_tokens").mapInArrow(compare, "a long, b long"))
+    # Rows repeated in every column bring their set, and so a pair, several times.
+    return stage(both.select("a", "b", "a_tokens", "b_tokens").mapInArrow(run, "a long, b long").distinct())
+
+
+def linked_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, short: DataFrame | None = None) -> DataFrame:
+    """The pairs ``a, b`` whose sets link: those that their ``short`` sets do not rule out, by whole sets."""
+    left = pairs if short is None else compared(pairs, short, np.uint32, percent)
+    return compared(left, set_table(docs, ends(left, nodes), n, False), np.uint64, percent)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -112,47 +130,69 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("node", "group")
 
 
-def proposed(nodes: DataFrame, which: range) -> DataFrame:
+def proposed(nodes: DataFrame, *first: str) -> DataFrame:
     """Pairs (a, b) of each node with the leader of each group of nodes that share a minimum hash.
 
-    Leaders are drawn by another hash for each minimum hash. A group's leader is one aggregate and
-    its pairs are as many as its members.
+    A group's leader has the least ``first`` columns, and the least of a hash that each minimum hash has of its own. It is one
+    aggregate, and its pairs are as many as its members.
     """
-    keyed = nodes.select("node", F.posexplode("keys").alias("k", "key")).where(F.col("k").between(which[0], which[-1]))
-    leaders = keyed.groupBy("k", "key").agg(F.min(F.struct(F.xxhash64("node", "k").alias("h"), "node")).alias("m"), F.count(F.lit(1)).alias("c"))
+    keyed = nodes.select("node", *first, F.posexplode("keys").alias("k", "key"))
+    order = F.struct(*first, F.xxhash64("node", "k").alias("h"), "node")
+    leaders = keyed.groupBy("k", "key").agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("c"))
     led = leaders.where("c > 1").select("k", "key", F.col("m.node").alias("leader"))
     pairs = keyed.join(led, ["k", "key"]).where("node <> leader")
-    return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    return stage(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+
+
+def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one group yet."""
+    for end in ("a", "b"):
+        pairs = pairs.join(groups.select(F.col("node").alias(end), F.col("group").alias(f"{end}_group")), end, "left")
+    return stage(pairs.where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b"))
+
+
+def rare_tokens(short: DataFrame, flags) -> DataFrame:
+    """``node, rare``: how many tokens of each set are not marked as common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [int((~marked(flags.value, np.frombuffer(x.as_buffer(), np.int32).astype(np.int64).view(np.uint64))).sum()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["node", "rare"])
+
+    return short.mapInArrow(run, "node long, rare long").groupBy("node").agg(F.min("rare").alias("rare"))
+
 
+def _low(tokens: np.ndarray) -> np.ndarray:
+    return tokens.astype(np.uint32).view(np.int32)
 
-def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """``node, size, index, tokens``: each set's first tokens in one order of all tokens, common ones last.
+
+def common_tokens(short: DataFrame) -> DataFrame:
+    """``token``: lower bits of the tokens that COMMON or more of the sets ``short`` have."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(0)])) if len(batch) else np.empty(0, np.int32)
+            edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values[edge]), pa.array(np.diff(np.append(edge, len(values))).astype(np.int32))], names=["token", "n"])
+
+    counted = short.select("tokens").mapInArrow(count, "token int, n int").groupBy("token").agg(F.sum("n").alias("n"))
+    return counted.where(F.col("n") >= COMMON).select(F.col("token").cast("long").alias("token"))
+
+
+def prefixes(docs: DataFrame, flags, n: int, percent: int) -> DataFrame:
+    """``node, size, index, tokens``: the lower 32 bits of each set's first tokens in one order of all tokens, common ones last.
 
     Two linked sets share a token of both prefixes, and the smaller one has it among its first ``index``.
-    The order is any function of the token, so what the bitmap marks by chance does no harm.
+    The order is any function of the token, so what the bitmap marks by chance does no harm; nor does it that
+    two tokens may have the same lower bits, since candidates are compared by whole sets.
     """
 
     def bounds(size: int) -> tuple[int, int]:
         """Prefix lengths of a set as the larger and as the smaller one (or of equal size) of a pair."""
         return size - least_overlap(size, percent) + 1, size - -(-2 * percent * size // (100 + percent)) + 1
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held, seen = [], set()
-            for raw in _texts(batch, 0):
-                tokens = shingle_set(raw, n)
-                if len(tokens) and (node := set_number(tokens)) not in seen:
-                    seen.add(node)
-                    held.append(tokens[: bounds(len(tokens))[1]])
-            if held:
-                values = np.sort(np.concatenate(held))
-                edge = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(values[edge].view(np.int64)), pa.array(np.diff(np.append(edge, len(values))))], names=["token", "n"])
-
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    common = texts.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).select("token")
-    flags = docs.sparkSession.sparkContext.broadcast(bitmap_of(common))
-    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("index", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int64()), ("index", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,16 +200,17 @@ def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for raw in _texts(batch, 0):
                 tokens = shingle_set(raw, n)
                 if len(tokens) and (node := set_number(tokens)) not in rows:
-                    late = marked(flags.value, tokens)
+                    low = _low(tokens)
+                    late = marked(flags.value, low.astype(np.int64).view(np.uint64))
                     longest, index = bounds(len(tokens))
-                    rows[node] = (node, len(tokens), index, np.concatenate([tokens[~late], tokens[late]])[:longest].view(np.int64))
+                    rows[node] = (node, len(tokens), index, np.concatenate([low[~late], low[late]])[:longest])
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows.values(), strict=True), schema, strict=True)], schema=schema)
 
-    return texts.mapInArrow(cut, "node long, size long, index long, tokens array<long>")
+    return texts.mapInArrow(cut, "node long, size long, index long, tokens array<int>")
 
 
-def open_groups(docs: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
+def open_groups(docs: DataFrame, groups: DataFrame, flags, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) of sets in different groups that may still link.
 
     The token-group matrix holds, for each group, the union of its members' index prefixes. A set's
@@ -178,18 +219,23 @@ def open_groups(docs: DataFrame, groups: DataFrame, n: int, percent: int) -> Dat
     that can link, stays shut. Of the open ones, members that hold the shared token and may link by size are compared.
     Tokens of one group only, nearly all, end at an aggregate with a row for each task and token.
     """
-    grouped = prefixes(docs, n, percent).join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    listed = stage(grouped)
-    entries = listed.select("node", "size", "group", F.posexplode("tokens").alias("at", "token"), "index").withColumn("inner", F.col("at") < F.col("index"))
-    across = entries.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.max("inner").alias("inner"))
-    across = stage(across.where("lo <> hi AND inner").select("token"))
-    held = stage(entries.join(broadcast_if_small(across, across.count(), 1_000_000), "token", "left_semi").select("token", "node", "size", "group", "inner").distinct())
-    union = held.where("inner").groupBy("token", "group").agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    asked = held.withColumnsRenamed({"node": "q", "size": "q_size", "group": "q_group", "inner": "q_inner"})
+    known = groups.select(F.col("node").alias("known"), "group")
+    listed = stage(prefixes(docs, flags, n, percent))
+    placed = listed.join(broadcast_if_small(known, known.count(), 1_000_000), F.col("node") == F.col("known"), "left").withColumn("group", F.coalesce("group", "node"))
+    entries = placed.select("node", "size", "group", F.posexplode("tokens").alias("at", "token"), "index").withColumn("inner", F.col("at") < F.col("index"))
+    across = entries.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("token")
+    across = stage(across)
+    held = stage(entries.join(broadcast_if_small(across, across.count(), 1_000_000), "token", "left_semi").drop("index").distinct())
+    left = F.max(F.col("size") - F.col("at")).alias("g_after")
+    union = held.where("inner").groupBy("token", "group").agg(F.min("size").alias("least"), F.max("size").alias("most"), left)
+    asked = held.select("token", F.col("node").alias("q"), F.col("size").alias("q_size"), F.col("group").alias("q_group"), F.col("at").alias("q_at"))
     fits = (F.col("least") * percent <= F.col("q_size") * 100) & (F.col("q_size") * percent <= F.col("most") * 100)
-    opened = asked.join(union, "token").where((F.col("q_group") != F.col("group")) & fits).select("token", "q", "q_size", "group").distinct()
-    near = (F.col("size") * percent <= F.col("q_size") * 100) & (F.col("q_size") * percent <= F.col("size") * 100) & (F.col("size") <= F.col("q_size"))
-    pairs = opened.join(held.where("inner").select("token", "group", "node", "size"), ["token", "group"]).where(near)
+    # The first token that two sets share bounds their overlap by what stands after it in either.
+    enough = lambda mine, other, size: (100 + percent) * F.least(mine, other) >= percent * (F.col("q_size") + size)
+    open_to = fits & enough(F.col("q_size") - F.col("q_at"), F.col("g_after"), F.col("least"))
+    opened = asked.join(union, "token").where((F.col("q_group") != F.col("group")) & open_to).select("token", "q", "q_size", "q_at", "group")
+    near = enough(F.col("q_size") - F.col("q_at"), F.col("size") - F.col("at"), F.col("size")) & (F.col("size") <= F.col("q_size"))
+    pairs = opened.join(held.where("inner").select("token", "group", "node", "size", "at"), ["token", "group"]).where(near)
     return stage(pairs.select(F.least("q", "node").alias("a"), F.greatest("q", "node").alias("b")).distinct())
 
 
@@ -197,19 +243,19 @@ def grouped_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``doc_id, row, size, group, component_id`` of each row; see ``jaccard_groups``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = stage(sketches(rows, n))
-    nodes = stage(sketch.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")))
-    first, more = proposed(nodes, range(0, 2)), proposed(nodes, range(2, HASHES))
-    keyed = nodes.select("node", F.posexplode("keys").alias("k", "key"))
-    met = keyed.groupBy("k", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    sets = set_table(rows, stage(keyed.join(met, ["k", "key"], "left_semi").select("node").distinct()), n)
-    edges = linked_pairs(first, sets, percent)
+    nodes = stage(sketch.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.first("keys").alias("keys")))
+    pairs = proposed(nodes)
+    short = set_table(rows, ends(pairs, nodes), n, True)
+    edges = linked_pairs(pairs, nodes, rows, n, percent, short)
     groups = components(edges)
-    edges = edges.union(linked_pairs(apart(more, groups), sets, percent))
+    # Of many edited copies of one text, those with the fewest tokens of their own link with the most others.
+    flags = docs.sparkSession.sparkContext.broadcast(bitmap_of(common_tokens(short)))
+    central = proposed(nodes.join(rare_tokens(short, flags), "node"), "rare")
+    edges = edges.union(linked_pairs(apart(central, groups), nodes, rows, n, percent, short))
     groups = components(edges)
-    candidates = open_groups(rows, groups, n, percent)
-    involved = stage(candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct())
+    candidates = open_groups(rows, groups, flags, n, percent)
     if not candidates.isEmpty():
-        edges = edges.union(linked_pairs(candidates, set_table(rows, involved, n), percent))
+        edges = edges.union(linked_pairs(candidates, nodes, rows, n, percent))
         groups = components(edges)
     numbered = nodes.join(groups, "node", "left").select("node", "least", F.coalesce("group", "node").alias("group"))
     least = numbered.groupBy("group").agg(F.min("least").alias("component_id"))
@@ -223,8 +269,8 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Two documents link when 100 * intersection >= ``percent`` * union; a component is all that links reach, its
     number the least doc_id in it.
 
-    1. Equal sets are one node, by an aggregate. 2. Nodes that share a minimum hash form a group; each
-    is compared whole with the group's leader, and what links makes components, the groups of the matrix.
+    1. Equal sets are one node, by an aggregate. 2. Nodes that share a minimum hash form a group; each is compared with
+    a leader drawn by lot and with its most central node, and what links makes components, the groups of the matrix.
     3. Every set asks the token-group matrix for groups other than its own; only those that its
     overlap bound lets qualify are opened and their members compared whole. So every link between different
     components is found, and links inside one, which cannot change it, are not all looked up.
@@ -237,13 +283,6 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     return found.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one group yet."""
-    for end in ("a", "b"):
-        pairs = pairs.join(groups.select(F.col("node").alias(end), F.col("group").alias(f"{end}_group")), end, "left")
-    return pairs.where(F.coalesce("a_group", "a") != F.coalesce("b_group", "b")).select("a", "b")
-
-
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component: that of the least doc_id (null last), of the least hash of its row in a tie.
 
