@@ -85,6 +85,21 @@ def xml_corpus(files: DataFrame, layout: dict[str, str | None] = COMMON) -> dict
     return {"sentences": sentences, "tokens": tokens, "spans": spans.withColumn("span_id", number.cast("long"))}
 
 
+def inferred_roles(tokens: DataFrame) -> DataFrame:
+    """One row of attribute names: ``lemma`` (most values), ``postag``, ``deprel`` and, of numeric ones, ``head``.
+
+    The last three have the number of values nearest to what such an attribute has in a treebank; ties go to the first name.
+    """
+    entries = tokens.select(F.explode(F.map_entries("features")).alias("e")).select("e.key", "e.value")
+    counts = entries.groupBy("key").agg(F.countDistinct("value").alias("n"), F.bool_and(F.col("value").rlike(r"\A[0-9]+\z")).alias("numeric"))
+
+    def nearest(target: int | None, numeric: bool, role: str) -> Column:
+        distance = -F.col("n") if target is None else F.abs(F.col("n") - target)
+        return F.min_by(F.when(F.col("numeric") == numeric, F.col("key")), F.when(F.col("numeric") == numeric, F.struct(distance.alias("d"), "key"))).alias(role)
+
+    return counts.agg(nearest(None, False, "lemma"), nearest(400, False, "postag"), nearest(50, False, "deprel"), nearest(10, True, "head"))
+
+
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, path, text`` of each file under a path; the number comes from the path."""
     return spark.read.text(path, wholetext=True).select(F.xxhash64(F.input_file_name()).alias("doc_id"), F.input_file_name().alias("path"), F.col("value").alias("text"))

@@ -66,6 +66,11 @@ def test_xml_corpus_and_back(spark):
     assert {r.name for r in corpus.attribute_names(found["tokens"]).collect()} == {"LEMMA", "MSD"}
 
 
+def test_inferred_roles(spark):
+    rows = [({"lemma": f"l{i}", "pos": f"p{i % 400}", "rel": f"r{i % 45}", "at": str(i % 12), "id": str(i)},) for i in range(900)]
+    assert tuple(readers.inferred_roles(frame(spark, rows, "features map<string,string>")).first()) == ("lemma", "pos", "rel", "at")
+
+
 def test_conll(spark):
     text = "# c\n1\tAna\tana\tN\t_\t_\t2\tnsubj\t_\t_\n2-3\tx\t_\t_\t_\t_\t_\t_\t_\t_\n2\tare\tavea\tV\t_\t_\t0\troot\t_\t_\n\n1\tMere\tmăr\tN\t_\t_\t0\troot\t_\t_\n"
     rows = readers.conll(frame(spark, [(1, text)], "doc_id long, text string")).orderBy("sid", "tid").collect()
