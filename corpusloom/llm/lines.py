@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, stage
+from .common import broadcast_if_small, row_key, stage
 
 #: White space between tokens, and what stands for a variable field (fixed values).
 BLANK, FIELD = r"[\x20\x09-\x0D]+", "<*>"
@@ -24,11 +24,6 @@ def leaf_of(tokens: Column, depth: int) -> Column:
     return F.xxhash64(F.size(tokens), F.array_join(F.slice(tokens, 1, depth), " "))
 
 
-def row_key(docs: DataFrame) -> Column:
-    """Equal for rows of one doc_id and one text, which have the same lines dropped."""
-    return F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("\0")), F.coalesce(docs["text"], F.lit("\0")))
-
-
 def recurring_lines(docs: DataFrame, min_docs: int, depth: int, similar: float) -> DataFrame:
     """``ln_key, ln_doc, ln_at, ln_template, ln_first``: every line of a recurring template, and the
     least doc_id that has the template.
@@ -54,15 +49,16 @@ def recurring_lines(docs: DataFrame, min_docs: int, depth: int, similar: float)
     constant = frequent.withColumn("ln_same", F.col("ln_token") != FIELD)
     filled = places.join(constant, ["ln_leaf", "ln_pos", "ln_token"], "left")
     token = F.when(F.col("ln_same"), F.col("ln_token")).otherwise(FIELD)
-    templates = filled.groupBy("ln_leaf", "ln_line").agg(
+    # Written first, so that a hot line's rows meet them in a join that Spark can split.
+    templates = stage(filled.groupBy("ln_leaf", "ln_line").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln_pos", token.alias("t")))), lambda x: x["t"]), " ").alias("ln_template"),
         F.avg(F.coalesce("ln_same", F.lit(False)).cast("int")).alias("ln_share"),
-    )
-    matched = stage(held.join(templates.where(F.col("ln_share") >= similar).drop("ln_share"), ["ln_leaf", "ln_line"]).drop("ln_line"))
+    ).where(F.col("ln_share") >= similar).drop("ln_share"))
+    matched = stage(held.join(templates, ["ln_leaf", "ln_line"]).drop("ln_line"))
     counts = matched.groupBy("ln_leaf", "ln_template", "ln_key").agg(F.min("ln_doc").alias("ln_doc")).groupBy("ln_leaf", "ln_template").agg(
         F.count(F.lit(1)).alias("ln_docs"), F.min("ln_doc").alias("ln_first"),
     )
-    return matched.join(counts.where(F.col("ln_docs") >= min_docs), ["ln_leaf", "ln_template"])
+    return matched.join(stage(counts.where(F.col("ln_docs") >= min_docs)), ["ln_leaf", "ln_template"])
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, similar: float = 0.6) -> DataFrame:
