@@ -11,13 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import broadcast_if_small, mix, stage
 
 #: Tables, hash functions of a table, buckets visited in each, and the width of a hash cell as a
 #: multiple of the median distance to the 10th nearest of a sample of at most SAMPLE vectors.
 TABLES, FUNCTIONS, PROBES, WIDTH, SAMPLE = 8, 8, 64, 1.85, 2048
 #: Vectors of a bucket that one task reads; larger buckets are split.
 BUCKET = 1024
+#: A query with fewer than k rows, or whose k-th is farther than REACH widths, is ranked against all rows, in blocks of
+#: BLOCK_ROWS rows and BLOCK_QUERIES queries. Distances up to COPY times the largest norm are between copies.
+REACH, BLOCK_ROWS, BLOCK_QUERIES, COPY = 0.65, 16_384, 1024, 1e-6
 
 
 def usable(vector: Column) -> Column:
@@ -108,17 +111,41 @@ def _placed(vectors: DataFrame, width: float, params: tuple[int, int, int, int],
     return vectors.mapInArrow(run, "bucket long, id long" + ", vector binary" * carry)
 
 
+def _packed(vectors: DataFrame) -> DataFrame:
+    """``dim, id, vector``: each vector as bytes, with its length."""
+    schema = pa.schema([("dim", pa.int32()), ("id", pa.int64()), ("vector", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, x in _vectors(batch.column(1)):
+                columns = [pa.array(np.full(len(rows), x.shape[1], dtype=np.int32)), batch.column(0).take(pa.array(rows)), pa.array([v.tobytes() for v in x], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return vectors.mapInArrow(run, "dim int, id long, vector binary")
+
+
 def cell_width(vectors: DataFrame, factor: float = WIDTH, most: int = SAMPLE) -> float:
-    """``factor`` times the median distance to the 10th nearest, in the sample with the least hashes of their ids."""
-    rows = vectors.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(most).collect()
+    """``factor`` times the median distance to the 10th nearest that is no copy, in the sample with the least hashes of their ids."""
+    # The ids first, so that repeated rows do not fill the sample.
+    chosen = vectors.select("id").distinct().withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(most).select("id")
+    rows = vectors.select("id", "vector").join(F.broadcast(chosen), "id", "left_semi").distinct().orderBy(F.xxhash64("id"), "id", "vector").limit(most).collect()
     distances = []
     for dim in {len(r["vector"]) for r in rows}:
-        x = np.array([r["vector"] for r in rows if len(r["vector"]) == dim], dtype=np.float64)
+        x = np.unique(np.array([r["vector"] for r in rows if len(r["vector"]) == dim], dtype=np.float64), axis=0)
+        square = (x**2).sum(1)
+        least = COPY * float(np.sqrt(square.max()))
         for lo in range(0, len(x), 256):
-            d = np.sqrt(np.maximum(0, (x[lo : lo + 256] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[lo : lo + 256] @ x.T))
-            distances += np.partition(d, min(10, len(x) - 1), axis=1)[:, min(10, len(x) - 1)].tolist()
-    middle = float(np.median(distances)) if distances else 0.0
-    return factor * middle if middle > 0 else 1.0
+            d = np.sqrt(np.maximum(0, square[lo : lo + 256][:, None] + square[None] - 2 * x[lo : lo + 256] @ x.T))
+            d = np.sort(np.where(d > least, d, np.inf), axis=1)
+            others = np.isfinite(d).sum(1)
+            distances += d[np.arange(len(d)), np.minimum(10, others) - 1][others > 0].tolist()
+    return factor * float(np.median(distances)) if distances else 1.0
+
+
+def _once(ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of the sorted rows once."""
+    first = np.concatenate([[True], (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])]) if len(ids) else np.empty(0, bool)
+    return ids[first], score[first]
 
 
 def _nearest(queries: np.ndarray, query_ids: np.ndarray, found: np.ndarray, found_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -151,10 +178,9 @@ def _ranked(k: int, dtype: str):
                 if own in best:
                     near, score = np.concatenate([best[own][0], near]), np.concatenate([best[own][1], score])
                     order = np.lexsort((near, score))
-                    near, score = near[order], score[order]
                     # A vector comes from several tables; equal rows stand next to each other.
-                    first = np.concatenate([[True], (near[1:] != near[:-1]) | (score[1:] != score[:-1])]) if len(near) else np.empty(0, bool)
-                    near, score = near[first][:k], score[first][:k]
+                    near, score = _once(near[order], score[order])
+                    near, score = near[:k], score[:k]
                 best[own] = near, score
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -182,6 +208,20 @@ def _ranked(k: int, dtype: str):
     return run
 
 
+def _ranked_against_all(rows: DataFrame, asked: DataFrame, count: int, k: int, dtype: str) -> DataFrame:
+    """``query_id, vec_id, score``: the k nearest of each of the ``count`` rows of ``asked`` in each block of ``rows``."""
+    packed = _packed(asked).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-count // BLOCK_QUERIES)))))
+    blocks = stage(packed.select("dim", "block").distinct())
+    parts = max(1, -(-rows.count() // BLOCK_ROWS))
+    bucket = ((F.col("dim").cast("long") * (1 << 32)) + F.col("block")).alias("bucket")
+    index = _packed(rows).join(broadcast_if_small(blocks, blocks.count()), "dim")
+    index = index.select(bucket, F.pmod(F.xxhash64("id", "vector"), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("ask"), "id", "vector")
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    met = index.unionByName(packed.select(bucket, every, F.lit(True).alias("ask"), "id", "vector"))
+    met = met.repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.desc("ask"))
+    return met.mapInArrow(_ranked(k, dtype), "query_id long, vec_id long, score double")
+
+
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES, functions: int = FUNCTIONS, probes: int = PROBES, width: float | None = None, seed: int = 11,
 ) -> DataFrame:
@@ -195,9 +235,12 @@ def nearest(
     Vectors and probes meet by bucket; a bucket of more than BUCKET vectors is dealt out to
     several tasks, each of which gets its queries. A task sends on k rows a query at most.
 
+    Queries that the visited buckets give fewer than k rows, or whose k-th row is farther than the probes
+    reach (REACH widths), are ranked against all rows of their length, block by block; their rows are exact.
+
     Rows with a null id or an unusable vector (see ``usable``) take no part; vectors of another length
-    are never found. Rows with the query's own id are left out, equal rows count once. A query without any
-    row found has none; rows of one id with several vectors are one query for all of them. No rows give no rows.
+    are never found. Rows with the query's own id are left out, equal rows count once. A query has fewer than k rows only if
+    fewer exist; rows of one id with several vectors are one query for all of them. No rows give no rows.
     """
     dtype = "<f4" if dict(vectors.dtypes)["vector"] == "array<float>" else "<f8"
     rows, asked = (x.where(F.col("id").isNotNull() & usable(F.col("vector"))).select(F.col("id").cast("long").alias("id"), "vector") for x in (vectors, queries))
@@ -212,6 +255,14 @@ def nearest(
     parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
     probing = probing.select("bucket", parts, F.lit(True).alias("ask"), "id", "vector")
     met = index.unionByName(probing).repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.desc("ask"))
-    found = met.mapInArrow(_ranked(k, dtype), "query_id long, vec_id long, score double").distinct()
+    found = met.mapInArrow(_ranked(k, dtype), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).alias("rank")
-    return found.select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
+    top = lambda f: f.distinct().select("query_id", rank, "vec_id", "score").where(F.col("rank") <= k)
+    found = stage(top(found))
+    served = found.where((F.col("rank") == k) & (F.col("score") <= REACH * width)).select(F.col("query_id").alias("id"))
+    unserved = stage(asked.join(served, "id", "left_anti").select("id", "vector").distinct())
+    if not (count := unserved.count()):
+        return found
+    # A query's own vectors may have met some buckets; all of its rows come from the exact ranking.
+    kept = found.join(served, found["query_id"] == served["id"], "left_semi")
+    return kept.unionByName(top(_ranked_against_all(rows, unserved, count, k, dtype)))

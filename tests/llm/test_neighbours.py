@@ -58,6 +58,30 @@ def test_a_hot_bucket_is_split_and_exact(spark, monkeypatch):
     assert got == brute(rows, lambda i: i % 100 == 0)
 
 
+def found(frame, asks, **args):
+    got = {}
+    for r in neighbours.nearest(frame, frame.where(asks), **args).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], pytest.approx(r["score"], abs=1e-9)))
+    return got
+
+
+def test_vectors_off_the_bulk_have_all_their_neighbours(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=8) * (1 if i % 20 else 300)).tolist()) for i in range(1, 601)] + [(1000 + i, rng.normal(size=5).tolist()) for i in range(4)]
+    frame = spark.createDataFrame(rows, "id long, vector array<double>")
+    asks = lambda i: i % 20 == 0 or i >= 1000
+    assert found(frame, "id % 20 = 0 OR id >= 1000") == brute(rows, asks)
+
+
+def test_the_width_is_not_that_of_copies(spark):
+    rng = np.random.default_rng(6)
+    copy = rng.normal(size=8)
+    rows = [(i, (copy if i % 3 else rng.normal(size=8)).tolist()) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id long, vector array<double>")
+    assert neighbours.cell_width(frame) > 0.5 and neighbours.cell_width(frame.unionByName(frame), most=100) > 0.5
+    assert neighbours.cell_width(frame.where("id % 3 <> 0")) == 1.0
+
+
 def test_perturbations_come_in_order_and_are_sound():
     sets = neighbours.perturbations(6, 60)
     assert sets[0] == () and sets[1] == (0,) and len(sets) == len(set(sets)) == 60
