@@ -153,13 +153,16 @@ def _nearest(queries: np.ndarray, query_ids: np.ndarray, found: np.ndarray, foun
     q, x = queries.astype(np.float64), found.astype(np.float64)
     rough = (q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T
     slack = 1e-9 * (1 + np.abs(rough).max(initial=0))
+    # Rows of one id may be equally far, which gives one row: so many more than k are looked at.
+    most = k + len(found_ids) - len(np.unique(found_ids))
     for i, own in enumerate(query_ids.tolist()):
         d = np.where(found_ids == own, np.inf, rough[i])
-        near = np.flatnonzero(d <= (np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf) + slack)
+        near = np.flatnonzero(d <= (np.partition(d, most - 1)[most - 1] if len(d) > most else np.inf) + slack)
         near = near[found_ids[near] != own]
         exact = np.sqrt(((x[near] - q[i]) ** 2).sum(1))
-        best = np.lexsort((found_ids[near], exact))[:k]
-        yield own, found_ids[near][best], exact[best]
+        best = np.lexsort((found_ids[near], exact))
+        ids, score = _once(found_ids[near][best], exact[best])
+        yield own, ids[:k], score[:k]
 
 
 def _ranked(k: int, dtype: str):
@@ -173,6 +176,10 @@ def _ranked(k: int, dtype: str):
 
         def merge(part: tuple[np.ndarray, np.ndarray]) -> None:
             ids, vectors = part
+            if len(np.unique(ids)) < len(ids):  # equal rows count once, before they take up places
+                rows = {(i, v.tobytes()): n for n, (i, v) in enumerate(zip(ids.tolist(), vectors, strict=True))}
+                first = np.fromiter(rows.values(), dtype=np.int64, count=len(rows))
+                ids, vectors = ids[first], vectors[first]
             asked = np.stack([np.frombuffer(v, dtype) for _, v in waiting])
             for own, near, score in _nearest(asked, np.array([i for i, _ in waiting]), vectors, ids, k):
                 if own in best:

@@ -82,6 +82,15 @@ def test_the_width_is_not_that_of_copies(spark):
     assert neighbours.cell_width(frame.where("id % 3 <> 0")) == 1.0
 
 
+def test_repeated_rows_take_one_place(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(40)]
+    frame = spark.createDataFrame(rows * 12 + [(50, [3.0, 0.0, 0.0, 0.0]), (50, [-3.0, 0.0, 0.0, 0.0])], "id long, vector array<double>")
+    want = brute([*rows, (50, [3.0, 0.0, 0.0, 0.0]), (50, [-3.0, 0.0, 0.0, 0.0])], lambda i: i < 5)
+    for width in (50.0, None):
+        assert found(frame, "id < 5", width=width) == want
+
+
 def test_perturbations_come_in_order_and_are_sound():
     sets = neighbours.perturbations(6, 60)
     assert sets[0] == () and sets[1] == (0,) and len(sets) == len(set(sets)) == 60
