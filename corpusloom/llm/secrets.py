@@ -69,7 +69,7 @@ def link_credentials(docs: DataFrame, scope: int = 400) -> DataFrame:
     an endpoint, a weak identifier or endpoint needs a secret (weak, an assignment or a hex run).
 
     The scopes are joined as intervals: each part opens an interval around itself, both sides are
-    cut to bins of the scope's length, and a semi join by document and bin keeps a part once
+    cut to all bins of the scope's length that they touch, and a semi join by document and bin keeps a part once
     however many partners it has; no pairs come out. Only parts of texts that hold a weak part
     are shuffled, and none holds text.
 
@@ -86,7 +86,7 @@ def link_credentials(docs: DataFrame, scope: int = 400) -> DataFrame:
     parts = both.withColumn("secretive", secretive).withColumn("named", named)
     bins = F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))
     asking = parts.where(F.col("kind") >= 3).withColumn("bin", F.explode(bins)).alias("a")
-    giving = parts.withColumn("bin", F.floor(F.col("start") / scope)).alias("b")
+    giving = parts.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope)))).alias("b")
     near = (F.col("b.start") < F.col("a.end") + scope) & (F.col("b.end") > F.col("a.start") - scope)
     other = (F.col("a.secretive") & F.col("b.named")) | (F.col("a.named") & F.col("b.secretive"))
     apart = (F.col("b.start") >= F.col("a.end")) | (F.col("b.end") <= F.col("a.start"))

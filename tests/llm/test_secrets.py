@@ -57,6 +57,15 @@ def test_weak_parts_only_together(spark):
     assert got[1] == "id:0:19,secret:24:52" and got[2] == "endpoint:4:30,secret:36:64" and got[5] == "secret:21:49"
 
 
+def test_parts_longer_than_a_bin(spark):
+    long = "".join(f"aB{i:03d}" for i in range(200))
+    texts = [f"token={long} {'.' * 40} https://api.example.com/v1", f"{'0123456789abcdef' * 80} access_key_id=bob42", f"{long} then login: bob42", f"https://api.example.com/v1 {'.' * 40} token={long}",
+             f"token={long} {'. ' * 250} https://api.example.com/v1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: {secrets.KINDS[s["kind"]] for s in r["linked"]} for r in secrets.link_credentials(docs).collect()}
+    assert "endpoint" in got[0] and "id" in got[1] and {"id", "secret"} <= got[2] and "endpoint" in got[3] and "endpoint" not in got[4]
+
+
 def test_odd_rows(odd_docs, no_docs):
     assert secrets.link_credentials(odd_docs).count() == 10
     assert secrets.link_credentials(no_docs).count() == 0
