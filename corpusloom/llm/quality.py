@@ -138,7 +138,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """``columns, label, order`` of at most ``max_rows`` labelled rows outside the held-out fifth.
+    """``columns, label, order`` of at most ``max_rows`` labelled documents outside the held-out fifth, one row each.
 
     Rows with a null doc_id or label are left out; of several labels of a doc_id the most frequent counts, 1 in a tie.
     """
@@ -147,7 +147,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     chosen = voted.withColumn("lb_order", F.xxhash64("lb_id")).orderBy("lb_order", "lb_id").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("lb_id"), F.col("text").alias("lb_text"))
     # At most max_rows numbers are broadcast.
-    picked = rows.join(F.broadcast(chosen), "lb_id").select("lb_text", "lb_label", "lb_order")
+    found = rows.join(F.broadcast(chosen), "lb_id")
+    # Of a repeated doc_id one text counts: the one with the least hash.
+    least = F.min(F.struct(F.xxhash64("lb_text").alias("lb_hash"), "lb_text")).alias("lb_least")
+    picked = found.groupBy("lb_id", "lb_label", "lb_order").agg(least).select("lb_least.lb_text", "lb_label", "lb_order")
 
     def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -44,6 +44,18 @@ def test_indicators_are_distinct_and_stable():
     assert len(quality.indicators("")) == len(quality.indicators(None)) == 0
 
 
+def test_a_repeated_doc_id_is_one_row_of_the_sample(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][:20]
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, quality int")
+    first = quality.labelled_sample(spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string"), labels, 10).collect()
+    texts = [(i, f"text {i}") for i in ids] + [(i, f"other {n % 7} {i}") for i in ids[:12] for n in range(50)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    sample = quality.labelled_sample(docs, labels, 10).collect()
+    assert len(sample) == len({r["order"] for r in sample}) == 10 and {r["order"] for r in sample} == {r["order"] for r in first}
+    again = quality.labelled_sample(docs.orderBy(quality.F.desc("text")), labels, 10).collect()
+    assert sorted(map(str, again)) == sorted(map(str, sample))
+
+
 @pytest.mark.parametrize("which", ["none", "one class", "nulls"])
 def test_odd_labels(spark, odd_docs, no_docs, which):
     rows = {"none": [], "one class": [(1, 1), (2, 1), (6, 1)], "nulls": [(None, 1), (1, None), (2, 0), (2, 0), (6, 1), (7, 0), (8, 1)]}[which]
