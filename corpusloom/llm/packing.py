@@ -123,10 +123,12 @@ def hierarchical_pack(
     """``pieces`` (with ``length`` from 1 to ``capacity``) and where each goes: ``sequence_id``, ``offset``.
 
     A piece of full length is a sequence of its own. Round 0 deals the others out evenly, about ``local`` to a task, and packs each task's best-fit. Bins
-    filled to the round's level are emitted; the others go on as items, to ``fan_in`` times fewer
-    tasks, and are packed best-fit again. Levels fall to a half by the last but one round: best-fit never leaves
-    two bins of one task that are half empty or more, so the last round, which one task runs,
-    gets at most one bin from each task before it. A bin carries its items' numbers, at most ``capacity``.
+    filled to the round's level are emitted, and so are those that the smallest bin left no longer fits in; the others go on as
+    items, to ``fan_in`` times fewer tasks, and are packed best-fit again. Where these hold more pieces than ``local`` a task, all
+    bins over half full are emitted: none of them takes another one, and best-fit never leaves two bins of
+    one task that are half empty or more, so at most one bin of each task goes on and a task gets about ``fan_in``.
+    Levels fall to a half by the last but one round, so the last round, which one task runs, gets at most one bin from each
+    task before it. A bin carries its items' numbers, at most ``capacity``.
     What n pieces of a task miss by is about the square root of n, so ``local`` bounds the waste.
 
     Pieces longer than ``capacity`` are refused. No rows give no rows. Rows count one by one.
@@ -148,6 +150,13 @@ def hierarchical_pack(
         if last:
             break
         waiting, tasks, level = done.where("NOT done"), -(-tasks // fan_in), level + 1
+        # One row a size, at most capacity.
+        left = {r["size"]: r["n"] for r in waiting.groupBy("size").agg(F.sum(F.size("items")).alias("n")).collect()}
+        largest = capacity - min(left, default=0)
+        if sum(n for size, n in left.items() if size <= largest) > tasks * local:
+            largest = min(largest, capacity // 2)
+        packed.append(waiting.where(F.col("size") > largest))
+        waiting = waiting.where(F.col("size") <= largest)
     bins = packed[0]
     for more in packed[1:]:
         bins = bins.unionByName(more)

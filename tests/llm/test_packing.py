@@ -77,6 +77,20 @@ def test_many_rounds_stay_near_the_least(spark):
     assert len(fills) <= 1.01 * sum(fills.values()) / 1024
 
 
+@pytest.mark.parametrize("sizes", ["700", "CASE WHEN id % 10 = 0 THEN 300 ELSE 513 + id % 400 END", "IF(id % 3 = 0, 700, 1 + pmod(xxhash64(id), 200))"])
+def test_bins_over_half_full_do_not_pile_up_in_a_task(spark, sizes):
+    pieces = spark.range(6000).selectExpr("id AS doc_id", f"CAST({sizes} AS long) AS length")
+    rows = packing.hierarchical_pack(pieces, local=200, fan_in=3).collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows) == 6000
+    fills, of_task = defaultdict(int), defaultdict(int)
+    for r in rows:
+        fills[r["sequence_id"]] += r["length"]
+        of_task[r["sequence_id"] >> 32] += 1
+    assert max(fills.values()) <= 1024 and max(of_task.values()) <= 2 * 200
+    least = max(-(-sum(fills.values()) // 1024), sum(r["length"] > 512 for r in rows))
+    assert len(fills) <= 1.03 * least
+
+
 def test_too_long_pieces_are_refused(spark):
     with pytest.raises(ValueError):
         packing.hierarchical_pack(spark.sql("SELECT 2000L AS length"))
