@@ -9,6 +9,8 @@ from .common import broadcast_if_small, row_key, stage
 
 #: White space between tokens, and what stands for a variable field (fixed values).
 BLANK, FIELD = r"[\x20\x09-\x0D]+", "<*>"
+#: The share of a leaf's lines that hold a token where it is constant however large the leaf is.
+MAIN = 0.5
 
 
 def tokens_of(line: Column) -> Column:
@@ -24,15 +26,19 @@ def leaf_of(tokens: Column, depth: int) -> Column:
     return F.xxhash64(F.size(tokens), F.array_join(F.slice(tokens, 1, depth), " "))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int, depth: int, similar: float) -> DataFrame:
-    """``ln_key, ln_doc, ln_at, ln_template, ln_first``: every line of a recurring template, and the
-    least doc_id that has the template.
+def recurring_lines(docs: DataFrame, min_docs: int, depth: int, similar: float, general: bool = True) -> DataFrame:
+    """``ln_key, ln_doc, ln_at, ln_first``: every line of a recurring template, and the least doc_id that
+    has the template; a line of two such templates is there twice.
 
     The tree's upper levels are the leaf key. In a leaf, a token stays in the template where its
     position holds it in at least ``min_docs`` lines, else the position becomes a variable field; a
     template needs the share ``similar`` of constant positions, so that chance neighbours in a leaf
     stay apart. Only lines of leaves with ``min_docs`` documents carry their tokens on, and
     equal lines are counted before their positions are opened: no group grows with a hot line.
+
+    A count alone makes every value of a field constant once there are lines enough. With ``general``, lines
+    are also matched to templates whose constant tokens stand in the share MAIN of the leaf's lines; one of
+    them must come after the leaf's leading tokens, which all its lines have.
     """
     lines = F.transform(F.split("text", "\n"), lambda x: tokens_of(x))
     parsed = docs.select(row_key(docs).alias("ln_key"), docs["doc_id"].alias("ln_doc"), lines.alias("ln_lines"))
@@ -45,31 +51,41 @@ def recurring_lines(docs: DataFrame, min_docs: int, depth: int, similar: float)
     )
     distinct = stage(held.select("ln_leaf", "ln_line", "ln_key").distinct().groupBy("ln_leaf", "ln_line").agg(F.count(F.lit(1)).alias("ln_n")))
     places = distinct.select("ln_leaf", "ln_line", "ln_n", F.posexplode(F.split("ln_line", " ")).alias("ln_pos", "ln_token"))
-    frequent = places.groupBy("ln_leaf", "ln_pos", "ln_token").agg(F.sum("ln_n").alias("ln_df")).where(F.col("ln_df") >= min_docs).drop("ln_df")
-    constant = frequent.withColumn("ln_same", F.col("ln_token") != FIELD)
-    filled = places.join(constant, ["ln_leaf", "ln_pos", "ln_token"], "left")
-    token = F.when(F.col("ln_same"), F.col("ln_token")).otherwise(FIELD)
-    # Written first, so that a hot line's rows meet them in a join that Spark can split.
-    templates = stage(filled.groupBy("ln_leaf", "ln_line").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln_pos", token.alias("t")))), lambda x: x["t"]), " ").alias("ln_template"),
-        F.avg(F.coalesce("ln_same", F.lit(False)).cast("int")).alias("ln_share"),
-    ).where(F.col("ln_share") >= similar).drop("ln_share"))
-    matched = stage(held.join(templates, ["ln_leaf", "ln_line"]).drop("ln_line"))
-    counts = matched.groupBy("ln_leaf", "ln_template", "ln_key").agg(F.min("ln_doc").alias("ln_doc")).groupBy("ln_leaf", "ln_template").agg(
-        F.count(F.lit(1)).alias("ln_docs"), F.min("ln_doc").alias("ln_first"),
-    )
-    return matched.join(stage(counts.where(F.col("ln_docs") >= min_docs)), ["ln_leaf", "ln_template"])
-
-
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, similar: float = 0.6) -> DataFrame:
+    frequent = places.groupBy("ln_leaf", "ln_pos", "ln_token").agg(F.sum("ln_n").alias("ln_df")).where(F.col("ln_df") >= min_docs)
+
+    def found(constant: DataFrame, evidence: Column) -> DataFrame:
+        filled = places.join(constant.drop("ln_df").withColumn("ln_same", F.col("ln_token") != FIELD), ["ln_leaf", "ln_pos", "ln_token"], "left")
+        token = F.when(F.col("ln_same"), F.col("ln_token")).otherwise(FIELD)
+        # Written first, so that a hot line's rows meet them in a join that Spark can split.
+        templates = stage(filled.groupBy("ln_leaf", "ln_line").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln_pos", token.alias("t")))), lambda x: x["t"]), " ").alias("ln_template"),
+            F.avg(F.coalesce("ln_same", F.lit(False)).cast("int")).alias("ln_share"), F.max(F.coalesce(F.col("ln_same") & evidence, F.lit(False))).alias("ln_seen"),
+        ).where((F.col("ln_share") >= similar) & F.col("ln_seen")).drop("ln_share", "ln_seen"))
+        matched = stage(held.join(templates, ["ln_leaf", "ln_line"]).drop("ln_line"))
+        counts = matched.groupBy("ln_leaf", "ln_template", "ln_key").agg(F.min("ln_doc").alias("ln_doc")).groupBy("ln_leaf", "ln_template").agg(
+            F.count(F.lit(1)).alias("ln_docs"), F.min("ln_doc").alias("ln_first"),
+        )
+        return matched.join(stage(counts.where(F.col("ln_docs") >= min_docs)), ["ln_leaf", "ln_template"]).select("ln_key", "ln_doc", "ln_at", "ln_first")
+
+    by_count = found(frequent, F.lit(True))
+    if not general:
+        return by_count
+    sizes = distinct.groupBy("ln_leaf").agg(F.sum("ln_n").alias("ln_all"))
+    by_share = found(frequent.join(sizes, "ln_leaf").where(F.col("ln_df") >= MAIN * F.col("ln_all")).drop("ln_all"), F.col("ln_pos") >= depth)
+    return by_count.unionByName(by_share)
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, similar: float = 0.6, general: bool = True) -> DataFrame:
     """``docs`` without the lines whose template recurs in ``min_docs`` documents, kept in the first one.
 
+    ``general``: also by templates whose constants do not depend on the number of lines; LINES_SQL does without.
+
     All columns stay; ``text`` is cut, ``ln_lines`` and ``ln_dropped`` count its lines. Of a recurring
     template, the lines in the document with the least doc_id stay (null comes last). Lines end at
     ``\\n``; empty ones stay. A null text stays null with 0 lines, an empty text has 0 lines. Rows of
     one doc_id and one text count as one document and are cut alike. No rows give no rows.
     """
-    dropped = recurring_lines(docs, min_docs, depth, similar).where(~F.col("ln_doc").eqNullSafe(F.col("ln_first")))
+    dropped = recurring_lines(docs, min_docs, depth, similar, general).where(~F.col("ln_doc").eqNullSafe(F.col("ln_first")))
     by_row = dropped.groupBy("ln_key").agg(F.collect_set("ln_at").alias("ln_at"))
     joined = docs.withColumn("ln_key", row_key(docs)).join(by_row, "ln_key", "left")
     lines = F.split("text", "\n")

@@ -43,7 +43,7 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = lines.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = lines.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), general=False)  # as its SQL
     return cut.select("doc_id", F.col("ln_lines").alias("n_lines"), F.col("ln_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 

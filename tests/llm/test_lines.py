@@ -38,6 +38,14 @@ def test_below_the_number_of_documents_all_stays(spark):
     assert sum(r["ln_dropped"] for r in cut(spark, ["same line here\nsame line here"] * 5, min_docs=5).values()) == 8
 
 
+@pytest.mark.parametrize("rows", [400, 10_000])
+def test_a_field_stays_one_at_any_number_of_rows(spark, rows):
+    names = [a + b for a in "ABCDEFGHIJKLMNOPQRST" for b in "aeiouylmnr"]
+    pairs = [(names[i % 200], names[(i // 200 * 7 + i) % 200]) for i in range(rows)]
+    got = cut(spark, [f"Read more posts by {a} in {b.lower()}ton\nThanks for the {a}" for a, b in pairs])
+    assert got[0]["ln_dropped"] == 0 and all(not r["text"].startswith("Read") for i, r in got.items() if i)
+
+
 @pytest.mark.parametrize("min_docs", [1, 2])
 def test_odd_rows(odd_docs, no_docs, min_docs):
     got = lines.drop_recurring_lines(odd_docs, min_docs=min_docs)
