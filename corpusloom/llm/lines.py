@@ -72,13 +72,24 @@ def recurring_lines(docs: DataFrame, min_docs: int, depth: int, similar: float,
         return by_count
     sizes = distinct.groupBy("ln_leaf").agg(F.sum("ln_n").alias("ln_all"))
     by_share = found(frequent.join(sizes, "ln_leaf").where(F.col("ln_df") >= MAIN * F.col("ln_all")).drop("ln_all"), F.col("ln_pos") >= depth)
-    return by_count.unionByName(by_share)
+    return by_count.unionByName(by_share).unionByName(recurring_whole_lines(docs, min_docs))
+
+
+def recurring_whole_lines(docs: DataFrame, min_docs: int) -> DataFrame:
+    """``ln_key, ln_doc, ln_at, ln_first`` of lines with a digit, equal as a whole in ``min_docs`` documents.
+
+    Templates count a token with a digit as no constant, however often it recurs; lines without a digit are templates of their own.
+    """
+    lines = docs.select(row_key(docs).alias("ln_key"), docs["doc_id"].alias("ln_doc"), F.posexplode(F.split("text", "\n")).alias("ln_at", "ln_line"))
+    held = stage(lines.where(F.regexp_like("ln_line", F.lit("[0-9]"))).select("ln_key", "ln_doc", "ln_at", F.xxhash64("ln_line").alias("ln_hash")).distinct())
+    counts = held.groupBy("ln_hash", "ln_key").agg(F.min("ln_doc").alias("ln_doc")).groupBy("ln_hash").agg(F.count(F.lit(1)).alias("ln_docs"), F.min("ln_doc").alias("ln_first"))
+    return held.join(stage(counts.where(F.col("ln_docs") >= min_docs)), "ln_hash").select("ln_key", "ln_doc", "ln_at", "ln_first")
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 10, depth: int = 3, similar: float = 0.6, general: bool = True) -> DataFrame:
     """``docs`` without the lines whose template recurs in ``min_docs`` documents, kept in the first one.
 
-    ``general``: also by templates whose constants do not depend on the number of lines; LINES_SQL does without.
+    ``general``: also by templates whose constants do not depend on the number of lines, and equal lines with digits; LINES_SQL does without.
 
     All columns stay; ``text`` is cut, ``ln_lines`` and ``ln_dropped`` count its lines. Of a recurring
     template, the lines in the document with the least doc_id stay (null comes last). Lines end at

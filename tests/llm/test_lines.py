@@ -46,6 +46,14 @@ def test_a_field_stays_one_at_any_number_of_rows(spark, rows):
     assert got[0]["ln_dropped"] == 0 and all(not r["text"].startswith("Read") for i, r in got.items() if i)
 
 
+def test_equal_lines_with_digits_recur(spark):
+    lines = ["Copyright 2021", "Page 3 of 10", "Posted 2024-01-02 12:30", "Tel: 030 123456"]
+    got = cut(spark, ["\n".join([*lines, f"{i} {i * 7} {i * 3}"]) for i in range(10)])
+    assert got[0]["ln_dropped"] == 0
+    assert all(got[i]["ln_dropped"] == 4 and got[i]["text"] == f"{i} {i * 7} {i * 3}" for i in range(1, 10))
+    assert all(r["ln_dropped"] == 0 for r in cut(spark, ["\n".join(lines)] * 9).values())
+
+
 @pytest.mark.parametrize("min_docs", [1, 2])
 def test_odd_rows(odd_docs, no_docs, min_docs):
     got = lines.drop_recurring_lines(odd_docs, min_docs=min_docs)
