@@ -14,14 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed values of HTML: elements that break a block, that have no content, whose content is not markup, and those
+# Fixed values of HTML: elements that break a block, that have no content, whose content is left out as no text of the page, and those
 # that end where one of the same kind (or of the listed ones) begins.
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea template iframe noembed noframes xmp svg math object".split())
+RAW = frozenset("script style title textarea template iframe noembed noframes".split())
+#: Its content is text as it stands.
+PLAIN = "xmp"
 CLOSES = {k: frozenset(v.split()) for k, v in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "body": "head"}.items()}
 SCOPES = frozenset("ul ol menu dl table body article section div main aside".split())
 
@@ -97,6 +99,14 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
+        if name == PLAIN:
+            flush()
+            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+            parts.append(page[at : end.start() if end else len(page)].replace("&", "&amp;"))
+            linked += links and len(parts[-1])
+            flush()
+            at = end.end() if end else len(page)
+            continue
         if name in BLOCK:
             flush()
             closes = CLOSES.get(name, frozenset())

@@ -65,6 +65,16 @@ def test_leaf_blocks(page, want):
     assert [b.text for b in html.leaf_blocks(page)] == want
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is", ["where x=2 is"]), ("<p>a <svg><text>label</text></svg> b</p><p>c", ["a label b", "c"]),
+    ("<p>a <svg><path d='M0 0'/> b</p><p>c", ["a b", "c"]), ("<object data=x><p>no viewer: see <a href=y>y</a></p></object>z", ["no viewer: see y", "z"]),
+    ("a<xmp><b>x</b> &amp; y</xmp>b", ["a", "<b>x</b> &amp; y", "b"]), ("a<xmp>b <p>c", ["a", "b <p>c"]), ("<p>a<math>b<p>c", ["ab", "c"]),
+    ("<svg><style>p{}</style><title>t</title></svg>u", ["u"]),
+])
+def test_elements_that_hold_text_are_read(page, want):
+    assert [b.text for b in html.leaf_blocks(page)] == want
+
+
 def test_other_layouts_of_one_article():
     body = "".join(f"<p>The report number {i} says that much has changed in the town since then.</p>" for i in range(4))
     main = "\n\n".join(["A town changes"] + [f"The report number {i} says that much has changed in the town since then." for i in range(4)])
