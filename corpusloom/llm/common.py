@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Set here only where the session has none (tests)."""
+    """The cluster's shared folder. Only a session that runs in one process may do without: its own temporary folder is shared then."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
-        found = f"file:///tmp/corpusloom-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -37,7 +40,16 @@ def stage(df: DataFrame, *partition_by: str) -> DataFrame:
     schema = df.schema
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Delete tables that ``stage`` wrote, once nothing reads them any more."""
+    for df in staged:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stage_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
