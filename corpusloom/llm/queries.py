@@ -35,7 +35,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.to_transport_streams(table(spark, sf_dir, "documents"))
-    return media.parse_transport_streams(stored, payload=False).drop("units")
+    found = media.parse_transport_streams(stored, payload=False)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "units")
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

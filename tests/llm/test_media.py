@@ -63,3 +63,39 @@ def test_odd_rows(odd_docs, no_docs):
     for r in rows:
         assert bytes(r["payload"]) == expected(texts[r["doc_id"]])[1]
     assert media.parse_transport_streams(media.to_transport_streams(no_docs)).count() == 0
+
+
+def plain_reader(stored):
+    """Payload, timestamps and random-access points of the one program, read with nothing of the module."""
+    pmt = pid = None
+    data, stamps, points = b"", [], []
+    for at in range(0, len(stored), 188):
+        p = stored[at : at + 188]
+        assert p[0] == 0x47
+        number, start, control = (p[1] & 0x1F) << 8 | p[2], p[1] & 0x40, p[3] >> 4 & 3
+        body, random_access = p[4:], False
+        if control & 2:
+            random_access = body[0] > 0 and bool(body[1] & 0x40)
+            body = body[1 + body[0] :]
+        if number == 0:
+            pmt = (body[1 + 10] & 0x1F) << 8 | body[1 + 11]
+        elif number == pmt:
+            pid = (body[1 + 13] & 0x1F) << 8 | body[1 + 14]
+        elif number == pid and control & 1:
+            if start:
+                assert body[:3] == b"\0\0\1"
+                t = body[9:14]
+                stamps.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | (t[2] >> 1) << 15 | t[3] << 7 | t[4] >> 1)
+                points.append(random_access)
+                body = body[9 + body[8] :]
+            data += body
+    return data, stamps, points
+
+
+def test_an_independent_reader_reads_the_same():
+    for n in (0, 1, 191, 192, 3072, 3073, 40_000):
+        payload = media.padded("x" * n)[1]
+        stored = media.mux(payload)
+        data, stamps, points = plain_reader(stored)
+        units = media.demux(stored)["units"]
+        assert data == payload and stamps == [u[1] for u in units] and points == [u[3] for u in units]
