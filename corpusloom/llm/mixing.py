@@ -94,7 +94,8 @@ def mixed_rows(docs: DataFrame, **options: object) -> DataFrame:
     """``docs`` with each row as often as ``systematic_mix`` takes it; all columns stay.
 
     Rows find their copies by doc_id and source. Where several rows have both alike, their copies are summed and dealt
-    out again: row by row, the share of each, the remainder to the first.
+    out again: row by row, the share of each, the remainder to the first. A null text, whose size is 0, is taken as often as
+    its source's other documents; a null source or doc_id matches itself. No rows give no rows.
     """
     taken = systematic_mix(docs, **options).groupBy(F.col("doc_id").alias("mx_id"), F.col("source").alias("mx_from"))
     copies = taken.agg(F.sum("copies").alias("mx_copies"), F.count(F.lit(1)).alias("mx_rows")).where("mx_copies > 0")

@@ -161,7 +161,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """The model of a bounded sample of labelled rows; reruns give the same one."""
+    """The model of a bounded sample of labelled rows; reruns give the same one.
+
+    Of rows with one doc_id one counts; without rows or labels of both classes the score is the same for every text.
+    """
     sample = labelled_sample(docs, labels, max_rows).toArrow()
     order = np.lexsort((sample["label"].to_numpy(), sample["order"].to_numpy())) if len(sample) else np.empty(0, int)
     lists = sample["columns"].combine_chunks()
@@ -173,10 +176,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """All columns of ``docs``, with ``qc_score`` (0 to 1) and ``qc_predicted`` of each whole text.
+    """All columns of ``docs``, with ``qc_score`` (0 to 1) and ``qc_predicted`` of each whole text; columns of these two names are replaced.
 
     One pass without a shuffle; the weights have a fixed size. Only the text is read for a score; a
-    null text scores as an empty one. Rows count one by one and keep all their columns.
+    null text scores as an empty one. Rows count one by one; no rows give no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

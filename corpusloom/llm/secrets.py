@@ -64,9 +64,9 @@ def link_credentials(docs: DataFrame, scope: int = 400) -> DataFrame:
 
     ``base`` holds (start, kind, end) of assignments, access keys and hex runs. Weak parts are
     identifiers, secrets and endpoints; ``linked`` holds each weak part that has a part of
-    another role within ``scope`` code points in its own paragraph (lines up to an empty one count
-    as one; here, the scope interval): a weak secret needs an identifier (weak, or an access key) or
-    an endpoint, a weak identifier or endpoint needs a secret (weak, an assignment or a hex run).
+    another role within its scope, the ``scope`` code points before and after it: a weak secret needs an
+    identifier (weak, or an access key) or an endpoint, a weak identifier or endpoint needs a
+    secret (weak, an assignment or a hex run). Parts that overlap do not give evidence for each other.
 
     The scopes are joined as intervals: each part opens an interval around itself, both sides are
     cut to all bins of the scope's length that they touch, and a semi join by document and bin keeps a part once

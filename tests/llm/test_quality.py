@@ -64,3 +64,30 @@ def test_odd_labels(spark, odd_docs, no_docs, which):
     scored = quality.score(odd_docs, model).collect()
     assert len(scored) == 10 and all(0 <= r["qc_score"] <= 1 for r in scored)
     assert quality.score(no_docs, quality.train(no_docs, labels)).count() == 0
+
+
+def test_dual_and_primal_values_meet():
+    """The solver against the definition: at the optimum of a convex problem the dual value equals the primal one."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 60, 12) + 25 * y).astype(np.int32) for y in rng.integers(0, 2, 80)]
+    labels = np.array([float(r.max() > 62) for r in rows])
+    ratios = quality.log_count_ratios(rows, labels)
+    scaled, bias = quality.dual_coordinate_descent(rows, labels, ratios, epochs=4000)
+    x = np.zeros((len(rows), 86))
+    for k, r in enumerate(rows):
+        x[k, r] = ratios[r] / len(r) ** 0.5
+    x = np.hstack([x, np.ones((len(rows), 1))])
+    y, share = np.where(labels > 0, 1.0, -1.0), np.array([(labels == 0).mean(), (labels == 1).mean()])
+    costs = 0.5 / share[labels.astype(int)]
+
+    def value(w):
+        return 0.5 * w @ w + (costs * np.maximum(0, 1 - y * (x @ w))).sum()
+
+    own = np.append(np.divide(scaled[:86], ratios[:86], out=np.zeros(86), where=ratios[:86] != 0), bias)
+    # A plain subgradient descent from zero, and the best value it meets, as a second solver.
+    w, best = np.zeros(87), np.inf
+    for t in range(1, 20_001):
+        broken = y * (x @ w) < 1
+        w = w - (w - x.T @ (costs * y * broken)) / t
+        best = min(best, value(w))
+    assert value(own) <= best * 1.002 and value(own) >= 0.98 * best
