@@ -63,3 +63,27 @@ def test_odd_rows(odd_docs, no_docs):
     got = sorted((str(r["doc_id"]), r["words"], r["removed"], r["text"]) for r in substrings.drop_repeated_passages(odd_docs).collect())
     assert got == sorted((str(i), *b) for (i, _), b in zip(rows, brute(rows), strict=True))
     assert substrings.drop_repeated_passages(no_docs).count() == 0
+
+
+def test_factors_follow_one_text_of_the_source():
+    at, source = substrings.np.array([5, 0, 9, 30, 31]), substrings.np.array([1, 1, 1, 1, 2])
+    place = substrings.np.array([105, 100, 109, 130, 7])
+    assert substrings.factors(at, source, place, 13) == [(0, 22, 1), (30, 13, 1), (31, 13, 2)]
+    assert substrings.factors(at[:3], source[:3], substrings.np.array([105, 100, 110]), 13) == [(0, 18, 1), (9, 13, 1)]
+
+
+def test_factors_decide_and_spare_the_index(spark):
+    """Of a long copy only its boundary is looked up; the rest comes from the factor."""
+    words = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "x " + " ".join(words[50:350]) + " y")], "doc_id long, text string")
+    rows = docs.select("doc_id", "text")
+    held = []
+    real = substrings.looked_up
+    try:
+        substrings.looked_up = lambda asked: held.append(asked.where("length > 0").groupBy("doc").count().collect()) or real(asked)
+        got = {r["doc_id"]: r for r in substrings.drop_repeated_passages(rows).collect()}
+    finally:
+        substrings.looked_up = real
+    assert got[2]["text"] == "x y" and [tuple(s) for s in got[2]["spans"]] == [(1, 300, 1)]
+    seeds, rest = ({r["doc"]: r["count"] for r in h} for h in held)
+    assert 0 < seeds[2] < 120 and rest[2] < 30 < 280 < rest[1]
