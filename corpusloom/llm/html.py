@@ -153,9 +153,9 @@ def features(blocks: list[Block]) -> list[tuple[int, ...]]:
     for b in blocks:
         words = b.text.split(" ")
         n, length = len(words), len(b.text)
-        own = [f"words {min(n.bit_length(), 7)}", f"links {min(3, int(4 * b.linked / length))}", f"stop {b.text[-1] in '.!?…:;'}", f"digits {any(c.isdigit() for c in b.text[:80])}"]
+        own = [f"words {min(n.bit_length(), 7)}", f"links {min(3, int(4 * b.linked / length))}", f"stop {b.text[-1] in '.!?…:;'}", f"digits {any(c.isdigit() for c in b.text)}"]
         own.append(f"commas {min(2, b.text.count(','))}")
-        own += [f"sign {c}" for c in "©»→✕" if c in b.text[:200]]
+        own += [f"sign {c}" for c in "©»→✕" if c in b.text]
         if n <= 12:
             own += [f"word {w}" for w in _WORDS.findall(b.text.lower())]
         out.append(tuple({*_path_columns(b.path), *map(_column, own)}))
