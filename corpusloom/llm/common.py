@@ -176,6 +176,7 @@ def bitmap_of(values: DataFrame) -> np.ndarray:
     sent = kept.mapInArrow(place, "segment int, low int").repartition("segment").mapInArrow(fill, "segment int, bits binary")
     for row in sent.toLocalIterator():
         out[row["segment"] * part : (row["segment"] + 1) * part] |= np.frombuffer(row["bits"], dtype=np.uint8)
+    unstage(kept)
     return out
 
 

@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, broadcast_if_small, distinct, marked, mix, row_key, shingle_hashes, stage, word_hashes
+from .common import bitmap_of, broadcast_if_small, distinct, marked, mix, row_key, shingle_hashes, stage, unstage, word_hashes
 
 #: Minimum hashes that propose groups.
 HASHES = 6
 #: A token that so many of the sets have that share a minimum hash with another stands at the end of the token order.
 COMMON = 8
+#: Members from which on a group's rows are not shuffled to one place.
+HOT = 1000
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
@@ -75,7 +77,7 @@ def ends(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, nodes: DataFrame, n: int, short: bool) -> DataFrame:
-    """``node, tokens`` of the sets of ``nodes`` (node, row), packed; ``short``: the tokens' lower 32 bits.
+    """``node, tokens`` of the sets of ``nodes`` (node, row; staged, and deleted here), packed; ``short``: the tokens' lower 32 bits.
 
     Only the rows that stand for a node are read in Python.
     """
@@ -88,7 +90,9 @@ def set_table(docs: DataFrame, nodes: DataFrame, n: int, short: bool) -> DataFra
 
     few = broadcast_if_small(nodes.withColumnRenamed("row", "of_row"), nodes.count(), 1_000_000)
     rows = docs.select(row_key(docs).alias("row"), F.col("text").cast("string").alias("text"))
-    return stage(rows.join(few, F.col("row") == F.col("of_row")).select("node", "text").mapInArrow(run, "node long, tokens binary"))
+    out = stage(rows.join(few, F.col("row") == F.col("of_row")).select("node", "text").mapInArrow(run, "node long, tokens binary"))
+    unstage(nodes)
+    return out
 
 
 def compared(pairs: DataFrame, sets: DataFrame, kind: type, percent: int) -> DataFrame:
@@ -109,7 +113,10 @@ def compared(pairs: DataFrame, sets: DataFrame, kind: type, percent: int) -> Dat
 def linked_pairs(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int, short: DataFrame | None = None) -> DataFrame:
     """The pairs ``a, b`` whose sets link: those that their ``short`` sets do not rule out, by whole sets."""
     left = pairs if short is None else compared(pairs, short, np.uint32, percent)
-    return compared(left, set_table(docs, ends(left, nodes), n, False), np.uint64, percent)
+    whole = set_table(docs, ends(left, nodes), n, False)
+    out = compared(left, whole, np.uint64, percent)
+    unstage(whole, left)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -124,24 +131,34 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("group").alias("m"))
         hooked = stage(labels.join(near, labels["node"] == near["a"]).select("node", F.least("group", "m").alias("group"), F.col("group").alias("old")))
         up = hooked.select(F.col("node").alias("up"), F.col("group").alias("top"))
-        labels = stage(hooked.join(up, hooked["group"] == up["up"]).select("node", F.least("group", "top").alias("group"), "old"))
-        if not labels.agg(F.count_if(F.col("group") != F.col("old"))).first()[0]:
-            return labels.select("node", "group")
-        labels = labels.select("node", "group")
+        before, moved = labels, stage(hooked.join(up, hooked["group"] == up["up"]).select("node", F.least("group", "top").alias("group"), "old"))
+        labels = moved.select("node", "group")
+        labels._stage_path = moved._stage_path
+        unstage(before, hooked)
+        if not moved.agg(F.count_if(F.col("group") != F.col("old"))).first()[0]:
+            unstage(both)
+            return labels
 
 
 def proposed(nodes: DataFrame, *first: str) -> DataFrame:
     """Pairs (a, b) of each node with the leader of each group of nodes that share a minimum hash.
 
     A group's leader has the least ``first`` columns, and the least of a hash that each minimum hash has of its own. It is one
-    aggregate, and its pairs are as many as its members.
+    aggregate, and its pairs are as many as its members. Members of groups over HOT, which are few, meet their leader
+    where they are, those of the others by a shuffle.
     """
     keyed = nodes.select("node", *first, F.posexplode("keys").alias("k", "key"))
     order = F.struct(*first, F.xxhash64("node", "k").alias("h"), "node")
     leaders = keyed.groupBy("k", "key").agg(F.min(order).alias("m"), F.count(F.lit(1)).alias("c"))
-    led = leaders.where("c > 1").select("k", "key", F.col("m.node").alias("leader"))
-    pairs = keyed.join(led, ["k", "key"]).where("node <> leader")
-    return stage(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+    led = stage(leaders.where("c > 1").select("k", "key", F.col("m.node").alias("leader"), (F.col("c") > HOT).alias("hot")))
+    hot, cold = (led.where(w).drop("hot") for w in ("hot", "NOT hot"))
+    large = broadcast_if_small(hot.withColumnRenamed("leader", "large"), hot.count())
+    found = keyed.select("node", "k", "key").join(large, ["k", "key"], "left")
+    small = found.where("large IS NULL").join(cold, ["k", "key"]).select("node", "leader")
+    pairs = found.where("large IS NOT NULL").select("node", F.col("large").alias("leader")).unionByName(small).where("node <> leader")
+    out = stage(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+    unstage(led)
+    return out
 
 
 def apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -236,7 +253,9 @@ def open_groups(docs: DataFrame, groups: DataFrame, flags, n: int, percent: int)
     opened = asked.join(union, "token").where((F.col("q_group") != F.col("group")) & open_to).select("token", "q", "q_size", "q_at", "group")
     near = enough(F.col("q_size") - F.col("q_at"), F.col("size") - F.col("at"), F.col("size")) & (F.col("size") <= F.col("q_size"))
     pairs = opened.join(held.where("inner").select("token", "group", "node", "size", "at"), ["token", "group"]).where(near)
-    return stage(pairs.select(F.least("q", "node").alias("a"), F.greatest("q", "node").alias("b")).distinct())
+    out = stage(pairs.select(F.least("q", "node").alias("a"), F.greatest("q", "node").alias("b")).distinct())
+    unstage(listed, across, held)
+    return out
 
 
 def grouped_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -247,15 +266,19 @@ def grouped_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     pairs = proposed(nodes)
     short = set_table(rows, ends(pairs, nodes), n, True)
     edges = linked_pairs(pairs, nodes, rows, n, percent, short)
+    unstage(pairs)
     groups = components(edges)
     # Of many edited copies of one text, those with the fewest tokens of their own link with the most others.
     flags = docs.sparkSession.sparkContext.broadcast(bitmap_of(common_tokens(short)))
     central = proposed(nodes.join(rare_tokens(short, flags), "node"), "rare")
-    edges = edges.union(linked_pairs(apart(central, groups), nodes, rows, n, percent, short))
+    asked = apart(central, groups)
+    edges = edges.union(linked_pairs(asked, nodes, rows, n, percent, short))
+    unstage(central, asked, short, groups)
     groups = components(edges)
     candidates = open_groups(rows, groups, flags, n, percent)
     if not candidates.isEmpty():
         edges = edges.union(linked_pairs(candidates, nodes, rows, n, percent))
+        unstage(groups)
         groups = components(edges)
     numbered = nodes.join(groups, "node", "left").select("node", "least", F.coalesce("group", "node").alias("group"))
     least = numbered.groupBy("group").agg(F.min("least").alias("component_id"))
