@@ -52,6 +52,41 @@ def context(tokens: DataFrame, width: int = 2, value: str = "form") -> DataFrame
     return tokens
 
 
+def context_of(sentences: DataFrame, width: int = 2) -> DataFrame:
+    """``doc_id, sid, tid, form`` and the neighbours p, pp, n, nn as ``context`` gives them, from nested sentences: shifted copies of the array, no shuffle."""
+    begin, end = (F.array_repeat(F.lit(m), width) for m in ("*SB*", "*SE*"))
+    n = F.size("forms")
+    columns = [F.col("forms").alias("form")]
+    for k in range(1, width + 1):
+        columns += [F.slice(F.concat(begin, "forms"), F.lit(width - k + 1), n).alias("p" * k), F.slice(F.concat("forms", end), F.lit(k + 1), n).alias("n" * k)]
+    zipped = sentences.select("doc_id", "sid", F.arrays_zip(*columns).alias("z"))
+    return zipped.select("doc_id", "sid", F.posexplode("z").alias("tid", "z")).select("doc_id", "sid", "tid", "z.*")
+
+
+def even_samples(rows: DataFrame, order: str, most: int = 50) -> DataFrame:
+    """At most ``most`` rows at even distances by the row number column ``order`` (from 0): numbers i * rows / most, rounded down."""
+    n = rows.agg(F.count(F.lit(1)).alias("n_all")).withColumn("n_kept", F.least("n_all", F.lit(most)))
+    i = F.ceil(F.col(order) * F.col("n_kept") / F.col("n_all"))
+    chosen = (i < F.col("n_kept")) & (F.expr(f"ceil({order} * n_kept / n_all) * n_all div n_kept") == F.col(order))
+    return rows.crossJoin(F.broadcast(n)).where(chosen).drop("n_all", "n_kept")
+
+
+def with_range(positions: Column, first: Column, last: Column, value: bool = True) -> Column:
+    """A sorted set of positions with all of a range (both ends inclusive) set, or cleared."""
+    span = F.sequence(first, last)
+    return F.array_sort(F.array_union(positions, span) if value else F.array_except(positions, span))
+
+
+def next_set(positions: Column, at: Column) -> Column:
+    """The least position from ``at`` on that is set; null without one."""
+    return F.array_min(F.filter(positions, lambda p: p >= at))
+
+
+def same_sequences(rows: DataFrame, examples: DataFrame, key: str) -> DataFrame:
+    """Rows whose sequence, one string in ``key``, is one of the examples'."""
+    return rows.join(examples.select(key).distinct(), key, "left_semi")
+
+
 def kwic(sentences: DataFrame, hit: Column, left: int = 3, right: int = 7) -> DataFrame:
     """``doc_id, sid, tid, left, key, right``: each token for which ``hit`` (of the column ``form``) holds, in its context.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +52,31 @@ def invalid_tags(entries: DataFrame, tagset: DataFrame) -> DataFrame:
 def best_tags(tags: DataFrame, tagset: DataFrame) -> DataFrame:
     """``msd, best``: for each distinct tag the tag of the set that fits best, ties by name.
 
-    Only tags with the same first place are compared: one that differs there scores less than any that does not.
+    Tags with the same first place are compared, since one that differs there scores less than any that does not; a tag
+    whose first place no tag of the set has is compared with them all. Both sides are distinct tags.
     """
-    asked = tags.select("msd").distinct().withColumn("head", F.left("msd", F.lit(1)))
-    known = tagset.select(F.col("msd").alias("tag")).distinct().withColumn("head", F.left("tag", F.lit(1)))
-    scored = asked.join(known, "head").withColumn("score", T.tag_score(F.col("msd"), F.col("tag")))
-    return scored.groupBy("msd").agg(F.min(F.struct((-F.col("score")).alias("order"), "tag")).alias("m")).select("msd", F.col("m.tag").alias("best"))
+    head = lambda t: F.left(T.comparable_tag(F.col(t)), F.lit(1))
+    asked = tags.select("msd").distinct().withColumn("head", head("msd"))
+    known = tagset.select(F.col("msd").alias("tag")).distinct().withColumn("head", head("tag"))
+    score = T.tag_score(F.col("msd"), F.col("tag")).alias("score")
+    alike = asked.join(known, "head").select("msd", "tag", score)
+    alone = asked.join(known, "head", "left_anti").crossJoin(F.broadcast(known.select("tag"))).select("msd", "tag", score)
+    scored = alike.unionByName(alone).groupBy("msd").agg(F.min(F.struct((-F.col("score")).alias("order"), "tag")).alias("m"))
+    return scored.select("msd", F.col("m.tag").alias("best"))
+
+
+def corrected_tags(rows: DataFrame, lexicon: DataFrame, tagset: DataFrame) -> DataFrame:
+    """``word, msd, corrected`` of each distinct ``word, msd``: the word's own tag that equals it but for case; else M for digits; else
+    the best of the word's tags, or for an unknown word of the whole set."""
+    asked = rows.select("word", "msd").distinct().withColumn("word_key", T.canonical_word(F.col("word")))
+    held = lexicon.select("word_key", F.col("msd").alias("tag")).distinct()
+    own = asked.join(held, "word_key").withColumn("score", T.tag_score(F.col("msd"), F.col("tag")))
+    same = F.min(F.when(F.lower("tag") == F.lower("msd"), F.col("tag"))).alias("same")
+    chosen = own.groupBy("word", "msd").agg(same, F.min(F.struct((-F.col("score")).alias("order"), "tag")).alias("m"))
+    open_tags = best_tags(asked.join(held, "word_key", "left_anti"), tagset)
+    found = asked.join(chosen, ["word", "msd"], "left").join(open_tags, "msd", "left")
+    digits = F.when(F.col("word_key").rlike(r"\A[0-9]+\z"), "M")
+    return found.select("word", "msd", F.coalesce("same", digits, F.col("m.tag"), "best").alias("corrected"))
 
 
 def negated_verbs(entries: DataFrame, prefix: str = "ne") -> DataFrame:
@@ -65,13 +86,89 @@ def negated_verbs(entries: DataFrame, prefix: str = "ne") -> DataFrame:
     return asked.join(positive, ["rest", "head"]).drop("rest", "head")
 
 
-def longest_units(tokens: DataFrame, units: DataFrame, longest: int) -> DataFrame:
-    """``doc_id, sid, tid, unit, n``: the longest multiword unit that starts at each token.
+def longest_units(tokens: DataFrame, units: tuple[str, ...]) -> DataFrame:
+    """``doc_id, sid, tid, unit, n``: multiword units, from the left the longest at each place, going on after it.
 
-    ``tokens`` is nested (``forms``). Runs of 2 to ``longest`` tokens are joined to the units by their text.
+    ``tokens`` is nested (``forms``), ``units`` a bounded list of keys of two or more tokens with a blank between. Each
+    sentence is searched once, in its own row, by one expression of all units, the longest first.
     """
-    opened = tokens.select("doc_id", "sid", "forms", F.explode(F.sequence(F.lit(0), F.size("forms") - 2)).alias("tid")).where("tid >= 0 AND size(forms) >= 2")
-    lengths = F.explode(F.sequence(F.lit(2), F.least(F.lit(longest), F.size("forms") - F.col("tid")))).alias("n")
-    runs = opened.select("doc_id", "sid", "tid", "forms", lengths)
-    runs = runs.select("doc_id", "sid", "tid", "n", F.lower(F.array_join(F.slice("forms", F.col("tid") + 1, F.col("n")), " ")).alias("unit"))
-    return runs.join(units.select("unit").distinct(), "unit").groupBy("doc_id", "sid", "tid").agg(F.max_by("unit", "n").alias("unit"), F.max("n").alias("n"))
+    longest = "|".join(re.escape(u) for u in sorted({u.lower() for u in units}, key=lambda u: (-u.count(" "), u)))
+    joined = tokens.select("doc_id", "sid", F.concat(F.lit(" "), F.lower(F.array_join("forms", " ")), F.lit(" ")).alias("line"))
+    parts = joined.select("doc_id", "sid", F.split(F.regexp_replace("line", f"(?<= )(?:{longest})(?= )", "\uf8ff$0\uf8ff"), "\uf8ff").alias("parts"))
+    opened = parts.where(F.size("parts") > 1).select("doc_id", "sid", "parts", F.posexplode("parts").alias("k", "unit")).where("k % 2 = 1")
+    # Each token before a unit ends with a blank; the line begins with one.
+    before = F.array_join(F.slice("parts", F.lit(1), F.col("k")), "")
+    tid = (F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit(""))) - 1).alias("tid")
+    return opened.select("doc_id", "sid", tid, "unit", (F.length("unit") - F.length(F.replace("unit", F.lit(" "), F.lit(""))) + 1).alias("n"))
+
+
+ENTRY = ["word", "msd", "lemma"]
+
+
+def contained(entries: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Entries that the dictionary has, by word, tag and lemma."""
+    return entries.join(dictionary.select(ENTRY).distinct(), ENTRY, "left_semi")
+
+
+def missing(entries: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Distinct entries whose tag and cleaned lemma the dictionary does not have."""
+    key = lambda: F.lower(T.corrected_diacritics(F.col("lemma")))
+    known = dictionary.select("msd", key().alias("lemma_key")).distinct()
+    return entries.withColumn("lemma_key", key()).join(known, ["msd", "lemma_key"], "left_anti").drop("lemma_key").distinct()
+
+
+def removed(lexicon: DataFrame, entries: DataFrame) -> DataFrame:
+    """A lexicon (``with_stripped``) without the given entries and their twins."""
+    own = entries.select(T.canonical_word(F.col("word")).alias("word_key"), "msd", "lemma")
+    twins = own.withColumn("word_key", T.stripped_diacritics(F.col("word_key")))
+    gone = own.withColumn("is_stripped", F.lit(False)).unionByName(twins.withColumn("is_stripped", F.lit(True))).distinct()
+    return lexicon.join(gone, ["word_key", "msd", "lemma", "is_stripped"], "left_anti")
+
+
+def by_lemma(entries: DataFrame) -> DataFrame:
+    """``lemma, forms``: the distinct forms and tags of each lemma, in order."""
+    return entries.groupBy("lemma").agg(F.array_sort(F.collect_set(F.struct("word", "msd"))).alias("forms"))
+
+
+def value_lists(entries: DataFrame) -> DataFrame:
+    """``list, value``: the distinct tags, lemmas, extras and abbreviations (words tagged Y)."""
+    each = F.array(
+        F.struct(F.lit("msd").alias("list"), F.col("msd").alias("value")), F.struct(F.lit("lemma").alias("list"), F.col("lemma").alias("value")),
+        F.struct(F.lit("extra").alias("list"), F.col("extra").alias("value")), F.struct(F.lit("abbreviation").alias("list"), F.when(F.col("msd").startswith("Y"), F.col("word")).alias("value")),
+    )
+    return entries.select(F.explode(each).alias("e")).select("e.*").where("value IS NOT NULL").distinct()
+
+
+def sure_heads(entries: DataFrame) -> DataFrame:
+    """``word, head``: the first two places of a word's tag where all its entries agree on them."""
+    heads = entries.groupBy("word").agg(F.min(F.left("msd", F.lit(2))).alias("head"), F.max(F.left("msd", F.lit(2))).alias("other"))
+    return heads.where("head = other").select("word", "head")
+
+
+def abbreviated(tokens: DataFrame, abbreviations: DataFrame) -> DataFrame:
+    """Tokens that are abbreviations (``word``), as they are or without a full stop at the end."""
+    known = abbreviations.select(T.canonical_word(F.col("word")).alias("key")).distinct()
+    keys = F.array_distinct(F.array(T.canonical_word(F.col("form")), T.canonical_word(F.regexp_replace("form", r"\.$", ""))))
+    return tokens.withColumn("key", F.explode(keys)).join(known, "key", "left_semi").drop("key").distinct()
+
+
+def lemma_priorities(frequencies: DataFrame) -> DataFrame:
+    """``lemma, freq``: the canonical lemma and a hundred times its frequency, cut to a whole number; of equal lemmas the highest."""
+    whole = (F.lit(100).cast("float") * F.col("frequency").cast("float")).cast("int")
+    return frequencies.groupBy(T.canonical_spelling(F.col("lemma")).alias("lemma")).agg(F.max(whole).alias("freq"))
+
+
+def enriched(entries: DataFrame) -> DataFrame:
+    """Entries and those that follow from them: participles and gerunds with -u, vocatives, and clitic forms of words with î."""
+    word, msd, other = F.col("word"), F.col("msd"), F.col("lemma") != F.col("word")
+    add = lambda w, m: F.struct(w.alias("word"), m.alias("msd"))
+    stem = F.when(word.endswith("ă") | word.endswith("ie"), F.left(word, F.length(word) - 1)).otherwise(word)
+    made = (
+        F.when(msd.isin("Vmp", "Vmg"), add(F.concat(word, F.lit("u")), msd)).when(msd == "Ncfsrn", add(F.concat(stem, F.lit("o")), F.lit("Ncfsvy")))
+        .when((msd == "Ncmsry") & other, add(F.concat(word, F.lit("e")), F.lit("Ncmsvy"))).when((msd == "Ncfpoy") & other, add(word, F.lit("Ncfpvy")))
+        .when((msd == "Ncmpoy") & other, add(word, F.lit("Ncmpvy")))
+    )
+    more = entries.withColumn("made", made).where("made IS NOT NULL").withColumn("word", F.col("made.word")).withColumn("msd", F.col("made.msd")).drop("made")
+    whole = entries.unionByName(more).distinct()
+    clitic = whole.where((F.length("word") > 2) & F.col("word").startswith("î")).withColumn("word", F.concat(F.lit("-"), F.expr("substr(word, 2)")))
+    return whole.unionByName(clitic).distinct()

@@ -73,9 +73,15 @@ def _matches(value: Column, part: str) -> Column:
     return value == part if pattern is None else value.rlike(pattern)
 
 
-def term_column(term: Term, features: Column) -> Column:
-    """A missing attribute fails a positive term and passes a negative one."""
-    if pattern_of(term.attribute) is None:
+def term_column(term: Term, features: Column | dict[str, Column]) -> Column:
+    """A missing attribute fails a positive term and passes a negative one; ``features`` is a map column or the attributes' own columns."""
+    if isinstance(features, dict):
+        name = pattern_of(term.attribute)
+        names = [k for k in features if (k == term.attribute if name is None else re.fullmatch(name[2:-2], k))]
+        found = F.lit(False)
+        for k in names:
+            found = found | F.coalesce(_matches(features[k], term.value), F.lit(False))
+    elif pattern_of(term.attribute) is None:
         found = _matches(F.try_element_at(features, F.lit(term.attribute)), term.value)
     else:
         found = F.exists(F.map_entries(features), lambda e: _matches(e["key"], term.attribute) & _matches(e["value"], term.value))
@@ -83,7 +89,7 @@ def term_column(term: Term, features: Column) -> Column:
     return found if term.positive else ~found
 
 
-def clause_column(clause: Clause, features: Column) -> Column:
+def clause_column(clause: Clause, features: Column | dict[str, Column]) -> Column:
     out = F.lit(True)
     for term in clause.terms:
         out = out & term_column(term, features)

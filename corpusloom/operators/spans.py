@@ -16,12 +16,22 @@ def covering(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     return tokens.join(opened, [*KEY, "tid"])
 
 
+def covered(matches: DataFrame, forms: str = "forms") -> DataFrame:
+    """``tid, form`` of each token that a match covers, from the sentence's own array kept beside the match: no join."""
+    inside = F.posexplode(F.slice(forms, F.col("start") + 1, F.col("len"))).alias("k", "form")
+    opened = matches.select(*(c for c in matches.columns if c != forms), inside)
+    return opened.withColumn("tid", F.col("start") + F.col("k")).drop("k")
+
+
 def crossing(spans: DataFrame) -> DataFrame:
-    """``doc_id, sid, a, b``: pairs of spans of a sentence that overlap without nesting, the earlier one first."""
-    a, b = spans.alias("a"), spans.alias("b")
-    match = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in KEY]
-    over = (F.col("a.start") < F.col("b.start")) & (F.col("a.end") >= F.col("b.start")) & (F.col("a.end") < F.col("b.end"))
-    return a.join(b, [*match, over]).select("a.doc_id", "a.sid", F.col("a.span_id").alias("a"), F.col("b.span_id").alias("b"))
+    """``doc_id, sid, a, b``: pairs of spans of a sentence that overlap without nesting, the earlier one first.
+
+    Each span is opened to the positions after its start, and spans that start there and end later cross it; so spans meet by
+    (sentence, position), not all spans of a sentence.
+    """
+    opened = spans.where("end > start").select(*KEY, F.col("span_id").alias("a"), F.col("end").alias("a_end"), F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("start"))
+    other = spans.select(*KEY, "start", F.col("span_id").alias("b"), F.col("end").alias("b_end"))
+    return opened.join(other, [*KEY, "start"]).where("a_end < b_end").select(*KEY, "a", "b")
 
 
 def crossing_degree(spans: DataFrame) -> DataFrame:
@@ -78,6 +88,11 @@ def mean_lengths(spans: DataFrame) -> DataFrame:
     return spans.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("end") - F.col("start") + 1).alias("mean_length"))
 
 
+def names_by_length(spans: DataFrame) -> DataFrame:
+    """``name, n, mean_length``, the shortest kind first."""
+    return mean_lengths(spans).orderBy("mean_length", "name")
+
+
 def merged(spans: DataFrame, more: DataFrame) -> DataFrame:
     return spans.unionByName(more, allowMissingColumns=True)
 

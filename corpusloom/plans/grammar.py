@@ -9,18 +9,22 @@ Grammars with recursion, wider loops or more conditions than symbols allow go th
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..operators.predicates import Clause, clause_column, parse_clauses, with_macros
 
 #: Symbols are characters of a private range, one for each truth vector of so many clauses.
 FIRST_SYMBOL, MOST_CLAUSES = 0xE000, 12
+#: Stands around matches; no symbol.
+MARK = "\uf8ff"
 EMPTY = ("<E>", "<<E>>")
 LOOK = {"?=": "(?=", "?!": "(?!", "?<=": "(?<=", "?<!": "(?<!"}
 
@@ -37,6 +41,10 @@ class InfiniteLoopError(GrammarError):
     """A loop consumes nothing."""
 
 
+class LeftRecursionError(GrammarError):
+    """A graph calls itself before it consumes a token."""
+
+
 class UnknownGraphError(GrammarError):
     """A call of a graph that does not exist."""
 
@@ -133,7 +141,7 @@ def clauses_of(grammar: Grammar) -> list[Clause]:
 
 
 def check(grammar: Grammar) -> None:
-    """Static checks: calls have a graph, no loop consumes nothing, the main graph consumes a token."""
+    """Static checks: calls have a graph, no loop consumes nothing, no graph calls itself at its start, the main graph consumes a token."""
     for graph in grammar.graphs.values():
         for node in graph.nodes.values():
             kind, code = _parts(grammar, node)
@@ -170,21 +178,56 @@ def check(grammar: Grammar) -> None:
                     if child not in seen and free(graph, child):
                         seen.add(child)
                         todo.append(child)
+    # The graphs that each graph calls before a token.
+    first: dict[str, set[str]] = {}
+    for name, graph in grammar.graphs.items():
+        called, seen, todo = set(), set(), [graph.start]
+        while todo:
+            number = todo.pop()
+            if number in seen:
+                continue
+            seen.add(number)
+            kind, code = _parts(grammar, graph.nodes[number])
+            if kind == "call" and number != graph.end:
+                called.add(code)
+            if free(graph, number):
+                todo += graph.nodes[number].children
+        first[name] = called
+    for name in first:
+        seen, todo = set(), list(first[name])
+        while todo:
+            called = todo.pop()
+            if called == name:
+                raise LeftRecursionError(name)
+            if called not in seen:
+                seen.add(called)
+                todo += first[called]
     if grammar.main in empty:
         raise EmptyMatchError(grammar.main)
 
 
-def symbols(sentences: DataFrame, clauses: list[Clause], tokens: str = "features") -> Column:
-    """A sentence's symbols: for each token (a feature map) the character of its truth vector."""
+def symbols(clauses: list[Clause], tokens: str = "features", of: Callable[[Column], dict[str, Column]] | None = None) -> Column:
+    """A sentence's symbols: for each token the character of its truth vector.
+
+    Tokens are feature maps, or any values from which ``of`` makes the attributes' columns; no map is built then.
+    """
     alphabet = F.lit("".join(chr(FIRST_SYMBOL + k) for k in range(1 << len(clauses))))
 
-    def symbol(token: Column) -> Column:
+    def symbol(token: Column | dict[str, Column]) -> Column:
         bits = F.lit(0)
         for k, clause in enumerate(clauses):
             bits = bits + F.when(clause_column(clause, token), 1 << k).otherwise(0)
         return F.substr(alphabet, bits + 1, F.lit(1))
 
-    return F.array_join(F.transform(tokens, symbol), "")
+    if of is None:
+        return F.array_join(F.transform(tokens, symbol), "")
+    named = {t.attribute for c in clauses for t in c.terms}
+    names = [n for n in of(F.lit("")) if n in named or any(a.startswith("/") for a in named)]
+    if not names:
+        return F.array_join(F.transform(tokens, lambda _: symbol({})), "")
+    # Each attribute is computed once a token, whatever the number of clauses.
+    opened = F.transform(tokens, lambda w: F.struct(*(of(w)[n].alias(n) for n in names)))
+    return F.array_join(F.transform(opened, lambda t: symbol({n: t[n] for n in names})), "")
 
 
 def _class(grammar: Grammar, code: str, clauses: list[Clause]) -> str:
@@ -240,82 +283,132 @@ def to_regex(grammar: Grammar, clauses: list[Clause], most: int = 200_000) -> st
 # --- matching --------------------------------------------------------------------------------
 
 
-def match(sentences: DataFrame, grammar: Grammar, features: str = "features", limit: int = 0, force_matcher: bool = False) -> DataFrame:
+def match(
+    sentences: DataFrame, grammar: Grammar, features: str = "features", limit: int = 0, force_matcher: bool = False,
+    of: Callable[[Column], dict[str, Column]] | None = None, keep: tuple[str, ...] = (), anchor: str | None = None,
+) -> DataFrame:
     """``doc_id, sid, start, len``: the leftmost non-overlapping matches of each sentence.
 
-    ``sentences`` holds one row a sentence with an array of feature maps, so there is no shuffle. ``limit`` bounds
-    the tokens of a match (0: none). A sentence without a match of the expression costs one search.
+    ``sentences`` holds one row a sentence with an array of feature maps (or of values that ``of`` makes attributes from), so there is no
+    shuffle. ``limit`` bounds the tokens of a match (0: none); ``keep`` names columns of the sentence that stay beside each match. With ``anchor``, a column
+    of token numbers, only the match that starts at that token is asked for. A start counts once whatever its paths; the symbols are computed once a sentence.
     """
     check(grammar)
     clauses = clauses_of(grammar)
     pattern = None if limit or force_matcher else to_regex(grammar, clauses)
     if pattern is None:
-        return _match_each(sentences, grammar, clauses, features, limit)
-    sym = sentences.select("doc_id", "sid", symbols(sentences, clauses, features).alias("sym")).where(F.col("sym").rlike(pattern))
-    return tiled(sym, pattern)
+        return _match_each(sentences, grammar, clauses, features, limit, of, keep, anchor)
+    sym = sentences.select("doc_id", "sid", *keep, *([F.col(anchor).alias("at_token")] if anchor else []), symbols(clauses, features, of).alias("sym"))
+    return tiled(sym, pattern, keep, "at_token" if anchor else None)
 
 
-def tiled(sym: DataFrame, pattern: str) -> DataFrame:
-    """Matches from ``doc_id, sid, sym``: the string is tiled by matches and single symbols; lengths before a tile add up to its start."""
-    tile = f"({pattern})|(?s:.)"
-    whole, hit = (F.regexp_extract_all("sym", F.lit(tile), F.lit(k)) for k in (0, 1))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,len:int>>").alias("out"))
+def tiled(sym: DataFrame, pattern: str, keep: tuple[str, ...] = (), anchor: str | None = None) -> DataFrame:
+    """Matches from ``doc_id, sid, sym``: one replacement marks them, every second part between marks is one, and the lengths before it add up to its start."""
+    if anchor:
+        # The tokens before the anchor are matched one by one, so that look-behinds still see them.
+        head = F.get(F.regexp_extract_all("sym", F.concat(F.lit("\\A(?s:.{"), F.col(anchor), F.lit("})((?:" + pattern + "))")), F.lit(1)), F.lit(0))
+        found = sym.where(F.col(anchor) < F.length("sym")).select("doc_id", "sid", *keep, F.col(anchor).cast("int").alias("start"), F.length(head).alias("len"))
+        return found.where("len > 0")
+    parts = F.split(F.regexp_replace("sym", f"(?:{pattern})", f"{MARK}$0{MARK}"), MARK)
+    state = F.struct(F.lit(0).alias("k"), F.lit(0).alias("at"), F.array().cast("array<struct<start:int,len:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        found = F.array_append(acc["out"], F.struct(acc["at"].alias("start"), x["len"].alias("len")))
-        return F.struct((acc["at"] + x["width"]).alias("at"), F.when(x["len"] > 0, found).otherwise(acc["out"]).alias("out"))
+        found = F.array_append(acc["out"], F.struct(acc["at"].alias("start"), F.length(x).alias("len")))
+        return F.struct((acc["k"] + 1).alias("k"), (acc["at"] + F.length(x)).alias("at"), F.when(acc["k"] % 2 == 1, found).otherwise(acc["out"]).alias("out"))
 
-    sizes = F.arrays_zip(F.transform(whole, F.length).alias("width"), F.transform(hit, F.length).alias("len"))
-    found = F.aggregate(sizes, state, step)["out"]
-    return sym.select("doc_id", "sid", F.explode(found).alias("m")).select("doc_id", "sid", "m.start", "m.len")
+    cut = sym.select("doc_id", "sid", *keep, parts.alias("parts"))
+    found = cut.select("doc_id", "sid", *keep, F.explode(F.aggregate("parts", state, step)["out"]).alias("m"))
+    return found.select("doc_id", "sid", *keep, "m.start", "m.len")
 
 
-def _match_each(sentences: DataFrame, grammar: Grammar, clauses: list[Clause], features: str, limit: int) -> DataFrame:
-    truth = F.transform(features, lambda t: F.array(*(clause_column(c, t) for c in clauses)))
-    vectors = sentences.select("doc_id", "sid", truth.alias("truth"))
+def _match_each(sentences: DataFrame, grammar: Grammar, clauses: list[Clause], features: str, limit: int, of, keep: tuple[str, ...], anchor: str | None) -> DataFrame:
+    """The matcher for what is no regular expression: backtracking over an explicit stack, a sentence at a time."""
+    names = None if of is None else list(of(F.lit("")))
+    opened = F.col(features) if of is None else F.transform(features, lambda w: F.struct(*(of(w)[n].alias(n) for n in names)))
+    truth = F.transform(opened, lambda t: F.array(*(clause_column(c, t if of is None else {n: t[n] for n in names}) for c in clauses)))
+    vectors = sentences.select("doc_id", "sid", *keep, truth.alias("truth"), (F.col(anchor) if anchor else F.lit(None)).cast("int").alias("at_token"))
     plan = {name: (g.start, g.end, {k: (*_parts(grammar, n), tuple(n.children)) for k, n in g.nodes.items()}) for name, g in grammar.graphs.items()}
     bits = {code: [clauses.index(c) for c in parse_clauses(code)] for _, _, nodes in plan.values() for kind, code, _ in nodes.values() if kind == "token" or kind in LOOK}
 
-    def ends(truth: list, name: str, at: int, most: int) -> Iterator[int]:
-        """Where paths of a graph end, in the order of priority."""
-        start, end, nodes = plan[name]
-        holds = lambda code, k: 0 <= k < len(truth) and any(truth[k][b] for b in bits[code])
+    def first_end(truth: list, at: int, most: int) -> int:
+        """Where the first path in the order of priority ends that consumes a token; ``at`` without one.
 
-        def walk(number: int, k: int) -> Iterator[int]:
-            if number == end:
-                yield k
-                return
+        The stack holds what is still to be tried: a graph, a node, a position, and the calls to return to as linked pairs.
+        """
+        holds = lambda code, k: 0 <= k < len(truth) and any(truth[k][b] for b in bits[code])
+        main = grammar.main
+        todo = [(main, plan[main][0], at, None)]
+        while todo:
+            name, number, k, calls = todo.pop()
+            _, end, nodes = plan[name]
             kind, code, children = nodes[number]
-            if kind == "call":
-                after: Iterator[int] = ends(truth, code, k, most)
-            elif kind in LOOK:
-                after = iter([k] if holds(code, k - 1 if "<" in kind else k) == ("!" not in kind) else [])
-            elif kind == "empty":
-                after = iter([k])
-            else:
-                after = iter([k + 1] if k < most and holds(code, k) else [])
-            for n in after:
-                for child in children:
-                    yield from walk(child, n)
-
-        yield from walk(start, at)
+            if number != end:
+                if kind == "call":
+                    todo.append((code, plan[code][0], k, (name, children, calls)))
+                    continue
+                if kind in LOOK:
+                    if holds(code, k - 1 if "<" in kind else k) != ("!" not in kind):
+                        continue
+                elif kind != "empty":
+                    if k >= most or not holds(code, k):
+                        continue
+                    k += 1
+                if children:
+                    todo += [(name, c, k, calls) for c in reversed(children)]
+                    continue
+            # The end, or a node that leads nowhere, which accepts in the main graph.
+            if calls is not None:
+                if number == end:
+                    back, after, calls = calls
+                    todo += [(back, c, k, calls) for c in reversed(after)]
+            elif k > at:
+                return k
+        return at
+
+    kept = [sentences.schema[c] for c in keep]
+    schema = StructType([StructField("doc_id", LongType()), StructField("sid", LongType()), *kept, StructField("start", IntegerType()), StructField("len", IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, sid, truth in zip(batch["doc_id"], batch["sid"], batch["truth"], strict=True):
-                at = 0
-                while at < len(truth):
-                    stop = next((e for e in ends(truth, grammar.main, at, at + limit if limit else len(truth)) if e > at), at)
+            for doc, sid, *own, truth, token in batch.itertuples(index=False, name=None):
+                anchored = token is not None and token == token
+                at, past = (int(token), int(token) + 1) if anchored else (0, len(truth))
+                while at < min(past, len(truth)):
+                    stop = first_end(truth, at, at + limit if limit else len(truth))
                     if stop > at:
-                        rows.append((doc, sid, at, stop - at))
+                        rows.append((doc, sid, *own, at, stop - at))
                     at = max(stop, at + 1)
-            yield pd.DataFrame(rows, columns=["doc_id", "sid", "start", "len"])
+            yield pd.DataFrame(rows, columns=["doc_id", "sid", *keep, "start", "len"])
+
+    return vectors.mapInPandas(run, schema)
+
+
+#: An opening ``<Name +key="value" ...``, more ``+key="value"``, and the closing ``>`` of a span (output codes).
+_OUTPUT = re.compile(r'^<(\w+)((?:\s*\+\w+="[^"]*")*)\s*>$')
+
+
+def annotated(matches: DataFrame, code: str) -> DataFrame:
+    """``doc_id, sid, span_id, name, start, end, features``: matches as spans, by output code ``<Name +key="value">``.
+
+    Other columns of ``matches`` can be named in a value as ``$column$``.
+    """
+    found = _OUTPUT.match(code.strip())
+    if not found:
+        raise GrammarError(f"bad output code: {code!r}")
+    pairs = re.findall(r'\+(\w+)="([^"]*)"', found[2])
+
+    def value(text: str) -> Column:
+        parts = re.split(r"\$(\w+)\$", text)
+        return F.concat(*(F.col(p).cast("string") if k % 2 else F.lit(p) for k, p in enumerate(parts)))
 
-    return vectors.mapInPandas(run, "doc_id long, sid long, start int, len int")
+    entries = [c for k, v in pairs for c in (F.lit(k), value(v))]
+    features = F.create_map(*entries) if entries else F.lit(None).cast("map<string,string>")
+    return spans_from(matches, found[1], features)
 
 
-def spans_from(matches: DataFrame, name: str) -> DataFrame:
+def spans_from(matches: DataFrame, name: str, features: Column | None = None) -> DataFrame:
     """Matches as span annotations."""
     number = F.xxhash64("doc_id", "sid", "start", "len")
-    return matches.select("doc_id", "sid", number.alias("span_id"), F.lit(name).alias("name"), "start", (F.col("start") + F.col("len") - 1).alias("end"))
+    more = [] if features is None else [features.alias("features")]
+    return matches.select("doc_id", "sid", number.alias("span_id"), F.lit(name).alias("name"), "start", (F.col("start") + F.col("len") - 1).alias("end"), *more)

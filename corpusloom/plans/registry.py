@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -43,13 +43,22 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.tokens_of(_sentences(spark, sf_dir))
 
 
+def _attributes(w: Column) -> dict[str, Column]:
+    """A token's attributes: the form, its kind, and its last two letters."""
+    kind = F.when(w.rlike(r"\A\p{Lu}"), "cap").when(w.rlike(r"\A\p{Ll}"), "low").when(w.rlike(r"\A\p{N}"), "num").otherwise("sign")
+    return {"WORD": w, "kind": kind, "end": F.right(w, F.lit(2))}
+
+
 def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences whose tokens are feature maps: the form, its kind, and its last two letters."""
-    kind = lambda w: F.when(w.rlike(r"\A\p{Lu}"), "cap").when(w.rlike(r"\A\p{Ll}"), "low").when(w.rlike(r"\A\p{N}"), "num").otherwise("sign")
-    features = F.transform("forms", lambda w: F.create_map(F.lit("WORD"), w, F.lit("kind"), kind(w), F.lit("end"), F.right(w, F.lit(2))))
+    """Sentences whose tokens are feature maps."""
+    features = F.transform("forms", lambda w: F.create_map(*(c for k, v in _attributes(w).items() for c in (F.lit(k), v))))
     return _nested(spark, sf_dir).select("doc_id", "sid", features.alias("features"))
 
 
+def _matched(spark: SparkSession, sf_dir: str, wanted: grammar.Grammar, **options: object) -> DataFrame:
+    return grammar.match(_nested(spark, sf_dir), wanted, "forms", of=_attributes, **options)
+
+
 #: A capitalised word, then lower-case words, up to a sign: greedy, with an alternative of two numbers.
 PHRASE = grammar.Grammar({"Main": grammar.Graph({
     0: grammar.Node("<E>", [1, 4]), 1: grammar.Node("<+kind=cap>", [2, 3]), 2: grammar.Node("<+kind=low>", [2, 3]), 3: grammar.Node("<+kind=sign>", [6]),
@@ -58,11 +67,23 @@ PHRASE = grammar.Grammar({"Main": grammar.Graph({
 
 
 def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grammar.spans_from(grammar.match(_featured(spark, sf_dir), PHRASE), "PHRASE").drop("span_id")
+    return grammar.spans_from(_matched(spark, sf_dir, PHRASE), "PHRASE").drop("span_id")
 
 
 def grammar_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grammar.match(_featured(spark, sf_dir), PHRASE)
+    return _matched(spark, sf_dir, PHRASE)
+
+
+def annotated_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches written out as spans with features, one of them from the match."""
+    found = grammar.annotated(_matched(spark, sf_dir, PHRASE), '<PHRASE +type="np" +size="n$len$">')
+    return found.select("doc_id", "sid", "name", "start", "end", F.col("features")["type"].alias("type"), F.col("features")["size"].alias("size"))
+
+
+def anchored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The match that starts at the second token of each sentence."""
+    sentences = _nested(spark, sf_dir).withColumn("second", F.lit(1))
+    return grammar.match(sentences, PHRASE, "forms", of=_attributes, anchor="second")
 
 
 PHRASE_SQL = TOK_SQL + r""", sym AS (
@@ -77,8 +98,8 @@ PHRASE_SQL = TOK_SQL + r""", sym AS (
 
 
 def look_ahead_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A lower-case word with a capitalised one right after it, which is not part of the match."""
-    return grammar.match(_featured(spark, sf_dir), grammar.Grammar({"Main": grammar.sequence("<+kind=low>", "?=<+kind=sign>", "?!<+WORD=.>")}))
+    """A lower-case word with a sign other than a full stop right after it, which is not part of the match."""
+    return _matched(spark, sf_dir, grammar.Grammar({"Main": grammar.sequence("<+kind=low>", "?=<+kind=sign>", "?!<+WORD=.>")}))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +127,7 @@ def key_words_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.context(_tokens(spark, sf_dir)).withColumn("tid", F.col("tid").cast("long"))
+    return corpus.context_of(_nested(spark, sf_dir)).withColumn("tid", F.col("tid").cast("long"))
 
 
 def label_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,8 +137,8 @@ def label_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def covered_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = spans.covering(_tokens(spark, sf_dir), _phrases(spark, sf_dir))
-    return found.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n_tokens"), F.countDistinct("sid", "start").alias("n_spans"))
+    found = spans.covered(_matched(spark, sf_dir, PHRASE, keep=("forms",)).withColumn("name", F.lit("PHRASE")))
+    return found.groupBy("doc_id", "name").agg(F.count("form").alias("n_tokens"), F.countDistinct("sid", "start").alias("n_spans"))
 
 
 def span_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +156,10 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAIRS_SQL = TOK_SQL + r""", pairs AS (
   SELECT doc_id, sid, tid AS span_id, tid AS start, LEAST(tid + 2 + length(form) % 4, n_tok - 1) AS "end" FROM tok WHERE regexp_matches(form, '^\p{Lu}')
 )"""
-CROSS_SQL = """a.doc_id = b.doc_id AND a.sid = b.sid AND a.start < b.start AND a."end" >= b.start AND a."end" < b."end\""""
+#: Spans opened to the positions after their start meet the spans that start there.
+CROSS_SQL = """x AS (SELECT a.doc_id, a.sid, a.span_id AS a, b.span_id AS b
+  FROM (SELECT doc_id, sid, span_id, "end", unnest(range(start + 1, "end" + 1)) AS at FROM pairs) a
+  JOIN pairs b ON a.doc_id = b.doc_id AND a.sid = b.sid AND a.at = b.start WHERE a."end" < b."end")"""
 
 
 def crossing_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,12 +244,141 @@ def negated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.negated_verbs(_entries(spark, sf_dir), "re").select("word", "msd", "positive_lemma")
 
 
+UNITS = ("of the", "of the and", "and the", "de la", "in the of")
+
+
 def multiword_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = spark.createDataFrame([("of the",), ("of the and",), ("and the",), ("de la",), ("in the of",)], "unit string")
-    found = lexicon.longest_units(_nested(spark, sf_dir), units, 3)
+    """From the left the longest unit at each place, going on after it."""
+    found = lexicon.longest_units(_nested(spark, sf_dir), UNITS)
     return found.select("doc_id", "sid", F.col("tid").cast("long"), "unit", F.col("n").cast("long"))
 
 
+def contained_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _entries(spark, sf_dir)
+    return lexicon.contained(held, held.where("length(word) % 2 = 0")).select(lexicon.ENTRY)
+
+
+def missing_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _entries(spark, sf_dir)
+    return lexicon.missing(held, held.where("word LIKE '%s'")).select(lexicon.ENTRY)
+
+
+def removed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _entries(spark, sf_dir)
+    left = lexicon.removed(lexicon.with_stripped(held), held.where("word LIKE 'a%'"))
+    return lexicon.policy(left).select(lexicon.ENTRY)
+
+
+def lemma_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.array_join(F.transform("forms", lambda x: F.concat(x["word"], F.lit("/"), x["msd"])), " ")
+    return lexicon.by_lemma(_entries(spark, sf_dir)).select("lemma", F.size("forms").cast("long").alias("n"), F.md5(shown).alias("forms"))
+
+
+def lexicon_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.value_lists(_entries(spark, sf_dir))
+
+
+def sure_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.sure_heads(_entries(spark, sf_dir).withColumn("word", F.left("word", F.lit(4))))
+
+
+def abbreviated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = spark.createDataFrame([("No",), ("in",), ("De",)], "word string")
+    return lexicon.abbreviated(_tokens(spark, sf_dir), known).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lemma_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _tokens(spark, sf_dir).groupBy(F.lower("form").alias("lemma")).agg((F.count(F.lit(1)) / F.lit(7.0)).alias("frequency"))
+    return lexicon.lemma_priorities(counts)
+
+
+def enriched_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = F.when(F.col("msd") == "Vmg---", "Vmg").when(F.col("msd") == "Ncmsrn", "Ncfsrn").when(F.col("msd") == "Ncfpry", "Ncmsry").otherwise(F.col("msd"))
+    return lexicon.enriched(_entries(spark, sf_dir).withColumn("msd", tag)).select(lexicon.ENTRY)
+
+
+def corrected_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags with a place left open and the next one shifted, corrected by half of the dictionary."""
+    held = _entries(spark, sf_dir)
+    asked = held.select("word", F.concat(F.left("msd", F.lit(2)), F.lit("-"), F.expr("substr(msd, 4)")).alias("msd"))
+    half = held.where("length(word) % 2 = 0").withColumn("word_key", T.canonical_word(F.col("word")))
+    return lexicon.corrected_tags(asked, half, held.select("msd"))
+
+
+SCORE_SQL = r"""list_sum(list_transform(range(1, GREATEST(length(a), length(b)) + 1), lambda k:
+  CASE WHEN substr(rpad(a, 20, '-'), k, 1) = substr(rpad(b, 20, '-'), k, 1) THEN 4 * (100000 // (10 ** (k - 1))::BIGINT)
+       WHEN '-' IN (substr(rpad(a, 20, '-'), k, 1), substr(rpad(b, 20, '-'), k, 1)) THEN (100000 // (10 ** (k - 1))::BIGINT) * CASE WHEN substr(rpad(b, 20, '-'), k, 1) = 'r' THEN 2 ELSE 1 END ELSE 0 END))"""
+
+
+def _comparable_sql(tag: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({tag}), '^A.(.*)', 'A\1'), '^Cr(.*)', 'Cr'), '^Mm(.*)', 'Nc\1'), '^(P....)[dg](.*)', '\1o\2')"
+
+
+def _clean_sql(text: str) -> str:
+    return rf"lower(translate(translate(regexp_replace({text}, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'), '{T.ACCENTED}', '{T.UNACCENTED}'), '{T.CEDILLA}', '{T.COMMA}'))"
+
+
+def _key_sql(text: str) -> str:
+    return rf"translate(lower(regexp_replace(translate({_clean_sql(text)}, '{T.DASHES}', '{'-' * len(T.DASHES)}'), '[\p{{Z}}\t\n\x0B\f\r ]+', '~', 'g')), 'â', 'î')"
+
+
+def span_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "sid", "name", "start", "end"]
+    return spans.names_by_length(_phrases(spark, sf_dir).select(columns).unionByName(_pairs(spark, sf_dir).select(columns)))
+
+
+def even_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents at even distances, by their number."""
+    docs = _docs(spark, sf_dir)
+    return corpus.even_samples(docs.select((F.col("doc_id") - docs.agg(F.min("doc_id")).scalar()).alias("at")), "at")
+
+
+def position_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of positions with a range set and another one cleared."""
+    n = F.length("text") % 7
+    put = corpus.with_range(corpus.with_range(F.array(F.lit(1).cast("int"), F.lit(20).cast("int")), n, n + 5), n + 2, n + 3, False)
+    return _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.array_join(put, " ").alias("held"), corpus.next_set(put, n + 2).alias("following"))
+
+
+def negative_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences without a certain word, with the same kinds of tokens as one that has it."""
+    kinds = F.array_join(F.transform("forms", lambda w: F.left(_attributes(w)["kind"], F.lit(1))), "")
+    keyed = _nested(spark, sf_dir).select("doc_id", "sid", kinds.alias("kinds"), F.array_contains("forms", "und").alias("has"))
+    return corpus.same_sequences(keyed.where("NOT has"), keyed.where("has"), "kinds").select("doc_id", "sid")
+
+
+def tokens_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.to_json(F.struct(F.col("tid").alias("index"), F.col("form").alias("word")))
+    return _tokens(spark, sf_dir).select("doc_id", "sid", F.col("tid").cast("long"), F.md5(shown).alias("json"))
+
+
+def bracketed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _matched(spark, sf_dir, PHRASE, keep=("forms",))
+    features = F.create_map(F.lit("type"), F.lit("np"), F.lit("len"), F.col("len").cast("string"))
+    shown = T.bracketed(F.lit("PHRASE"), features, F.slice("forms", F.col("start") + 1, F.col("len")))
+    return found.select("doc_id", "sid", "start", F.md5(shown).alias("shown"))
+
+
+def unit_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.explode(T.unit_parts(F.replace("text", F.lit(" "), F.lit("~")))).alias("part"))
+    return said.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+
+
+def suffix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir).where("length(form) > 1").select(F.explode(T.suffixes(F.lower("form"), 3)).alias("suffix")).groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
+
+
+def segmented_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences by paragraph, with vetoes by addresses, capitals, acronyms and abbreviations."""
+    found = F.posexplode(T.segments(F.col("text"), ("dr", "etc", "Mr", "nr", "St"))).alias("sid", "sentence")
+    return _docs(spark, sf_dir).select("doc_id", found)
+
+
+def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens with inner stops, dashes and decimal signs, addresses whole."""
+    return _sentences(spark, sf_dir).select("doc_id", "sid", F.posexplode(T.words(F.col("text"))).alias("tid", "form"))
+
+
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with a gold tag (by their case) and a found one (by their length), and how many entries they have."""
     gold = F.when(F.col("form").rlike(r"\A\p{Lu}"), "Np").otherwise("Nc")
@@ -294,12 +447,15 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         r AS (SELECT *, tid - row_number() OVER (PARTITION BY doc_id, sid, label ORDER BY tid) AS run FROM m)
         SELECT doc_id, sid, label, MIN(tid) AS start, MAX(tid) AS "end" FROM r WHERE label IS NOT NULL GROUP BY doc_id, sid, label, run"""),
     "grammar_matches": (grammar_matches, f"WITH {PHRASE_SQL} SELECT doc_id, sid, start, len FROM phrases"),
+    "annotated_matches": (annotated_matches, f"""WITH {PHRASE_SQL} SELECT doc_id, sid, 'PHRASE' AS name, start, start + len - 1 AS "end", 'np' AS type, 'n' || len AS size FROM phrases"""),
+    "anchored_matches": (anchored_matches, f"""WITH {PHRASE_SQL}, s AS (SELECT doc_id, sid, regexp_extract(substr(sym, 2), '^(UL*S|NN)') AS m FROM sym)
+        SELECT doc_id, sid, 1 AS start, length(m)::INT AS len FROM s WHERE m <> ''"""),
     "look_ahead_matches": (look_ahead_matches, rf"""WITH {TOK_SQL}, n AS (SELECT *, lead(form) OVER (PARTITION BY doc_id, sid ORDER BY tid) AS nxt FROM tok)
         SELECT doc_id, sid, tid::INT AS start, 1 AS len FROM n WHERE regexp_matches(form, '^\p{{Ll}}') AND NOT regexp_matches(nxt, '^(\p{{Lu}}|\p{{Ll}}|\p{{N}})') AND nxt <> '.'"""),
     "covered_tokens": (covered_tokens, f"""WITH {PHRASE_SQL} SELECT doc_id, 'PHRASE' AS name, SUM(len)::BIGINT AS n_tokens, COUNT(*) AS n_spans FROM phrases GROUP BY doc_id"""),
     "span_lengths": (span_lengths, f"""WITH {PHRASE_SQL} SELECT 'PHRASE' AS name, COUNT(*) AS n, AVG(len) AS mean_length FROM phrases"""),
-    "crossing_spans": (crossing_spans, f"WITH {PAIRS_SQL} SELECT a.doc_id, a.sid, a.span_id AS a, b.span_id AS b FROM pairs a JOIN pairs b ON {CROSS_SQL}"),
-    "crossing_degrees": (crossing_degrees, f"""WITH {PAIRS_SQL}, x AS (SELECT a.doc_id, a.sid, a.span_id AS a, b.span_id AS b FROM pairs a JOIN pairs b ON {CROSS_SQL})
+    "crossing_spans": (crossing_spans, f"WITH {PAIRS_SQL}, {CROSS_SQL} SELECT doc_id, sid, a, b FROM x"),
+    "crossing_degrees": (crossing_degrees, f"""WITH {PAIRS_SQL}, {CROSS_SQL}
         SELECT doc_id, sid, span_id, COUNT(*) AS degree FROM (SELECT doc_id, sid, a AS span_id FROM x UNION ALL SELECT doc_id, sid, b FROM x) GROUP BY ALL"""),
     "nestable_spans": (nestable_spans, None),
     "span_differences": (span_differences, f"""WITH {PHRASE_SQL}, {PAIRS_SQL.split("), pairs AS")[1].join(["pairs AS", ""])},
@@ -310,23 +466,64 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         SELECT doc_id, sid, start::BIGINT AS start, (start + len - 1)::BIGINT AS "end" FROM phrases a WHERE EXISTS (SELECT 1 FROM pairs b WHERE a.doc_id = b.doc_id AND a.sid = b.sid
         AND (a.start BETWEEN b.start AND b."end" OR a.start + a.len - 1 BETWEEN b.start AND b."end"))"""),
     "word_frequencies": (word_frequencies, f"WITH {TOK_SQL} SELECT lower(form) AS word, COUNT(*) AS n, COUNT(DISTINCT doc_id) AS docs FROM tok GROUP BY lower(form)"),
-    "canonical_words": (canonical_words, rf"""SELECT doc_id, md5(lower(regexp_replace(translate(translate(translate(translate(text, '{T.CEDILLA}', '{T.COMMA}'), '{T.ACCENTED}', '{T.UNACCENTED}'), 'âÂ', 'îÎ'), '{T.DASHES}', '{"-" * len(T.DASHES)}'), '[ \t\n\x0B\f\r]+', '~', 'g'))) AS canonical,
-        md5(translate(text, '{T.DIACRITICS}', '{T.STRIPPED}')) AS stripped FROM documents"""),
+    "canonical_words": (canonical_words, f"""SELECT doc_id, md5({_key_sql("text")}) AS canonical,
+        md5(translate(translate(translate(regexp_replace(text, '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g'), '{T.ACCENTED}', '{T.UNACCENTED}'), '{T.CEDILLA}', '{T.COMMA}'), '{T.DIACRITICS}', '{T.STRIPPED}')) AS stripped FROM documents"""),
     "word_shapes": (word_shapes, rf"""WITH {TOK_SQL} SELECT regexp_matches(form, '^\p{{Lu}}') AS starts_cap, regexp_matches(form, '\p{{N}}') AS has_digit, right(form, 2) AS ending, COUNT(*) AS n, SUM(length(form))::BIGINT AS letters FROM tok GROUP BY 1, 2, 3"""),
     "attribute_counts": (attribute_counts, """SELECT 'lang' AS attribute, COUNT(DISTINCT lang) AS n_values FROM documents UNION ALL SELECT 'source', COUNT(DISTINCT source) FROM documents UNION ALL SELECT 'n_chars', COUNT(DISTINCT n_chars) FROM documents"""),
     "nearest_attribute": (nearest_attribute, """SELECT attribute FROM (SELECT 'lang' AS attribute, COUNT(DISTINCT lang) AS n FROM documents UNION ALL SELECT 'source', COUNT(DISTINCT source) FROM documents
         UNION ALL SELECT 'n_chars', COUNT(DISTINCT n_chars) FROM documents) ORDER BY abs(n - 15), attribute LIMIT 1"""),
     "corpus_fingerprint": (corpus_fingerprint, f"WITH {SENT_SQL} SELECT bit_xor(('0x' || substr(md5(text), 1, 8))::BIGINT) AS fingerprint, COUNT(*) AS n FROM sent"),
     "dictionary_lookup": (dictionary_lookup, rf"""WITH {TOK_SQL}, {ENTRIES_SQL}, keyed AS (
-          SELECT lower(translate(translate(translate(word, '{T.CEDILLA}', '{T.COMMA}'), '{T.ACCENTED}', '{T.UNACCENTED}'), 'âÂ', 'îÎ')) AS key, COUNT(DISTINCT (msd, lemma)) AS k FROM entries GROUP BY 1)
+          SELECT {_key_sql("word")} AS key, COUNT(DISTINCT (msd, lemma)) AS k FROM entries GROUP BY 1)
         SELECT doc_id, COUNT(*) AS n, COUNT(k) AS known, COUNT(*) FILTER (k = 1) AS unambiguous FROM tok LEFT JOIN keyed ON lower(form) = key WHERE regexp_full_match(form, '[A-Za-z]+') GROUP BY doc_id"""),
     "frequent_lemmas": (frequent_lemmas, f"""WITH {TOK_SQL}, {ENTRIES_SQL}, c AS (SELECT DISTINCT left(word, 3) AS head, lemma FROM entries), f AS (SELECT lower(form) AS lemma, COUNT(*) AS freq FROM tok GROUP BY 1)
         SELECT head, lemma FROM (SELECT head, c.lemma, row_number() OVER (PARTITION BY head ORDER BY COALESCE(freq, -100) DESC, c.lemma) AS r FROM c LEFT JOIN f ON c.lemma = f.lemma) WHERE r = 1"""),
     "invalid_tags": (invalid_tags, f"WITH {ENTRIES_SQL} SELECT msd, COUNT(*) AS n FROM entries WHERE msd NOT IN ('Ncmsrn', 'Sp----') GROUP BY msd"),
     "negated_words": (negated_words, f"""WITH {ENTRIES_SQL} SELECT DISTINCT a.word, a.msd, b.lemma AS positive_lemma FROM entries a JOIN entries b ON substr(a.word, 3) = b.word AND left(a.msd, 3) = left(b.msd, 3) WHERE a.word LIKE 're%'"""),
     "multiword_units": (multiword_units, rf"""WITH {SENT_SQL}, f AS (SELECT doc_id, sid, regexp_extract_all(lower(text), '{TOK}') AS a FROM sent),
-        g AS (SELECT doc_id, sid, i - 1 AS tid, k AS n, array_to_string(a[i:i + k - 1], ' ') AS unit FROM f, UNNEST(range(1, len(a) + 1)) AS u(i), UNNEST([2, 3]) AS v(k) WHERE i + k - 1 <= len(a))
-        SELECT doc_id, sid, tid, arg_max(unit, n) AS unit, MAX(n)::BIGINT AS n FROM g WHERE unit IN ('of the', 'of the and', 'and the', 'de la', 'in the of') GROUP BY doc_id, sid, tid"""),
+        t AS (SELECT doc_id, sid, regexp_extract_all(array_to_string(a, ' ') || ' ', '(?:of the and|in the of|of the|and the|de la) |[^ ]+ ') AS tiles FROM f),
+        g AS (SELECT doc_id, sid, i, rtrim(tiles[i]) AS unit, length(tiles[i]) - length(replace(tiles[i], ' ', '')) AS n FROM t, UNNEST(range(1, len(tiles) + 1)) AS u(i)),
+        p AS (SELECT *, SUM(n) OVER (PARTITION BY doc_id, sid ORDER BY i) - n AS tid FROM g)
+        SELECT doc_id, sid, tid::BIGINT AS tid, unit, n::BIGINT AS n FROM p WHERE n > 1"""),
+    "contained_entries": (contained_entries, f"WITH {ENTRIES_SQL} SELECT word, msd, lemma FROM entries WHERE length(word) % 2 = 0"),
+    "missing_entries": (missing_entries, f"""WITH {ENTRIES_SQL}, k AS (SELECT *, {_clean_sql("lemma")} AS key FROM entries)
+        SELECT DISTINCT word, msd, lemma FROM k WHERE NOT EXISTS (SELECT 1 FROM k d WHERE d.word LIKE '%s' AND d.msd = k.msd AND d.key = k.key)"""),
+    "removed_entries": (removed_entries, f"""WITH {ENTRIES_SQL}, k AS (SELECT *, {_key_sql("word")} AS key FROM entries)
+        SELECT word, msd, lemma FROM k WHERE NOT EXISTS (SELECT 1 FROM k d WHERE d.word LIKE 'a%' AND d.msd = k.msd AND d.lemma = k.lemma AND d.key = k.key)"""),
+    "lemma_groups": (lemma_groups, f"""WITH {ENTRIES_SQL} SELECT lemma, COUNT(*) AS n, md5(string_agg(word || '/' || msd, ' ' ORDER BY word, msd)) AS forms FROM (SELECT DISTINCT lemma, word, msd FROM entries) GROUP BY lemma"""),
+    "lexicon_lists": (lexicon_lists, f"""WITH {ENTRIES_SQL} SELECT DISTINCT 'msd' AS list, msd AS value FROM entries UNION ALL SELECT DISTINCT 'lemma', lemma FROM entries"""),
+    "sure_heads": (sure_heads, f"""WITH {ENTRIES_SQL} SELECT left(word, 4) AS word, MIN(left(msd, 2)) AS head FROM entries GROUP BY 1 HAVING COUNT(DISTINCT left(msd, 2)) = 1"""),
+    "abbreviated_tokens": (abbreviated_tokens, f"""WITH {TOK_SQL} SELECT doc_id, COUNT(*) AS n FROM tok WHERE {_key_sql("form")} IN ('no', 'in', 'de') GROUP BY doc_id"""),
+    "lemma_priorities": (lemma_priorities, f"""WITH {TOK_SQL}, f AS (SELECT lower(form) AS lemma, COUNT(*) / 7.0::DOUBLE AS frequency FROM tok GROUP BY 1)
+        SELECT {_key_sql("lemma").removeprefix("translate(").removesuffix(", 'â', 'î')")} AS lemma, MAX(trunc(100::FLOAT * frequency::FLOAT)::INT) AS freq FROM f GROUP BY 1"""),
+    "enriched_entries": (enriched_entries, f"""WITH {ENTRIES_SQL}, e AS (SELECT word, CASE msd WHEN 'Vmg---' THEN 'Vmg' WHEN 'Ncmsrn' THEN 'Ncfsrn' WHEN 'Ncfpry' THEN 'Ncmsry' ELSE msd END AS msd, lemma FROM entries),
+        w AS (SELECT * FROM e UNION SELECT word || 'u', msd, lemma FROM e WHERE msd = 'Vmg'
+          UNION SELECT CASE WHEN word LIKE '%ă' OR word LIKE '%ie' THEN left(word, length(word) - 1) ELSE word END || 'o', 'Ncfsvy', lemma FROM e WHERE msd = 'Ncfsrn'
+          UNION SELECT word || 'e', 'Ncmsvy', lemma FROM e WHERE msd = 'Ncmsry' AND lemma <> word)
+        SELECT word, msd, lemma FROM w UNION SELECT '-' || substr(word, 2), msd, lemma FROM w WHERE length(word) > 2 AND word LIKE 'î%'"""),
+    "corrected_tags": (corrected_tags, f"""WITH {ENTRIES_SQL}, asked AS (SELECT DISTINCT word, left(msd, 2) || '-' || substr(msd, 4) AS msd, {_key_sql("word")} AS key FROM entries),
+        half AS (SELECT DISTINCT {_key_sql("word")} AS key, msd AS tag FROM entries WHERE length(word) % 2 = 0), tagset AS (SELECT DISTINCT msd AS tag FROM entries),
+        cand AS (SELECT word, a.msd, h.tag FROM asked a JOIN half h ON a.key = h.key UNION ALL SELECT word, a.msd, t.tag FROM asked a, tagset t WHERE a.key NOT IN (SELECT key FROM half)),
+        tags AS (SELECT DISTINCT msd, tag, {_comparable_sql("msd")} AS a, {_comparable_sql("tag")} AS b FROM cand), scored AS (SELECT msd, tag, {SCORE_SQL} AS score FROM tags)
+        SELECT word, c.msd, COALESCE(MIN(CASE WHEN lower(c.tag) = lower(c.msd) THEN c.tag END), MIN(CASE WHEN regexp_full_match(word, '[0-9]+') THEN 'M' END), arg_min(c.tag, (-score, c.tag))) AS corrected
+        FROM cand c JOIN scored s ON c.msd = s.msd AND c.tag = s.tag GROUP BY word, c.msd"""),
+    "span_names": (span_names, f"""WITH {PHRASE_SQL}, {PAIRS_SQL.split("), pairs AS")[1].join(["pairs AS", ""])}
+        SELECT 'PHRASE' AS name, COUNT(*) AS n, AVG(len) AS mean_length FROM phrases UNION ALL SELECT 'X', COUNT(*), AVG("end" - start + 1) FROM pairs"""),
+    "even_samples": (even_samples, """WITH d AS (SELECT doc_id - MIN(doc_id) OVER () AS "at", COUNT(*) OVER () AS n FROM documents) SELECT "at" FROM d
+        WHERE "at" IN (SELECT i * n // LEAST(n, 50) FROM (SELECT DISTINCT n FROM d), UNNEST(range(0, 50)) AS u(i) WHERE i < n)"""),
+    "position_ranges": (position_ranges, """WITH d AS (SELECT doc_id, length(text) % 7 AS n FROM documents WHERE text IS NOT NULL),
+        p AS (SELECT doc_id, n, unnest([1, 20, n, n + 1, n + 4, n + 5]) AS pos FROM d), q AS (SELECT DISTINCT * FROM p WHERE pos NOT IN (n + 2, n + 3))
+        SELECT doc_id, string_agg(pos, ' ' ORDER BY pos) AS held, MIN(CASE WHEN pos >= n + 2 THEN pos END)::INT AS following FROM q GROUP BY doc_id"""),
+    "negative_examples": (negative_examples, rf"""WITH {TOK_SQL}, k AS (SELECT doc_id, sid, string_agg(CASE WHEN regexp_matches(form, '^\p{{Lu}}') THEN 'c' WHEN regexp_matches(form, '^\p{{Ll}}') THEN 'l'
+        WHEN regexp_matches(form, '^\p{{N}}') THEN 'n' ELSE 's' END, '' ORDER BY tid) AS kinds, bool_or(form = 'und') AS has FROM tok GROUP BY doc_id, sid)
+        SELECT doc_id, sid FROM k WHERE NOT has AND kinds IN (SELECT kinds FROM k WHERE has)"""),
+    "tokens_json": (tokens_json, rf"""WITH {TOK_SQL} SELECT doc_id, sid, tid, md5('{{"index":' || tid || ',"word":' || to_json(form)::VARCHAR || '}}') AS json FROM tok"""),
+    "bracketed_spans": (bracketed_spans, f"""WITH {PHRASE_SQL}, forms AS (SELECT doc_id, sid, list(form ORDER BY tid) AS a FROM tok GROUP BY doc_id, sid)
+        SELECT p.doc_id, p.sid, start, md5('<PHRASE len="' || len || '" type="np">' || array_to_string(a[start + 1:start + len], ' ') || '</PHRASE>') AS shown FROM phrases p JOIN forms f ON p.doc_id = f.doc_id AND p.sid = f.sid"""),
+    "unit_parts": (unit_parts, "SELECT part, COUNT(*) AS n FROM (SELECT unnest(regexp_extract_all(replace(text, ' ', '~'), '[^~.-]+|[~.-]')) AS part FROM conversations) GROUP BY part"),
+    "suffix_counts": (suffix_counts, f"WITH {TOK_SQL} SELECT right(lower(form), k) AS suffix, COUNT(*) AS n FROM tok, UNNEST([1, 2, 3]) AS u(k) WHERE length(form) > k GROUP BY 1"),
+    "segmented_sentences": (segmented_sentences, None),
+    "word_tokens": (word_tokens, None),
     "tag_accuracy": (tag_accuracy, f"""WITH {TAGGED_SQL}, c AS (SELECT COUNT(*) AS total, COUNT(*) FILTER (n_entries = 1) AS unambiguous, COUNT(*) FILTER (n_entries = 0) AS guesses,
         COUNT(*) FILTER (good) AS correct, COUNT(*) FILTER (good AND n_entries = 0) AS correct_guesses FROM judged) SELECT *, 100.0 * correct::DOUBLE / total AS percent, 100.0 * correct_guesses::DOUBLE / guesses AS percent_guesses FROM c"""),
     "tag_failures_by_word": (tag_failures_by_word, f"WITH {TAGGED_SQL} SELECT lower(form) AS word, COUNT(*) AS total, COUNT(*) FILTER (NOT good) AS failed FROM judged GROUP BY 1"),

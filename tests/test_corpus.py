@@ -114,7 +114,7 @@ def test_accuracy(spark):
     assert (r.total, r.unambiguous, r.guesses, r.correct, r.correct_guesses, r.percent, r.percent_guesses) == (4, 1, 2, 2, 1, 50.0, 50.0)
 
 
-@pytest.mark.parametrize(("word", "canonical", "stripped"), [("Câine", "cîine", "Caine"), ("ŞI", "și", "SI"), ("a–b c", "a-b~c", "a–b c"), ("Éva", "eva", "Éva")])
+@pytest.mark.parametrize(("word", "canonical", "stripped"), [("Câine", "cîine", "Caine"), ("ŞI", "și", "SI"), ("a–b c", "a-b~c", "a–b c"), ("Éva", "eva", "Eva")])
 def test_words(spark, word, canonical, stripped):
     w = frame(spark, [(word,)], "w string").select(T.canonical_word(F.col("w")).alias("c"), T.stripped_diacritics(F.col("w")).alias("s"), T.shape(F.col("w")).alias("h")).first()
     assert (w.c, w.s) == (canonical, stripped) and w.h.has_cap == any(c.isupper() for c in word)
@@ -132,3 +132,56 @@ def test_stream(spark, sf_dir):
     run = stream.writeStream.format("memory").queryName("live_sentences").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert spark.table("live_sentences").count() == corpus.sentences_of(spark.read.parquet(f"{sf_dir}/documents.parquet")).count()
+
+
+TEXT = " dr. Andrei Iată P.D.L. 16,173 într-un 16.173 copac. Vezi J. Popescu și A.B.C. Ionescu, e.g. aici. afla radu.simionescu@info.uaic.ro https://eu.sfas.ro\n\nAlt paragraf, fără punct\nși linia a doua! Gata."
+
+
+def test_segments_keep_abbreviations_and_addresses(spark):
+    got = frame(spark, [(TEXT,), (None,), ("",)], "t string").select(T.segments(F.col("t"), ("dr", "etc.", "e.g.")).alias("s")).collect()
+    assert got[0].s == [
+        "dr. Andrei Iată P.D.L. 16,173 într-un 16.173 copac.", "Vezi J. Popescu și A.B.C. Ionescu, e.g. aici.", "afla radu.simionescu@info.uaic.ro https://eu.sfas.ro",
+        "Alt paragraf, fără punct\nși linia a doua!", "Gata.",
+    ]
+    assert got[1].s is None and got[2].s == []
+    split = frame(spark, [("Vine dr. Pop.",)], "t string").select(T.segments(F.col("t")).alias("s")).first().s
+    assert split == ["Vine dr.", "Pop."]
+
+
+@pytest.mark.parametrize(("text", "words"), [
+    ("are 3,14 și 16.173 lei", ["are", "3,14", "și", "16.173", "lei"]), ("Ana-Maria \t Vasile-Petronel!", ["Ana-Maria", "Vasile-Petronel", "!"]),
+    ("scrie la radu.s@info.uaic.ro, vezi https://eu.sfas.ro.", ["scrie", "la", "radu.s@info.uaic.ro", ",", "vezi", "https://eu.sfas.ro", "."]),
+    ("Sal'tare dom'le", ["Sal'tare", "dom'le"]), ("50-5 -3", ["50", "-5", "-3"]), ("«da» ...", ["«", "da", "»", ".", ".", "."]), ("P.D.L. e bun.", ["P.D.L.", "e", "bun", "."]),
+])
+def test_word_tokens(spark, text, words):
+    assert frame(spark, [(text,)], "t string").select(T.words(F.col("t")).alias("w")).first().w == words
+
+
+@pytest.mark.parametrize(("tag", "other", "score"), [
+    ("Ncfsrn", "Ncfsrn", 4 * 111_111), ("Nc-s", "Ncfs", 4 * 110_100 + 1000), ("Nc", "Ncr", 4 * 110_000 + 2 * 1000), ("Afp", "Ncp", 1000), ("Afp", "Ap", 410_000),
+    ("Mmfs", "Ncfs", 4 * 111_100), ("Crs", "Cr", 4 * 110_000), ("Pp3fsd", "Pp3fso", 4 * 111_111),
+])
+def test_tag_scores(spark, tag, other, score):
+    assert frame(spark, [(tag, other)], "a string, b string").select(T.tag_score(F.col("a"), F.col("b")).alias("s")).first().s == score
+
+
+def test_corrected_tags(spark):
+    lex = frame(spark, [("casă", "Ncfsrn"), ("casă", "Vmip3s"), ("merge", "Vmip3s")], "word_key string, msd string")
+    tags = frame(spark, [("Ncfsrn",), ("Ncmsrn",), ("Sp",), ("M",)], "msd string")
+    rows = frame(spark, [("casă", "ncfsrn"), ("casa", "Vm"), ("casă", "Vm"), ("12", "Mc"), ("nou", "Ncm"), ("nou", "Xx")], "word string, msd string")
+    got = {(r.word, r.msd): r.corrected for r in lexicon.corrected_tags(rows, lex, tags).collect()}
+    assert got == {("casă", "ncfsrn"): "Ncfsrn", ("casa", "Vm"): "M", ("casă", "Vm"): "Vmip3s", ("12", "Mc"): "M", ("nou", "Ncm"): "Ncmsrn", ("nou", "Xx"): "M"}
+
+
+def test_spelling_and_extras(spark):
+    rows = frame(spark, [("reîntorcînd", "reîntoarce", None), ("cîine", None, ""), ("mîna", "mână", "x"), ("é", "e", "StrippedDiacritics(é)")], "w string, l string, e string")
+    got = rows.select(T.restored_spelling(F.col("w"), F.col("l")).alias("r"), T.stripped_extra(F.col("w"), F.col("e")).alias("x"), T.unit_parts(F.lit("a~b-c.")).alias("u")).collect()
+    assert [g.r for g in got] == ["reîntorcând", "câine", "mâna", "é"]
+    assert [g.x for g in got] == [None, "StrippedDiacritics(cîine)", "x|StrippedDiacritics(mîna)", "StrippedDiacritics(é)"]
+    assert got[0].u == ["a", "~", "b", "-", "c", "."]
+
+
+def test_units_are_taken_from_the_left(spark):
+    rows = frame(spark, [(1, 0, ["in", "the", "of", "the", "And", "x", "of", "the"])], "doc_id long, sid long, forms array<string>")
+    got = [(r.tid, r.unit, r.n) for r in lexicon.longest_units(rows, ("of the", "of the and", "the of", "the and")).orderBy("tid").collect()]
+    assert got == [(1, "the of", 2), (3, "the and", 2), (6, "of the", 2)]

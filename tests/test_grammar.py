@@ -95,3 +95,39 @@ def test_conditions(spark, code, want):
 def test_whole_match_is_anchored(spark):
     row = spark.createDataFrame([({"a": "ab\n"},)], "f map<string,string>")
     assert row.select(predicates.condition("<+a=/ab/>", F.col("f"))).first()[0] is False
+
+
+def test_long_matches_need_no_recursion(spark):
+    loop = G.Grammar({"Main": G.Graph({0: G.Node("<+w=A>", [0, 1]), 1: G.Node("")}, 0, 1)})
+    s = spark.createDataFrame([(1, 0, ["A"] * 20_000)], "doc_id long, sid long, forms array<string>")
+    assert found(G.match(s, loop, "forms", force_matcher=True, of=lambda w: {"w": w})) == [(0, 0, 20_000)]
+
+
+def test_left_recursion_is_refused(spark):
+    left = G.Graph({0: G.Node("<E>", [1, 2]), 1: G.Node(":Main", [2]), 2: G.Node("<+w=A>", [3]), 3: G.Node("")}, 0, 3)
+    with pytest.raises(G.LeftRecursionError):
+        G.check(G.Grammar({"Main": left}))
+    with pytest.raises(G.LeftRecursionError):
+        G.check(G.Grammar({"Main": G.sequence(":A", "<+w=A>"), "A": G.sequence("?=<+w=A>", ":B", "<+w=A>"), "B": G.sequence(":A", "<+w=B>")}))
+
+
+def test_a_node_that_leads_nowhere_accepts(spark):
+    dead = G.Grammar({"Main": G.Graph({0: G.Node("<+w=A>", [1, 2]), 1: G.Node("<+w=B>", [3]), 2: G.Node("<+w=C>"), 3: G.Node("")}, 0, 3)})
+    assert found(G.match(sentences(spark, "ABACA"), dead)) == [(0, 0, 2), (0, 2, 2)]
+
+
+@pytest.mark.parametrize("force", [False, True])
+def test_anchored_matches(spark, force):
+    s = sentences(spark, "AAB", "AB", "BA").withColumn("at", F.lit(1)).withColumn("more", F.col("sid") * 10)
+    got = G.match(s, one("<+w=A>", "<+w=B>"), force_matcher=force, anchor="at", keep=("more",)).collect()
+    assert [(r.sid, r.more, r.start, r.len) for r in got] == [(0, 0, 1, 2)]
+    assert found(G.match(s, one("?<=<+w=A>", "<+w=B>"), force_matcher=force, anchor="at")) == [(1, 1, 1)]
+
+
+def test_output_code(spark):
+    matches = G.match(sentences(spark, "xAB"), one("<+w=A>", "<+w=B>"))
+    got = G.annotated(matches, '<NP +kind="short" +size="n$len$">').collect()
+    assert [(r["name"], r["start"], r["end"], r["features"]) for r in got] == [("NP", 1, 2, {"kind": "short", "size": "n2"})]
+    for bad in ("<NP", "NP +a=b", '<NP -a>'):
+        with pytest.raises(G.GrammarError):
+            G.annotated(matches, bad)
