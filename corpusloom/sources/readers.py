@@ -15,6 +15,9 @@ from ..functions import text as T
 #: Attributes of known XML layouts that hold a token's form, lemma and part of speech (fixed values).
 COMMON = {"sentence": "S", "form": None, "lemma": "LEMMA", "postag": "MSD"}
 TREEBANK = {"sentence": "sentence", "form": "form", "lemma": "lemma", "postag": "postag"}
+#: Names of sentence elements and of form attributes that are looked for (fixed values).
+SENTENCE_TAGS = ("S", "s", "SENTENCE", "Sentence", "sentence", "SENT", "Sent", "sent")
+FORM_NAMES = ("form", "word", "wordform")
 _PARSED = "kind string, sid long, tid int, start int, end int, name string, form string, ref string, start_ref string, end_ref string, features map<string,string>"
 
 
@@ -22,11 +25,33 @@ def _local(name: str) -> str:
     return name.rsplit("}", 1)[-1]
 
 
-def parse_corpus(xml: str, sentence_tag: str) -> Iterator[tuple]:
-    """Rows of one document: sentences, tokens (leaf elements), inline spans (elements around tokens) and stand-off spans."""
-    root, sid = ET.fromstring(xml), 0
+def sentence_tag(root: ET.Element) -> str:
+    """The one known sentence element that has at least as many leaves as elements; none or several are an error."""
+    found = []
+    for tag in SENTENCE_TAGS:
+        elements = [e for e in root.iter() if _local(e.tag) == tag]
+        leaves = {id(x) for e in elements for x in e.iter() if x is not e and not len(x)}
+        if elements and len(leaves) >= len(elements):
+            found.append(tag)
+    if len(found) != 1:
+        raise ValueError(f"sentence elements: {', '.join(found) or 'none'}")
+    return found[0]
+
+
+def parse_corpus(xml: str, tag: str | None) -> Iterator[tuple]:
+    """Rows of one document: sentences, tokens (leaf elements), inline spans (elements around tokens) and stand-off spans.
+
+    Without ``tag`` it is inferred. A text that is no XML, or whose format is not clear, gives one row of kind ``error`` with the reason as its name.
+    """
+    try:
+        root = ET.fromstring(xml)
+        tag = tag or sentence_tag(root)
+    except (ET.ParseError, ValueError) as reason:
+        yield "error", None, None, None, None, str(reason), "xml" if isinstance(reason, ET.ParseError) else "format", None, None, None, {}
+        return
+    sid = 0
     for element in root.iter():
-        if _local(element.tag) == sentence_tag:
+        if _local(element.tag) == tag:
             spans, n = [], 0
 
             def walk(node: ET.Element) -> Iterator[tuple]:
@@ -44,7 +69,7 @@ def parse_corpus(xml: str, sentence_tag: str) -> Iterator[tuple]:
 
             marks = {_local(k): v for k, v in element.attrib.items()}
             tokens = list(walk(element))
-            yield "sentence", sid, None, 0, n, sentence_tag, None, None, None, None, marks
+            yield "sentence", sid, None, 0, n, tag, None, None, None, None, marks
             yield from tokens
             yield from spans
             sid += 1
@@ -54,23 +79,33 @@ def parse_corpus(xml: str, sentence_tag: str) -> Iterator[tuple]:
             yield "stand-off", None, None, None, None, marks.pop("Name", None), None, None, *ends, marks
 
 
-def xml_corpus(files: DataFrame, layout: dict[str, str | None] = COMMON) -> dict[str, DataFrame]:
-    """``sentences``, ``tokens`` and ``spans`` of XML documents in ``files`` (``doc_id, text``).
-
-    Each document is parsed in the task that reads it; stand-off spans find their tokens by joins.
-    """
-    from ..operators import spans as S
+def parsed_xml(files: DataFrame, tag: str | None = None) -> DataFrame:
+    """One row for each sentence, token, span and error of XML documents in ``files`` (``doc_id, text``), each parsed in the task that reads it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", *(c.split()[0] for c in _PARSED.split(", "))]
         for batch in batches:
-            rows = [(doc, *row) for doc, xml in zip(batch["doc_id"], batch["text"], strict=True) if xml for row in parse_corpus(xml, layout["sentence"])]
+            rows = [(doc, *row) for doc, xml in zip(batch["doc_id"], batch["text"], strict=True) if xml for row in parse_corpus(xml, tag)]
             frame = pd.DataFrame(rows, columns=names)
             for c in ("sid", "tid", "start", "end"):
                 frame[c] = frame[c].astype("Int64")
             yield frame
 
-    rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, " + _PARSED)
+    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, " + _PARSED)
+
+
+def xml_corpus(files: DataFrame, layout: dict[str, str | None] = COMMON) -> dict[str, DataFrame]:
+    """``sentences``, ``tokens``, ``spans`` and ``errors`` of XML documents in ``files`` (``doc_id, text``).
+
+    A file that cannot be parsed is a row of errors and ends no job. Stand-off spans find their tokens by joins. Each table
+    parses the files again; ``index_files`` parses them once.
+    """
+    return corpus_tables(parsed_xml(files, layout["sentence"]), layout)
+
+
+def corpus_tables(rows: DataFrame, layout: dict[str, str | None]) -> dict[str, DataFrame]:
+    from ..operators import spans as S
+
     held = lambda attribute: F.try_element_at("features", F.lit(attribute)) if attribute else F.lit(None).cast("string")
     before = Window.partitionBy("doc_id").orderBy("sid")
     found = rows.where("kind = 'sentence'").select("doc_id", "sid", F.col("end").alias("n_tok"), "features")
@@ -82,11 +117,52 @@ def xml_corpus(files: DataFrame, layout: dict[str, str | None] = COMMON) -> dict
     refs = rows.where("kind = 'stand-off'").select("doc_id", "name", "start_ref", "end_ref", "features")
     spans = inline.withColumn("prefer_inline", F.lit(True)).unionByName(S.resolved_refs(refs, tokens).select(*inline.columns).withColumn("prefer_inline", F.lit(False)))
     number = F.row_number().over(Window.partitionBy("doc_id").orderBy("sid", "start", F.desc("end"), "name", "prefer_inline")) - 1
-    return {"sentences": sentences, "tokens": tokens, "spans": spans.withColumn("span_id", number.cast("long"))}
+    errors = rows.where("kind = 'error'").select("doc_id", F.col("form").alias("kind"), F.col("name").alias("reason"))
+    return {"sentences": sentences, "tokens": tokens, "spans": spans.withColumn("span_id", number.cast("long")), "errors": errors}
+
+
+#: The tables of a persisted corpus.
+TABLES = ("sentences", "tokens", "spans", "errors")
+
+
+def write_corpus(tables: dict[str, DataFrame], path: str) -> None:
+    """A corpus as Parquet, a folder for each table."""
+    for name in TABLES:
+        if name in tables:
+            tables[name].write.parquet(f"{path}/{name}")
+
+
+def open_corpus(spark: SparkSession, path: str, names: tuple[str, ...] = TABLES) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def index_files(files: DataFrame, path: str, layout: dict[str, str | None] | None = None) -> dict[str, DataFrame]:
+    """Files (``doc_id, text``) parsed once and kept as a corpus under ``path``.
+
+    Without a ``layout`` each file's sentence element is inferred, and the names of its attributes from all files. A file that is no XML is read
+    as CoNLL lines; its columns are the tokens' features.
+    """
+    spark = files.sparkSession
+    parsed_xml(files, layout and layout["sentence"]).write.parquet(f"{path}/parsed")
+    rows = spark.read.parquet(f"{path}/parsed")
+    if layout is None:
+        layout = {"form": None, "lemma": None, "postag": None} | inferred_roles(rows.where("kind = 'token'")).first().asDict()
+    tables = corpus_tables(rows, layout)
+    others = files.join(tables["errors"].where("kind = 'xml'").select("doc_id"), "doc_id", "left_semi")
+    lines = conll(others)
+    features = F.map_filter(F.create_map(*(c for k in schema.CONLLU for c in (F.lit(k), F.col(k)))), lambda _, v: v.isNotNull())
+    tokens = lines.select("doc_id", "sid", F.col("tid").cast("int"), "form", "lemma", F.col("xpostag").alias("postag"), F.lit(None).cast("string").alias("ref"), features.alias("features"))
+    sizes = lines.groupBy("doc_id", "sid").agg(F.count(F.lit(1)).cast("int").alias("n_tok"))
+    first = (F.sum("n_tok").over(Window.partitionBy("doc_id").orderBy("sid")) - F.col("n_tok")).alias("first_tok")
+    tables["tokens"] = tables["tokens"].unionByName(tokens)
+    tables["sentences"] = tables["sentences"].unionByName(sizes.select("doc_id", "sid", first, "n_tok", F.lit(None).cast("map<string,string>").alias("features")))
+    tables["errors"] = tables["errors"].join(lines.select("doc_id").distinct(), "doc_id", "left_anti")
+    write_corpus(tables, path)
+    return open_corpus(spark, path)
 
 
 def inferred_roles(tokens: DataFrame) -> DataFrame:
-    """One row of attribute names: ``lemma`` (most values), ``postag``, ``deprel`` and, of numeric ones, ``head``.
+    """One row of attribute names: ``form`` (of the known names the one with most values), ``lemma`` (most values of the others), ``postag``, ``deprel`` and, of numeric ones, ``head``.
 
     The last three have the number of values nearest to what such an attribute has in a treebank; ties go to the first name.
     """
@@ -97,7 +173,11 @@ def inferred_roles(tokens: DataFrame) -> DataFrame:
         distance = -F.col("n") if target is None else F.abs(F.col("n") - target)
         return F.min_by(F.when(F.col("numeric") == numeric, F.col("key")), F.when(F.col("numeric") == numeric, F.struct(distance.alias("d"), "key"))).alias(role)
 
-    return counts.agg(nearest(None, False, "lemma"), nearest(400, False, "postag"), nearest(50, False, "deprel"), nearest(10, True, "head"))
+    named = F.lower("key").isin(*FORM_NAMES)
+    form = F.min_by(F.when(named, F.col("key")), F.when(named, F.struct((-F.col("n")).alias("d"), "key"))).alias("form")
+    forms = counts.agg(form)
+    counts = counts.where(~named)
+    return forms.crossJoin(counts.agg(nearest(None, False, "lemma"), nearest(400, False, "postag"), nearest(50, False, "deprel"), nearest(10, True, "head")))
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -157,3 +237,14 @@ def manual_tagset(lines: DataFrame) -> DataFrame:
 def matching_tags(tagset: DataFrame, patterns: DataFrame) -> DataFrame:
     """Tags of ``tagset`` that one of the ``pattern`` rows matches whole; both are small lists."""
     return tagset.join(patterns, F.expr(r"msd rlike concat('\\A(?:', pattern, ')\\z')"), "left_semi")
+
+
+def lemma_frequencies(lines: DataFrame) -> DataFrame:
+    """``lemma, freq`` of ``lemma freq`` lines (``value``); ~ stands for a blank, empty lines and a byte order mark go."""
+    parts = F.split(T.without_bom(F.col("value")), r"\s")
+    return lines.where("trim(value) <> ''").select(F.replace(F.get(parts, F.lit(0)), F.lit("~"), F.lit(" ")).alias("lemma"), F.get(parts, F.lit(1)).try_cast("int").alias("freq"))
+
+
+def word_lines(lines: DataFrame) -> DataFrame:
+    """``line, tid, form`` of lines of words parted by white space (``line, value``)."""
+    return lines.select("line", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("tid", "form")).where("form <> ''")

@@ -68,7 +68,7 @@ def test_xml_corpus_and_back(spark):
 
 def test_inferred_roles(spark):
     rows = [({"lemma": f"l{i}", "pos": f"p{i % 400}", "rel": f"r{i % 45}", "at": str(i % 12), "id": str(i)},) for i in range(900)]
-    assert tuple(readers.inferred_roles(frame(spark, rows, "features map<string,string>")).first()) == ("lemma", "pos", "rel", "at")
+    assert tuple(readers.inferred_roles(frame(spark, rows, "features map<string,string>")).first()) == (None, "lemma", "pos", "rel", "at")
 
 
 def test_conll(spark):
@@ -185,3 +185,44 @@ def test_units_are_taken_from_the_left(spark):
     rows = frame(spark, [(1, 0, ["in", "the", "of", "the", "And", "x", "of", "the"])], "doc_id long, sid long, forms array<string>")
     got = [(r.tid, r.unit, r.n) for r in lexicon.longest_units(rows, ("of the", "of the and", "the of", "the and")).orderBy("tid").collect()]
     assert got == [(1, "the of", 2), (3, "the and", 2), (6, "of the", 2)]
+
+
+SPANS = "doc_id long, sid long, span_id long, name string, start int, end int, features map<string,string>, prefer_inline boolean"
+
+
+@pytest.mark.parametrize(("mode", "nested", "error"), [("inline", None, True), ("standoff", [], False), ("preserve", ["B", "C"], False), ("optimal", ["A", "C"], False), ("auto", ["B", "C"], False)])
+def test_layout_modes(spark, mode, nested, error):
+    tokens = frame(spark, [(1, 0, k, w, None) for k, w in enumerate("abcd")], "doc_id long, sid long, tid int, form string, features map<string,string>")
+    rows = [(1, 0, 0, "A", 0, 2, None, False), (1, 0, 1, "B", 1, 3, {"k": "v"}, True), (1, 0, 2, "C", 2, 2, None, True)]
+    written = render.corpus_xml(tokens, spark.createDataFrame(rows, SPANS), mode)
+    got = written.first()
+    assert (got.error is not None) == error and (got.xml is None) == error
+    if not error:
+        back = readers.xml_corpus(render.document_xml(written).withColumnRenamed("xml", "text"))
+        held = {(r.name, r.start, r.end): (r.prefer_inline, r.features) for r in back["spans"].collect()}
+        assert set(held) == {("A", 0, 2), ("B", 1, 3), ("C", 2, 2)} and held["B", 1, 3][1] == {"k": "v"}
+        assert sorted(k[0] for k, v in held.items() if v[0]) == nested
+        assert back["errors"].count() == 0
+
+
+def test_index_of_mixed_files(spark, tmp_path):
+    one = "<x><sent><w form='Ana' lemma='ana' pos='N'/><w form='are' lemma='avea' pos='V'/></sent></x>"
+    two = "1\tMere\tmăr\tN\tNc\t_\t0\troot\t_\t_\n\n1\tda\tda\tI\t_\t_\t0\troot\t_\t_\n"
+    bad, empty = "<x><s><w>a</w></s><sentence><w>b</w></sentence></x>", "<x><p>none</p></x>"
+    held = readers.index_files(frame(spark, [(1, one), (2, two), (3, bad), (4, empty), (5, None)], "doc_id long, text string"), f"{tmp_path}/c")
+    assert [(r.doc_id, r.sid, r.tid, r.form, r.lemma) for r in held["tokens"].orderBy("doc_id", "sid", "tid").collect()] == [
+        (1, 0, 0, "Ana", "ana"), (1, 0, 1, "are", "avea"), (2, 0, 0, "Mere", "măr"), (2, 1, 0, "da", "da")]
+    assert {r.doc_id: r.kind for r in held["errors"].collect()} == {3: "format", 4: "format"}
+    assert [(r.doc_id, r.first_tok, r.n_tok) for r in readers.open_corpus(spark, f"{tmp_path}/c")["sentences"].orderBy("doc_id", "sid").collect()] == [(1, 0, 2), (2, 0, 1), (2, 1, 1)]
+
+
+def test_frequency_and_word_lines(spark):
+    got = readers.lemma_frequencies(frame(spark, [("\ufeffa~b 12",), ("",), ("c 3",)], "value string")).collect()
+    assert [tuple(r) for r in got] == [("a b", 12), ("c", 3)]
+    assert [r.form for r in readers.word_lines(frame(spark, [(0, " un  om ")], "line long, value string")).collect()] == ["un", "om"]
+
+
+def test_tagged_outputs(spark):
+    tokens = frame(spark, [(1, 0, 1, "x", "x", "N", None), (1, 0, 0, "de la", "de", "S", "e")], "doc_id long, sid long, tid int, form string, lemma string, postag string, extra string")
+    assert render.tagged_text(tokens).first().value == "de~la_de_S_e x_x_N"
+    assert render.tagged_json(tokens).first().value == '[{"WORD":"de la","Lemma":"de","MSD":"S"},{"WORD":"x","Lemma":"x","MSD":"N"}]'
