@@ -37,6 +37,13 @@ def numbered(tokens: DataFrame) -> DataFrame:
     return tokens.join(starts, ["doc_id", "sid"]).withColumn("gtid", F.col("first_tok") + F.col("tid")).drop("first_tok")
 
 
+def sentence_starts(sentences: DataFrame) -> DataFrame:
+    """``doc_id, sid, first_tok, n_tok``: the number in its document of each nested sentence's first token. One row a sentence is shuffled, no token."""
+    sizes = sentences.select("doc_id", "sid", F.size("forms").cast("long").alias("n_tok")).where("n_tok > 0")
+    before = F.sum("n_tok").over(Window.partitionBy("doc_id").orderBy("sid")) - F.col("n_tok")
+    return sizes.select("doc_id", "sid", before.alias("first_tok"), "n_tok")
+
+
 def appended(corpus: DataFrame, more: DataFrame) -> DataFrame:
     """Two sentence tables as one; in each document the second one's sentences follow the first one's."""
     ends = corpus.groupBy("doc_id").agg((F.max("sid") + 1).alias("shift"))
@@ -137,3 +144,9 @@ def shifted(flags: DataFrame, column: str, by: int) -> Column:
     """The flag of the token ``by`` places before (after, if negative) in the same sentence; false beyond its ends."""
     w = Window.partitionBy("doc_id", "sid").orderBy("tid")
     return F.lag(column, by, False).over(w) if by >= 0 else F.lead(column, -by, False).over(w)
+
+
+def shifted_in(flags: Column, by: int) -> Column:
+    """The same on a sentence's own array of flags, without a shuffle."""
+    beyond = F.array_repeat(F.lit(False), abs(by))
+    return F.slice(F.concat(beyond, flags), F.lit(1), F.size(flags)) if by >= 0 else F.slice(F.concat(flags, beyond), F.lit(1 - by), F.size(flags))

@@ -118,8 +118,7 @@ def token_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def global_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = corpus.numbered(_tokens(spark, sf_dir))
-    return found.groupBy("doc_id", "sid").agg(F.min("gtid").cast("long").alias("first_tok"), F.count(F.lit(1)).alias("n_tok"))
+    return corpus.sentence_starts(_nested(spark, sf_dir))
 
 
 def key_words_in_context(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,8 +405,11 @@ def tag_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def position_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boolean algebra on sets of positions: capitalised, long, and right after a sign."""
-    f = _tokens(spark, sf_dir).select("doc_id", "sid", "tid", F.col("form").rlike(r"\A\p{Lu}").alias("a"), (F.length("form") > 5).alias("b"), (~F.col("form").rlike(r"\A[\p{L}\p{N}]")).alias("s"))
-    f = f.withColumn("after", corpus.shifted(f, "s", 1))
+    flags = lambda test: F.transform("forms", test)
+    f = _nested(spark, sf_dir).select(
+        "doc_id", flags(lambda w: w.rlike(r"\A\p{Lu}")).alias("a"), flags(lambda w: F.length(w) > 5).alias("b"), flags(lambda w: ~w.rlike(r"\A[\p{L}\p{N}]")).alias("s")
+    )
+    f = f.select("doc_id", F.arrays_zip("a", "b", corpus.shifted_in(F.col("s"), 1).alias("after")).alias("z")).select("doc_id", F.explode("z").alias("z")).select("doc_id", "z.*")
     a, b, c = F.col("a"), F.col("b"), F.col("after")
     return f.groupBy("doc_id").agg(F.count_if(a & b).alias("n_and"), F.count_if(a | b).alias("n_or"), F.count_if(a != b).alias("n_xor"), F.count_if(a & ~b).alias("n_andnot"), F.count_if(~a).alias("n_not"), F.count_if(c).alias("n_shifted"))
 

@@ -226,3 +226,12 @@ def test_tagged_outputs(spark):
     tokens = frame(spark, [(1, 0, 1, "x", "x", "N", None), (1, 0, 0, "de la", "de", "S", "e")], "doc_id long, sid long, tid int, form string, lemma string, postag string, extra string")
     assert render.tagged_text(tokens).first().value == "de~la_de_S_e x_x_N"
     assert render.tagged_json(tokens).first().value == '[{"WORD":"de la","Lemma":"de","MSD":"S"},{"WORD":"x","Lemma":"x","MSD":"N"}]'
+
+
+@pytest.mark.parametrize("by", [-2, -1, 0, 1, 2, 9, -9])
+def test_shifts_in_rows_equal_shifts_over_rows(spark, by):
+    nested = frame(spark, [(1, 0, [True, False, True, True]), (1, 1, [False]), (1, 2, [])], "doc_id long, sid long, f array<boolean>")
+    flat = nested.select("doc_id", "sid", F.posexplode("f").alias("tid", "x"))
+    want = sorted((r.sid, r.tid, r.s) for r in flat.withColumn("s", corpus.shifted(flat, "x", by)).collect())
+    got = sorted((r.sid, r.tid, r.s) for r in nested.select("sid", F.posexplode(corpus.shifted_in(F.col("f"), by)).alias("tid", "s")).collect())
+    assert got == want
