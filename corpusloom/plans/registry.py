@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import tags
 from ..functions import text as T
-from ..operators import corpus, evaluation, lexicon, predicates, spans
+from ..operators import corpus, evaluation, lexicon, predicates, spans, tagging
 from . import grammar
 
 FLAGSHIP = "grammar_matches"
@@ -378,6 +379,28 @@ def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sentences(spark, sf_dir).select("doc_id", "sid", F.posexplode(T.words(F.col("text"))).alias("tid", "form"))
 
 
+def described_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made-up noun tags by their words' form, told in both languages."""
+    w = F.col("word")
+    pick = lambda test, yes, no: F.when(test, yes).otherwise(no)
+    tag = F.concat(F.lit("Nc"), pick(F.length(w) % 2 == 0, "f", "m"), pick(w.endswith("s"), "p", "s"), pick(F.length(w) % 3 == 0, "o", "r"), pick(w.endswith("e"), "-", "y"))
+    shown = lambda language: F.array_join(F.transform(F.map_entries(tags.described(F.col("tag"), language)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return _entries(spark, sf_dir).select("word", tag.alias("tag")).select("word", shown("en").alias("en"), shown("ro").alias("ro"))
+
+
+#: After "the" a word is no verb but a noun; after such a noun it is no noun.
+RULES = [tagging.Rule(("<+WORD=the>", "<+/msd[0-9]+/=Nc>"), 1, "N.*"), tagging.Rule(("<+msd0=Nc -msd1=Vm>", "<+/msd[0-9]+/=Vm>"), 1, "N.*", keep=False)]
+
+
+def ruled_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of lower-case words, noun and verb, after rules."""
+    held = lambda *found: F.array(*(F.struct(F.lit(t).alias("msd"), F.lit("x").alias("lemma")) for t in found))
+    token = lambda w: F.struct(w.alias("form"), F.lit(True).alias("in_dict"), F.when(w.rlike(r"\A\p{Ll}"), held("Nc", "Vm")).otherwise(held("Xx")).alias("candidates"))
+    left = tagging.ruled(_nested(spark, sf_dir).select("doc_id", F.transform("forms", token).alias("tokens")), RULES)
+    kinds = left.select("doc_id", F.explode("tokens").alias("t")).select("doc_id", F.array_join(F.col("t.candidates.msd"), "").alias("k"))
+    return kinds.groupBy("doc_id").agg(F.count_if(F.col("k") == "Nc").alias("nouns"), F.count_if(F.col("k") == "Vm").alias("verbs"), F.count_if(F.col("k") == "NcVm").alias("open"))
+
+
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with a gold tag (by their case) and a found one (by their length), and how many entries they have."""
     gold = F.when(F.col("form").rlike(r"\A\p{Lu}"), "Np").otherwise("Nc")
@@ -526,6 +549,15 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "suffix_counts": (suffix_counts, f"WITH {TOK_SQL} SELECT right(lower(form), k) AS suffix, COUNT(*) AS n FROM tok, UNNEST([1, 2, 3]) AS u(k) WHERE length(form) > k GROUP BY 1"),
     "segmented_sentences": (segmented_sentences, None),
     "word_tokens": (word_tokens, None),
+    "described_tags": (described_tags, f"""WITH {ENTRIES_SQL}, t AS (SELECT word, length(word) % 2 = 0 AS f, word LIKE '%s' AS p, length(word) % 3 = 0 AS o, word LIKE '%e' AS e FROM entries),
+        m AS (SELECT *, 'Nc' || CASE WHEN f THEN 'f' ELSE 'm' END || CASE WHEN p THEN 'p' ELSE 's' END || CASE WHEN o THEN 'o' ELSE 'r' END || CASE WHEN e THEN '-' ELSE 'y' END AS tag FROM t)
+        SELECT word, 'Case=' || CASE WHEN o THEN 'oblique' ELSE 'direct' END || CASE WHEN e THEN '' ELSE ';Definiteness=yes' END || ';Gender=' || CASE WHEN f THEN 'feminine' ELSE 'masculine' END || ';MSD=' || tag
+                 || ';Number=' || CASE WHEN p THEN 'plural' ELSE 'singular' END || ';POS=NOUN;Type=common' AS en,
+               CASE WHEN e THEN '' ELSE 'Articol=hotărât;' END || 'Caz=' || CASE WHEN o THEN 'oblic' ELSE 'direct' END || ';Gen=' || CASE WHEN f THEN 'feminin' ELSE 'masculin' END || ';MSD=' || tag
+                 || ';Număr=' || CASE WHEN p THEN 'plural' ELSE 'singular' END || ';POS=Substantiv;Tip=comun' AS ro FROM m"""),
+    "ruled_tags": (ruled_tags, rf"""WITH {TOK_SQL}, k AS (SELECT doc_id, regexp_matches(form, '^\p{{Ll}}') AS low, lag(form, 1) OVER w AS p, lag(form, 2) OVER w AS pp FROM tok WINDOW w AS (PARTITION BY doc_id, sid ORDER BY tid)),
+        n AS (SELECT doc_id, low, COALESCE(p = 'the', false) AS noun, COALESCE(pp = 'the' AND regexp_matches(p, '^\p{{Ll}}'), false) AS verb FROM k)
+        SELECT doc_id, COUNT(*) FILTER (low AND noun) AS nouns, COUNT(*) FILTER (low AND NOT noun AND verb) AS verbs, COUNT(*) FILTER (low AND NOT noun AND NOT verb) AS "open" FROM n GROUP BY doc_id"""),
     "tag_accuracy": (tag_accuracy, f"""WITH {TAGGED_SQL}, c AS (SELECT COUNT(*) AS total, COUNT(*) FILTER (n_entries = 1) AS unambiguous, COUNT(*) FILTER (n_entries = 0) AS guesses,
         COUNT(*) FILTER (good) AS correct, COUNT(*) FILTER (good AND n_entries = 0) AS correct_guesses FROM judged) SELECT *, 100.0 * correct::DOUBLE / total AS percent, 100.0 * correct_guesses::DOUBLE / guesses AS percent_guesses FROM c"""),
     "tag_failures_by_word": (tag_failures_by_word, f"WITH {TAGGED_SQL} SELECT lower(form) AS word, COUNT(*) AS total, COUNT(*) FILTER (NOT good) AS failed FROM judged GROUP BY 1"),
