@@ -172,3 +172,29 @@ def enriched(entries: DataFrame) -> DataFrame:
     whole = entries.unionByName(more).distinct()
     clitic = whole.where((F.length("word") > 2) & F.col("word").startswith("î")).withColumn("word", F.concat(F.lit("-"), F.expr("substr(word, 2)")))
     return whole.unionByName(clitic).distinct()
+
+
+#: What an adjective's tag becomes where it is a participle.
+PARTICIPLES = {
+    "Afpfsrn": "Vmp--sf----r", "Afpfprn": "Vmp--pf", "Afpmsrn": "Vmp--sm", "Afpmprn": "Vmp--pm",
+    "Afpfson": "Vmp--sf----o", "Afpfpon": "Vmp--pf", "Afpmson": "Vmp--sm", "Afpmpon": "Vmp--pm",
+}
+
+
+def participles(entries: DataFrame, retag: bool = False) -> DataFrame:
+    """Entries whose adjectives (Afp) are marked where their lemma has a form (Afpmsrn) that is also a participle (Vmp).
+
+    The mark names the participle's lemma in ``extra``, once; with ``retag`` the entries take the participle's tag and lemma instead. Of several
+    participles the least lemma counts. Other entries, and those with a null lemma, stay as they are.
+    """
+    verbs = entries.where(F.col("msd").startswith("Vmp")).groupBy("word").agg(F.min("lemma").alias("verb"))
+    found = entries.where(F.col("msd").startswith("Afpmsrn")).join(verbs, "word").groupBy("lemma").agg(F.min("verb").alias("verb"))
+    held = entries.join(found, "lemma", "left")
+    if retag:
+        tags = F.create_map(*(F.lit(x) for pair in PARTICIPLES.items() for x in pair))
+        tag = F.when(F.col("verb").isNotNull(), F.try_element_at(tags, F.col("msd")))
+        return held.withColumn("lemma", F.when(tag.isNotNull(), F.col("verb")).otherwise(F.col("lemma"))).withColumn("msd", F.coalesce(tag, "msd")).select(entries.columns)
+    own = F.coalesce(F.trim("extra"), F.lit(""))
+    mark = F.concat(own, F.when(own != "", "|").otherwise(""), F.lit("ParticipleLemma:"), F.col("verb"))
+    wanted = F.col("verb").isNotNull() & F.col("msd").startswith("Afp") & ~own.contains("ParticipleLemma")
+    return held.withColumn("extra", F.when(wanted, mark).otherwise(F.col("extra"))).select(entries.columns)

@@ -297,6 +297,14 @@ def enriched_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.enriched(_entries(spark, sf_dir).withColumn("msd", tag)).select(lexicon.ENTRY)
 
 
+def participle_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nouns read as adjectives, half of the words as participles too: the adjectives' tags and lemmas follow."""
+    held = _entries(spark, sf_dir)
+    tag = F.when(F.col("msd") == "Ncmsrn", "Afpmsrn").when(F.col("msd") == "Ncfpry", "Afpfprn").otherwise(F.col("msd"))
+    verbs = held.where("length(word) % 2 = 0").withColumn("msd", F.lit("Vmp")).withColumn("lemma", F.concat("lemma", F.lit("a")))
+    return lexicon.participles(held.withColumn("msd", tag).unionByName(verbs), retag=True).select(lexicon.ENTRY)
+
+
 def corrected_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags with a place left open and the next one shifted, corrected by half of the dictionary."""
     held = _entries(spark, sf_dir)
@@ -526,6 +534,11 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
           UNION SELECT CASE WHEN word LIKE '%ă' OR word LIKE '%ie' THEN left(word, length(word) - 1) ELSE word END || 'o', 'Ncfsvy', lemma FROM e WHERE msd = 'Ncfsrn'
           UNION SELECT word || 'e', 'Ncmsvy', lemma FROM e WHERE msd = 'Ncmsry' AND lemma <> word)
         SELECT word, msd, lemma FROM w UNION SELECT '-' || substr(word, 2), msd, lemma FROM w WHERE length(word) > 2 AND word LIKE 'î%'"""),
+    "participle_entries": (participle_entries, f"""WITH {ENTRIES_SQL}, e AS (SELECT word, CASE msd WHEN 'Ncmsrn' THEN 'Afpmsrn' WHEN 'Ncfpry' THEN 'Afpfprn' ELSE msd END AS msd, lemma FROM entries
+        UNION ALL SELECT word, 'Vmp', lemma || 'a' FROM entries WHERE length(word) % 2 = 0),
+        p AS (SELECT a.lemma, MIN(b.lemma) AS verb FROM e a JOIN e b ON a.word = b.word WHERE a.msd = 'Afpmsrn' AND b.msd = 'Vmp' GROUP BY a.lemma)
+        SELECT e.word, CASE WHEN verb IS NULL THEN msd WHEN msd = 'Afpmsrn' THEN 'Vmp--sm' WHEN msd = 'Afpfprn' THEN 'Vmp--pf' ELSE msd END AS msd,
+               CASE WHEN verb IS NOT NULL AND msd LIKE 'Afp%' THEN verb ELSE e.lemma END AS lemma FROM e LEFT JOIN p ON e.lemma = p.lemma"""),
     "corrected_tags": (corrected_tags, f"""WITH {ENTRIES_SQL}, asked AS (SELECT DISTINCT word, left(msd, 2) || '-' || substr(msd, 4) AS msd, {_key_sql("word")} AS key FROM entries),
         half AS (SELECT DISTINCT {_key_sql("word")} AS key, msd AS tag FROM entries WHERE length(word) % 2 = 0), tagset AS (SELECT DISTINCT msd AS tag FROM entries),
         cand AS (SELECT word, a.msd, h.tag FROM asked a JOIN half h ON a.key = h.key UNION ALL SELECT word, a.msd, t.tag FROM asked a, tagset t WHERE a.key NOT IN (SELECT key FROM half)),

@@ -1,7 +1,7 @@
 import pytest
 
 from corpusloom.functions import tags
-from corpusloom.operators import corpus, tagging
+from corpusloom.operators import corpus, lexicon, tagging
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
@@ -47,3 +47,11 @@ def test_model_learns_keeps_to_candidates_and_survives_a_file(spark, tmp_path):
     frame = corpus.context(spark.createDataFrame(asked, "doc_id long, sid long, tid int, form string, candidates array<string>"))
     found = [r.tag for r in tagging.tagged(frame, held).orderBy("sid").collect()]
     assert found == ["V", "N", "V", "V", "Z"]
+
+
+def test_participles_are_marked_once(spark):
+    rows = [("dus", "Afpmsrn", "dus", None), ("dus", "Vmp", "duce", None), ("dusă", "Afpfsrn", "dus", " x "), ("duși", "Afpmprn", "dus", "ParticipleLemma:y"), ("bun", "Afpmsrn", "bun", None), ("da", "Qz", None, None)]
+    held = spark.createDataFrame(rows, "word string, msd string, lemma string, extra string")
+    assert {r.word: r.extra for r in lexicon.participles(held).where("msd <> 'Vmp'").collect()} == {"dus": "ParticipleLemma:duce", "dusă": "x|ParticipleLemma:duce", "duși": "ParticipleLemma:y", "bun": None, "da": None}
+    again = {(r.word, r.msd, r.lemma) for r in lexicon.participles(held, retag=True).collect()}
+    assert again == {("dus", "Vmp--sm", "duce"), ("dus", "Vmp", "duce"), ("dusă", "Vmp--sf----r", "duce"), ("duși", "Vmp--pm", "duce"), ("bun", "Afpmsrn", "bun"), ("da", "Qz", None)}
