@@ -4,7 +4,7 @@ A grammar is a set of graphs whose nodes hold token conditions; the order of a n
 are leftmost and do not overlap; of the paths from a start, the first that reaches the end counts, as in a backtracking regular
 expression. So a grammar whose only loops are at single nodes is compiled to one: each token's truth vector is one
 symbol, each clause a class of symbols, and the matches of a sentence come from one ``regexp_extract_all`` inside the plan.
-Grammars with recursion, wider loops or more conditions than symbols allow go through a small matcher per sentence.
+Grammars with recursion, wider loops, spans as symbols, cross references or more conditions than symbols allow go through a small matcher per sentence.
 """
 
 from __future__ import annotations
@@ -25,8 +25,11 @@ from ..operators.predicates import Clause, clause_column, parse_clauses, with_ma
 FIRST_SYMBOL, MOST_CLAUSES = 0xE000, 12
 #: Stands around matches; no symbol.
 MARK = "\uf8ff"
-EMPTY = ("<E>", "<<E>>")
+EMPTY = ("<E>", "<<E>>", "<X>", "<<X>>")
 LOOK = {"?=": "(?=", "?!": "(?!", "?<=": "(?<=", "?<!": "(?<!"}
+#: Marks of what must hold, or must not hold, at some token of the sentence.
+CROSS = ("=>", "!=>")
+ASSERTIONS = (*LOOK, *CROSS)
 
 
 class GrammarError(ValueError):
@@ -51,7 +54,7 @@ class UnknownGraphError(GrammarError):
 
 @dataclass
 class Node:
-    """``code``: conditions, ``<E>`` (nothing), ``:Graph`` (a call), or a look-around mark before conditions."""
+    """``code``: conditions, ``<E>`` (nothing), ``<X>`` (the end), ``:Graph`` (a call), or an assertion's mark before conditions or ``:Graph``."""
 
     code: str
     children: list[int] = field(default_factory=list)
@@ -115,15 +118,15 @@ def save(grammar: Grammar) -> str:
 
 
 def _parts(grammar: Grammar, node: Node) -> tuple[str, str]:
-    """A node's kind (empty, call, a look-around mark, or token) and what it holds."""
+    """A node's kind (empty, call, an assertion's mark, or token) and what it holds."""
     code = with_macros(node.code, grammar.macros).strip()
     if not code or code in EMPTY or code.startswith("//"):
         return "empty", ""
     if code.startswith(":"):
         return "call", code[1:].strip()
-    for mark in sorted(LOOK, key=len, reverse=True):
+    for mark in sorted(ASSERTIONS, key=len, reverse=True):
         if code.startswith(mark):
-            return mark, code[len(mark) :]
+            return mark, code[len(mark) :].strip()
     return "token", code
 
 
@@ -133,27 +136,42 @@ def clauses_of(grammar: Grammar) -> list[Clause]:
     for graph in grammar.graphs.values():
         for number, node in graph.nodes.items():
             kind, code = _parts(grammar, node)
-            if number != graph.end and kind not in ("empty", "call"):
+            if number != graph.end and kind not in ("empty", "call") and not code.startswith(":"):
                 found |= dict.fromkeys(parse_clauses(code))
-    if any(c.span for c in found):
-        raise GrammarError("span clauses are matched by joining spans, not inside a grammar")
     return list(found)
 
 
 def check(grammar: Grammar) -> None:
-    """Static checks: calls have a graph, no loop consumes nothing, no graph calls itself at its start, the main graph consumes a token."""
-    for graph in grammar.graphs.values():
+    """Static checks: calls have a graph, no loop consumes nothing, no graph calls itself at its start or asserts itself, the main graph consumes a token."""
+    asserted: set[str] = set()
+    named: dict[str, set[str]] = {}
+    for name, graph in grammar.graphs.items():
+        named[name] = set()
         for node in graph.nodes.values():
             kind, code = _parts(grammar, node)
-            if kind == "call" and code not in grammar.graphs:
-                raise UnknownGraphError(code)
+            called = code if kind == "call" else code[1:].strip() if kind in ASSERTIONS and code.startswith(":") else None
+            if called is not None:
+                if called not in grammar.graphs:
+                    raise UnknownGraphError(called)
+                named[name].add(called)
+                if kind != "call":
+                    asserted.add(f"{name}\0{called}")
             if any(c not in graph.nodes for c in node.children):
                 raise GrammarError("a child that does not exist")
+    for pair in asserted:
+        name, called = pair.split("\0")
+        seen, todo = set(), [called]
+        while todo:
+            if (at := todo.pop()) not in seen:
+                seen.add(at)
+                todo += named[at]
+        if name in seen:
+            raise LeftRecursionError(f"{name} asserts a graph that leads back to it")
     empty: set[str] = set()
 
     def free(graph: Graph, number: int) -> bool:
         kind, code = _parts(grammar, graph.nodes[number])
-        return kind == "empty" or kind in LOOK or kind == "call" and code in empty
+        return kind == "empty" or kind in ASSERTIONS or kind == "call" and code in empty
 
     grown = True
     while grown:
@@ -253,7 +271,10 @@ def to_regex(grammar: Grammar, clauses: list[Clause], most: int = 200_000) -> st
                 return held[number]
             node = graph.nodes[number]
             kind, code = _parts(grammar, node)
-            own = "" if kind == "empty" else of(code, (*calls, name)) if kind == "call" else _class(grammar, code, clauses)
+            inner = code[1:].strip() if kind in ASSERTIONS and code.startswith(":") else code if kind == "call" else None
+            if kind in CROSS or inner is not None and kind in ("?<=", "?<!"):
+                return None
+            own = "" if kind == "empty" else _class(grammar, code, clauses) if inner is None else of(inner, (*calls, name))
             if own is None:
                 return None
             if kind in LOOK:
@@ -277,7 +298,7 @@ def to_regex(grammar: Grammar, clauses: list[Clause], most: int = 200_000) -> st
 
         return rest(graph.start, ())
 
-    return of(grammar.main, ()) if len(clauses) <= MOST_CLAUSES else None
+    return of(grammar.main, ()) if len(clauses) <= MOST_CLAUSES and not any(c.span for c in clauses) else None
 
 
 # --- matching --------------------------------------------------------------------------------
@@ -285,19 +306,21 @@ def to_regex(grammar: Grammar, clauses: list[Clause], most: int = 200_000) -> st
 
 def match(
     sentences: DataFrame, grammar: Grammar, features: str = "features", limit: int = 0, force_matcher: bool = False,
-    of: Callable[[Column], dict[str, Column]] | None = None, keep: tuple[str, ...] = (), anchor: str | None = None,
+    of: Callable[[Column], dict[str, Column]] | None = None, keep: tuple[str, ...] = (), anchor: str | None = None, spans: str | None = None,
 ) -> DataFrame:
     """``doc_id, sid, start, len``: the leftmost non-overlapping matches of each sentence.
 
     ``sentences`` holds one row a sentence with an array of feature maps (or of values that ``of`` makes attributes from), so there is no
     shuffle. ``limit`` bounds the tokens of a match (0: none); ``keep`` names columns of the sentence that stay beside each match. With ``anchor``, a column
     of token numbers, only the match that starts at that token is asked for. A start counts once whatever its paths; the symbols are computed once a sentence.
+    ``spans`` names a column of spans (``with_spans``): a clause ``<Name ...>`` then consumes the longest such span that starts at the token.
+    Assertions at a token outside the sentence hold only if negative.
     """
     check(grammar)
     clauses = clauses_of(grammar)
     pattern = None if limit or force_matcher else to_regex(grammar, clauses)
     if pattern is None:
-        return _match_each(sentences, grammar, clauses, features, limit, of, keep, anchor)
+        return _match_each(sentences, grammar, clauses, features, limit, of, keep, anchor, spans)
     sym = sentences.select("doc_id", "sid", *keep, *([F.col(anchor).alias("at_token")] if anchor else []), symbols(clauses, features, of).alias("sym"))
     return tiled(sym, pattern, keep, "at_token" if anchor else None)
 
@@ -321,49 +344,98 @@ def tiled(sym: DataFrame, pattern: str, keep: tuple[str, ...] = (), anchor: str
     return found.select("doc_id", "sid", *keep, "m.start", "m.len")
 
 
-def _match_each(sentences: DataFrame, grammar: Grammar, clauses: list[Clause], features: str, limit: int, of, keep: tuple[str, ...], anchor: str | None) -> DataFrame:
+def with_spans(sentences: DataFrame, spans: DataFrame) -> DataFrame:
+    """Sentences with their ``spans`` as a column: an array of ``name, start, end, features``, empty where there are none."""
+    has = F.col("features") if "features" in spans.columns else F.lit(None).cast("map<string,string>")
+    one = F.struct(F.col("name"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), has.alias("features"))
+    held = spans.groupBy("doc_id", "sid").agg(F.collect_list(one).alias("spans"))
+    kind = "array<struct<name:string,start:int,end:int,features:map<string,string>>>"
+    return sentences.join(held, ["doc_id", "sid"], "left").withColumn("spans", F.coalesce("spans", F.array().cast(kind)))
+
+
+def _match_each(
+    sentences: DataFrame, grammar: Grammar, clauses: list[Clause], features: str, limit: int, of, keep: tuple[str, ...], anchor: str | None, spans: str | None
+) -> DataFrame:
     """The matcher for what is no regular expression: backtracking over an explicit stack, a sentence at a time."""
+    of_spans = [b for b, c in enumerate(clauses) if c.span]
+    if of_spans and spans is None:
+        raise GrammarError("span clauses need a column of spans")
     names = None if of is None else list(of(F.lit("")))
     opened = F.col(features) if of is None else F.transform(features, lambda w: F.struct(*(of(w)[n].alias(n) for n in names)))
-    truth = F.transform(opened, lambda t: F.array(*(clause_column(c, t if of is None else {n: t[n] for n in names}) for c in clauses)))
-    vectors = sentences.select("doc_id", "sid", *keep, truth.alias("truth"), (F.col(anchor) if anchor else F.lit(None)).cast("int").alias("at_token"))
-    plan = {name: (g.start, g.end, {k: (*_parts(grammar, n), tuple(n.children)) for k, n in g.nodes.items()}) for name, g in grammar.graphs.items()}
-    bits = {code: [clauses.index(c) for c in parse_clauses(code)] for _, _, nodes in plan.values() for kind, code, _ in nodes.values() if kind == "token" or kind in LOOK}
-
-    def first_end(truth: list, at: int, most: int) -> int:
-        """Where the first path in the order of priority ends that consumes a token; ``at`` without one.
-
-        The stack holds what is still to be tried: a graph, a node, a position, and the calls to return to as linked pairs.
+    truth = F.transform(opened, lambda t: F.array(*(F.lit(False) if c.span else clause_column(c, t if of is None else {n: t[n] for n in names}) for c in clauses)))
+
+    def held_by(b: int) -> Column:
+        wanted = lambda x: (x["name"] == clauses[b].span) & clause_column(clauses[b], x["features"])
+        return F.transform(F.filter(spans, wanted), lambda x: F.array(F.lit(b), x["start"].cast("int"), x["end"].cast("int")))
+
+    covered = F.flatten(F.array(*map(held_by, of_spans))) if of_spans else F.array().cast("array<array<int>>")
+    token = (F.col(anchor) if anchor else F.lit(None)).cast("int")
+    vectors = sentences.select("doc_id", "sid", *keep, truth.alias("truth"), covered.alias("covered"), token.alias("at_token"))
+    parts = {name: {k: _parts(grammar, n) for k, n in g.nodes.items()} for name, g in grammar.graphs.items()}
+    bits = {code: [clauses.index(c) for c in parse_clauses(code)] for g in parts.values() for kind, code in g.values() if kind not in ("empty", "call") and not code.startswith(":")}
+    # By direction: where a graph is entered and left, the node without a code, and what follows each node.
+    plan: dict[bool, dict] = {False: {}, True: {}}
+    for name, g in grammar.graphs.items():
+        before = {k: tuple(p for p, n in g.nodes.items() if k in n.children) for k in g.nodes}
+        plan[False][name] = (g.start, g.end, g.end, {k: (*parts[name][k], tuple(n.children)) for k, n in g.nodes.items()})
+        plan[True][name] = (g.end, g.start, g.end, {k: (*parts[name][k], before[k]) for k in g.nodes})
+
+    def consumed(held: tuple, code: str, k: int, back: bool) -> int:
+        """How many tokens the first clause that holds takes from the boundary ``k`` on, or before it; 0 if none holds."""
+        truth, by_start, by_end, _ = held
+        at = k - 1 if back else k
+        if not 0 <= at < len(truth):
+            return 0
+        return next((n for b in bits[code] if (n := int(truth[at][b]) or (by_end if back else by_start).get((b, at), 0))), 0)
+
+    def asserted(held: tuple, kind: str, code: str, k: int) -> bool:
+        truth, known, back, negative = held[0], held[3], "<" in kind, "!" in kind
+        if not 0 <= (k - 1 if back else k) < len(truth):
+            return negative
+        key = (kind, code) if kind in CROSS else (kind, code, k)
+        if key not in known:
+            places = range(len(truth)) if kind in CROSS else (k,)
+            if code.startswith(":"):
+                found = any(True for p in places for _ in accepted(held, code[1:].strip(), p, len(truth), back))
+            else:
+                found = any(consumed(held, code, p, back) for p in places)
+            known[key] = found != negative
+        return known[key]
+
+    def accepted(held: tuple, graph: str, at: int, most: int, back: bool = False) -> Iterator[int]:
+        """The boundaries at which paths from ``at`` end, in the order of priority.
+
+        The stack holds what is still to be tried: a graph, a node, a boundary, the calls to return to as linked triples, and whether the node is passed.
         """
-        holds = lambda code, k: 0 <= k < len(truth) and any(truth[k][b] for b in bits[code])
-        main = grammar.main
-        todo = [(main, plan[main][0], at, None)]
+        todo = [(graph, plan[back][graph][0], at, None, False)]
         while todo:
-            name, number, k, calls = todo.pop()
-            _, end, nodes = plan[name]
-            kind, code, children = nodes[number]
-            if number != end:
+            name, number, k, calls, passed = todo.pop()
+            _, last, bare, nodes = plan[back][name]
+            kind, code, after = nodes[number]
+            if not passed and number != bare:
                 if kind == "call":
-                    todo.append((code, plan[code][0], k, (name, children, calls)))
+                    todo.append((code, plan[back][code][0], k, (name, number, calls), False))
                     continue
-                if kind in LOOK:
-                    if holds(code, k - 1 if "<" in kind else k) != ("!" not in kind):
+                if kind in ASSERTIONS:
+                    if not asserted(held, kind, code, k):
                         continue
-                elif kind != "empty":
-                    if k >= most or not holds(code, k):
+                elif kind == "token":
+                    size = consumed(held, code, k, back)
+                    if not size or not back and k + size > most:
                         continue
-                    k += 1
-                if children:
-                    todo += [(name, c, k, calls) for c in reversed(children)]
-                    continue
-            # The end, or a node that leads nowhere, which accepts in the main graph.
-            if calls is not None:
-                if number == end:
-                    back, after, calls = calls
-                    todo += [(back, c, k, calls) for c in reversed(after)]
-            elif k > at:
-                return k
-        return at
+                    k += -size if back else size
+            further = [] if number == last and not back else [(name, c, k, calls, False) for c in reversed(after)]
+            todo += further
+            # Left, or a node that leads nowhere, which accepts in the outermost graph.
+            if number == last or not further and calls is None and not back:
+                if calls is None:
+                    yield k
+                else:
+                    todo.append((calls[0], calls[1], k, calls[2], True))
+
+    def first_end(held: tuple, at: int, most: int) -> int:
+        """Where the first path ends that consumes a token; ``at`` without one."""
+        return next((k for k in accepted(held, grammar.main, at, most) if k > at), at)
 
     kept = [sentences.schema[c] for c in keep]
     schema = StructType([StructField("doc_id", LongType()), StructField("sid", LongType()), *kept, StructField("start", IntegerType()), StructField("len", IntegerType())])
@@ -371,11 +443,16 @@ def _match_each(sentences: DataFrame, grammar: Grammar, clauses: list[Clause], f
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, sid, *own, truth, token in batch.itertuples(index=False, name=None):
+            for doc, sid, *own, truth, covered, token in batch.itertuples(index=False, name=None):
+                by_start, by_end = {}, {}
+                for b, start, end in covered:
+                    by_start[b, start] = max(by_start.get((b, start), 0), end - start + 1)
+                    by_end[b, end] = max(by_end.get((b, end), 0), end - start + 1)
+                held = (truth, by_start, by_end, {})
                 anchored = token is not None and token == token
                 at, past = (int(token), int(token) + 1) if anchored else (0, len(truth))
                 while at < min(past, len(truth)):
-                    stop = first_end(truth, at, at + limit if limit else len(truth))
+                    stop = first_end(held, at, at + limit if limit else len(truth))
                     if stop > at:
                         rows.append((doc, sid, *own, at, stop - at))
                     at = max(stop, at + 1)

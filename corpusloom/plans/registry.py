@@ -103,6 +103,19 @@ def look_ahead_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir, grammar.Grammar({"Main": grammar.sequence("<+kind=low>", "?=<+kind=sign>", "?!<+WORD=.>")}))
 
 
+def span_clause_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole PHRASE span, then a lower-case word."""
+    held = grammar.with_spans(_nested(spark, sf_dir), _phrases(spark, sf_dir))
+    wanted = grammar.Grammar({"Main": grammar.sequence("<PHRASE>", "<+kind=low>")})
+    return grammar.match(held, wanted, "forms", of=_attributes, spans="spans")
+
+
+def cross_reference_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised words of the sentences that hold a number before some sign."""
+    graphs = {"Main": grammar.sequence("=>:Figure", "<+kind=cap>"), "Figure": grammar.sequence("<+kind=num>", "<+kind=sign>")}
+    return _matched(spark, sf_dir, grammar.Grammar(graphs))
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir).select("doc_id", "sid", F.col("tid").cast("long"), "form")
 
@@ -485,6 +498,10 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         SELECT doc_id, sid, 1 AS start, length(m)::INT AS len FROM s WHERE m <> ''"""),
     "look_ahead_matches": (look_ahead_matches, rf"""WITH {TOK_SQL}, n AS (SELECT *, lead(form) OVER (PARTITION BY doc_id, sid ORDER BY tid) AS nxt FROM tok)
         SELECT doc_id, sid, tid::INT AS start, 1 AS len FROM n WHERE regexp_matches(form, '^\p{{Ll}}') AND NOT regexp_matches(nxt, '^(\p{{Lu}}|\p{{Ll}}|\p{{N}})') AND nxt <> '.'"""),
+    "span_clause_matches": (span_clause_matches, f"""WITH {PHRASE_SQL}
+        SELECT p.doc_id, p.sid, start, len + 1 AS len FROM phrases p JOIN sym s ON p.doc_id = s.doc_id AND p.sid = s.sid WHERE substr(sym, start + len + 1, 1) = 'L'"""),
+    "cross_reference_matches": (cross_reference_matches, f"""WITH {PHRASE_SQL}
+        SELECT doc_id, sid, (i - 1)::INT AS start, 1 AS len FROM sym, UNNEST(range(1, length(sym) + 1)) AS u(i) WHERE contains(sym, 'NS') AND sym[i] = 'U'"""),
     "covered_tokens": (covered_tokens, f"""WITH {PHRASE_SQL} SELECT doc_id, 'PHRASE' AS name, SUM(len)::BIGINT AS n_tokens, COUNT(*) AS n_spans FROM phrases GROUP BY doc_id"""),
     "span_lengths": (span_lengths, f"""WITH {PHRASE_SQL} SELECT 'PHRASE' AS name, COUNT(*) AS n, AVG(len) AS mean_length FROM phrases"""),
     "crossing_spans": (crossing_spans, f"WITH {PAIRS_SQL}, {CROSS_SQL} SELECT doc_id, sid, a, b FROM x"),

@@ -131,3 +131,46 @@ def test_output_code(spark):
     for bad in ("<NP", "NP +a=b", '<NP -a>'):
         with pytest.raises(G.GrammarError):
             G.annotated(matches, bad)
+
+
+def test_cross_references_and_graphs_in_assertions(spark):
+    s = sentences(spark, "ABAC", "AC", "")
+    assert found(G.match(s, one("=><+w=B>", "<+w=A>"))) == [(0, 0, 1), (0, 2, 1)]
+    assert found(G.match(s, one("!=><+w=B>", "<+w=A>"))) == [(1, 0, 1)]
+    # Out of the sentence only a negative one holds.
+    assert found(G.match(s, one("<+w=C>", "=><+w=A>"))) == []
+    assert found(G.match(s, one("<+w=C>", "!=><+w=A>"))) == [(0, 3, 1), (1, 1, 1)]
+    pair = G.sequence("<+w=A>", "<+w=C>")
+    for force in (False, True):
+        assert found(G.match(s, one("?=:Pair", "<+w=/./>", Pair=pair), force_matcher=force)) == [(0, 2, 1), (1, 0, 1)]
+        assert found(G.match(s, one("?!:Pair", "<+w=A>", Pair=pair), force_matcher=force)) == [(0, 0, 1)]
+    back = G.sequence("<+w=A>", "<+w=B>")
+    assert found(G.match(s, one("?<=:Back", "<+w=/./>", Back=back))) == [(0, 2, 1)]
+    assert found(G.match(s, one("?<!:Back", "<+w=A>", Back=back))) == [(0, 0, 1), (1, 0, 1)]
+    assert found(G.match(s, one("=>:Pair", "<+w=B>", Pair=pair))) == [(0, 1, 1)]
+    # Backwards through a call, a loop at the first node, and an assertion.
+    loop = G.Graph({0: G.Node("<+w=A>", [0, 1]), 1: G.Node(":One", [2]), 2: G.Node("")}, 0, 2)
+    t = sentences(spark, "AABC", "BC", "AAC")
+    assert found(G.match(t, one("?<=:Loop", "<+w=C>", Loop=loop, One=G.sequence("?=<+w=B>", "<+w=B>")))) == [(0, 3, 1)]
+    with pytest.raises(G.LeftRecursionError):
+        G.check(one("?=:Again", "<+w=A>", Again=G.sequence("<+w=A>", ":Main")))
+
+
+def test_spans_as_symbols(spark):
+    s = sentences(spark, "ABCAB", "AB")
+    spans = spark.createDataFrame(
+        [(1, 0, "NP", 0, 1, {"k": "x"}), (1, 0, "NP", 0, 2, {"k": "y"}), (1, 0, "NP", 3, 4, {"k": "x"}), (1, 0, "VP", 3, 3, None)],
+        "doc_id long, sid long, name string, start int, `end` int, features map<string,string>",
+    )
+    held = G.with_spans(s, spans)
+    run = lambda *codes: found(G.match(held, one(*codes), spans="spans"))
+    assert run("<NP>") == [(0, 0, 3), (0, 3, 2)]
+    assert run("<NP +k=x>") == [(0, 0, 2), (0, 3, 2)]
+    assert run("<NP +k=x>", "<+w=C>") == [(0, 0, 3)]
+    assert run("<NP>", "<NP>") == [(0, 0, 5)]
+    assert run("<VP>", "<+w=B>") == [(0, 3, 2)]
+    assert run("?<=<NP>", "<+w=A>") == [(0, 3, 1)]
+    assert run("=><VP>", "<+w=C>") == [(0, 2, 1)]
+    assert run("<ZP>|<+w=C>") == [(0, 2, 1)]
+    with pytest.raises(G.GrammarError):
+        G.match(s, one("<NP>"))
