@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import tags
 from ..functions import text as T
 from ..operators import corpus, evaluation, lexicon, predicates, spans, tagging
-from . import grammar
+from . import grammar, inference
 
 FLAGSHIP = "grammar_matches"
 
@@ -116,6 +116,39 @@ def cross_reference_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir, grammar.Grammar(graphs))
 
 
+def _openings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of each sentence's first four tokens, as example sequences."""
+    return _nested(spark, sf_dir).select(F.transform(F.slice("forms", 1, 4), lambda w: _attributes(w)["kind"]).alias("keys"))
+
+
+def prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.prefix_tree(_openings(spark, sf_dir)).withColumn("prefix", F.array_join("prefix", " "))
+
+
+def minimal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each prefix how many prefixes are in its state of the minimal automaton, and whether it accepts."""
+    known = inference.states(_openings(spark, sf_dir))
+    sizes = known.groupBy("state").agg(F.count("*").alias("alike"))
+    return known.join(sizes, "state").select(F.array_join("prefix", " ").alias("prefix"), "alike", "ends")
+
+
+def similar_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.similar_nodes(inference.tree_neighbours(_openings(spark, sf_dir)))
+
+
+def bootstrapped_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of the grammar that is inferred from the PHRASE spans: it is the one that made them, with its loop."""
+    _, found = inference.bootstrap(_featured(spark, sf_dir), _phrases(spark, sf_dir), "kind")
+    return found
+
+
+OPENINGS_SQL = TOK_SQL + r""", openings AS (
+  SELECT doc_id, sid, list(CASE WHEN regexp_matches(form, '^\p{Lu}') THEN 'cap' WHEN regexp_matches(form, '^\p{Ll}') THEN 'low'
+                                WHEN regexp_matches(form, '^\p{N}') THEN 'num' ELSE 'sign' END ORDER BY tid) AS keys FROM tok WHERE tid < 4 GROUP BY doc_id, sid
+), opened AS (SELECT keys, d AS depth, array_to_string(keys[1:d], ' ') AS prefix FROM openings, UNNEST(range(0, len(keys) + 1)) AS u(d)
+), tree AS (SELECT prefix, depth, COUNT(*) AS n, SUM((len(keys) = depth)::INT)::BIGINT AS ends, any_value(keys[1:depth]) AS path FROM opened GROUP BY prefix, depth)"""
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir).select("doc_id", "sid", F.col("tid").cast("long"), "form")
 
@@ -502,6 +535,20 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         SELECT p.doc_id, p.sid, start, len + 1 AS len FROM phrases p JOIN sym s ON p.doc_id = s.doc_id AND p.sid = s.sid WHERE substr(sym, start + len + 1, 1) = 'L'"""),
     "cross_reference_matches": (cross_reference_matches, f"""WITH {PHRASE_SQL}
         SELECT doc_id, sid, (i - 1)::INT AS start, 1 AS len FROM sym, UNNEST(range(1, length(sym) + 1)) AS u(i) WHERE contains(sym, 'NS') AND sym[i] = 'U'"""),
+    "prefix_tree": (prefix_tree, f"WITH {OPENINGS_SQL} SELECT prefix, depth::INT AS depth, n, ends FROM tree"),
+    "minimal_states": (minimal_states, f"""WITH {OPENINGS_SQL}, s AS (
+          SELECT prefix, string_agg(DISTINCT array_to_string(keys[depth + 1:], ' '), '|' ORDER BY array_to_string(keys[depth + 1:], ' ')) AS rests, bool_or(len(keys) = depth) AS ends
+          FROM opened GROUP BY prefix)
+        SELECT prefix, COUNT(*) OVER (PARTITION BY rests) AS alike, ends FROM s"""),
+    "similar_nodes": (similar_nodes, f"""WITH {OPENINGS_SQL}, own AS (SELECT prefix AS node, path[depth] AS key, path, depth, ends FROM tree WHERE depth > 0),
+        near AS (SELECT node, key, 'before' AS side, CASE WHEN depth > 1 THEN path[depth - 1] ELSE '' END AS neighbour FROM own
+          UNION SELECT node, key, 'after', 'END' FROM own WHERE ends > 0
+          UNION SELECT array_to_string(path[1:depth - 1], ' '), path[depth - 1], 'after', key FROM own WHERE depth > 1),
+        sizes AS (SELECT node, COUNT(*) FILTER (neighbour <> 'END') AS size FROM near GROUP BY node),
+        shared AS (SELECT x.node AS a, y.node AS b, COUNT(*) AS n, COUNT(*) FILTER (x.neighbour = 'END') AS e FROM near x JOIN near y ON x.key = y.key AND x.side = y.side
+          AND x.neighbour = y.neighbour AND x.node < y.node GROUP BY ALL)
+        SELECT a, b, 4 * n / (p.size + q.size + 2 * e) - 1 AS similarity FROM shared JOIN sizes p ON a = p.node JOIN sizes q ON b = q.node"""),
+    "bootstrapped_matches": (bootstrapped_matches, f"""WITH {PHRASE_SQL} SELECT doc_id, sid, start, start + len - 1 AS "end" FROM phrases"""),
     "covered_tokens": (covered_tokens, f"""WITH {PHRASE_SQL} SELECT doc_id, 'PHRASE' AS name, SUM(len)::BIGINT AS n_tokens, COUNT(*) AS n_spans FROM phrases GROUP BY doc_id"""),
     "span_lengths": (span_lengths, f"""WITH {PHRASE_SQL} SELECT 'PHRASE' AS name, COUNT(*) AS n, AVG(len) AS mean_length FROM phrases"""),
     "crossing_spans": (crossing_spans, f"WITH {PAIRS_SQL}, {CROSS_SQL} SELECT doc_id, sid, a, b FROM x"),
