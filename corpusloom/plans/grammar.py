@@ -9,6 +9,7 @@ Grammars with recursion, wider loops, spans as symbols, cross references or more
 
 from __future__ import annotations
 
+import json
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
@@ -17,7 +18,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, MapType, StringType, StructField, StructType
 
 from ..operators.predicates import Clause, clause_column, parse_clauses, with_macros
 
@@ -26,6 +27,8 @@ FIRST_SYMBOL, MOST_CLAUSES = 0xE000, 12
 #: Stands around matches; no symbol.
 MARK = "\uf8ff"
 EMPTY = ("<E>", "<<E>>", "<X>", "<<X>>")
+#: What a call gives to its graph.
+_ARGUMENTS = re.compile(r"^\s*:\s*\w+\s*\(([^()]*)\)\s*$")
 LOOK = {"?=": "(?=", "?!": "(?!", "?<=": "(?<=", "?<!": "(?<!"}
 #: Marks of what must hold, or must not hold, at some token of the sentence.
 CROSS = ("=>", "!=>")
@@ -54,10 +57,15 @@ class UnknownGraphError(GrammarError):
 
 @dataclass
 class Node:
-    """``code``: conditions, ``<E>`` (nothing), ``<X>`` (the end), ``:Graph`` (a call), or an assertion's mark before conditions or ``:Graph``."""
+    """``code``: conditions, ``<E>`` (nothing), ``<X>`` (the end), ``:Graph`` (a call), or an assertion's mark before conditions or ``:Graph``.
+
+    A call ``:Graph(name=value, ...)`` sets variables for the graph that it calls. ``guard(sentence, token, variables)`` runs where the code holds,
+    before its token is consumed: a false answer turns the path back, a dictionary gives the variables that hold from there on along this path.
+    """
 
     code: str
     children: list[int] = field(default_factory=list)
+    guard: Callable[[list[dict], int, dict[str, str]], object] | None = None
 
 
 @dataclass
@@ -74,6 +82,12 @@ class Grammar:
     graphs: dict[str, Graph]
     macros: dict[str, str] = field(default_factory=dict)
     main: str = "Main"
+    #: The variables that each sentence starts with, from its tokens' attributes.
+    init: Callable[[list[dict]], dict[str, str]] | None = None
+
+    @property
+    def scripted(self) -> bool:
+        return self.init is not None or any(n.guard or _ARGUMENTS.search(n.code) for g in self.graphs.values() for n in g.nodes.values())
 
 
 def sequence(*codes: str) -> Graph:
@@ -99,6 +113,7 @@ def load(text: str) -> Grammar:
 
 
 def save(grammar: Grammar) -> str:
+    """A grammar as XML; guards and ``init`` are Python and are not part of it."""
     root = ET.Element("Grammar")
     macros = ET.SubElement(root, "Macros")
     for k, v in grammar.macros.items():
@@ -123,7 +138,7 @@ def _parts(grammar: Grammar, node: Node) -> tuple[str, str]:
     if not code or code in EMPTY or code.startswith("//"):
         return "empty", ""
     if code.startswith(":"):
-        return "call", code[1:].strip()
+        return "call", code[1:].split("(")[0].strip()
     for mark in sorted(ASSERTIONS, key=len, reverse=True):
         if code.startswith(mark):
             return mark, code[len(mark) :].strip()
@@ -298,7 +313,7 @@ def to_regex(grammar: Grammar, clauses: list[Clause], most: int = 200_000) -> st
 
         return rest(graph.start, ())
 
-    return of(grammar.main, ()) if len(clauses) <= MOST_CLAUSES and not any(c.span for c in clauses) else None
+    return of(grammar.main, ()) if len(clauses) <= MOST_CLAUSES and not grammar.scripted and not any(c.span for c in clauses) else None
 
 
 # --- matching --------------------------------------------------------------------------------
@@ -314,7 +329,8 @@ def match(
     shuffle. ``limit`` bounds the tokens of a match (0: none); ``keep`` names columns of the sentence that stay beside each match. With ``anchor``, a column
     of token numbers, only the match that starts at that token is asked for. A start counts once whatever its paths; the symbols are computed once a sentence.
     ``spans`` names a column of spans (``with_spans``): a clause ``<Name ...>`` then consumes the longest such span that starts at the token.
-    Assertions at a token outside the sentence hold only if negative.
+    Assertions at a token outside the sentence hold only if negative; in asserted graphs variables are those that the sentence starts with. Grammars with
+    guards, call arguments or ``init`` also return ``variables``, as they are at the end of each match.
     """
     check(grammar)
     clauses = clauses_of(grammar)
@@ -370,8 +386,14 @@ def _match_each(
 
     covered = F.flatten(F.array(*map(held_by, of_spans))) if of_spans else F.array().cast("array<array<int>>")
     token = (F.col(anchor) if anchor else F.lit(None)).cast("int")
-    vectors = sentences.select("doc_id", "sid", *keep, truth.alias("truth"), covered.alias("covered"), token.alias("at_token"))
     parts = {name: {k: _parts(grammar, n) for k, n in g.nodes.items()} for name, g in grammar.graphs.items()}
+    shown = F.transform(opened, lambda t: F.to_json(t)) if grammar.scripted else F.array().cast("array<string>")
+    vectors = sentences.select("doc_id", "sid", *keep, truth.alias("truth"), covered.alias("covered"), shown.alias("shown"), token.alias("at_token"))
+    guards = {(name, k): n.guard for name, g in grammar.graphs.items() for k, n in g.nodes.items() if n.guard}
+    given = {
+        (name, k): dict(tuple(map(str.strip, a.split("=", 1))) for a in found[1].split(",") if a.strip())
+        for name, g in grammar.graphs.items() for k, n in g.nodes.items() if (found := _ARGUMENTS.match(n.code))
+    }
     bits = {code: [clauses.index(c) for c in parse_clauses(code)] for g in parts.values() for kind, code in g.values() if kind not in ("empty", "call") and not code.startswith(":")}
     # By direction: where a graph is entered and left, the node without a code, and what follows each node.
     plan: dict[bool, dict] = {False: {}, True: {}}
@@ -382,7 +404,7 @@ def _match_each(
 
     def consumed(held: tuple, code: str, k: int, back: bool) -> int:
         """How many tokens the first clause that holds takes from the boundary ``k`` on, or before it; 0 if none holds."""
-        truth, by_start, by_end, _ = held
+        truth, by_start, by_end = held[:3]
         at = k - 1 if back else k
         if not 0 <= at < len(truth):
             return 0
@@ -402,61 +424,73 @@ def _match_each(
             known[key] = found != negative
         return known[key]
 
-    def accepted(held: tuple, graph: str, at: int, most: int, back: bool = False) -> Iterator[int]:
-        """The boundaries at which paths from ``at`` end, in the order of priority.
+    def accepted(held: tuple, graph: str, at: int, most: int, back: bool = False) -> Iterator[tuple[int, dict]]:
+        """The boundaries at which paths from ``at`` end, with the variables there, in the order of priority.
 
-        The stack holds what is still to be tried: a graph, a node, a boundary, the calls to return to as linked triples, and whether the node is passed.
+        The stack holds what is still to be tried: a graph, a node, a boundary, the calls to return to as linked tuples, whether the node is passed, and
+        the variables, which no path changes in place, so that turning back restores them.
         """
-        todo = [(graph, plan[back][graph][0], at, None, False)]
+        todo = [(graph, plan[back][graph][0], at, None, False, held[5])]
         while todo:
-            name, number, k, calls, passed = todo.pop()
+            name, number, k, calls, passed, own = todo.pop()
             _, last, bare, nodes = plan[back][name]
             kind, code, after = nodes[number]
             if not passed and number != bare:
-                if kind == "call":
-                    todo.append((code, plan[back][code][0], k, (name, number, calls), False))
-                    continue
-                if kind in ASSERTIONS:
-                    if not asserted(held, kind, code, k):
-                        continue
-                elif kind == "token":
+                size = 0
+                if kind == "token":
                     size = consumed(held, code, k, back)
                     if not size or not back and k + size > most:
                         continue
-                    k += -size if back else size
-            further = [] if number == last and not back else [(name, c, k, calls, False) for c in reversed(after)]
+                elif kind in ASSERTIONS and not asserted(held, kind, code, k):
+                    continue
+                if (name, number) in guards:
+                    said = guards[name, number](held[4], k - 1 if back else k, dict(own))
+                    if said is None or said is False:
+                        continue
+                    own = said if isinstance(said, dict) else own
+                if kind == "call":
+                    more = given.get((name, number), {})
+                    todo.append((code, plan[back][code][0], k, (name, number, calls, {a: own.get(a) for a in more}), False, {**own, **more}))
+                    continue
+                k += -size if back else size
+            further = [] if number == last and not back else [(name, c, k, calls, False, own) for c in reversed(after)]
             todo += further
             # Left, or a node that leads nowhere, which accepts in the outermost graph.
             if number == last or not further and calls is None and not back:
                 if calls is None:
-                    yield k
+                    yield k, own
                 else:
-                    todo.append((calls[0], calls[1], k, calls[2], True))
+                    # Arguments end with their call.
+                    rest = own if not calls[3] else {a: v for a, v in {**own, **calls[3]}.items() if v is not None}
+                    todo.append((calls[0], calls[1], k, calls[2], True, rest))
 
-    def first_end(held: tuple, at: int, most: int) -> int:
+    def first_end(held: tuple, at: int, most: int) -> tuple[int, dict]:
         """Where the first path ends that consumes a token; ``at`` without one."""
-        return next((k for k in accepted(held, grammar.main, at, most) if k > at), at)
+        return next(((k, own) for k, own in accepted(held, grammar.main, at, most) if k > at), (at, {}))
 
     kept = [sentences.schema[c] for c in keep]
-    schema = StructType([StructField("doc_id", LongType()), StructField("sid", LongType()), *kept, StructField("start", IntegerType()), StructField("len", IntegerType())])
+    scripted, init = grammar.scripted, grammar.init
+    more = [StructField("variables", MapType(StringType(), StringType()))] if scripted else []
+    schema = StructType([StructField("doc_id", LongType()), StructField("sid", LongType()), *kept, StructField("start", IntegerType()), StructField("len", IntegerType()), *more])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, sid, *own, truth, covered, token in batch.itertuples(index=False, name=None):
+            for doc, sid, *own, truth, covered, shown, token in batch.itertuples(index=False, name=None):
                 by_start, by_end = {}, {}
                 for b, start, end in covered:
                     by_start[b, start] = max(by_start.get((b, start), 0), end - start + 1)
                     by_end[b, end] = max(by_end.get((b, end), 0), end - start + 1)
-                held = (truth, by_start, by_end, {})
+                sentence = [json.loads(t) if t else {} for t in shown]
+                held = (truth, by_start, by_end, {}, sentence, init(sentence) if init else {})
                 anchored = token is not None and token == token
                 at, past = (int(token), int(token) + 1) if anchored else (0, len(truth))
                 while at < min(past, len(truth)):
-                    stop = first_end(held, at, at + limit if limit else len(truth))
+                    stop, variables = first_end(held, at, at + limit if limit else len(truth))
                     if stop > at:
-                        rows.append((doc, sid, *own, at, stop - at))
+                        rows.append((doc, sid, *own, at, stop - at, *([{k: str(v) for k, v in variables.items()}] if scripted else [])))
                     at = max(stop, at + 1)
-            yield pd.DataFrame(rows, columns=["doc_id", "sid", *keep, "start", "len"])
+            yield pd.DataFrame(rows, columns=[f.name for f in schema])
 
     return vectors.mapInPandas(run, schema)
 
@@ -468,7 +502,7 @@ _OUTPUT = re.compile(r'^<(\w+)((?:\s*\+\w+="[^"]*")*)\s*>$')
 def annotated(matches: DataFrame, code: str) -> DataFrame:
     """``doc_id, sid, span_id, name, start, end, features``: matches as spans, by output code ``<Name +key="value">``.
 
-    Other columns of ``matches`` can be named in a value as ``$column$``.
+    Other columns of ``matches``, or else their variables, can be named in a value as ``$name$``.
     """
     found = _OUTPUT.match(code.strip())
     if not found:
@@ -477,7 +511,8 @@ def annotated(matches: DataFrame, code: str) -> DataFrame:
 
     def value(text: str) -> Column:
         parts = re.split(r"\$(\w+)\$", text)
-        return F.concat(*(F.col(p).cast("string") if k % 2 else F.lit(p) for k, p in enumerate(parts)))
+        named = lambda p: F.col(p).cast("string") if p in matches.columns else F.coalesce(F.try_element_at("variables", F.lit(p)), F.lit(""))
+        return F.concat(*(named(p) if k % 2 else F.lit(p) for k, p in enumerate(parts)))
 
     entries = [c for k, v in pairs for c in (F.lit(k), value(v))]
     features = F.create_map(*entries) if entries else F.lit(None).cast("map<string,string>")

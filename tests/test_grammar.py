@@ -174,3 +174,30 @@ def test_spans_as_symbols(spark):
     assert run("<ZP>|<+w=C>") == [(0, 2, 1)]
     with pytest.raises(G.GrammarError):
         G.match(s, one("<NP>"))
+
+
+def test_guards_variables_and_arguments(spark):
+    s = sentences(spark, "AAB", "ABAB", "B", "")
+
+    def remember(sentence, at, variables):
+        return {**variables, "first": sentence[at]["w"], "n": int(variables["n"]) + 1}
+
+    def differs(sentence, at, variables):
+        return sentence[at]["w"] != variables["first"]
+
+    two = G.Grammar({"Main": G.sequence("<+w=/./>", "<+w=/./>")}, init=lambda sentence: {"n": len(sentence)})
+    two.graphs["Main"].nodes[1].guard, two.graphs["Main"].nodes[2].guard = remember, differs
+    got = G.match(s, two)
+    assert found(got) == [(0, 1, 2), (1, 0, 2), (1, 2, 2)]
+    assert {(r.sid, r.start): r.variables for r in got.collect()}[0, 1] == {"first": "A", "n": "4"}
+    spans = G.annotated(got, '<Pair +of="$first$$len$" +none="$absent$">').where("sid = 0").first()
+    assert spans.features == {"of": "A2", "none": ""}
+    # A path that is turned back leaves no variables behind: the first child sets one and fails on its second token.
+    graph = G.Graph({0: G.Node("<E>", [1, 3]), 1: G.Node("<+w=A>", [2], lambda s, k, v: {**v, "way": "one"}), 2: G.Node("<+w=B>", [4]), 3: G.Node("<+w=A>", [4]), 4: G.Node("")}, 0, 4)
+    ways = {(r.sid, r.start): (r.len, r.variables) for r in G.match(s, G.Grammar({"Main": graph})).collect()}
+    assert ways == {(0, 0): (1, {}), (0, 1): (2, {"way": "one"}), (1, 0): (2, {"way": "one"}), (1, 2): (2, {"way": "one"})}
+    # Arguments hold in the called graph only.
+    only = G.sequence("<+w=/./>")
+    only.nodes[1].guard = lambda sentence, at, variables: sentence[at]["w"] == variables["want"] and {**variables, "saw": variables["want"]}
+    called = G.match(s, G.Grammar({"Main": G.sequence(":Only(want=A)", ":Only(want=B)"), "Only": only}))
+    assert sorted((r.sid, r.start, tuple(r.variables.items())) for r in called.collect()) == [(0, 1, (("saw", "B"),)), (1, 0, (("saw", "B"),)), (1, 2, (("saw", "B"),))]
