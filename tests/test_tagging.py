@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from corpusloom.functions import tags
@@ -55,3 +57,24 @@ def test_participles_are_marked_once(spark):
     assert {r.word: r.extra for r in lexicon.participles(held).where("msd <> 'Vmp'").collect()} == {"dus": "ParticipleLemma:duce", "dusă": "x|ParticipleLemma:duce", "duși": "ParticipleLemma:y", "bun": None, "da": None}
     again = {(r.word, r.msd, r.lemma) for r in lexicon.participles(held, retag=True).collect()}
     assert again == {("dus", "Vmp--sm", "duce"), ("dus", "Vmp", "duce"), ("dusă", "Vmp--sf----r", "duce"), ("duși", "Vmp--pm", "duce"), ("bun", "Afpmsrn", "bun"), ("da", "Qz", None)}
+
+
+def test_rules_against_brute_force(spark):
+    """Random sentences; places inside, before and after the conditions; patterns of attributes see what is left."""
+    rng = random.Random(5)
+    made = [[(rng.choice("ab"), True, [(m, "x") for m in rng.sample(["N", "V", "A"], rng.randint(1, 3))]) for _ in range(rng.randint(0, 9))] for _ in range(60)]
+    checks = {"a": lambda t: t[0] == "a", "first_n": lambda t: t[1][0] == "N", "some_v": lambda t: "V" in t[1]}
+    codes = {"a": "<+WORD=a>", "first_n": "<+msd0=N>", "some_v": "<+/msd[0-9]+/=V>"}
+    for names, at, keep in [(("a", "some_v"), 1, False), (("first_n",), 1, True), (("some_v", "a"), -1, True), (("a",), 0, False), (("first_n", "some_v"), 3, False)]:
+        want = []
+        for tokens in made:
+            left = [(w, [m for m, _ in c]) for w, _, c in tokens]
+            for i in range(len(left)):
+                if i + len(names) <= len(left) and 0 <= i + at < len(left) and all(checks[n](left[i + k]) for k, n in enumerate(names)):
+                    kept = [m for m in left[i + at][1] if (m in "NA") == keep]
+                    if kept:
+                        left[i + at] = (left[i + at][0], kept)
+            want.append(left)
+        rule = tagging.Rule(tuple(codes[n] for n in names), at, "N|A", keep)
+        got = {r.sid: [(t.form, [c.msd for c in t.candidates]) for t in r.tokens] for r in tagging.ruled(spark.createDataFrame(list(enumerate(made)), TOKENS), [rule]).collect()}
+        assert [got[i] for i in range(len(made))] == want, (names, at)
