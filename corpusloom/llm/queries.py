@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html, jaccard, lines, media, mixing, neighbours, packing, quality, secrets, substrings
+from . import centroids, html, infill, jaccard, lines, media, mixing, neighbours, packing, quality, secrets, substrings
 from .common import table
 
 
@@ -74,6 +74,17 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("words").alias("n_words"), F.col("removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return centroids.cluster(vectors).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    chars = [F.length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return cut.select("doc_id", "n", "form", *chars, F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -82,5 +93,7 @@ def oracle_sql() -> dict[str, str]:
     columns = "doc_id, ln_lines AS n_lines, ln_dropped AS n_dropped, sha256(kept) AS kept_sha256"
     return {
         "op3_mixing": mixing.SYSTEMATIC_MIX_SQL.replace("{documents}", "documents"),
+        "op12_centroids": centroids.clusters_sql().replace("{embeddings}", "embeddings"),
+        "op13_infill": infill.FILL_IN_MIDDLE_SQL.replace("{documents}", "documents"),
         "op6_lines": lines.LINES_SQL.replace("{documents}", "documents").replace("{columns}", columns),
     }
