@@ -109,17 +109,21 @@ def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def word_hashes(text: str | bytes | None, lower: bool = False) -> np.ndarray:
-    """One 64-bit hash for each word: a polynomial of its bytes, mixed."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"", dtype=np.uint8)
+def hashed_words(raw: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One 64-bit hash for each word of UTF-8 bytes, a polynomial of its bytes, mixed; and its start and end byte."""
     start, end = word_bounds(raw)
     if not len(start):
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64), start, end
     power, inverse = _tables(len(raw) + 1)
     terms = (_LOWER_VALUE if lower else _VALUE)[raw]
     terms *= power[: len(raw)]
     sums = np.add.reduceat(terms, start) * inverse[start]
-    return mix(sums + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(sums + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start, end
+
+
+def word_hashes(text: str | bytes | None, lower: bool = False) -> np.ndarray:
+    """One 64-bit hash for each word."""
+    return hashed_words(np.frombuffer(text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"", dtype=np.uint8), lower)[0]
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:

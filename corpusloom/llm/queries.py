@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, html, infill, jaccard, lines, media, mixing, neighbours, packing, quality, secrets, substrings
+from . import centroids, html, infill, jaccard, lines, maxent, media, mixing, neighbours, packing, quality, secrets, substrings
 from .common import table
 
 
@@ -74,6 +74,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("words").alias("n_words"), F.col("removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(table(spark, sf_dir, "documents"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return centroids.cluster(vectors).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
