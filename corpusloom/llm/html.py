@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -36,30 +37,88 @@ _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 @dataclass
 class Block:
-    """Text of a run of inline content, the elements around it (outermost first), and how much of it is links."""
+    """Text of a run of inline content, how much of it is links, the node it lies in, and the columns it has beside those of the node's path."""
 
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
     linked: int
+    node: int
+    own: tuple[int, ...]
 
 
-def leaf_blocks(page: str | None) -> list[Block]:
+@dataclass
+class Page:
+    """Blocks in page order. A node is known by its parent and the columns that it adds to its parent's path, so a page's size bounds all of them, however deep it nests."""
+
+    blocks: list[Block]
+    parents: list[int]
+    fresh: list[tuple[int, ...]]
+
+
+class _Path:
+    """The open elements, outermost first. Where a name stood last and where the innermost scope begins is kept, so that no tag walks over all of them."""
+
+    def __init__(self):
+        self.open: list[tuple[str, tuple[str, ...], tuple[int, ...], int]] = []
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.scopes: list[int] = []
+        self.held: Counter[int] = Counter()
+        self.parents, self.fresh = [-1], [()]
+
+    def push(self, name: str, marks: tuple[str, ...]) -> None:
+        columns = tuple({_column(f"in {name}"), *(_column(f"mark {w}") for w in marks)})
+        self.parents.append(self.node)
+        self.fresh.append(tuple(c for c in columns if not self.held[c]))
+        self.held.update(columns)
+        self.at[name].append(len(self.open))
+        if name in SCOPES:
+            self.scopes.append(len(self.open))
+        self.open.append((name, marks, columns, len(self.parents) - 1))
+
+    def cut(self, k: int) -> None:
+        """Close the k-th element and all inside it."""
+        while len(self.open) > k:
+            name, _, columns, _ = self.open.pop()
+            self.held.subtract(columns)
+            self.at[name].pop()
+            if name in SCOPES:
+                self.scopes.pop()
+
+    @property
+    def node(self) -> int:
+        return self.open[-1][3] if self.open else 0
+
+    @property
+    def scope(self) -> int:
+        return self.scopes[-1] if self.scopes else -1
+
+    def last(self, name: str) -> int:
+        return places[-1] if (places := self.at[name]) else -1
+
+    def leaf_columns(self) -> set[int]:
+        names = [t for t, *_ in self.open[-2:]]
+        found = [f"leaf {t}" for t in names[-1:]] + [f"up {t}" for t in names[:-1]] + [f"leaf mark {w}" for _, marks, *_ in self.open[-2:] for w in marks]
+        return {_column(n) for n in found}
+
+
+def leaf_blocks(page: str | None) -> Page:
     """The blocks of a page that hold text, in page order.
 
     Character references are decoded, white space is one blank; comments, scripts, the title and other raw content are left out. Open
-    paragraphs and list items end where HTML ends them, stray end tags are passed over.
+    paragraphs and list items end where HTML ends them, stray end tags are passed over. Time and memory grow with the page, not with its depth.
     """
     page = page or ""
     blocks: list[Block] = []
-    path: list[tuple[str, tuple[str, ...]]] = []
+    path = _Path()
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             if text := " ".join(entities.unescape("".join(parts)).split()):
-                blocks.append(Block(text, tuple(path), min(linked, len(text))))
+                linked = min(linked, len(text))
+                own = path.leaf_columns() | text_columns(text, linked)
+                blocks.append(Block(text, linked, path.node, tuple(c for c in own if not path.held[c])))
             parts.clear()
         linked = 0
 
@@ -69,7 +128,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         stop = found.start() if found else len(page)
         if stop > at:
             parts.append(page[at:stop])
-            if links:
+            if path.at["a"]:
                 linked += stop - at
         if not found:
             break
@@ -83,13 +142,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if mark[1] == "/":
             if name in BLOCK:
                 flush()
-            for k in range(len(path) - 1, -1, -1):
-                if path[k][0] == name:
-                    links -= sum(n == "a" for n, _ in path[k:])
-                    del path[k:]
-                    break
-                if path[k][0] in SCOPES and name not in BLOCK:
-                    break
+            k = path.last(name)
+            if k >= 0 and (name in BLOCK or k >= path.scope):
+                path.cut(k)
             continue
         if name == "br":
             parts.append(" ")
@@ -103,26 +158,20 @@ def leaf_blocks(page: str | None) -> list[Block]:
             flush()
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             parts.append(page[at : end.start() if end else len(page)].replace("&", "&amp;"))
-            linked += links and len(parts[-1])
+            linked += len(parts[-1]) if path.at["a"] else 0
             flush()
             at = end.end() if end else len(page)
             continue
         if name in BLOCK:
             flush()
-            closes = CLOSES.get(name, frozenset())
-            for k in range(len(path) - 1, -1, -1):
-                if path[k][0] == "p" or path[k][0] in closes:
-                    del path[k:]
-                    links = sum(n == "a" for n, _ in path)
-                    break
-                if path[k][0] in SCOPES:
-                    break
+            k = max(map(path.last, ("p", *CLOSES.get(name, ()))))
+            if k >= 0 and k >= path.scope:
+                path.cut(k)
         if name not in VOID and not mark.endswith("/>"):
             marks = tuple(w for a in _MARKS.findall(mark) for w in _WORDS.findall(_CAMEL.sub(r"\1 \2", "".join(a)).lower()))
-            path.append((name, marks))
-            links += name == "a"
+            path.push(name, marks)
     flush()
-    return blocks
+    return Page(blocks, path.parents, path.fresh)
 
 
 # --- features --------------------------------------------------------------------------------
@@ -139,26 +188,24 @@ def _column(feature: str) -> int:
     return (h ^ h >> 31) & ((1 << BITS) - 1)
 
 
-@lru_cache(maxsize=50_000)
-def _path_columns(path: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[int, ...]:
-    tags = [t for t, _ in path]
-    names = {f"in {t}" for t in tags} | {f"mark {w}" for _, marks in path for w in marks}
-    names |= {f"leaf {t}" for t in tags[-1:]} | {f"up {t}" for t in tags[-2:-1]} | {f"leaf mark {w}" for _, marks in path[-2:] for w in marks}
-    return tuple(sorted({_column(n) for n in names}))
+def text_columns(text: str, linked: int) -> set[int]:
+    """What a block's text looks like, whatever its length; single words are no features."""
+    n = text.count(" ") + 1
+    own = [f"words {min(n.bit_length(), 7)}", f"links {min(3, int(4 * linked / len(text)))}", f"stop {text[-1] in '.!?…:;'}", f"digits {any(c.isdigit() for c in text)}"]
+    own.append(f"commas {min(2, text.count(','))}")
+    own += [f"sign {c}" for c in "©»→✕" if c in text]
+    return set(map(_column, own))
 
 
-def features(blocks: list[Block]) -> list[tuple[int, ...]]:
-    """Columns of each block: its ancestors' tags and names, and what its text looks like."""
+def features(page: Page) -> list[tuple[int, ...]]:
+    """Columns of each block: its ancestors' tags and names, and what its text looks like. For pages to learn from, whose depth is small."""
     out = []
-    for b in blocks:
-        words = b.text.split(" ")
-        n, length = len(words), len(b.text)
-        own = [f"words {min(n.bit_length(), 7)}", f"links {min(3, int(4 * b.linked / length))}", f"stop {b.text[-1] in '.!?…:;'}", f"digits {any(c.isdigit() for c in b.text)}"]
-        own.append(f"commas {min(2, b.text.count(','))}")
-        own += [f"sign {c}" for c in "©»→✕" if c in b.text]
-        if n <= 12:
-            own += [f"word {w}" for w in _WORDS.findall(b.text.lower())]
-        out.append(tuple({*_path_columns(b.path), *map(_column, own)}))
+    for b in page.blocks:
+        row, node = list(b.own), b.node
+        while node >= 0:
+            row += page.fresh[node]
+            node = page.parents[node]
+        out.append(tuple(row))
     return out
 
 
@@ -176,11 +223,25 @@ class Model:
     def scores(self, rows: list[tuple[int, ...]]) -> np.ndarray:
         return np.array([self.state[list(r)].sum(axis=0) for r in rows])
 
-    def viterbi(self, rows: list[tuple[int, ...]]) -> list[int]:
+    def page_scores(self, page: Page) -> list[list[float]]:
+        """Each block's two scores: a path's sum is its parent's and what its own columns add."""
+        sums = np.zeros((len(page.parents), 2))
+        for k, (parent, fresh) in enumerate(zip(page.parents, page.fresh, strict=True)):
+            if parent >= 0:
+                sums[k] = sums[parent] + self.state[list(fresh)].sum(axis=0) if fresh else sums[parent]
+        return [(sums[b.node] + self.state[list(b.own)].sum(axis=0)).tolist() for b in page.blocks]
+
+    def labels(self, page: Page) -> list[int]:
         """The likeliest labels of a page's blocks."""
-        if not rows:
+        return self.decoded(self.page_scores(page))
+
+    def viterbi(self, rows: list[tuple[int, ...]]) -> list[int]:
+        """The likeliest labels of blocks given by their columns."""
+        return self.decoded(self.scores(rows).tolist())
+
+    def decoded(self, scores: list[list[float]]) -> list[int]:
+        if not scores:
             return []
-        scores = self.scores(rows).tolist()
         (a, b), (c, d) = self.step.tolist()
         x, y = scores[0][0] + float(self.first[0]), scores[0][1] + float(self.first[1])
         back = []
@@ -337,16 +398,16 @@ def trained(pages: int = 600, seed: int = 23) -> Model:
     examples = []
     while len(examples) < pages:
         page, labels = labelled_page(rng)
-        blocks = leaf_blocks(page)
-        if len(blocks) == len(labels):
-            examples.append((features(blocks), labels))
+        found = leaf_blocks(page)
+        if len(found.blocks) == len(labels):
+            examples.append((features(found), labels))
     return fit(examples)
 
 
 def main_text(page: str | None, model: Model) -> str:
     """The blocks that the model takes for main text, two line ends between them."""
-    blocks = leaf_blocks(page)
-    return "\n\n".join(b.text for b, y in zip(blocks, model.viterbi(features(blocks)), strict=True) if y)
+    found = leaf_blocks(page)
+    return "\n\n".join(b.text for b, y in zip(found.blocks, model.labels(found), strict=True) if y)
 
 
 def extract_main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
@@ -357,7 +418,8 @@ def extract_main_text(pages: DataFrame, model: Model | None = None) -> DataFrame
     text are joined in page order. One pass without a shuffle; the model is trained once, on the driver, on a fixed number
     of labelled pages of many layouts, and has a fixed size.
 
-    A null page is an empty one, whose text is empty. Rows count one by one. No rows give no rows.
+    A null page is an empty one, whose text is empty. Rows count one by one. No rows give no rows. Time and memory of a page grow with its length,
+    also where thousands of elements are left open; of two labellings of equal score the one with fewer blocks of main text counts.
     """
     held = pages.sparkSession.sparkContext.broadcast(model or trained())
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])

@@ -1,4 +1,5 @@
 import random
+import time
 from html.parser import HTMLParser
 
 import numpy as np
@@ -50,8 +51,8 @@ def test_held_out_layouts():
     for _ in range(150):
         page, labels = html.labelled_page(rng)
         found = html.leaf_blocks(page)
-        assert len(found) == len(labels)
-        right += sum(a == b for a, b in zip(html.trained().viterbi(html.features(found)), labels, strict=True))
+        assert len(found.blocks) == len(labels)
+        right += sum(a == b for a, b in zip(html.trained().labels(found), labels, strict=True))
         blocks += len(labels)
     assert right >= 0.98 * blocks
 
@@ -62,7 +63,7 @@ def test_held_out_layouts():
     ("<td>1<td>2<tr><td>3", ["1", "2", "3"]), ("</div></p>x</b>", ["x"]), ("a < b and c > d", ["a < b and c > d"]), ("<p class=\"x>y</p>z", ["y", "z"]),
 ])
 def test_leaf_blocks(page, want):
-    assert [b.text for b in html.leaf_blocks(page)] == want
+    assert [b.text for b in html.leaf_blocks(page).blocks] == want
 
 
 @pytest.mark.parametrize(("page", "want"), [
@@ -72,7 +73,7 @@ def test_leaf_blocks(page, want):
     ("<svg><style>p{}</style><title>t</title></svg>u", ["u"]),
 ])
 def test_elements_that_hold_text_are_read(page, want):
-    assert [b.text for b in html.leaf_blocks(page)] == want
+    assert [b.text for b in html.leaf_blocks(page).blocks] == want
 
 
 def test_other_layouts_of_one_article():
@@ -111,3 +112,20 @@ def test_odd_rows(spark):
     assert len(got) == 6 and {r["text"] for r in got if r["page_id"] in (1, 2)} == {""}
     assert all(r["text"].count("\n\n") == 19_999 for r in got if r["page_id"] == 3)
     assert html.extract_main_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<div class='a{0}'>x", "<p><b>x</i>", "<ul><li>x</b>", "<a><section>x</p>", "</div>x<table><td>"])
+def test_deep_pages_take_time_in_proportion(unit):
+    began = time.time()
+    found = html.leaf_blocks("".join(unit.format(k) for k in range(200_000 // 4)))
+    assert len(found.blocks) >= 1 and sum(map(len, found.fresh)) <= 2 * 200_000
+    html.trained().labels(found)
+    assert time.time() - began < 30
+
+
+def test_scores_of_nodes_equal_scores_of_rows():
+    rng, model = random.Random(12), html.trained()
+    for _ in range(20):
+        found = html.leaf_blocks(html.labelled_page(rng)[0] + "<div class='nav nav'><p class=menu>a<nav>b")
+        assert all(len(set(r)) == len(r) for r in html.features(found))
+        assert np.allclose(model.page_scores(found), model.scores(html.features(found)))
