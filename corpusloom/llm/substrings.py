@@ -45,6 +45,12 @@ def _doc_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes]]:
     return ids, [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
 
 
+def _once(batch: pa.RecordBatch) -> list[tuple[int, bytes]]:
+    """The doc_ids and texts of a batch, repeated rows once."""
+    ids, texts = _doc_keys(batch)
+    return list(dict.fromkeys(zip(ids.tolist(), texts, strict=True)))
+
+
 def text_tag(raw: bytes) -> int:
     """Tells apart texts under one doc_id: the upper 31 bits of a CRC-32."""
     return zlib.crc32(raw) >> 1
@@ -148,10 +154,10 @@ def looked_up(asked: DataFrame) -> DataFrame:
 
 
 def _by_text(found: DataFrame, *columns: str) -> DataFrame:
-    """``doc, tag, hits``: what was found of each text."""
+    """``doc, tag, hits``: what was found of each text, once however many rows have it."""
     at = F.col("at").bitwiseAND(F.lit(_LOW)).cast("int").alias("at")
     rows = found.select("doc", F.shiftright("at", 32).alias("tag"), F.struct(at, *columns).alias("hit"))
-    return rows.groupBy("doc", "tag").agg(F.collect_list("hit").alias("hits"))
+    return rows.groupBy("doc", "tag").agg(F.collect_set("hit").alias("hits"))
 
 
 def _hits(batch: pa.RecordBatch, column: int) -> Iterator[list[np.ndarray] | None]:
@@ -222,9 +228,8 @@ def drop_repeated_passages(docs: DataFrame, n: int = 13) -> DataFrame:
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = _doc_keys(batch)
             held = []
-            for i, raw in zip(ids.tolist(), texts, strict=True):
+            for i, raw in _once(batch):
                 words = word_hashes(raw)
                 at = anchor_places(words, n)
                 if len(at):
@@ -240,8 +245,12 @@ def drop_repeated_passages(docs: DataFrame, n: int = 13) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = _doc_keys(batch)
-            held, spans = [], []
+            held, spans, seen = [], [], set()
             for i, raw, hit in zip(ids.tolist(), texts, _hits(batch, 2), strict=True):
+                # Repeated rows ask once.
+                if (i, raw) in seen:
+                    continue
+                seen.add((i, raw))
                 hashes, anchors = anchors_of_phrases(word_hashes(raw), n)
                 ask, upper = marked(bitmap.value, anchors), text_tag(raw) << 32
                 for start, length, source in factors(*hit, n) if hit else ():

@@ -87,3 +87,11 @@ def test_factors_decide_and_spare_the_index(spark):
     assert got[2]["text"] == "x y" and [tuple(s) for s in got[2]["spans"]] == [(1, 300, 1)]
     seeds, rest = ({r["doc"]: r["count"] for r in h} for h in held)
     assert 0 < seeds[2] < 120 and rest[2] < 30 < 280 < rest[1]
+
+
+def test_twenty_thousand_repeated_rows(spark):
+    long_text = " ".join(f"w{i}" for i in range(120))
+    rows = [(1, long_text)] + [(2, long_text + " tail of its own")] * 20_000 + [(None, long_text)] * 2_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = substrings.drop_repeated_passages(docs).groupBy("doc_id", "words", "removed", "text").count().collect()
+    assert {(r["doc_id"], r["words"], r["removed"], r["count"]) for r in got} == {(1, 120, 0, 1), (2, 124, 120, 20_000), (None, 120, 120, 2_000)}
