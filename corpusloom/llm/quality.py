@@ -7,15 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, word_hashes
+from .common import shingle_hashes, stage, unstage, word_hashes
 
 #: Indicators are hashed to this many columns, so weights have a fixed size.
 BITS = 18
 #: The most labelled rows a model is fitted on: those with the least hash of their doc_id.
 MAX_ROWS = 8192
+#: The most indicators that these rows have together (128 MB on the driver); rows of long texts beyond it are left out, in the order of that hash.
+MAX_VALUES = 1 << 25
 #: How many labelled rows of these are kept back to turn margins into probabilities.
 CALIBRATE = 5
 
@@ -79,17 +81,19 @@ def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratios:
     y = np.where(labels > 0, 1.0, -1.0)
     share = np.array([max(1, (labels == 0).sum()), max(1, (labels == 1).sum())]) / len(labels)
     costs = cost * 0.5 / share[labels.astype(int)]
-    values = [ratios[c] / max(1.0, len(c)) ** 0.5 for c in rows]
-    norms = np.array([float(v @ v) + 1.0 for v in values])
+    # A row's values are made when it is visited; only the lists themselves are held.
+    value = lambda c: ratios[c] / max(1.0, len(c)) ** 0.5
+    norms = np.array([float(v @ v) + 1.0 for v in map(value, rows)])
     alpha, weights, bias = np.zeros(len(rows)), np.zeros(1 << BITS), 0.0
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            gradient = y[i] * (values[i] @ weights[rows[i]] + bias) - 1.0
+            v = value(rows[i])
+            gradient = y[i] * (v @ weights[rows[i]] + bias) - 1.0
             new = min(max(alpha[i] - gradient / norms[i], 0.0), costs[i])
             if step := (new - alpha[i]) * y[i]:
-                weights[rows[i]] += step * values[i]
+                weights[rows[i]] += step * v
                 bias += step
                 moved = max(moved, abs(step))
                 alpha[i] = new
@@ -160,12 +164,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS
     return picked.mapInArrow(columns, "columns array<int>, label int, order long")
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """The model of a bounded sample of labelled rows; reruns give the same one.
+def within(sample: DataFrame, max_values: int) -> DataFrame:
+    """The first rows of a staged sample, by ``order``, whose lists together hold at most ``max_values`` indicators. The window sees at most ``MAX_ROWS`` pairs of numbers."""
+    before = F.sum("n").over(Window.orderBy("order", "label").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sample.select("order", "label", F.size("columns").cast("long").alias("n")).withColumn("upto", before)
+    last = sizes.where(F.col("upto") <= max_values).agg(F.max("order")).first()[0]
+    return sample.where(F.col("order") <= F.lit(last)) if last is not None else sample.limit(0)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_values: int = MAX_VALUES) -> Model:
+    """The model of a sample of labelled rows, bounded in rows and in indicators; reruns give the same one.
 
     Of rows with one doc_id one counts; without rows or labels of both classes the score is the same for every text.
     """
-    sample = labelled_sample(docs, labels, max_rows).toArrow()
+    staged = stage(labelled_sample(docs, labels, max_rows))
+    sample = within(staged, max_values).toArrow()
+    unstage(staged)
     order = np.lexsort((sample["label"].to_numpy(), sample["order"].to_numpy())) if len(sample) else np.empty(0, int)
     lists = sample["columns"].combine_chunks()
     if isinstance(lists, pa.ChunkedArray):

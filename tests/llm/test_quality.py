@@ -91,3 +91,21 @@ def test_dual_and_primal_values_meet():
         w = w - (w - x.T @ (costs * y * broken)) / t
         best = min(best, value(w))
     assert value(own) <= best * 1.002 and value(own) >= 0.98 * best
+
+
+def test_long_texts_stay_within_the_bound_of_indicators(spark):
+    rng = np.random.default_rng(4)
+    words = np.array([f"{a}{b}" for a in "abcdefghij" for b in range(4000)])
+    rows = [(i, " ".join(rng.choice(words, 20_000)) + (" good" if i % 2 else " bad")) for i in range(60)] + [(100 + i, "good short one" if i % 2 else "bad short one") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    sample = quality.labelled_sample(docs, labels)
+    sizes = sorted((r["order"], len(r["columns"])) for r in sample.collect())
+    most = sum(n for _, n in sizes[: len(sizes) // 2])
+    staged = quality.stage(sample)
+    kept = quality.within(staged, most).collect()
+    assert sorted(r["order"] for r in kept) == [o for o, _ in sizes[: len(sizes) // 2]] and sum(len(r["columns"]) for r in kept) == most
+    assert quality.within(staged, 0).collect() == []
+    # No row fits: a constant score, as without labels.
+    assert not quality.train(docs, labels, max_values=0).weights.any()
+    assert quality.train(docs, labels, max_values=most).weights.any()
