@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.rows import opened
 
 
 def sentences_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, sid, text``: each text's sentences, numbered from 0."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(T.sentences(F.col(text_col))).alias("sid", "text")).withColumn("sid", F.col("sid").cast("long"))
+    return opened(docs, (F.col(id_col).alias("doc_id"),), T.sentences(F.col(text_col)), "text", at="sid").withColumn("sid", F.col("sid").cast("long"))
 
 
 def tokens_of(sentences: DataFrame) -> DataFrame:
     """``doc_id, sid, tid, form``: each sentence's tokens, numbered from 0. Row by row, without a shuffle."""
-    return sentences.select("doc_id", "sid", F.posexplode(T.tokens(F.col("text"))).alias("tid", "form"))
+    return opened(sentences, ("doc_id", "sid"), T.tokens(F.col("text")), "form", at="tid")
 
 
 def nested(sentences: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def context_of(sentences: DataFrame, width: int = 2) -> DataFrame:
     for k in range(1, width + 1):
         columns += [F.slice(F.concat(begin, "forms"), F.lit(width - k + 1), n).alias("p" * k), F.slice(F.concat("forms", end), F.lit(k + 1), n).alias("n" * k)]
     zipped = sentences.select("doc_id", "sid", F.arrays_zip(*columns).alias("z"))
-    return zipped.select("doc_id", "sid", F.posexplode("z").alias("tid", "z")).select("doc_id", "sid", "tid", "z.*")
+    return opened(zipped, ("doc_id", "sid"), "z", "z", at="tid").select("doc_id", "sid", "tid", "z.*")
 
 
 def even_samples(rows: DataFrame, order: str, most: int = 50) -> DataFrame:
@@ -99,9 +100,9 @@ def kwic(sentences: DataFrame, hit: Column, left: int = 3, right: int = 7) -> Da
 
     ``sentences`` is nested; the context is a slice of the sentence's own row.
     """
-    opened = sentences.select("doc_id", "sid", "forms", F.posexplode("forms").alias("tid", "form")).where(hit)
+    hits = opened(sentences, ("doc_id", "sid", "forms"), "forms", "form", at="tid").where(hit)
     start = F.greatest(F.col("tid") - left, F.lit(0))
-    return opened.select(
+    return hits.select(
         "doc_id", "sid", "tid", F.array_join(F.slice("forms", start + 1, F.col("tid") - start), " ").alias("left"), F.col("form").alias("key"),
         F.array_join(F.slice("forms", F.col("tid") + 2, F.lit(right)), " ").alias("right"),
     )

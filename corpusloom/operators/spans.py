@@ -7,20 +7,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..functions.rows import opened
+
 KEY = ["doc_id", "sid"]
 
 
 def covering(tokens: DataFrame, spans: DataFrame) -> DataFrame:
     """Each token with each span that covers it; spans are opened to positions so that the join has equal keys only."""
-    opened = spans.withColumn("tid", F.explode(F.sequence("start", "end")))
-    return tokens.join(opened, [*KEY, "tid"])
+    places = spans.withColumn("tid", F.explode(F.sequence("start", "end")))
+    return tokens.join(places, [*KEY, "tid"])
 
 
 def covered(matches: DataFrame, forms: str = "forms") -> DataFrame:
     """``tid, form`` of each token that a match covers, from the sentence's own array kept beside the match: no join."""
-    inside = F.posexplode(F.slice(forms, F.col("start") + 1, F.col("len"))).alias("k", "form")
-    opened = matches.select(*(c for c in matches.columns if c != forms), inside)
-    return opened.withColumn("tid", F.col("start") + F.col("k")).drop("k")
+    inside = opened(matches, tuple(c for c in matches.columns if c != forms), F.slice(forms, F.col("start") + 1, F.col("len")), "form", at="k")
+    return inside.withColumn("tid", F.col("start") + F.col("k")).drop("k")
 
 
 def crossing(spans: DataFrame) -> DataFrame:
@@ -29,9 +30,9 @@ def crossing(spans: DataFrame) -> DataFrame:
     Each span is opened to the positions after its start, and spans that start there and end later cross it; so spans meet by
     (sentence, position), not all spans of a sentence.
     """
-    opened = spans.where("end > start").select(*KEY, F.col("span_id").alias("a"), F.col("end").alias("a_end"), F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("start"))
+    places = spans.where("end > start").select(*KEY, F.col("span_id").alias("a"), F.col("end").alias("a_end"), F.explode(F.sequence(F.col("start") + 1, F.col("end"))).alias("start"))
     other = spans.select(*KEY, "start", F.col("span_id").alias("b"), F.col("end").alias("b_end"))
-    return opened.join(other, [*KEY, "start"]).where("a_end < b_end").select(*KEY, "a", "b")
+    return places.join(other, [*KEY, "start"]).where("a_end < b_end").select(*KEY, "a", "b")
 
 
 def crossing_degree(spans: DataFrame) -> DataFrame:

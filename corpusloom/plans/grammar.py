@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, MapType, StringType, StructField, StructType
 
+from ..functions.rows import opened as opened_rows
 from ..operators.predicates import Clause, clause_column, parse_clauses, with_macros
 
 #: Symbols are characters of a private range, one for each truth vector of so many clauses.
@@ -356,7 +357,7 @@ def tiled(sym: DataFrame, pattern: str, keep: tuple[str, ...] = (), anchor: str
         return F.struct((acc["k"] + 1).alias("k"), (acc["at"] + F.length(x)).alias("at"), F.when(acc["k"] % 2 == 1, found).otherwise(acc["out"]).alias("out"))
 
     cut = sym.select("doc_id", "sid", *keep, parts.alias("parts"))
-    found = cut.select("doc_id", "sid", *keep, F.explode(F.aggregate("parts", state, step)["out"]).alias("m"))
+    found = opened_rows(cut, ("doc_id", "sid", *keep), F.aggregate("parts", state, step)["out"], "m")
     return found.select("doc_id", "sid", *keep, "m.start", "m.len")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags
 from ..functions import text as T
+from ..functions.rows import opened
 from ..operators import corpus, evaluation, lexicon, predicates, spans, tagging
 from . import grammar, inference
 
@@ -258,7 +259,7 @@ def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dictionary read off the conversations: each word with a made-up tag by its form."""
-    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.explode(T.tokens(F.lower("text"))).alias("word")).where(F.col("word").rlike(r"\A\p{L}+\z"))
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").transform(opened, (), T.tokens(F.lower("text")), "word").where(F.col("word").rlike(r"\A\p{L}+\z"))
     tag = F.when(F.col("word").endswith("ing"), "Vmg---").when(F.length("word") <= 3, "Sp----").when(F.col("word").endswith("s"), "Ncfpry").otherwise("Ncmsrn")
     return said.distinct().withColumn("msd", tag).withColumn("lemma", F.regexp_replace("word", "(?:ing|s)$", "")).withColumn("extra", F.lit(None).cast("string"))
 
@@ -414,23 +415,22 @@ def bracketed_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.explode(T.unit_parts(F.replace("text", F.lit(" "), F.lit("~")))).alias("part"))
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").transform(opened, (), T.unit_parts(F.replace("text", F.lit(" "), F.lit("~"))), "part")
     return said.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 
 def suffix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tokens(spark, sf_dir).where("length(form) > 1").select(F.explode(T.suffixes(F.lower("form"), 3)).alias("suffix")).groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
+    return _tokens(spark, sf_dir).where("length(form) > 1").transform(opened, (), T.suffixes(F.lower("form"), 3), "suffix").groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
 
 
 def segmented_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences by paragraph, with vetoes by addresses, capitals, acronyms and abbreviations."""
-    found = F.posexplode(T.segments(F.col("text"), ("dr", "etc", "Mr", "nr", "St"))).alias("sid", "sentence")
-    return _docs(spark, sf_dir).select("doc_id", found)
+    return opened(_docs(spark, sf_dir), ("doc_id",), T.segments(F.col("text"), ("dr", "etc", "Mr", "nr", "St")), "sentence", at="sid")
 
 
 def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens with inner stops, dashes and decimal signs, addresses whole."""
-    return _sentences(spark, sf_dir).select("doc_id", "sid", F.posexplode(T.words(F.col("text"))).alias("tid", "form"))
+    return opened(_sentences(spark, sf_dir), ("doc_id", "sid"), T.words(F.col("text")), "form", at="tid")
 
 
 def described_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -486,7 +486,7 @@ def position_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _nested(spark, sf_dir).select(
         "doc_id", flags(lambda w: w.rlike(r"\A\p{Lu}")).alias("a"), flags(lambda w: F.length(w) > 5).alias("b"), flags(lambda w: ~w.rlike(r"\A[\p{L}\p{N}]")).alias("s")
     )
-    f = f.select("doc_id", F.arrays_zip("a", "b", corpus.shifted_in(F.col("s"), 1).alias("after")).alias("z")).select("doc_id", F.explode("z").alias("z")).select("doc_id", "z.*")
+    f = f.select("doc_id", F.arrays_zip("a", "b", corpus.shifted_in(F.col("s"), 1).alias("after")).alias("z")).transform(opened, ("doc_id",), "z", "z").select("doc_id", "z.*")
     a, b, c = F.col("a"), F.col("b"), F.col("after")
     return f.groupBy("doc_id").agg(F.count_if(a & b).alias("n_and"), F.count_if(a | b).alias("n_or"), F.count_if(a != b).alias("n_xor"), F.count_if(a & ~b).alias("n_andnot"), F.count_if(~a).alias("n_not"), F.count_if(c).alias("n_shifted"))
 
