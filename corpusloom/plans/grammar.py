@@ -15,12 +15,14 @@ import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, MapType, StringType, StructField, StructType
 
 from ..functions.rows import opened as opened_rows
+from . import outputs
 from ..operators.predicates import Clause, clause_column, parse_clauses, with_macros
 
 #: Symbols are characters of a private range, one for each truth vector of so many clauses.
@@ -62,11 +64,14 @@ class Node:
 
     A call ``:Graph(name=value, ...)`` sets variables for the graph that it calls. ``guard(sentence, token, variables)`` runs where the code holds,
     before its token is consumed: a false answer turns the path back, a dictionary gives the variables that hold from there on along this path.
+    ``output`` is what a path through the node writes (``outputs.parse``); ``script`` is a text that is kept, not run.
     """
 
     code: str
     children: list[int] = field(default_factory=list)
     guard: Callable[[list[dict], int, dict[str, str]], object] | None = None
+    output: str | None = None
+    script: str | None = None
 
 
 @dataclass
@@ -91,9 +96,10 @@ class Grammar:
         return self.init is not None or any(n.guard or _ARGUMENTS.search(n.code) for g in self.graphs.values() for n in g.nodes.values())
 
 
-def sequence(*codes: str) -> Graph:
-    """A graph of one path."""
-    nodes = {0: Node("<E>", [1])} | {k + 1: Node(c, [k + 2]) for k, c in enumerate(codes)} | {len(codes) + 1: Node("<E>")}
+def sequence(*codes: str | tuple[str, str]) -> Graph:
+    """A graph of one path; a pair is a node's code and its output."""
+    pairs = [(c, None) if isinstance(c, str) else c for c in codes]
+    nodes = {0: Node("<E>", [1])} | {k + 1: Node(c, [k + 2], output=o) for k, (c, o) in enumerate(pairs)} | {len(codes) + 1: Node("<E>")}
     return Graph(nodes, 0, len(codes) + 1)
 
 
@@ -106,7 +112,8 @@ def load(text: str) -> Grammar:
         nodes, start, end = {}, None, None
         for n in g.iter("Node"):
             number = int(n.get("ID"))
-            nodes[number] = Node((n.findtext("MatchingPatternCode") or "").strip(), [int(c.text) for c in n.iter("Child")])
+            held = [(n.findtext(t) or "").strip() for t in ("MatchingPatternCode", "AnnotationCode", "JScode")]
+            nodes[number] = Node(held[0], [int(c.text) for c in n.iter("Child")], output=held[1] or None, script=held[2] or None)
             start = number if n.get("isStartNode") == "true" else start
             end = number if n.get("isEndNode") == "true" or not nodes[number].children and end is None else end
         graphs[g.get("ID")] = Graph(nodes, start, end)
@@ -124,7 +131,9 @@ def save(grammar: Grammar) -> str:
         for number, node in graph.nodes.items():
             flags = {"isStartNode": "true"} if number == graph.start else {"isEndNode": "true"} if number == graph.end else {}
             n = ET.SubElement(g, "Node", ID=str(number), **flags)
-            ET.SubElement(n, "MatchingPatternCode").text = node.code
+            for tag, text in (("MatchingPatternCode", node.code), ("AnnotationCode", node.output), ("JScode", node.script)):
+                if text is not None:
+                    ET.SubElement(n, tag).text = text
             for c in node.children:
                 ET.SubElement(n, "Child").text = str(c)
     return ET.tostring(root, encoding="unicode")
@@ -158,7 +167,11 @@ def clauses_of(grammar: Grammar) -> list[Clause]:
 
 
 def check(grammar: Grammar) -> None:
-    """Static checks: calls have a graph, no loop consumes nothing, no graph calls itself at its start or asserts itself, the main graph consumes a token."""
+    """Static checks: calls have a graph, no loop consumes nothing, no graph calls itself at its start or asserts itself, the main graph consumes a token, outputs can be read."""
+    for graph in grammar.graphs.values():
+        for number, node in graph.nodes.items():
+            if node.output and "$" not in node.output and outputs.parse(node.output) is None:
+                raise GrammarError(f"bad output code at node {number}: {node.output!r}")
     asserted: set[str] = set()
     named: dict[str, set[str]] = {}
     for name, graph in grammar.graphs.items():
@@ -322,7 +335,7 @@ def to_regex(grammar: Grammar, clauses: list[Clause], most: int = 200_000) -> st
 
 def match(
     sentences: DataFrame, grammar: Grammar, features: str = "features", limit: int = 0, force_matcher: bool = False,
-    of: Callable[[Column], dict[str, Column]] | None = None, keep: tuple[str, ...] = (), anchor: str | None = None, spans: str | None = None,
+    of: Callable[[Column], dict[str, Column]] | None = None, keep: tuple[str, ...] = (), anchor: str | None = None, spans: str | None = None, traced: bool = False,
 ) -> DataFrame:
     """``doc_id, sid, start, len``: the leftmost non-overlapping matches of each sentence.
 
@@ -332,12 +345,15 @@ def match(
     ``spans`` names a column of spans (``with_spans``): a clause ``<Name ...>`` then consumes the longest such span that starts at the token.
     Assertions at a token outside the sentence hold only if negative; in asserted graphs variables are those that the sentence starts with. Grammars with
     guards, call arguments or ``init`` also return ``variables``, as they are at the end of each match.
+
+    With ``traced`` each match also returns ``path``, the nodes that its path entered, and ``written``, the spans that the outputs on it write, with their
+    faults. Paths are followed in Python, but where the grammar is a regular expression only the sentences in which it matches get there, as strings of symbols.
     """
     check(grammar)
     clauses = clauses_of(grammar)
     pattern = None if limit or force_matcher else to_regex(grammar, clauses)
-    if pattern is None:
-        return _match_each(sentences, grammar, clauses, features, limit, of, keep, anchor, spans)
+    if pattern is None or traced:
+        return _match_each(sentences, grammar, clauses, features, limit, of, keep, anchor, spans, traced, pattern)
     sym = sentences.select("doc_id", "sid", *keep, *([F.col(anchor).alias("at_token")] if anchor else []), symbols(clauses, features, of).alias("sym"))
     return tiled(sym, pattern, keep, "at_token" if anchor else None)
 
@@ -371,7 +387,8 @@ def with_spans(sentences: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def _match_each(
-    sentences: DataFrame, grammar: Grammar, clauses: list[Clause], features: str, limit: int, of, keep: tuple[str, ...], anchor: str | None, spans: str | None
+    sentences: DataFrame, grammar: Grammar, clauses: list[Clause], features: str, limit: int, of, keep: tuple[str, ...], anchor: str | None, spans: str | None,
+    traced: bool = False, pattern: str | None = None,
 ) -> DataFrame:
     """The matcher for what is no regular expression: backtracking over an explicit stack, a sentence at a time."""
     of_spans = [b for b, c in enumerate(clauses) if c.span]
@@ -389,7 +406,12 @@ def _match_each(
     token = (F.col(anchor) if anchor else F.lit(None)).cast("int")
     parts = {name: {k: _parts(grammar, n) for k, n in g.nodes.items()} for name, g in grammar.graphs.items()}
     shown = F.transform(opened, lambda t: F.to_json(t)) if grammar.scripted else F.array().cast("array<string>")
-    vectors = sentences.select("doc_id", "sid", *keep, truth.alias("truth"), covered.alias("covered"), shown.alias("shown"), token.alias("at_token"))
+    if pattern is not None:
+        # The symbols are opened as an array of one, so that the filter on them does not compute them again.
+        whole = opened_rows(sentences, ("doc_id", "sid", *keep, covered.alias("covered"), shown.alias("shown"), token.alias("at_token")), F.array(symbols(clauses, features, of)), "truth")
+        vectors = whole.where(F.col("truth").rlike(pattern)).select("doc_id", "sid", *keep, "truth", "covered", "shown", "at_token")
+    else:
+        vectors = sentences.select("doc_id", "sid", *keep, truth.alias("truth"), covered.alias("covered"), shown.alias("shown"), token.alias("at_token"))
     guards = {(name, k): n.guard for name, g in grammar.graphs.items() for k, n in g.nodes.items() if n.guard}
     given = {
         (name, k): dict(tuple(map(str.strip, a.split("=", 1))) for a in found[1].split(",") if a.strip())
@@ -425,15 +447,15 @@ def _match_each(
             known[key] = found != negative
         return known[key]
 
-    def accepted(held: tuple, graph: str, at: int, most: int, back: bool = False) -> Iterator[tuple[int, dict]]:
-        """The boundaries at which paths from ``at`` end, with the variables there, in the order of priority.
+    def accepted(held: tuple, graph: str, at: int, most: int, back: bool = False) -> Iterator[tuple[int, dict, tuple | None]]:
+        """The boundaries at which paths from ``at`` end, with the variables there and the path's trail, in the order of priority.
 
-        The stack holds what is still to be tried: a graph, a node, a boundary, the calls to return to as linked tuples, whether the node is passed, and
-        the variables, which no path changes in place, so that turning back restores them.
+        The stack holds what is still to be tried: a graph, a node, a boundary, the calls to return to as linked tuples, whether the node is passed,
+        the variables, and the trail of entries and exits as linked tuples. No path changes these in place, so that turning back restores them.
         """
-        todo = [(graph, plan[back][graph][0], at, None, False, held[5])]
+        todo = [(graph, plan[back][graph][0], at, None, False, held[5], None)]
         while todo:
-            name, number, k, calls, passed, own = todo.pop()
+            name, number, k, calls, passed, own, trail = todo.pop()
             _, last, bare, nodes = plan[back][name]
             kind, code, after = nodes[number]
             if not passed and number != bare:
@@ -449,51 +471,72 @@ def _match_each(
                     if said is None or said is False:
                         continue
                     own = said if isinstance(said, dict) else own
+                if traced:
+                    trail = (trail, True, name, number, k, own)
                 if kind == "call":
                     more = given.get((name, number), {})
-                    todo.append((code, plan[back][code][0], k, (name, number, calls, {a: own.get(a) for a in more}), False, {**own, **more}))
+                    todo.append((code, plan[back][code][0], k, (name, number, calls, {a: own.get(a) for a in more}), False, {**own, **more}, trail))
                     continue
                 k += -size if back else size
-            further = [] if number == last and not back else [(name, c, k, calls, False, own) for c in reversed(after)]
+            elif traced and not passed:
+                trail = (trail, True, name, number, k, own)
+            if traced and (name, number) in written:
+                trail = (trail, False, name, number, k, own)
+            further = [] if number == last and not back else [(name, c, k, calls, False, own, trail) for c in reversed(after)]
             todo += further
             # Left, or a node that leads nowhere, which accepts in the outermost graph.
             if number == last or not further and calls is None and not back:
                 if calls is None:
-                    yield k, own
+                    yield k, own, trail
                 else:
                     # Arguments end with their call.
                     rest = own if not calls[3] else {a: v for a, v in {**own, **calls[3]}.items() if v is not None}
-                    todo.append((calls[0], calls[1], k, calls[2], True, rest))
+                    todo.append((calls[0], calls[1], k, calls[2], True, rest, trail))
 
-    def first_end(held: tuple, at: int, most: int) -> tuple[int, dict]:
+    def first_end(held: tuple, at: int, most: int) -> tuple[int, dict, tuple | None]:
         """Where the first path ends that consumes a token; ``at`` without one."""
-        return next(((k, own) for k, own in accepted(held, grammar.main, at, most) if k > at), (at, {}))
+        return next((found for found in accepted(held, grammar.main, at, most) if found[0] > at), (at, {}, None))
 
     kept = [sentences.schema[c] for c in keep]
     scripted, init = grammar.scripted, grammar.init
     more = [StructField("variables", MapType(StringType(), StringType()))] if scripted else []
+    more += [StructField("path", outputs.PATH), StructField("written", outputs.WRITTEN)] if traced else []
+    written = {(name, k): n.output for name, g in grammar.graphs.items() for k, n in g.nodes.items() if n.output}
+    tables = [tuple(v >> b & 1 for b in range(len(clauses))) for v in range(1 << len(clauses))] if pattern is not None else []
     schema = StructType([StructField("doc_id", LongType()), StructField("sid", LongType()), *kept, StructField("start", IntegerType()), StructField("len", IntegerType()), *more])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, sid, *own, truth, covered, shown, token in batch.itertuples(index=False, name=None):
+            for doc, sid, *own, truth, covered, shown, token in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 by_start, by_end = {}, {}
                 for b, start, end in covered:
                     by_start[b, start] = max(by_start.get((b, start), 0), end - start + 1)
                     by_end[b, end] = max(by_end.get((b, end), 0), end - start + 1)
+                starts = None
+                if pattern is not None:
+                    # Paths are followed only from where the expression matches.
+                    starts = {m.start() for m in re.finditer(pattern, truth)} if token is None else None
+                    truth = [tables[ord(c) - FIRST_SYMBOL] for c in truth]
                 sentence = [json.loads(t) if t else {} for t in shown]
                 held = (truth, by_start, by_end, {}, sentence, init(sentence) if init else {})
-                anchored = token is not None and token == token
+                anchored = token is not None
                 at, past = (int(token), int(token) + 1) if anchored else (0, len(truth))
                 while at < min(past, len(truth)):
-                    stop, variables = first_end(held, at, at + limit if limit else len(truth))
+                    if starts is not None and at not in starts:
+                        at += 1
+                        continue
+                    stop, variables, trail = first_end(held, at, at + limit if limit else len(truth))
                     if stop > at:
-                        rows.append((doc, sid, *own, at, stop - at, *([{k: str(v) for k, v in variables.items()}] if scripted else [])))
+                        said = [[(k, str(v)) for k, v in variables.items()]] if scripted else []
+                        rows.append((doc, sid, *own, at, stop - at, *said, *(outputs.replayed(trail, written) if traced else ())))
                     at = max(stop, at + 1)
-            yield pd.DataFrame(rows, columns=[f.name for f in schema])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    return vectors.mapInPandas(run, schema)
+    return vectors.mapInArrow(run, schema)
 
 
 #: An opening ``<Name +key="value" ...``, more ``+key="value"``, and the closing ``>`` of a span (output codes).

@@ -11,7 +11,7 @@ from ..functions import tags
 from ..functions import text as T
 from ..functions.rows import opened
 from ..operators import corpus, evaluation, lexicon, predicates, spans, tagging
-from . import grammar, inference
+from . import grammar, inference, outputs
 
 FLAGSHIP = "grammar_matches"
 
@@ -82,6 +82,31 @@ def annotated_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "sid", "name", "start", "end", F.col("features")["type"].alias("type"), F.col("features")["size"].alias("size"))
 
 
+#: The phrase of ``PHRASE``, written by its nodes: the whole, its head, and what a called graph finds after the head; a feature is set, then taken back.
+NESTED = grammar.Grammar({"Main": grammar.Graph({
+    0: grammar.Node("<E>", [1, 5], output='<NP +type="np"'), 1: grammar.Node("<+kind=cap>", [2], output='<HEAD +kind="cap">'), 2: grammar.Node(":Rest", [3], output="<REST>"),
+    3: grammar.Node("<E>", [8], output='+end="sign" -type>'), 5: grammar.Node("<+kind=num>", [6], output='<HEAD +kind="num" >'),
+    6: grammar.Node("<+kind=num>", [7]), 7: grammar.Node("<E>", [8], output='+end="number" >'), 8: grammar.Node("<E>"),
+}, 0, 8), "Rest": grammar.Graph({0: grammar.Node("<E>", [1, 2]), 1: grammar.Node("<+kind=low>", [1, 2]), 2: grammar.Node("<+kind=sign>", [3]), 3: grammar.Node("<E>")}, 0, 3)})
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matched(spark, sf_dir, NESTED, traced=True)
+
+
+def nested_output_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that the nodes of one grammar write, one inside the other."""
+    feature = lambda k: F.try_element_at("features", F.lit(k)).alias(f"f_{k}")
+    found = outputs.spans_of(_written(spark, sf_dir))
+    return found.select("doc_id", "sid", "match_start", "number", "parent", "name", "start", "end", feature("type"), feature("kind"), feature("end"), "fault")
+
+
+def visited_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often matches enter each node, and how many matches do."""
+    entered = F.struct("doc_id", "sid", "match_start")
+    return outputs.visited(_written(spark, sf_dir)).groupBy("graph", "node").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(entered).alias("n_matches"))
+
+
 def anchored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match that starts at the second token of each sentence."""
     sentences = _nested(spark, sf_dir).withColumn("second", F.lit(1))
@@ -99,6 +124,9 @@ PHRASE_SQL = TOK_SQL + r""", sym AS (
 )"""
 
 
+NESTED_SQL = PHRASE_SQL + """, kinds AS (SELECT p.*, substr(s.sym, p.start + 1, 1) = 'U' AS cap FROM phrases p JOIN sym s USING (doc_id, sid))"""
+
+
 def look_ahead_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lower-case word with a sign other than a full stop right after it, which is not part of the match."""
     return _matched(spark, sf_dir, grammar.Grammar({"Main": grammar.sequence("<+kind=low>", "?=<+kind=sign>", "?!<+WORD=.>")}))
@@ -527,6 +555,15 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         SELECT doc_id, sid, label, MIN(tid) AS start, MAX(tid) AS "end" FROM r WHERE label IS NOT NULL GROUP BY doc_id, sid, label, run"""),
     "grammar_matches": (grammar_matches, f"WITH {PHRASE_SQL} SELECT doc_id, sid, start, len FROM phrases"),
     "annotated_matches": (annotated_matches, f"""WITH {PHRASE_SQL} SELECT doc_id, sid, 'PHRASE' AS name, start, start + len - 1 AS "end", 'np' AS type, 'n' || len AS size FROM phrases"""),
+    "nested_output_spans": (nested_output_spans, f"""WITH {NESTED_SQL}
+        SELECT doc_id, sid, start AS match_start, 0 AS number, NULL::INT AS parent, 'NP' AS name, start, start + len - 1 AS "end", CASE WHEN cap THEN NULL ELSE 'np' END AS f_type, NULL::VARCHAR AS f_kind,
+            CASE WHEN cap THEN 'sign' ELSE 'number' END AS f_end, NULL::VARCHAR AS fault FROM kinds
+        UNION ALL SELECT doc_id, sid, start, 1, 0, 'HEAD', start, start, NULL, CASE WHEN cap THEN 'cap' ELSE 'num' END, NULL, NULL FROM kinds
+        UNION ALL SELECT doc_id, sid, start, 2, 0, 'REST', start + 1, start + len - 1, NULL, NULL, NULL, NULL FROM kinds WHERE cap"""),
+    "visited_nodes": (visited_nodes, f"""WITH {NESTED_SQL}, own AS (
+        SELECT g, n, CASE WHEN g = 'Rest' AND n = 1 THEN len - 2 ELSE 1 END AS k FROM kinds, (VALUES ('Main', 0), ('Main', 1), ('Main', 2), ('Main', 3), ('Main', 5), ('Main', 6), ('Main', 7), ('Main', 8),
+            ('Rest', 0), ('Rest', 1), ('Rest', 2), ('Rest', 3)) v(g, n) WHERE CASE WHEN g = 'Rest' OR n IN (1, 2, 3) THEN cap WHEN n IN (5, 6, 7) THEN NOT cap ELSE TRUE END)
+        SELECT g AS graph, n AS node, SUM(k)::BIGINT AS n, COUNT(*) AS n_matches FROM own WHERE k > 0 GROUP BY ALL"""),
     "anchored_matches": (anchored_matches, f"""WITH {PHRASE_SQL}, s AS (SELECT doc_id, sid, regexp_extract(substr(sym, 2), '^(UL*S|NN)') AS m FROM sym)
         SELECT doc_id, sid, 1 AS start, length(m)::INT AS len FROM s WHERE m <> ''"""),
     "look_ahead_matches": (look_ahead_matches, rf"""WITH {TOK_SQL}, n AS (SELECT *, lead(form) OVER (PARTITION BY doc_id, sid ORDER BY tid) AS nxt FROM tok)
