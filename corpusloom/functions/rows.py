@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """What ``body`` makes of a value that is computed once, however often ``body`` names it, also inside its own lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def opened(rows: DataFrame, keep: tuple[str | Column, ...], array: Column | str, element: str, at: str | None = None) -> DataFrame:
     """``keep``, the place (from 0) as ``at``, and ``element``: a row for each element of an array.
 

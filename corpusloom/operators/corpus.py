@@ -25,9 +25,10 @@ def nested(sentences: DataFrame) -> DataFrame:
 
 
 def tiles_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, at, part, start``: a text's tiles and where they start, the sum of the lengths before them."""
-    parts = docs.select("doc_id", F.posexplode(T.tiles(F.col("text"))).alias("at", "part"))
-    return parts.withColumn("start", F.sum(F.length("part")).over(Window.partitionBy("doc_id").orderBy("at")) - F.length("part"))
+    """``doc_id, at, part, start``: a text's tiles and where they start, the sum of the lengths before them. Row by row."""
+    cut = docs.select("doc_id", T.tiles(F.col("text")).alias("parts")).withColumn("starts", T.starts(F.col("parts")))
+    placed = opened(cut, ("doc_id",), F.arrays_zip(F.col("parts").alias("part"), F.col("starts").alias("start")), "p", at="at")
+    return placed.select("doc_id", "at", "p.part", "p.start")
 
 
 def numbered(tokens: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import tags
 from ..functions import text as T
 from ..functions.rows import opened
-from ..operators import corpus, evaluation, lexicon, predicates, spans, tagging
+from ..operators import corpus, evaluation, lexicon, predicates, spans, tagging, tokenizer
 from . import grammar, inference, outputs
 
 FLAGSHIP = "grammar_matches"
@@ -451,14 +451,27 @@ def suffix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir).where("length(form) > 1").transform(opened, (), T.suffixes(F.lower("form"), 3), "suffix").groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
 
 
+ABBREVIATIONS = ("dr", "etc", "Mr", "nr", "St")
+
+
 def segmented_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences by paragraph, with vetoes by addresses, capitals, acronyms and abbreviations."""
-    return opened(_docs(spark, sf_dir), ("doc_id",), T.segments(F.col("text"), ("dr", "etc", "Mr", "nr", "St")), "sentence", at="sid")
+    return tokenizer.segmented(_docs(spark, sf_dir), ABBREVIATIONS).select("doc_id", "sid", "start", F.col("text").alias("sentence"))
 
 
 def word_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens with inner stops, dashes and decimal signs, addresses whole."""
-    return opened(_sentences(spark, sf_dir), ("doc_id", "sid"), T.words(F.col("text")), "form", at="tid")
+    return tokenizer.tokenized(tokenizer.segmented(_docs(spark, sf_dir), ABBREVIATIONS))
+
+
+def dictionary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens with units of two words that follow each other in conversations, and with hyphenated words cut into words said there."""
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(T.canonical_word(F.col("text")).alias("line"))
+    words = said.transform(opened, (), F.regexp_extract_all("line", F.lit(r"\p{L}+"), F.lit(0)), "word_key")
+    pairs = said.transform(opened, (), F.regexp_extract_all("line", F.lit(r"\p{L}+~\p{L}+"), F.lit(0)), "word_key")
+    counts = lambda w: w.groupBy("word_key").agg(F.count(F.lit(1)).alias("freq"))
+    dictionary = counts(words).unionByName(counts(pairs).where("freq >= 20"))
+    return tokenizer.tokenized(tokenizer.segmented(_docs(spark, sf_dir), ABBREVIATIONS), dictionary)
 
 
 def described_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -539,7 +552,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "tokens": (tokens, f"WITH {TOK_SQL} SELECT doc_id, sid, tid, form FROM tok"),
     "sentences": (sentences, f"WITH {SENT_SQL} SELECT doc_id, sid, text FROM sent"),
     "token_tiles": (token_tiles, r"""
-        WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+|[\s\p{Z}]+|[^\p{L}\p{N}\s\p{Z}]+') AS a FROM documents),
+        WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{Nd}]+|[\s\p{Z}]+|[^\p{L}\p{Nd}\s\p{Z}]') AS a FROM documents),
         o AS (SELECT doc_id, unnest(a) AS part, generate_subscripts(a, 1) AS i FROM t),
         p AS (SELECT doc_id, part, SUM(length(part)) OVER (PARTITION BY doc_id ORDER BY i) - length(part) AS start FROM o)
         SELECT doc_id, COUNT(*) AS n, SUM(start)::BIGINT AS starts, MAX(start + length(part))::BIGINT AS last FROM p WHERE trim(part, ' ') <> '' GROUP BY doc_id"""),
@@ -662,6 +675,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "unit_parts": (unit_parts, "SELECT part, COUNT(*) AS n FROM (SELECT unnest(regexp_extract_all(replace(text, ' ', '~'), '[^~.-]+|[~.-]')) AS part FROM conversations) GROUP BY part"),
     "suffix_counts": (suffix_counts, f"WITH {TOK_SQL} SELECT right(lower(form), k) AS suffix, COUNT(*) AS n FROM tok, UNNEST([1, 2, 3]) AS u(k) WHERE length(form) > k GROUP BY 1"),
     "segmented_sentences": (segmented_sentences, None),
+    "dictionary_tokens": (dictionary_tokens, None),
     "word_tokens": (word_tokens, None),
     "described_tags": (described_tags, f"""WITH {ENTRIES_SQL}, t AS (SELECT word, length(word) % 2 = 0 AS f, word LIKE '%s' AS p, length(word) % 3 = 0 AS o, word LIKE '%e' AS e FROM entries),
         m AS (SELECT *, 'Nc' || CASE WHEN f THEN 'f' ELSE 'm' END || CASE WHEN p THEN 'p' ELSE 's' END || CASE WHEN o THEN 'o' ELSE 'r' END || CASE WHEN e THEN '-' ELSE 'y' END AS tag FROM t)
