@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.rows import opened
+from ..functions.rows import let, opened
 
 
 def sentences_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,6 +117,19 @@ def islands(tokens: DataFrame, label: str, by: tuple[str, ...] = ("doc_id", "sid
     return runs.groupBy(*by, "run", label).agg(F.min(order).alias("start"), F.max(order).alias("end")).drop("run")
 
 
+def runs(labels: Column) -> Column:
+    """``label, start, end`` of the runs of equal labels in an array, in order; null labels are in none. No shuffle: for nested sentences."""
+
+    def cut(values: Column) -> Column:
+        n = F.size(values)
+        edge = lambda i: (i == 0) | (i == n) | ~F.get(values, i).eqNullSafe(F.get(values, i - 1))
+        edges = F.when(n > 0, F.filter(F.sequence(F.lit(0), n), edge)).otherwise(F.array().cast("array<int>"))
+        held = let(edges, lambda es: F.transform(F.slice(es, F.lit(1), F.greatest(F.size(es) - 1, F.lit(0))), lambda e, k: F.struct(F.get(values, e).alias("label"), e.alias("start"), (F.get(es, k + 1) - 1).alias("end"))))
+        return F.filter(held, lambda r: r["label"].isNotNull())
+
+    return let(labels, cut)
+
+
 def carried(rows: DataFrame, value: Column, by: tuple[str, ...], order: str) -> Column:
     """The last ``value`` that is not null up to each row."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions.rows import opened
+
 
 def right(gold: Column, found: Column) -> Column:
     """Equal tags; two proper-noun tags count as equal whatever else they say."""
@@ -28,6 +31,14 @@ def failures_by(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("total"), F.count_if(failed).alias("failed"))
 
 
+def failures_in(sentences: DataFrame, words: str = "words") -> DataFrame:
+    """``doc_id, sid, tid, char_start`` and the word's fields, as ``failures`` gives them, from sentences whose ``words`` are an array of ``form, gold, found``: no shuffle."""
+    placed = sentences.select("doc_id", "sid", words, T.starts(F.transform(words, lambda w: F.concat(w["form"], F.lit(" ")))).alias("starts"))
+    both = F.zip_with(words, "starts", lambda w, at: F.struct(w.alias("w"), at.alias("char_start")))
+    rows = opened(placed, ("doc_id", "sid"), both, "r", at="tid").select("doc_id", "sid", "tid", "r.w.*", "r.char_start")
+    return rows.where(~right(F.col("gold"), F.col("found")))
+
+
 def failures(rows: DataFrame, order: str = "tid") -> DataFrame:
     """Failed rows with the place of their word in the line: words before it, one blank after each."""
     before = Window.partitionBy("doc_id", "sid").orderBy(order)

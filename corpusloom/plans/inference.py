@@ -14,10 +14,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .grammar import Grammar, GrammarError, Graph, Node, match, spans_from
 
 #: Edges that a grammar may have.
 MOST_EDGES = 20_000
+#: The most pairs of alike nodes that come to the driver.
+MOST_PAIRS = 2_000_000
 #: The neighbour that stands for the end of an example.
 END = "\0"
 
@@ -169,7 +172,7 @@ def infer(examples: DataFrame, attribute: str, negatives: DataFrame | None = Non
 
     The examples' minimal automaton is generalised by joining nodes of one key at least as alike as ``similarity`` (None: not at all), level by level from
     the most alike; a level that would accept one of ``negatives`` (``keys``) is the first that is left out. Negatives that are examples too do not count.
-    No examples, or more than ``most`` edges, are an error.
+    No examples, more than ``most`` edges, or more than ``MOST_PAIRS`` alike pairs are an error: that much reaches the driver.
     """
     rows = [tuple(r) for r in automaton(examples).limit(most + 1).collect()]
     if not rows or len(rows) > most:
@@ -179,7 +182,9 @@ def infer(examples: DataFrame, attribute: str, negatives: DataFrame | None = Non
     if similarity is not None:
         spark = examples.sparkSession
         known = spark.createDataFrame(found.neighbours(), "node long, key string, side string, neighbour string")
-        alike = [tuple(r) for r in similar_nodes(known).where(F.col("similarity") >= similarity).collect()]
+        alike = [tuple(r) for r in similar_nodes(known).where(F.col("similarity") >= similarity).limit(MOST_PAIRS + 1).collect()]
+        if len(alike) > MOST_PAIRS:
+            raise GrammarError(f"more than {MOST_PAIRS} pairs of nodes are alike; ask for more similarity")
         wrong = None if negatives is None else conflict_free(negatives, examples)
         for level in sorted({s for _, _, s in alike}, reverse=True):
             trial = taken + [(a, b) for a, b, s in alike if s == level]
@@ -221,8 +226,8 @@ def compared(found: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame, D
 def bootstrap(sentences: DataFrame, gold: DataFrame, attribute: str, similarity: float = 0.0, rounds: int = 10) -> tuple[Grammar, DataFrame]:
     """A grammar for the ``gold`` spans, and its matches: what it matches wrongly becomes negative examples until the errors stay the same.
 
-    ``sentences`` have feature maps. Each round's matches come from the sentences and that round's grammar, so lineage does not grow from round to round
-    but for the union of the wrong sequences.
+    ``sentences`` have feature maps. Each round's matches come from the sentences and that round's grammar, and its wrong sequences are written to the shared
+    folder, so that no round computes an earlier one again.
     """
     examples = example_keys(sentences, gold, attribute).select("keys")
     negatives, before = None, None
@@ -234,6 +239,6 @@ def bootstrap(sentences: DataFrame, gold: DataFrame, attribute: str, similarity:
         if not counts[0] or counts == before:
             break
         before = counts
-        keys = example_keys(sentences, wrong, attribute).select("keys").distinct()
+        keys = written(example_keys(sentences, wrong, attribute).select("keys").distinct())
         negatives = keys if negatives is None else negatives.union(keys).distinct()
     return grammar, found

@@ -145,9 +145,12 @@ def cross_reference_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched(spark, sf_dir, grammar.Grammar(graphs))
 
 
-def _openings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kinds of each sentence's first four tokens, as example sequences."""
-    return _nested(spark, sf_dir).select(F.transform(F.slice("forms", 1, 4), lambda w: _attributes(w)["kind"]).alias("keys"))
+def _openings(spark: SparkSession, sf_dir: str, letters: bool = True) -> DataFrame:
+    """The tokens of each PHRASE span, whole, as an example sequence: a lower-case word by its last letter, others by their kind."""
+    low = lambda w: w.rlike(r"\A\p{Ll}") & F.lit(letters)
+    key = lambda w: F.when(low(w), F.concat(F.lit("low "), F.right(w, F.lit(1)))).otherwise(_attributes(w)["kind"])
+    held = _matched(spark, sf_dir, PHRASE, keep=("forms",))
+    return held.select(F.transform(F.slice("forms", F.col("start") + 1, F.col("len")), key).alias("keys"))
 
 
 def prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +165,7 @@ def minimal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def similar_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inference.similar_nodes(inference.tree_neighbours(_openings(spark, sf_dir)))
+    return inference.similar_nodes(inference.tree_neighbours(_openings(spark, sf_dir, letters=False)))
 
 
 def bootstrapped_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,10 +174,10 @@ def bootstrapped_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
-OPENINGS_SQL = TOK_SQL + r""", openings AS (
-  SELECT doc_id, sid, list(CASE WHEN regexp_matches(form, '^\p{Lu}') THEN 'cap' WHEN regexp_matches(form, '^\p{Ll}') THEN 'low'
-                                WHEN regexp_matches(form, '^\p{N}') THEN 'num' ELSE 'sign' END ORDER BY tid) AS keys FROM tok WHERE tid < 4 GROUP BY doc_id, sid
-), opened AS (SELECT keys, d AS depth, array_to_string(keys[1:d], ' ') AS prefix FROM openings, UNNEST(range(0, len(keys) + 1)) AS u(d)
+OPENINGS_SQL = PHRASE_SQL + r""", keyed AS (
+  SELECT doc_id, sid, list(CASE WHEN regexp_matches(form, '^\p{Lu}') THEN 'cap' WHEN regexp_matches(form, '^\p{Ll}') THEN 'low ' || right(form, 1)
+                                WHEN regexp_matches(form, '^\p{N}') THEN 'num' ELSE 'sign' END ORDER BY tid) AS whole FROM tok GROUP BY doc_id, sid
+), openings AS (SELECT doc_id, sid, start, whole[start + 1:start + len] AS keys FROM phrases JOIN keyed USING (doc_id, sid)), opened AS (SELECT keys, d AS depth, array_to_string(keys[1:d], ' ') AS prefix FROM openings, UNNEST(range(0, len(keys) + 1)) AS u(d)
 ), tree AS (SELECT prefix, depth, COUNT(*) AS n, SUM((len(keys) = depth)::INT)::BIGINT AS ends, any_value(keys[1:depth]) AS path FROM opened GROUP BY prefix, depth)"""
 
 
@@ -206,9 +209,9 @@ def context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = _tokens(spark, sf_dir).withColumn("label", F.when(F.col("form").rlike(r"\A\p{Lu}"), "cap").when(F.col("form").rlike(r"\A\p{Ll}"), "low"))
-    found = corpus.islands(marked, "label")
-    return found.select("doc_id", "sid", "label", F.col("start").cast("long"), F.col("end").cast("long"))
+    label = lambda w: F.when(w.rlike(r"\A\p{Lu}"), "cap").when(w.rlike(r"\A\p{Ll}"), "low")
+    found = opened(_nested(spark, sf_dir), ("doc_id", "sid"), corpus.runs(F.transform("forms", label)), "r")
+    return found.select("doc_id", "sid", "r.label", F.col("r.start").cast("long").alias("start"), F.col("r.end").cast("long").alias("end"))
 
 
 def covered_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,10 +225,10 @@ def span_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans from each capitalised word to two places after the next sign's word: they may cross."""
-    w = _tokens(spark, sf_dir).withColumn("cap", F.col("form").rlike(r"\A\p{Lu}"))
-    size = F.count(F.lit(1)).over(corpus.Window.partitionBy("doc_id", "sid"))
-    end = F.least(F.col("tid") + 2 + F.length("form") % 4, size - 1)
-    return w.withColumn("end", end).where("cap").select("doc_id", "sid", F.col("tid").cast("long").alias("span_id"), F.lit("X").alias("name"), F.col("tid").alias("start"), F.col("end").cast("int"))
+    held = _nested(spark, sf_dir).withColumn("size", F.size("forms"))
+    w = opened(held, ("doc_id", "sid", "size"), "forms", "form", at="tid").where(F.col("form").rlike(r"\A\p{Lu}"))
+    end = F.least(F.col("tid") + 2 + F.length("form") % 4, F.col("size") - 1)
+    return w.select("doc_id", "sid", F.col("tid").cast("long").alias("span_id"), F.lit("X").alias("name"), F.col("tid").alias("start"), end.cast("int").alias("end"))
 
 
 PAIRS_SQL = TOK_SQL + r""", pairs AS (
@@ -518,7 +521,11 @@ def tag_failures_by_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tag_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.failures(_tagged(spark, sf_dir)).select("doc_id", "sid", F.col("tid").cast("long"), F.col("char_start").cast("long"))
+    gold = lambda w: F.when(w.rlike(r"\A\p{Lu}"), "Np").otherwise("Nc")
+    found = lambda w: F.when(F.length(w) > 5, "Npx").when(F.length(w) > 2, "Nc").otherwise("Sp")
+    words = F.transform("forms", lambda w: F.struct(w.alias("form"), gold(w).alias("gold"), found(w).alias("found")))
+    judged = evaluation.failures_in(_nested(spark, sf_dir).withColumn("words", words))
+    return judged.select("doc_id", "sid", F.col("tid").cast("long"), F.col("char_start").cast("long"))
 
 
 def position_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -590,7 +597,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
           SELECT prefix, string_agg(DISTINCT array_to_string(keys[depth + 1:], ' '), '|' ORDER BY array_to_string(keys[depth + 1:], ' ')) AS rests, bool_or(len(keys) = depth) AS ends
           FROM opened GROUP BY prefix)
         SELECT prefix, COUNT(*) OVER (PARTITION BY rests) AS alike, ends FROM s"""),
-    "similar_nodes": (similar_nodes, f"""WITH {OPENINGS_SQL}, own AS (SELECT prefix AS node, path[depth] AS key, path, depth, ends FROM tree WHERE depth > 0),
+    "similar_nodes": (similar_nodes, f"""WITH {OPENINGS_SQL.replace("'low ' || right(form, 1)", "'low'")}, own AS (SELECT prefix AS node, path[depth] AS key, path, depth, ends FROM tree WHERE depth > 0),
         near AS (SELECT node, key, 'before' AS side, CASE WHEN depth > 1 THEN path[depth - 1] ELSE '' END AS neighbour FROM own
           UNION SELECT node, key, 'after', 'END' FROM own WHERE ends > 0
           UNION SELECT array_to_string(path[1:depth - 1], ' '), path[depth - 1], 'after', key FROM own WHERE depth > 1),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..functions import text as T
+from ..functions.rows import let, opened
 
 #: Attributes of known XML layouts that hold a token's form, lemma and part of speech (fixed values).
 COMMON = {"sentence": "S", "form": None, "lemma": "LEMMA", "postag": "MSD"}
@@ -139,8 +140,8 @@ def open_corpus(spark: SparkSession, path: str, names: tuple[str, ...] = TABLES)
 def index_files(files: DataFrame, path: str, layout: dict[str, str | None] | None = None) -> dict[str, DataFrame]:
     """Files (``doc_id, text``) parsed once and kept as a corpus under ``path``.
 
-    Without a ``layout`` each file's sentence element is inferred, and the names of its attributes from all files. A file that is no XML is read
-    as CoNLL lines; its columns are the tokens' features.
+    Without a ``layout`` each file's sentence element is inferred, and the names of its attributes from all files. A file that is no XML, but holds
+    lines of ten columns, is read as CoNLL; its columns are the tokens' features. Any other one, as a broken XML file, is an error row.
     """
     spark = files.sparkSession
     parsed_xml(files, layout and layout["sentence"]).write.parquet(f"{path}/parsed")
@@ -148,7 +149,7 @@ def index_files(files: DataFrame, path: str, layout: dict[str, str | None] | Non
     if layout is None:
         layout = {"form": None, "lemma": None, "postag": None} | inferred_roles(rows.where("kind = 'token'")).first().asDict()
     tables = corpus_tables(rows, layout)
-    others = files.join(tables["errors"].where("kind = 'xml'").select("doc_id"), "doc_id", "left_semi")
+    others = files.join(tables["errors"].where("kind = 'xml'").select("doc_id"), "doc_id", "left_semi").where(is_conll(F.col("text")))
     lines = conll(others)
     features = F.map_filter(F.create_map(*(c for k in schema.CONLLU for c in (F.lit(k), F.col(k)))), lambda _, v: v.isNotNull())
     tokens = lines.select("doc_id", "sid", F.col("tid").cast("int"), "form", "lemma", F.col("xpostag").alias("postag"), F.lit(None).cast("string").alias("ref"), features.alias("features"))
@@ -185,18 +186,25 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.xxhash64(F.input_file_name()).alias("doc_id"), F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
+def _conll_lines(block: Column) -> Column:
+    """The token lines of some lines: not blank, no comment, no range or empty node."""
+    lines = F.transform(F.split(block, r"\r?\n"), T.without_bom)
+    return F.filter(lines, lambda v: (F.trim(v) != "") & ~F.startswith(v, F.lit("#")) & ~F.substring_index(v, "\t", 1).rlike(r"[-.]"))
+
+
+def is_conll(text: Column) -> Column:
+    """Whether a text is CoNLL lines: some token line, and ten columns in each."""
+    lines = _conll_lines(text)
+    return let(lines, lambda ls: (F.size(ls) > 0) & F.forall(ls, lambda v: F.size(F.split(v, "\t")) == len(schema.CONLLU)))
+
+
 def conll(files: DataFrame) -> DataFrame:
-    """``doc_id, sid, tid`` and the ten CoNLL-U columns; blank lines part sentences, ``#`` lines and ranges are left out."""
-    lines = files.select("doc_id", F.posexplode(F.split("text", r"\r?\n")).alias("line", "value")).withColumn("value", T.without_bom(F.col("value")))
-    by_line = Window.partitionBy("doc_id").orderBy("line")
-    island = F.sum((F.trim("value") == "").cast("int")).over(by_line)
-    kept = lines.withColumn("island", island).where("trim(value) <> '' AND NOT value LIKE '#%'").withColumn("cells", F.split("value", "\t"))
-    kept = kept.where(~F.element_at("cells", 1).rlike(r"[-.]"))
+    """``doc_id, sid, tid`` and the ten CoNLL-U columns; blank lines part sentences, ``#`` lines and ranges are left out. Row by row, without a shuffle."""
+    blocks = F.transform(F.split("text", r"\r?\n(?:[ \t]*\r?\n)+"), _conll_lines)
+    sentences = opened(files, ("doc_id",), F.filter(blocks, lambda ls: F.size(ls) > 0), "lines", at="sid")
+    tokens = opened(sentences, ("doc_id", F.col("sid").cast("long").alias("sid")), "lines", "value", at="tid").withColumn("cells", F.split("value", "\t"))
     cell = [F.nullif(F.get("cells", F.lit(k)), F.lit("_")).alias(c) for k, c in enumerate(schema.CONLLU)]
-    sid = (F.dense_rank().over(Window.partitionBy("doc_id").orderBy("island")) - 1).cast("long").alias("sid")
-    numbered = kept.select("doc_id", sid, "line", *cell)
-    tid = F.row_number().over(Window.partitionBy("doc_id", "sid").orderBy("line")) - 1
-    return numbered.select("doc_id", "sid", tid.alias("tid"), *schema.CONLLU)
+    return tokens.select("doc_id", "sid", "tid", *cell)
 
 
 PRIORITIES = "###LexemPriorityTable"

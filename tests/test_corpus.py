@@ -1,3 +1,4 @@
+import random
 import duckdb
 import pytest
 
@@ -212,3 +213,26 @@ def test_shifts_in_rows_equal_shifts_over_rows(spark, by):
     want = sorted((r.sid, r.tid, r.s) for r in flat.withColumn("s", corpus.shifted(flat, "x", by)).collect())
     got = sorted((r.sid, r.tid, r.s) for r in nested.select("sid", F.posexplode(corpus.shifted_in(F.col("f"), by)).alias("tid", "s")).collect())
     assert got == want
+
+
+def test_broken_xml_stays_an_error_row(spark, tmp_path):
+    line = "1\tOm\tom\tN\tNc\t_\t0\troot\t_\t_"
+    files = frame(spark, [(1, "<D><S><W>a</W></S></D>"), (2, "<D>\n<S><W>a</W>\n</S>\n<D>"), (3, f"# c\n{line}\n\n{line}\n{line}\n"), (4, f"{line}\nno columns"), (5, None), (6, "")], "doc_id long, text string")
+    held = readers.index_files(files, f"file://{tmp_path}/corpus")
+    assert {r.doc_id for r in held["errors"].collect()} >= {2, 4}
+    assert {(r.doc_id, r.sid, r.tid) for r in held["tokens"].where("doc_id = 3").collect()} == {(3, 0, 0), (3, 1, 0), (3, 1, 1)}
+    assert held["tokens"].where("doc_id IN (2, 4)").count() == 0
+    assert [r.c for r in files.select(readers.is_conll(F.col("text")).alias("c")).collect()] == [False, False, True, False, None, False]
+
+
+def test_runs_and_failures_of_nested_sentences_equal_those_of_tokens(spark):
+    rng = random.Random(4)
+    rows = [(1, k, [rng.choice(["a", "b", None]) for _ in range(rng.randint(0, 8))]) for k in range(60)]
+    nested = frame(spark, rows, "doc_id long, sid long, labels array<string>")
+    flat = nested.select("doc_id", "sid", F.posexplode("labels").alias("tid", "label"))
+    got = nested.select("sid", F.explode(corpus.runs(F.col("labels"))).alias("r")).select("sid", "r.*").collect()
+    assert {tuple(r) for r in got} == {(r.sid, r.label, r.start, r.end) for r in corpus.islands(flat, "label").collect()} and len(got) > 50
+    words = nested.select("doc_id", "sid", F.transform("labels", lambda x: F.struct(F.coalesce(x, F.lit("long word")).alias("form"), F.coalesce(x, F.lit("c")).alias("gold"), F.lit("a").alias("found"))).alias("words"))
+    one_by_one = words.select("doc_id", "sid", F.posexplode("words").alias("tid", "w")).select("doc_id", "sid", "tid", "w.*")
+    a, b = (sorted(map(str, f.select("sid", "tid", "form", "char_start").collect())) for f in (evaluation.failures_in(words), evaluation.failures(one_by_one)))
+    assert a == b and a
