@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import tags
 from ..functions import text as T
 from ..functions.rows import opened
-from ..operators import corpus, evaluation, lexicon, predicates, spans, tagging, tokenizer
+from ..operators import corpus, evaluation, lexicon, predicates, sequences, spans, tagging, tokenizer
 from . import grammar, inference, outputs
 
 FLAGSHIP = "grammar_matches"
@@ -499,6 +499,19 @@ def ruled_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.groupBy("doc_id").agg(F.count_if(F.col("k") == "Nc").alias("nouns"), F.count_if(F.col("k") == "Vm").alias("verbs"), F.count_if(F.col("k") == "NcVm").alias("open"))
 
 
+def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents tagged by a model of the conversations, whose words carry a made-up tag; candidates are the tags that a word has there, and a rule clears nouns after a number."""
+    gold = lambda w: F.when(w.rlike(r"\A\p{Lu}"), "Np").when(w.rlike(r"\A\p{N}"), "Mc").when(~w.rlike(r"\A\p{L}"), "X").when(w.rlike("[aeiou]\\z"), "Vm").otherwise("Nc")
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("doc_id"), F.col("turn").cast("long").alias("sid"), T.tokens(F.col("text")).alias("forms"))
+    word = lambda w: F.struct(w.alias("form"), gold(w).alias("tag"), F.lit(None).cast("array<string>").alias("candidates"))
+    model = sequences.train(said.select("doc_id", "sid", F.transform("forms", word).alias("words")), rounds=1)
+    words = opened(said, (), "forms", "form").groupBy("form").agg(F.count(F.lit(1)).alias("freq"))
+    dictionary = words.select(T.canonical_word(F.col("form")).alias("word_key"), gold(F.col("form")).alias("msd"), F.lower("form").alias("lemma"), "freq")
+    rule = tagging.Rule(("<+msd0=Mc>", "<+/msd[0-9]+/=Nc>"), 1, "Nc", keep=False)
+    found = sequences.tag(_nested(spark, sf_dir), dictionary, model, (rule,), tuple(model.labels))
+    return found.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("n"), F.count_if("in_dict").alias("known"), F.countDistinct("lemma").alias("lemmas"))
+
+
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words with a gold tag (by their case) and a found one (by their length), and how many entries they have."""
     gold = F.when(F.col("form").rlike(r"\A\p{Lu}"), "Np").otherwise("Nc")
@@ -690,6 +703,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
                  || ';Number=' || CASE WHEN p THEN 'plural' ELSE 'singular' END || ';POS=NOUN;Type=common' AS en,
                CASE WHEN e THEN '' ELSE 'Articol=hotărât;' END || 'Caz=' || CASE WHEN o THEN 'oblic' ELSE 'direct' END || ';Gen=' || CASE WHEN f THEN 'feminin' ELSE 'masculin' END || ';MSD=' || tag
                  || ';Număr=' || CASE WHEN p THEN 'plural' ELSE 'singular' END || ';POS=Substantiv;Tip=comun' AS ro FROM m"""),
+    "tagged_sentences": (tagged_sentences, None),
     "ruled_tags": (ruled_tags, rf"""WITH {TOK_SQL}, k AS (SELECT doc_id, regexp_matches(form, '^\p{{Ll}}') AS low, lag(form, 1) OVER w AS p, lag(form, 2) OVER w AS pp FROM tok WINDOW w AS (PARTITION BY doc_id, sid ORDER BY tid)),
         n AS (SELECT doc_id, low, COALESCE(p = 'the', false) AS noun, COALESCE(pp = 'the' AND regexp_matches(p, '^\p{{Ll}}'), false) AS verb FROM k)
         SELECT doc_id, COUNT(*) FILTER (low AND noun) AS nouns, COUNT(*) FILTER (low AND NOT noun AND verb) AS verbs, COUNT(*) FILTER (low AND NOT noun AND NOT verb) AS "open" FROM n GROUP BY doc_id"""),
