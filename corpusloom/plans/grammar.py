@@ -142,7 +142,7 @@ def save(grammar: Grammar) -> str:
 # --- compile time ----------------------------------------------------------------------------
 
 
-def _parts(grammar: Grammar, node: Node) -> tuple[str, str]:
+def kind_of(grammar: Grammar, node: Node) -> tuple[str, str]:
     """A node's kind (empty, call, an assertion's mark, or token) and what it holds."""
     code = with_macros(node.code, grammar.macros).strip()
     if not code or code in EMPTY or code.startswith("//"):
@@ -160,7 +160,7 @@ def clauses_of(grammar: Grammar) -> list[Clause]:
     found: dict[Clause, None] = {}
     for graph in grammar.graphs.values():
         for number, node in graph.nodes.items():
-            kind, code = _parts(grammar, node)
+            kind, code = kind_of(grammar, node)
             if number != graph.end and kind not in ("empty", "call") and not code.startswith(":"):
                 found |= dict.fromkeys(parse_clauses(code))
     return list(found)
@@ -177,7 +177,7 @@ def check(grammar: Grammar) -> None:
     for name, graph in grammar.graphs.items():
         named[name] = set()
         for node in graph.nodes.values():
-            kind, code = _parts(grammar, node)
+            kind, code = kind_of(grammar, node)
             called = code if kind == "call" else code[1:].strip() if kind in ASSERTIONS and code.startswith(":") else None
             if called is not None:
                 if called not in grammar.graphs:
@@ -199,7 +199,7 @@ def check(grammar: Grammar) -> None:
     empty: set[str] = set()
 
     def free(graph: Graph, number: int) -> bool:
-        kind, code = _parts(grammar, graph.nodes[number])
+        kind, code = kind_of(grammar, graph.nodes[number])
         return kind == "empty" or kind in ASSERTIONS or kind == "call" and code in empty
 
     grown = True
@@ -234,7 +234,7 @@ def check(grammar: Grammar) -> None:
             if number in seen:
                 continue
             seen.add(number)
-            kind, code = _parts(grammar, graph.nodes[number])
+            kind, code = kind_of(grammar, graph.nodes[number])
             if kind == "call" and number != graph.end:
                 called.add(code)
             if free(graph, number):
@@ -299,7 +299,7 @@ def to_regex(grammar: Grammar, clauses: list[Clause], most: int = 200_000) -> st
             if number in held:
                 return held[number]
             node = graph.nodes[number]
-            kind, code = _parts(grammar, node)
+            kind, code = kind_of(grammar, node)
             inner = code[1:].strip() if kind in ASSERTIONS and code.startswith(":") else code if kind == "call" else None
             if kind in CROSS or inner is not None and kind in ("?<=", "?<!"):
                 return None
@@ -404,7 +404,7 @@ def _match_each(
 
     covered = F.flatten(F.array(*map(held_by, of_spans))) if of_spans else F.array().cast("array<array<int>>")
     token = (F.col(anchor) if anchor else F.lit(None)).cast("int")
-    parts = {name: {k: _parts(grammar, n) for k, n in g.nodes.items()} for name, g in grammar.graphs.items()}
+    parts = {name: {k: kind_of(grammar, n) for k, n in g.nodes.items()} for name, g in grammar.graphs.items()}
     shown = F.transform(opened, lambda t: F.to_json(t)) if grammar.scripted else F.array().cast("array<string>")
     if pattern is not None:
         # The symbols are opened as an array of one, so that the filter on them does not compute them again.

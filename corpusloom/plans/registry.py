@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,8 @@ from ..functions import tags
 from ..functions import text as T
 from ..functions.rows import opened
 from ..operators import corpus, evaluation, lexicon, predicates, sequences, spans, tagging, tokenizer
-from . import grammar, inference, outputs
+from ..sources import shared
+from . import grammar, inference, outputs, postings
 
 FLAGSHIP = "grammar_matches"
 
@@ -127,6 +129,17 @@ PHRASE_SQL = TOK_SQL + r""", sym AS (
 NESTED_SQL = PHRASE_SQL + """, kinds AS (SELECT p.*, substr(s.sym, p.start + 1, 1) = 'U' AS cap FROM phrases p JOIN sym s USING (doc_id, sid))"""
 
 
+#: A name of a license, then any token but a sign.
+LICENSE = grammar.Grammar({"Main": grammar.sequence("<+WORD=License>|<+WORD=Apache>|<+WORD=/M[I]T/>", "<+kind=/cap|low|num/>")})
+
+
+def indexed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of a rare word, found through posting lists that are made of the documents first."""
+    path = f"{shared.folder(spark)}/index-{uuid.uuid4().hex}"
+    postings.write_index(_featured(spark, sf_dir), path)
+    return postings.indexed_match(spark, path, LICENSE)
+
+
 def look_ahead_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lower-case word with a sign other than a full stop right after it, which is not part of the match."""
     return _matched(spark, sf_dir, grammar.Grammar({"Main": grammar.sequence("<+kind=low>", "?=<+kind=sign>", "?!<+WORD=.>")}))
@@ -588,6 +601,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
         SELECT doc_id, sid, label, MIN(tid) AS start, MAX(tid) AS "end" FROM r WHERE label IS NOT NULL GROUP BY doc_id, sid, label, run"""),
     "grammar_matches": (grammar_matches, f"WITH {PHRASE_SQL} SELECT doc_id, sid, start, len FROM phrases"),
     "annotated_matches": (annotated_matches, f"""WITH {PHRASE_SQL} SELECT doc_id, sid, 'PHRASE' AS name, start, start + len - 1 AS "end", 'np' AS type, 'n' || len AS size FROM phrases"""),
+    "indexed_matches": (indexed_matches, rf"""WITH {TOK_SQL}, n AS (SELECT *, lead(form) OVER (PARTITION BY doc_id, sid ORDER BY tid) AS nxt FROM tok)
+        SELECT doc_id, sid, tid::INT AS start, 2 AS len FROM n WHERE form IN ('License', 'Apache', 'MIT') AND regexp_matches(nxt, '^[\p{{Lu}}\p{{Ll}}\p{{N}}]')"""),
     "nested_output_spans": (nested_output_spans, f"""WITH {NESTED_SQL}
         SELECT doc_id, sid, start AS match_start, 0 AS number, NULL::INT AS parent, 'NP' AS name, start, start + len - 1 AS "end", CASE WHEN cap THEN NULL ELSE 'np' END AS f_type, NULL::VARCHAR AS f_kind,
             CASE WHEN cap THEN 'sign' ELSE 'number' END AS f_end, NULL::VARCHAR AS fault FROM kinds
