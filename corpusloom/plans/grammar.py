@@ -386,32 +386,18 @@ def with_spans(sentences: DataFrame, spans: DataFrame) -> DataFrame:
     return sentences.join(held, ["doc_id", "sid"], "left").withColumn("spans", F.coalesce("spans", F.array().cast(kind)))
 
 
-def _match_each(
-    sentences: DataFrame, grammar: Grammar, clauses: list[Clause], features: str, limit: int, of, keep: tuple[str, ...], anchor: str | None, spans: str | None,
-    traced: bool = False, pattern: str | None = None,
-) -> DataFrame:
-    """The matcher for what is no regular expression: backtracking over an explicit stack, a sentence at a time."""
-    of_spans = [b for b, c in enumerate(clauses) if c.span]
-    if of_spans and spans is None:
-        raise GrammarError("span clauses need a column of spans")
-    names = None if of is None else list(of(F.lit("")))
-    opened = F.col(features) if of is None else F.transform(features, lambda w: F.struct(*(of(w)[n].alias(n) for n in names)))
-    truth = F.transform(opened, lambda t: F.array(*(F.lit(False) if c.span else clause_column(c, t if of is None else {n: t[n] for n in names}) for c in clauses)))
+def outputs_of(grammar: Grammar) -> dict[tuple[str, int], str]:
+    return {(name, k): n.output for name, g in grammar.graphs.items() for k, n in g.nodes.items() if n.output}
 
-    def held_by(b: int) -> Column:
-        wanted = lambda x: (x["name"] == clauses[b].span) & clause_column(clauses[b], x["features"])
-        return F.transform(F.filter(spans, wanted), lambda x: F.array(F.lit(b), x["start"].cast("int"), x["end"].cast("int")))
 
-    covered = F.flatten(F.array(*map(held_by, of_spans))) if of_spans else F.array().cast("array<array<int>>")
-    token = (F.col(anchor) if anchor else F.lit(None)).cast("int")
+def matcher(grammar: Grammar, clauses: list[Clause], traced: bool = False) -> Callable[..., tuple[int, dict, tuple | None]]:
+    """What finds the end of the first path from a token of a sentence: backtracking over an explicit stack.
+
+    A sentence is held as its tokens' truth vectors, the lengths of the spans that start and that end at each token by clause, what is known of its assertions, its tokens' attributes, and
+    the variables it starts with.
+    """
     parts = {name: {k: kind_of(grammar, n) for k, n in g.nodes.items()} for name, g in grammar.graphs.items()}
-    shown = F.transform(opened, lambda t: F.to_json(t)) if grammar.scripted else F.array().cast("array<string>")
-    if pattern is not None:
-        # The symbols are opened as an array of one, so that the filter on them does not compute them again.
-        whole = opened_rows(sentences, ("doc_id", "sid", *keep, covered.alias("covered"), shown.alias("shown"), token.alias("at_token")), F.array(symbols(clauses, features, of)), "truth")
-        vectors = whole.where(F.col("truth").rlike(pattern)).select("doc_id", "sid", *keep, "truth", "covered", "shown", "at_token")
-    else:
-        vectors = sentences.select("doc_id", "sid", *keep, truth.alias("truth"), covered.alias("covered"), shown.alias("shown"), token.alias("at_token"))
+    written = outputs_of(grammar)
     guards = {(name, k): n.guard for name, g in grammar.graphs.items() for k, n in g.nodes.items() if n.guard}
     given = {
         (name, k): dict(tuple(map(str.strip, a.split("=", 1))) for a in found[1].split(",") if a.strip())
@@ -493,15 +479,44 @@ def _match_each(
                     rest = own if not calls[3] else {a: v for a, v in {**own, **calls[3]}.items() if v is not None}
                     todo.append((calls[0], calls[1], k, calls[2], True, rest, trail))
 
-    def first_end(held: tuple, at: int, most: int) -> tuple[int, dict, tuple | None]:
-        """Where the first path ends that consumes a token; ``at`` without one."""
-        return next((found for found in accepted(held, grammar.main, at, most) if found[0] > at), (at, {}, None))
+    def first_end(held: tuple, at: int, most: int, graph: str | None = None) -> tuple[int, dict, tuple | None]:
+        """Where the first path of a graph (the main one) ends that consumes a token; ``at`` without one."""
+        return next((found for found in accepted(held, graph or grammar.main, at, most) if found[0] > at), (at, {}, None))
+
+    return first_end
 
+
+def _match_each(
+    sentences: DataFrame, grammar: Grammar, clauses: list[Clause], features: str, limit: int, of, keep: tuple[str, ...], anchor: str | None, spans: str | None,
+    traced: bool = False, pattern: str | None = None,
+) -> DataFrame:
+    """The matcher for what is no regular expression: backtracking over an explicit stack, a sentence at a time."""
+    of_spans = [b for b, c in enumerate(clauses) if c.span]
+    if of_spans and spans is None:
+        raise GrammarError("span clauses need a column of spans")
+    names = None if of is None else list(of(F.lit("")))
+    opened = F.col(features) if of is None else F.transform(features, lambda w: F.struct(*(of(w)[n].alias(n) for n in names)))
+    truth = F.transform(opened, lambda t: F.array(*(F.lit(False) if c.span else clause_column(c, t if of is None else {n: t[n] for n in names}) for c in clauses)))
+
+    def held_by(b: int) -> Column:
+        wanted = lambda x: (x["name"] == clauses[b].span) & clause_column(clauses[b], x["features"])
+        return F.transform(F.filter(spans, wanted), lambda x: F.array(F.lit(b), x["start"].cast("int"), x["end"].cast("int")))
+
+    covered = F.flatten(F.array(*map(held_by, of_spans))) if of_spans else F.array().cast("array<array<int>>")
+    token = (F.col(anchor) if anchor else F.lit(None)).cast("int")
+    shown = F.transform(opened, lambda t: F.to_json(t)) if grammar.scripted else F.array().cast("array<string>")
+    if pattern is not None:
+        # The symbols are opened as an array of one, so that the filter on them does not compute them again.
+        whole = opened_rows(sentences, ("doc_id", "sid", *keep, covered.alias("covered"), shown.alias("shown"), token.alias("at_token")), F.array(symbols(clauses, features, of)), "truth")
+        vectors = whole.where(F.col("truth").rlike(pattern)).select("doc_id", "sid", *keep, "truth", "covered", "shown", "at_token")
+    else:
+        vectors = sentences.select("doc_id", "sid", *keep, truth.alias("truth"), covered.alias("covered"), shown.alias("shown"), token.alias("at_token"))
+    first_end = matcher(grammar, clauses, traced)
     kept = [sentences.schema[c] for c in keep]
     scripted, init = grammar.scripted, grammar.init
     more = [StructField("variables", MapType(StringType(), StringType()))] if scripted else []
     more += [StructField("path", outputs.PATH), StructField("written", outputs.WRITTEN)] if traced else []
-    written = {(name, k): n.output for name, g in grammar.graphs.items() for k, n in g.nodes.items() if n.output}
+    written = outputs_of(grammar)
     tables = [tuple(v >> b & 1 for b in range(len(clauses))) for v in range(1 << len(clauses))] if pattern is not None else []
     schema = StructType([StructField("doc_id", LongType()), StructField("sid", LongType()), *kept, StructField("start", IntegerType()), StructField("len", IntegerType()), *more])
 

@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions.rows import opened
 from ..operators import corpus, evaluation, lexicon, predicates, sequences, spans, tagging, tokenizer
 from ..sources import shared
-from . import grammar, inference, outputs, postings
+from . import grammar, inference, outputs, postings, rules
 
 FLAGSHIP = "grammar_matches"
 
@@ -503,15 +503,35 @@ def described_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [tagging.Rule(("<+WORD=the>", "<+/msd[0-9]+/=Nc>"), 1, "N.*"), tagging.Rule(("<+msd0=Nc -msd1=Vm>", "<+/msd[0-9]+/=Vm>"), 1, "N.*", keep=False)]
 
 
-def ruled_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of lower-case words, noun and verb, after rules."""
+#: The same two rules as graphs: spans say what to keep and what to remove.
+RULE_GRAPHS = grammar.Grammar({
+    "Main": grammar.sequence(":AfterThe", ":AfterNoun"), "AfterThe": grammar.sequence("<+WORD=the>", ("<+/msd[0-9]+/=Nc>", '<KEEP +regex="N.*">')),
+    "AfterNoun": grammar.sequence("<+msd0=Nc -msd1=Vm>", ("<+/msd[0-9]+/=Vm>", '<REMOVE +regex="N.*">')),
+})
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences whose lower-case words are nouns or verbs."""
     held = lambda *found: F.array(*(F.struct(F.lit(t).alias("msd"), F.lit("x").alias("lemma")) for t in found))
     token = lambda w: F.struct(w.alias("form"), F.lit(True).alias("in_dict"), F.when(w.rlike(r"\A\p{Ll}"), held("Nc", "Vm")).otherwise(held("Xx")).alias("candidates"))
-    left = tagging.ruled(_nested(spark, sf_dir).select("doc_id", F.transform("forms", token).alias("tokens")), RULES)
-    kinds = left.select("doc_id", F.explode("tokens").alias("t")).select("doc_id", F.array_join(F.col("t.candidates.msd"), "").alias("k"))
+    return _nested(spark, sf_dir).select("doc_id", F.transform("forms", token).alias("tokens"))
+
+
+def _left(ruled: DataFrame) -> DataFrame:
+    kinds = opened(ruled, ("doc_id",), "tokens", "t").select("doc_id", F.array_join(F.col("t.candidates.msd"), "").alias("k"))
     return kinds.groupBy("doc_id").agg(F.count_if(F.col("k") == "Nc").alias("nouns"), F.count_if(F.col("k") == "Vm").alias("verbs"), F.count_if(F.col("k") == "NcVm").alias("open"))
 
 
+def graph_ruled_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of lower-case words, noun and verb, after rules that are graphs."""
+    return _left(rules.ruled(_candidates(spark, sf_dir), RULE_GRAPHS))
+
+
+def ruled_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of lower-case words, noun and verb, after rules."""
+    return _left(tagging.ruled(_candidates(spark, sf_dir), RULES))
+
+
 def tagged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents tagged by a model of the conversations, whose words carry a made-up tag; candidates are the tags that a word has there, and a rule clears nouns after a number."""
     gold = lambda w: F.when(w.rlike(r"\A\p{Lu}"), "Np").when(w.rlike(r"\A\p{N}"), "Mc").when(~w.rlike(r"\A\p{L}"), "X").when(w.rlike("[aeiou]\\z"), "Vm").otherwise("Nc")
@@ -719,6 +739,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
                CASE WHEN e THEN '' ELSE 'Articol=hotărât;' END || 'Caz=' || CASE WHEN o THEN 'oblic' ELSE 'direct' END || ';Gen=' || CASE WHEN f THEN 'feminin' ELSE 'masculin' END || ';MSD=' || tag
                  || ';Număr=' || CASE WHEN p THEN 'plural' ELSE 'singular' END || ';POS=Substantiv;Tip=comun' AS ro FROM m"""),
     "tagged_sentences": (tagged_sentences, None),
+    "graph_ruled_tags": (graph_ruled_tags, rf"""WITH {TOK_SQL}, k AS (SELECT doc_id, regexp_matches(form, '^\p{{Ll}}') AS low, lag(form, 1) OVER w AS p, lag(form, 2) OVER w AS pp FROM tok WINDOW w AS (PARTITION BY doc_id, sid ORDER BY tid)),
+        n AS (SELECT doc_id, low, COALESCE(p = 'the', false) AS noun, COALESCE(pp = 'the' AND regexp_matches(p, '^\p{{Ll}}'), false) AS verb FROM k)
+        SELECT doc_id, COUNT(*) FILTER (low AND noun) AS nouns, COUNT(*) FILTER (low AND NOT noun AND verb) AS verbs, COUNT(*) FILTER (low AND NOT noun AND NOT verb) AS "open" FROM n GROUP BY doc_id"""),
     "ruled_tags": (ruled_tags, rf"""WITH {TOK_SQL}, k AS (SELECT doc_id, regexp_matches(form, '^\p{{Ll}}') AS low, lag(form, 1) OVER w AS p, lag(form, 2) OVER w AS pp FROM tok WINDOW w AS (PARTITION BY doc_id, sid ORDER BY tid)),
         n AS (SELECT doc_id, low, COALESCE(p = 'the', false) AS noun, COALESCE(pp = 'the' AND regexp_matches(p, '^\p{{Ll}}'), false) AS verb FROM k)
         SELECT doc_id, COUNT(*) FILTER (low AND noun) AS nouns, COUNT(*) FILTER (low AND NOT noun AND verb) AS verbs, COUNT(*) FILTER (low AND NOT noun AND NOT verb) AS "open" FROM n GROUP BY doc_id"""),
