@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def with_stripped(entries: DataFrame) -> DataFrame:
-    """Entries under their canonical word, and a twin without diacritics for each that has some (``is_stripped``)."""
+def with_stripped(entries: DataFrame, twins: bool = True) -> DataFrame:
+    """Entries under their canonical word, and a twin without diacritics for each that has some (``is_stripped``); without ``twins`` where ``policy`` would drop them anyway."""
     keyed = entries.withColumn("word_key", T.canonical_word(F.col("word"))).withColumn("is_stripped", F.lit(False))
+    if not twins:
+        return keyed.dropDuplicates(["word_key", "word", "msd", "lemma"])
     bare = keyed.withColumn("word", T.stripped_diacritics(F.col("word"))).withColumn("word_key", T.stripped_diacritics(F.col("word_key"))).withColumn("is_stripped", F.lit(True))
     twins = bare.join(keyed.select("word_key", "msd", "lemma"), ["word_key", "msd", "lemma"], "left_anti")
     return keyed.unionByName(twins).dropDuplicates(["word_key", "word", "msd", "lemma"])
@@ -49,17 +51,23 @@ def invalid_tags(entries: DataFrame, tagset: DataFrame) -> DataFrame:
     return entries.join(tagset, "msd", "left_anti").groupBy("msd").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: A set of tags holds no more; beyond it something else was given.
+MOST_TAGS = 20_000
+
+
 def best_tags(tags: DataFrame, tagset: DataFrame) -> DataFrame:
     """``msd, best``: for each distinct tag the tag of the set that fits best, ties by name.
 
     Tags with the same first place are compared, since one that differs there scores less than any that does not; a tag
-    whose first place no tag of the set has is compared with them all. Both sides are distinct tags.
+    whose first place no tag of the set has is compared with them all. Both sides are distinct tags; a set of more than ``MOST_TAGS`` is an error.
     """
     head = lambda t: F.left(T.comparable_tag(F.col(t)), F.lit(1))
     asked = tags.select("msd").distinct().withColumn("head", head("msd"))
     known = tagset.select(F.col("msd").alias("tag")).distinct().withColumn("head", head("tag"))
     score = T.tag_score(F.col("msd"), F.col("tag")).alias("score")
     alike = asked.join(known, "head").select("msd", "tag", score)
+    if (n := known.limit(MOST_TAGS + 1).count()) > MOST_TAGS:
+        raise ValueError(f"a set of {n} tags or more")
     alone = asked.join(known, "head", "left_anti").crossJoin(F.broadcast(known.select("tag"))).select("msd", "tag", score)
     scored = alike.unionByName(alone).groupBy("msd").agg(F.min(F.struct((-F.col("score")).alias("order"), "tag")).alias("m"))
     return scored.select("msd", F.col("m.tag").alias("best"))

@@ -316,10 +316,12 @@ ENTRIES_SQL = r"""entries AS (
 
 
 def dictionary_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = lexicon.policy(lexicon.with_stripped(_entries(spark, sf_dir)))
-    words = _tokens(spark, sf_dir).where(F.col("form").rlike(r"\A[A-Za-z]+\z"))
+    held = lexicon.with_stripped(_entries(spark, sf_dir), twins=False)
+    # A document's equal forms are looked up together.
+    words = _tokens(spark, sf_dir).where(F.col("form").rlike(r"\A[A-Za-z]+\z")).groupBy("doc_id", "form").agg(F.count(F.lit(1)).alias("times"))
     found = lexicon.looked_up(words, held)
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("entries").isNotNull()).alias("known"), F.count_if(F.size("entries") == 1).alias("unambiguous"))
+    times = lambda test: F.sum(F.when(test, F.col("times")).otherwise(0)).alias
+    return found.groupBy("doc_id").agg(F.sum("times").alias("n"), times(F.col("entries").isNotNull())("known"), times(F.size("entries") == 1)("unambiguous"))
 
 
 def frequent_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
