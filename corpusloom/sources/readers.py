@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -95,6 +96,38 @@ def parsed_xml(files: DataFrame, tag: str | None = None) -> DataFrame:
     return files.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, " + _PARSED)
 
 
+#: Sentences of one task's share of a file; a file of up to 2^39 bytes is numbered.
+_SHARE = 1 << 24
+
+
+def split_xml(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """The rows of ``parsed_xml`` for XML files of any size: files are split at the ends of sentence elements (``tag``), so that many tasks read one file and none holds more than a sentence.
+
+    ``sid`` follows the order of the sentences in their file, but is not dense: the place of the task's share in the file, and a count within it. Around sentences
+    only stand-off annotations are read, from their attributes. A sentence that is no XML is an error row and the others go on. Sentences do not nest; files are UTF-8, without an end tag of a sentence in comments or CDATA.
+    """
+    end = f"</{tag}>"
+    pieces = spark.read.option("lineSep", end).text(path).select(
+        F.xxhash64(F.input_file_name()).alias("doc_id"), (F.col("_metadata.file_block_start") * _SHARE + F.pmod(F.monotonically_increasing_id(), F.lit(_SHARE))).alias("at"), "value"
+    )
+    sentence = F.regexp_extract("value", rf"(?s)\A.*(<(?:\w+:)?{re.escape(tag)}(?:\s[^>]*)?>.*)\z", 1)
+    around = F.left("value", F.length("value") - F.length(sentence))
+    marks = F.regexp_extract_all(around, F.lit(r"<(?:\w+:)?((?:Span)?Annotation\s[^>]*?)/?>"), F.lit(1))
+    whole = F.concat(F.lit("<corpus>"), F.array_join(F.transform(marks, lambda m: F.concat(F.lit("<"), m, F.lit("/>"))), ""), F.when(sentence != "", F.concat(sentence, F.lit(end))).otherwise(""), F.lit("</corpus>"))
+    some = pieces.where((F.instr("value", f"<{tag}") > 0) | F.contains("value", F.lit("Annotation")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["doc_id", *(c.split()[0] for c in _PARSED.split(", "))]
+        for batch in batches:
+            rows = [(doc, kind, None if sid is None else at, *rest) for doc, at, xml in zip(batch["doc_id"], batch["at"], batch["text"], strict=True) for kind, sid, *rest in parse_corpus(xml, tag)]
+            frame = pd.DataFrame(rows, columns=names)
+            for c in ("sid", "tid", "start", "end"):
+                frame[c] = frame[c].astype("Int64")
+            yield frame
+
+    return some.select("doc_id", "at", whole.alias("text")).mapInPandas(run, "doc_id long, " + _PARSED)
+
+
 def xml_corpus(files: DataFrame, layout: dict[str, str | None] = COMMON) -> dict[str, DataFrame]:
     """``sentences``, ``tokens``, ``spans`` and ``errors`` of XML documents in ``files`` (``doc_id, text``).
 
