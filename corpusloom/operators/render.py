@@ -6,9 +6,10 @@ import json
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tags import described
 from . import spans as S
 
 
@@ -121,3 +122,37 @@ def tagged_json(tokens: DataFrame) -> DataFrame:
     item = F.struct(F.col("form").alias("WORD"), F.col("lemma").alias("Lemma"), F.col("postag").alias("MSD"))
     items = F.transform(F.array_sort(F.collect_list(F.struct("tid", item.alias("item")))), lambda x: x["item"])
     return tokens.groupBy("doc_id", "sid").agg(F.to_json(items).alias("value"))
+
+
+def _escaped(value: Column) -> Column:
+    for sign, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        value = F.replace(value, F.lit(sign), F.lit(written))
+    return value
+
+
+def _marks(entries: Column) -> Column:
+    """Attributes by name, each once (of several the last), without null ones."""
+    told = F.filter(entries, lambda e: e["value"].isNotNull())
+    written = F.transform(F.array_sort(told), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), _escaped(e["value"]), F.lit('"')))
+    return F.array_join(written, "")
+
+
+def tagged_xml(tokens: DataFrame, language: str | None = None) -> DataFrame:
+    """``doc_id, sid, xml``: each sentence as an ``S`` element of ``W`` elements, from ``doc_id, sid, tid, form, lemma, postag`` and, where there are such columns, ``extra``
+    and ``start`` (a token's place in its text).
+
+    A word has the attributes LEMMA, MSD, EXTRA and offset; with a ``language`` (en or ro) also what its tag says. Attributes stand in the order of their names; a sentence has its
+    number as id and the place of its first word as offset. A null form is an empty one, null values are left out. One shuffle, by sentence.
+    """
+    entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    optional = [entry(name, F.col(c)) for name, c in (("EXTRA", "extra"), ("offset", "start")) if c in tokens.columns]
+    own = F.array(entry("LEMMA", F.col("lemma")), entry("MSD", F.col("postag")), *optional)
+    if language is not None:
+        said = F.map_entries(F.coalesce(described(F.col("postag"), language), F.create_map().cast("map<string,string>")))
+        own = F.concat(own, F.filter(said, lambda e: e["key"] != "MSD"))
+    word = F.concat(F.lit("<W"), _marks(own), F.lit(">"), _escaped(F.coalesce("form", F.lit(""))), F.lit("</W>"))
+    start = F.col("start") if "start" in tokens.columns else F.lit(None).cast("int")
+    held = tokens.groupBy("doc_id", "sid").agg(F.array_sort(F.collect_list(F.struct("tid", word.alias("xml")))).alias("words"), F.min(start).alias("offset"))
+    inside = F.array_join(F.transform("words", lambda w: w["xml"]), "")
+    about = _marks(F.array(entry("id", F.col("sid")), entry("offset", F.col("offset"))))
+    return held.select("doc_id", "sid", F.concat(F.lit("<S"), about, F.lit(">"), inside, F.lit("</S>")).alias("xml"))

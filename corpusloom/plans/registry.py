@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import tags
 from ..functions import text as T
 from ..functions.rows import opened
-from ..operators import corpus, evaluation, lexicon, predicates, sequences, spans, tagging, tokenizer
+from ..operators import corpus, evaluation, lexicon, predicates, render, sequences, spans, tagging, tokenizer
 from ..sources import shared
 from . import grammar, inference, outputs, postings, rules
 
@@ -492,6 +492,12 @@ def dictionary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.tokenized(tokenizer.segmented(_docs(spark, sf_dir), ABBREVIATIONS), dictionary)
 
 
+def tagged_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences as XML whose words tell what their made-up tag says."""
+    words = _tokens(spark, sf_dir).withColumn("lemma", F.lower("form")).withColumn("postag", F.when(F.col("form").rlike(r"\A\p{Lu}"), "Np").when(F.col("form").rlike(r"\A\p{Ll}"), "Nc"))
+    return render.tagged_xml(words, "en")
+
+
 def described_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made-up noun tags by their words' form, told in both languages."""
     w = F.col("word")
@@ -734,6 +740,9 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "segmented_sentences": (segmented_sentences, None),
     "dictionary_tokens": (dictionary_tokens, None),
     "word_tokens": (word_tokens, None),
+    "tagged_xml": (tagged_xml, rf"""WITH {TOK_SQL}, w AS (SELECT doc_id, sid, tid, replace(replace(replace(replace(form, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS f,
+          CASE WHEN regexp_matches(form, '^\p{{Lu}}') THEN ' MSD="Np" POS="NOUN" Type="proper"' WHEN regexp_matches(form, '^\p{{Ll}}') THEN ' MSD="Nc" POS="NOUN" Type="common"' ELSE '' END AS said FROM tok)
+        SELECT doc_id, sid, '<S id="' || sid || '">' || string_agg('<W LEMMA="' || lower(f) || '"' || said || '>' || f || '</W>', '' ORDER BY tid) || '</S>' AS xml FROM w GROUP BY doc_id, sid"""),
     "described_tags": (described_tags, f"""WITH {ENTRIES_SQL}, t AS (SELECT word, length(word) % 2 = 0 AS f, word LIKE '%s' AS p, length(word) % 3 = 0 AS o, word LIKE '%e' AS e FROM entries),
         m AS (SELECT *, 'Nc' || CASE WHEN f THEN 'f' ELSE 'm' END || CASE WHEN p THEN 'p' ELSE 's' END || CASE WHEN o THEN 'o' ELSE 'r' END || CASE WHEN e THEN '-' ELSE 'y' END AS tag FROM t)
         SELECT word, 'Case=' || CASE WHEN o THEN 'oblique' ELSE 'direct' END || CASE WHEN e THEN '' ELSE ';Definiteness=yes' END || ';Gender=' || CASE WHEN f THEN 'feminine' ELSE 'masculine' END || ';MSD=' || tag
