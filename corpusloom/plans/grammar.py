@@ -22,7 +22,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, MapType, StringType, StructField, StructType
 
 from ..functions.rows import opened as opened_rows
-from . import outputs
+from . import expressions, outputs
+from .pointwise import test_of
 from ..operators.predicates import Clause, clause_column, parse_clauses, with_macros
 
 #: Symbols are characters of a private range, one for each truth vector of so many clauses.
@@ -64,6 +65,7 @@ class Node:
 
     A call ``:Graph(name=value, ...)`` sets variables for the graph that it calls. ``guard(sentence, token, variables)`` runs where the code holds,
     before its token is consumed: a false answer turns the path back, a dictionary gives the variables that hold from there on along this path.
+    ``$expression$`` in conditions stands for what it comes to with these variables (and ``token``, the attributes of the token that is tested).
     ``output`` is what a path through the node writes (``outputs.parse``); ``script`` is a text that is kept, not run.
     """
 
@@ -93,7 +95,7 @@ class Grammar:
 
     @property
     def scripted(self) -> bool:
-        return self.init is not None or any(n.guard or _ARGUMENTS.search(n.code) for g in self.graphs.values() for n in g.nodes.values())
+        return self.init is not None or any(n.guard or "$" in n.code or _ARGUMENTS.search(n.code) for g in self.graphs.values() for n in g.nodes.values())
 
 
 def sequence(*codes: str | tuple[str, str]) -> Graph:
@@ -161,7 +163,7 @@ def clauses_of(grammar: Grammar) -> list[Clause]:
     for graph in grammar.graphs.values():
         for number, node in graph.nodes.items():
             kind, code = kind_of(grammar, node)
-            if number != graph.end and kind not in ("empty", "call") and not code.startswith(":"):
+            if number != graph.end and kind not in ("empty", "call") and not code.startswith(":") and "$" not in code:
                 found |= dict.fromkeys(parse_clauses(code))
     return list(found)
 
@@ -172,6 +174,12 @@ def check(grammar: Grammar) -> None:
         for number, node in graph.nodes.items():
             if node.output and "$" not in node.output and outputs.parse(node.output) is None:
                 raise GrammarError(f"bad output code at node {number}: {node.output!r}")
+            for text in (node.output or "", node.code):
+                for fragment in expressions.FRAGMENT.findall(text):
+                    try:
+                        expressions.read(fragment)
+                    except expressions.ExpressionError as reason:
+                        raise GrammarError(f"node {number}: {reason}") from None
     asserted: set[str] = set()
     named: dict[str, set[str]] = {}
     for name, graph in grammar.graphs.items():
@@ -403,7 +411,19 @@ def matcher(grammar: Grammar, clauses: list[Clause], traced: bool = False) -> Ca
         (name, k): dict(tuple(map(str.strip, a.split("=", 1))) for a in found[1].split(",") if a.strip())
         for name, g in grammar.graphs.items() for k, n in g.nodes.items() if (found := _ARGUMENTS.match(n.code))
     }
-    bits = {code: [clauses.index(c) for c in parse_clauses(code)] for g in parts.values() for kind, code in g.values() if kind not in ("empty", "call") and not code.startswith(":")}
+    bits = {code: [clauses.index(c) for c in parse_clauses(code)] for g in parts.values() for kind, code in g.values() if kind not in ("empty", "call") and not code.startswith(":") and "$" not in code}
+    dynamic: dict[str, list[Callable[[dict], bool]]] = {}
+
+    def told(code: str, own: dict) -> list[Callable[[dict], bool]]:
+        """The tests of a condition whose fragments the path's variables fill; one that is no condition then holds of nothing."""
+        text = expressions.filled(code, own)
+        if text not in dynamic:
+            try:
+                dynamic[text] = [test_of(c) for c in parse_clauses(text)]
+            except ValueError:
+                dynamic[text] = []
+        return dynamic[text]
+
     # By direction: where a graph is entered and left, the node without a code, and what follows each node.
     plan: dict[bool, dict] = {False: {}, True: {}}
     for name, g in grammar.graphs.items():
@@ -411,12 +431,14 @@ def matcher(grammar: Grammar, clauses: list[Clause], traced: bool = False) -> Ca
         plan[False][name] = (g.start, g.end, g.end, {k: (*parts[name][k], tuple(n.children)) for k, n in g.nodes.items()})
         plan[True][name] = (g.end, g.start, g.end, {k: (*parts[name][k], before[k]) for k in g.nodes})
 
-    def consumed(held: tuple, code: str, k: int, back: bool) -> int:
+    def consumed(held: tuple, code: str, k: int, back: bool, own: dict) -> int:
         """How many tokens the first clause that holds takes from the boundary ``k`` on, or before it; 0 if none holds."""
         truth, by_start, by_end = held[:3]
         at = k - 1 if back else k
         if not 0 <= at < len(truth):
             return 0
+        if "$" in code:
+            return int(any(test(held[4][at]) for test in told(code, {**own, "token": held[4][at]})))
         return next((n for b in bits[code] if (n := int(truth[at][b]) or (by_end if back else by_start).get((b, at), 0))), 0)
 
     def asserted(held: tuple, kind: str, code: str, k: int) -> bool:
@@ -429,7 +451,7 @@ def matcher(grammar: Grammar, clauses: list[Clause], traced: bool = False) -> Ca
             if code.startswith(":"):
                 found = any(True for p in places for _ in accepted(held, code[1:].strip(), p, len(truth), back))
             else:
-                found = any(consumed(held, code, p, back) for p in places)
+                found = any(consumed(held, code, p, back, held[5]) for p in places)
             known[key] = found != negative
         return known[key]
 
@@ -447,7 +469,7 @@ def matcher(grammar: Grammar, clauses: list[Clause], traced: bool = False) -> Ca
             if not passed and number != bare:
                 size = 0
                 if kind == "token":
-                    size = consumed(held, code, k, back)
+                    size = consumed(held, code, k, back, own)
                     if not size or not back and k + size > most:
                         continue
                 elif kind in ASSERTIONS and not asserted(held, kind, code, k):

@@ -2,7 +2,7 @@
 
 A node's output has up to three parts, in this order: ``<Name`` opens a span where the path enters the node, ``+key="value"`` and ``-key`` add and
 remove a feature of the innermost open span, and ``>`` closes it where the path leaves the node. So a span can reach over several nodes, over a
-called graph, or lie in another one. ``$name$`` anywhere in it stands for a variable of the path.
+called graph, or lie in another one. ``$expression$`` anywhere in it stands for what that comes to with the path's variables (``expressions``).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
 from ..functions.rows import opened
+from . import expressions
 
 PATH = ArrayType(StructType([StructField("graph", StringType()), StructField("node", IntegerType())]))
 WRITTEN = ArrayType(StructType([
@@ -23,7 +24,6 @@ WRITTEN = ArrayType(StructType([
 ]))
 
 _PART = re.compile(r'<(?P<name>\w+)|\+(?P<key>\w+)="(?P<value>[^"]*)"|-(?P<gone>\w+)|(?P<close>>)')
-_VARIABLE = re.compile(r"\$(\w+)\$")
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ def parse(code: str) -> Output | None:
 
 
 def read(code: str, variables: dict[str, str]) -> Output | None:
-    return parse(_VARIABLE.sub(lambda m: str(variables.get(m[1], "")), code))
+    return parse(expressions.filled(code, variables))
 
 
 def replayed(trail: tuple | None, written: dict[tuple[str, int], str]) -> tuple[list[dict], list[dict]]:

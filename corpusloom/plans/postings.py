@@ -75,7 +75,7 @@ def needs(grammar: Grammar) -> Need:
         def onward(number: int, path: frozenset[int]) -> Need:
             node = graph.nodes[number]
             kind, code = kind_of(grammar, node)
-            own = ANY if number == graph.end else of_graph(code, (*calls, name)) if kind == "call" else _either([_of_clause(c) for c in parse_clauses(code)]) if kind == "token" else ANY
+            own = ANY if number == graph.end else of_graph(code, (*calls, name)) if kind == "call" else _either([_of_clause(c) for c in parse_clauses(code)]) if kind == "token" and "$" not in code else ANY
             if number == graph.end or not node.children:
                 return own
             if number not in held:
