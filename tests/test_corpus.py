@@ -48,9 +48,9 @@ def test_differences(spark):
     assert spans.intersecting(a, b).count() == 1
 
 
-XML = """<Document><S id="s0"><W LEMMA="a" MSD="Nc" GGS:RefId="t0">Ana</W><NP k="v"><W LEMMA="b">are</W><HEAD><W>mere</W></HEAD></NP></S>
-<S><W GGS:RefId="t1">x</W><W GGS:RefId="t2">y</W></S><GGS:SpanAnnotation GGS:Name="X" GGS:StartTokenRefId="t1" GGS:EndTokenRefId="t2" f="1"/></Document>""".replace(
-    "<Document>", '<Document xmlns:GGS="ggs">'
+XML = """<Document><S id="s0"><W LEMMA="a" MSD="Nc" x:RefId="t0">Ana</W><NP k="v"><W LEMMA="b">are</W><HEAD><W>mere</W></HEAD></NP></S>
+<S><W x:RefId="t1">x</W><W x:RefId="t2">y</W></S><x:SpanAnnotation x:Name="X" x:StartTokenRefId="t1" x:EndTokenRefId="t2" f="1"/></Document>""".replace(
+    "<Document>", '<Document xmlns:x="urn:x">'
 )
 
 
