@@ -35,8 +35,11 @@ def looked_up(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     entries = lexicon.groupBy("word_key").agg(F.array_sort(F.collect_set(F.struct("msd", "lemma"))).alias("entries"))
     second = entries.withColumnsRenamed({"word_key": "second_key", "entries": "second"})
     bare = F.when(F.instr("form", "-") > 0, F.regexp_replace(key, "-", ""))
-    found = tokens.withColumn("word_key", key).withColumn("second_key", bare).join(entries, "word_key", "left").join(second, "second_key", "left")
-    return found.withColumn("entries", F.coalesce("entries", "second")).drop("second", "second_key", "word_key")
+    # Words without a second key (nearly all) meet nothing under their first one: under a null they would all go to one task.
+    asked = tokens.withColumn("word_key", key).withColumn("bare", bare).withColumn("asked_key", F.coalesce("bare", "word_key"))
+    met = (F.col("asked_key") == F.col("second_key")) & F.col("bare").isNotNull()
+    found = asked.join(entries, "word_key", "left").join(second, met, "left")
+    return found.withColumn("entries", F.coalesce("entries", "second")).drop("second", "second_key", "word_key", "asked_key", "bare")
 
 
 def most_frequent_lemma(candidates: DataFrame, frequency: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,7 +159,10 @@ def sure_heads(entries: DataFrame) -> DataFrame:
 def abbreviated(tokens: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """Tokens that are abbreviations (``word``), as they are or without a full stop at the end."""
     known = abbreviations.select(T.canonical_word(F.col("word")).alias("key")).distinct()
-    keys = F.array_distinct(F.array(T.canonical_word(F.col("form")), T.canonical_word(F.regexp_replace("form", r"\.$", ""))))
+    whole = T.canonical_word(F.col("form"))
+    # Only a form that ends with a full stop has a second key.
+    stopped = F.array_distinct(F.array(whole, T.canonical_word(F.regexp_replace("form", r"\.$", ""))))
+    keys = F.when(F.col("form").rlike(r"\.$"), stopped).otherwise(F.array(whole))
     return tokens.withColumn("key", F.explode(keys)).join(known, "key", "left_semi").drop("key").distinct()
 
 
