@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.rows import opened
+from ..sources.shared import written
 
 KEY = ["doc_id", "sid"]
 
@@ -47,6 +48,8 @@ def nestable(spans: DataFrame) -> DataFrame:
 
     Sentences without a crossing, nearly all, pass by a join alone; only the others meet in a group each.
     """
+    # Read four times, computed once.
+    spans = written(spans)
     crossed = crossing(spans).select(*KEY).distinct()
     keep = spans.join(crossed, KEY, "left_anti")
 
@@ -80,8 +83,14 @@ def intersecting(found: DataFrame, gold: DataFrame) -> DataFrame:
 def differences(found: DataFrame, gold: DataFrame) -> DataFrame:
     """``doc_id, sid, start, end, kind``: spans only found (``false``) and only in gold (``missed``)."""
     keys = [*KEY, "start", "end"]
-    false = found.select(keys).join(gold.select(keys), keys, "left_anti").withColumn("kind", F.lit("false"))
-    return false.unionByName(gold.select(keys).join(found.select(keys), keys, "left_anti").withColumn("kind", F.lit("missed")))
+    # Each side is computed once; rows stay as often as they come, and a null equals nothing.
+    both = found.select(*keys, F.lit(1).alias("f"), F.lit(0).alias("g")).unionByName(gold.select(*keys, F.lit(0).alias("f"), F.lit(1).alias("g")))
+    counted = both.groupBy(keys).agg(F.sum("f").cast("int").alias("f"), F.sum("g").cast("int").alias("g"))
+    apart = F.lit(False)
+    for k in keys:
+        apart = apart | F.col(k).isNull()
+    alone = lambda kind, own, other: F.array_repeat(F.lit(kind), F.when(apart | (F.col(other) == 0), F.col(own)).otherwise(0))
+    return opened(counted, tuple(keys), F.concat(alone("false", "f", "g"), alone("missed", "g", "f")), "kind")
 
 
 def mean_lengths(spans: DataFrame) -> DataFrame:

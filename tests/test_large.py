@@ -5,7 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from corpusloom.operators import lexicon
+from corpusloom.operators import lexicon, spans
 from corpusloom.plans import grammar as G
 from corpusloom.plans import inference as I
 from corpusloom.plans import outputs, rules
@@ -100,3 +100,20 @@ def test_rules_keep_nulls_and_other_fields(spark):
     assert got[0] == [("the", [("D", "the", 9)]), ("run", noun), ("run", two)]
     assert got[1] is None and got[2] == [] and got[3] == [("the", None), ("run", None)]
     assert got[4] == [("x", two), ("the", []), ("go", noun)]
+
+
+def test_differences_compute_each_side_once(spark):
+    kind = "doc_id long, sid long, start int, end int"
+    found = spark.createDataFrame([(1, 0, 1, 2), (1, 0, 1, 2), (1, 0, 3, 4), (None, 0, 1, 1)], kind)
+    gold = spark.createDataFrame([(1, 0, 3, 4), (1, 0, 5, 5), (None, 0, 1, 1)], kind)
+    got = spans.differences(found, gold)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted([(1, 0, 1, 2, "false")] * 2 + [(None, 0, 1, 1, "false"), (1, 0, 5, 5, "missed"), (None, 0, 1, 1, "missed")], key=key)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nestable_spans_are_computed_once(spark):
+    rows = spark.createDataFrame([(1, 0, 1, "X", 0, 3), (1, 0, 2, "X", 2, 5), (1, 0, 3, "X", 2, 3), (1, 1, 4, "X", 0, 1)], "doc_id long, sid long, span_id long, name string, start int, end int")
+    found = spans.nestable(rows.withColumn("span_id", F.col("span_id") + F.length(F.lit("marker"))))
+    assert "LocalRelation" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.span_id for r in found.collect()) in ([7, 9, 10], [8, 9, 10])
