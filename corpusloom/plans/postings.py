@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rows import opened
+from ..functions.rows import let, opened
 from ..operators.predicates import Clause, parse_clauses, pattern_of, with_macros
 from .grammar import Grammar, check, kind_of, match
 
@@ -101,7 +101,9 @@ def write_index(sentences: DataFrame, path: str, features: str = "features") ->
     part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
     sentences.withColumn("part", part).write.partitionBy("part").parquet(f"{path}/sentences")
     kept = sentences.sparkSession.read.parquet(f"{path}/sentences")
-    entries = F.array_distinct(F.flatten(F.transform(features, lambda t: F.map_entries(t))))
+    # Sorted, then told from the one before: distinct entries of an array of structs would be compared each with each.
+    different = lambda es: F.filter(es, lambda e, i: (i == 0) | ~e.eqNullSafe(F.get(es, i - 1)))
+    entries = let(F.sort_array(F.flatten(F.transform(features, lambda t: F.map_entries(t)))), different)
     rows = opened(kept, ("doc_id", "sid", "part"), entries, "e").select(F.col("e.key").alias("attribute"), F.col("e.value").alias("value"), "doc_id", "sid", "part")
     known = rows.where("value IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(BUCKETS)).cast("int"))
     # Within a file values stand in order, so that a filter on one skips the others' row groups; a frequent value is spread over the writing tasks.
