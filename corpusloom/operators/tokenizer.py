@@ -6,6 +6,11 @@ words that a dictionary has. Words with inner hyphens that the dictionary does n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +19,7 @@ from ..functions.rows import let, opened
 from ..sources.shared import written
 
 SPANS = "array<struct<start:int,end:int>>"
+TOKENS = "array<struct<start:int,end:int,form:string>>"
 #: A hyphenated word of more parts is left whole.
 MOST_PARTS = 24
 
@@ -135,6 +141,28 @@ def hyphen_parts(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     return chosen.where("w.freq > 0").select("word", tokens.alias("parts")).where(F.size("parts") > 1)
 
 
+def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sentences whose ``parts`` follow each other get their ``tokens``, all parts but blanks with their places, a batch at once; the others have them."""
+    for batch in batches:
+        kind = batch.schema.field(5).type
+        schema = pa.schema([batch.schema.field(k) for k in (0, 1, 2, 3, 5)])
+        plain = batch.column(4).is_valid()
+        for part, located in ((batch.filter(plain), True), (batch.filter(pc.invert(plain)), False)):
+            if part.num_rows and not located:
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], part.column(5)], schema=schema)
+            elif part.num_rows:
+                n, flat = pc.list_value_length(part.column(4)).to_numpy().astype(np.int64), part.column(4).flatten()
+                sizes, first = pc.utf8_length(flat).to_numpy().astype(np.int64), np.cumsum(n) - n
+                at = np.concatenate([[0], np.cumsum(sizes)])
+                starts = at[:-1] - np.repeat(at[first], n)
+                word = ~pc.match_substring_regex(flat, r"^[\s\x0B\p{Z}]").to_numpy(zero_copy_only=False)
+                kept = np.concatenate([[0], np.cumsum(word)])
+                place = lambda x, word=word: pa.array(x[word], pa.int32())
+                tokens = pa.StructArray.from_arrays([place(starts), place(starts + sizes), flat.filter(pa.array(word))], fields=list(kind.value_type))
+                offsets = pa.array(np.append(kept[first], kept[-1]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.ListArray.from_arrays(offsets, tokens, type=kind)], schema=schema)
+
+
 def tokenized(sentences: DataFrame, dictionary: DataFrame | None = None) -> DataFrame:
     """``doc_id, sid, tid, form, start, end`` of the columns ``doc_id, sid, start, text``: tokens with their places in the document's text.
 
@@ -145,15 +173,18 @@ def tokenized(sentences: DataFrame, dictionary: DataFrame | None = None) -> Data
     """
     text = F.col("text")
     sentences = sentences if dictionary is None else written(sentences.select("doc_id", "sid", "start", "text"))
-    rows = sentences.select("doc_id", "sid", F.col("start").alias("from_"), "text", T.word_spans(text).alias("plain"), T.nonbreakable_spans(text).alias("whole"))
+    rows = sentences.select("doc_id", "sid", F.col("start").alias("from_"), "text", T.nonbreakable_spans(text).alias("whole"))
     if dictionary is not None:
         rows = rows.join(unit_spans(sentences, dictionary), ["doc_id", "sid"], "left").withColumn("units", F.coalesce("units", F.array().cast(SPANS)))
     else:
         rows = rows.withColumn("units", F.array().cast(SPANS))
+    # Nearly all sentences have words and signs alone, which follow each other; only in the others candidates overlap.
     more = F.concat("whole", "units")
-    rows = rows.withColumn("spans", F.when(F.size(more) == 0, F.col("plain")).otherwise(unified(F.concat("plain", more))))
-    forms = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substr("text", s["start"] + 1, s["end"] - s["start"]).alias("form")))
-    rows = rows.select("doc_id", "sid", "from_", F.transform("whole", lambda w: w["start"]).alias("fixed"), forms.alias("tokens"))
+    form = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substr("text", s["start"] + 1, s["end"] - s["start"]).alias("form"))
+    tokens = F.when(F.size(more) > 0, F.transform(unified(F.concat(T.word_spans(text), more)), form))
+    rows = rows.select("doc_id", "sid", "from_", F.transform("whole", lambda w: w["start"]).alias("fixed"), F.when(F.size(more) == 0, T.word_parts(text)).alias("parts"), tokens.alias("tokens"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    rows = rows.mapInArrow(_located, f"doc_id {kinds['doc_id']}, sid {kinds['sid']}, from_ {kinds['from_']}, fixed array<int>, tokens {TOKENS}")
     if dictionary is not None:
         rows = _resplit(written(rows), dictionary)
     found = opened(rows, ("doc_id", "sid", "from_"), "tokens", "t", at="tid")

@@ -164,3 +164,25 @@ def test_thousands_of_equal_sentences_and_an_empty_dictionary(spark):
     assert {(r["form"], r["count"]) for r in got} == {("vin", 3000), ("de la", 6000)}
     assert K.tokenized(s.limit(3), dictionary.limit(0)).count() == 15
     assert K.tokenized(s.limit(0), dictionary).count() == 0
+
+
+ODD = ["a.b c@d.ee. Www.x.y/z?", "www.ab", "www. x", "A. B. c", "A.B. c", "x:y z", "ab.cde/f(g.h) i", " lead ing x\u000by", "-3 a-b 4,5", "x" * 19 + " " + "y" * 20, "", "  ", "...!?", "é😀.b 😀", "a .b"]
+
+
+def test_texts_without_signs_are_not_searched_and_lose_nothing(spark):
+    rows = spark.createDataFrame([(t,) for t in [*ODD, None]], "text string")
+    got = rows.select(T.nonbreakable_spans(F.col("text")).alias("a"), T._found(F.col("text"), T.NONBREAKABLE).alias("b"), T._hidden(F.col("text")).alias("h"), "text").collect()
+    assert all(r.a == r.b for r in got) and sum(bool(r.a) for r in got) >= 4
+    plain = rows.select(T.nonbreakable_spans(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plain.index("RLIKE") < plain.index("regexp_replace")
+
+
+def test_words_that_overlap_nothing_are_placed_a_batch_at_once(spark):
+    rows = spark.createDataFrame([(1, k, 10, t) for k, t in enumerate([*ODD, None])], "doc_id long, sid long, start int, text string").coalesce(1)
+    found = K.tokenized(rows)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    text = F.col("text")
+    one = F.explode(K.unified(F.concat(T.word_spans(text), T._found(text, T.NONBREAKABLE)))).alias("s")
+    want = rows.select("sid", "text", one).select("sid", F.expr("substr(text, s.start + 1, s.end - s.start)").alias("form"), F.expr("s.start + 10"), F.expr("s.end + 10")).collect()
+    assert sorted((r.sid, r.form, r.start, r.end) for r in found.collect()) == sorted(map(tuple, want))
+    assert [r.tid for r in found.where("sid = 3").orderBy("tid").collect()] == list(range(found.where("sid = 3").count()))
