@@ -51,6 +51,26 @@ LAYOUT = {
 }
 
 
+#: A tag that tells more than itself has nothing or a lower-case letter at its second place.
+TELLING = r"\A.(?:\z|\p{Ll})"
+
+
+def _value(tag: Column, place: int, values: dict[str, tuple[str, str]], at: int) -> Column:
+    held = F.create_map(*(F.lit(x) for letter, names in values.items() for x in (letter, names[at])))
+    return F.try_element_at(held, F.substr(tag, F.lit(place + 1), F.lit(1)))
+
+
+def attributes(tag: Column, letter: str, language: str = "en") -> dict[str, Column]:
+    """By name what a tag that begins with ``letter`` says, nulls where it says nothing; of a name for two lists of values the one that has the place's letter."""
+    at = LANGUAGES.index(language)
+    *names, places = LAYOUT[letter]
+    out = {"POS": F.lit(names[at])}
+    for place, slot in places:
+        value = _value(tag, place, slot[2], at)
+        out[slot[at]] = F.coalesce(out[slot[at]], value) if slot[at] in out else value
+    return out
+
+
 def described(tag: Column, language: str = "en") -> Column:
     """A map of what a tag says, keys in order; only ``MSD``, the tag itself, where its second place is no lower-case letter or its first one is unknown.
 
@@ -59,14 +79,10 @@ def described(tag: Column, language: str = "en") -> Column:
     at = LANGUAGES.index(language)
     entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
 
-    def value(place: int, values: dict[str, tuple[str, str]]) -> Column:
-        held = F.create_map(*(F.lit(x) for letter, names in values.items() for x in (letter, names[at])))
-        return F.try_element_at(held, F.substr(tag, F.lit(place + 1), F.lit(1)))
-
     own = F.array(entry("MSD", tag))
     said = F.lit(None)
     for letter, (*names, places) in LAYOUT.items():
-        told = F.array(entry("MSD", tag), entry("POS", F.lit(names[at])), *(entry(slot[at], value(place, slot[2])) for place, slot in places))
+        told = F.array(entry("MSD", tag), entry("POS", F.lit(names[at])), *(entry(slot[at], _value(tag, place, slot[2], at)) for place, slot in places))
         said = F.when(tag.startswith(letter), told).otherwise(said)
-    whole = F.coalesce(F.when(tag.rlike(r"\A.(?:\z|\p{Ll})"), said), own)
+    whole = F.coalesce(F.when(tag.rlike(TELLING), said), own)
     return F.when(tag.isNotNull(), F.map_from_entries(F.array_sort(F.filter(whole, lambda e: e["value"].isNotNull()))))

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tags import described
+from ..functions import tags
+from ..functions.rows import let
 from . import spans as S
 
 
@@ -125,18 +126,24 @@ def tagged_json(tokens: DataFrame) -> DataFrame:
 
 
 def _escaped(value: Column) -> Column:
+    out = value
     for sign, written in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        value = F.replace(value, F.lit(sign), F.lit(written))
-    return value
+        out = F.replace(out, F.lit(sign), F.lit(written))
+    return F.when(value.rlike('[&<>"]'), out).otherwise(value)
 
 
 def _marks(entries: Column) -> Column:
     """Attributes by name, each once (of several the last), without null ones."""
-    told = F.filter(entries, lambda e: e["value"].isNotNull())
-    written = F.transform(F.array_sort(told), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), _escaped(e["value"]), F.lit('"')))
+    # In the elements' own order, which takes no comparison by a lambda.
+    written = F.transform(F.sort_array(F.filter(entries, lambda e: e["value"].isNotNull())), lambda e: F.concat(F.lit(" "), e["key"], F.lit('="'), _escaped(e["value"]), F.lit('"')))
     return F.array_join(written, "")
 
 
+def _mark_row(named: dict[str, Column]) -> Column:
+    """``_marks`` of attributes whose names are known; their values come escaped."""
+    return F.concat(*(F.coalesce(F.concat(F.lit(f' {name}="'), named[name], F.lit('"')), F.lit("")) for name in sorted(named)))
+
+
 def tagged_xml(tokens: DataFrame, language: str | None = None) -> DataFrame:
     """``doc_id, sid, xml``: each sentence as an ``S`` element of ``W`` elements, from ``doc_id, sid, tid, form, lemma, postag`` and, where there are such columns, ``extra``
     and ``start`` (a token's place in its text).
@@ -145,14 +152,19 @@ def tagged_xml(tokens: DataFrame, language: str | None = None) -> DataFrame:
     number as id and the place of its first word as offset. A null form is an empty one, null values are left out. One shuffle, by sentence.
     """
     entry = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
-    optional = [entry(name, F.col(c)) for name, c in (("EXTRA", "extra"), ("offset", "start")) if c in tokens.columns]
-    own = F.array(entry("LEMMA", F.col("lemma")), entry("MSD", F.col("postag")), *optional)
-    if language is not None:
-        said = F.map_entries(F.coalesce(described(F.col("postag"), language), F.create_map().cast("map<string,string>")))
-        own = F.concat(own, F.filter(said, lambda e: e["key"] != "MSD"))
-    word = F.concat(F.lit("<W"), _marks(own), F.lit(">"), _escaped(F.coalesce("form", F.lit(""))), F.lit("</W>"))
+    optional = {name: F.col(c).cast("string") for name, c in (("EXTRA", "extra"), ("offset", "start")) if c in tokens.columns}
+
+    # The names that a tag's first letter brings are known, and so is their order: each letter's words are one concatenation.
+    def marks(tag: Column) -> Column:
+        own = {name: _escaped(v) for name, v in {"LEMMA": F.col("lemma").cast("string"), "MSD": tag, **optional}.items()}
+        out = _mark_row(own)
+        for letter in tags.LAYOUT if language is not None else ():
+            out = F.when(tag.startswith(letter) & tag.rlike(tags.TELLING), _mark_row(tags.attributes(tag, letter, language) | own)).otherwise(out)
+        return out
+
+    word = F.concat(F.lit("<W"), let(F.col("postag").cast("string"), marks), F.lit(">"), _escaped(F.coalesce("form", F.lit(""))), F.lit("</W>"))
     start = F.col("start") if "start" in tokens.columns else F.lit(None).cast("int")
-    held = tokens.groupBy("doc_id", "sid").agg(F.array_sort(F.collect_list(F.struct("tid", word.alias("xml")))).alias("words"), F.min(start).alias("offset"))
+    held = tokens.groupBy("doc_id", "sid").agg(F.sort_array(F.collect_list(F.struct("tid", word.alias("xml")))).alias("words"), F.min(start).alias("offset"))
     inside = F.array_join(F.transform("words", lambda w: w["xml"]), "")
     about = _marks(F.array(entry("id", F.col("sid")), entry("offset", F.col("offset"))))
     return held.select("doc_id", "sid", F.concat(F.lit("<S"), about, F.lit(">"), inside, F.lit("</S>")).alias("xml"))

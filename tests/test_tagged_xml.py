@@ -3,7 +3,9 @@
 import xml.etree.ElementTree as ET
 
 import pytest
+from pyspark.sql import functions as F
 
+from corpusloom.functions import tags
 from corpusloom.operators import render
 
 DDL = "doc_id long, sid long, tid int, form string, lemma string, postag string, extra string, start int"
@@ -26,3 +28,17 @@ def test_without_the_optional_columns(spark):
     rows = spark.createDataFrame([(1, 0, 0, "a", "a", "Nc"), (1, 0, 0, "a", "a", "Nc")], "doc_id long, sid long, tid int, form string, lemma string, postag string")
     assert render.tagged_xml(rows).first().xml == '<S id="0"><W LEMMA="a" MSD="Nc">a</W><W LEMMA="a" MSD="Nc">a</W></S>'
     assert render.tagged_xml(rows.limit(0)).collect() == []
+
+
+def test_words_tell_all_that_tags_say_without_sorting(spark):
+    kinds = ["Vmip3s----y", "Afpmsrn", "Ncfpvy", "Ncfpry", "Pp3fsr--s", "Np", "N", "NC", "Zx", "", "Qz-y", "X", None]
+    rows = [(1, k, 0, 'a"<', None if k == 0 else "b&", t, None, None) for k, t in enumerate(kinds)]
+    for language in tags.LANGUAGES:
+        made = render.tagged_xml(spark.createDataFrame(rows, DDL), language)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "map_from_entries" not in plan and "array_sort" not in plan
+        said = spark.createDataFrame([(k, t) for k, t in enumerate(kinds)], "sid long, tag string").select("sid", "tag", tags.described(F.col("tag"), language).alias("m")).collect()
+        got = {r.sid: r.xml for r in made.collect()}
+        for r in said:
+            named = {**(r.m or {}), **({} if r.sid == 0 else {"LEMMA": "b&amp;"})}
+            assert got[r.sid] == f'<S id="{r.sid}"><W' + "".join(f' {k}="{named[k]}"' for k in sorted(named)) + '>a&quot;&lt;</W></S>'
