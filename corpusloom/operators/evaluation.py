@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..functions.rows import opened
+from ..functions.rows import opened, sums_before
 
 
 def right(gold: Column, found: Column) -> Column:
@@ -33,8 +32,8 @@ def failures_by(rows: DataFrame, column: str) -> DataFrame:
 
 def failures_in(sentences: DataFrame, words: str = "words") -> DataFrame:
     """``doc_id, sid, tid, char_start`` and the word's fields, as ``failures`` gives them, from sentences whose ``words`` are an array of ``form, gold, found``: no shuffle."""
-    placed = sentences.select("doc_id", "sid", words, T.starts(F.transform(words, lambda w: F.concat(w["form"], F.lit(" ")))).alias("starts"))
-    both = F.zip_with(words, "starts", lambda w, at: F.struct(w.alias("w"), at.alias("char_start")))
+    placed = sentences.select("doc_id", "sid", words, sums_before(F.transform(words, lambda w: F.length(w["form"]) + 1)).alias("starts"))
+    both = F.arrays_zip(F.col(words).alias("w"), F.col("starts").alias("char_start"))
     rows = opened(placed, ("doc_id", "sid"), both, "r", at="tid").select("doc_id", "sid", "tid", "r.w.*", "r.char_start")
     return rows.where(~right(F.col("gold"), F.col("found")))
 

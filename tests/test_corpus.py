@@ -236,3 +236,14 @@ def test_runs_and_failures_of_nested_sentences_equal_those_of_tokens(spark):
     one_by_one = words.select("doc_id", "sid", F.posexplode("words").alias("tid", "w")).select("doc_id", "sid", "tid", "w.*")
     a, b = (sorted(map(str, f.select("sid", "tid", "form", "char_start").collect())) for f in (evaluation.failures_in(words), evaluation.failures(one_by_one)))
     assert a == b and a
+
+
+def test_sums_before_each_place(spark):
+    from corpusloom.functions.rows import let, sums_before
+
+    rows = spark.createDataFrame([([3, 1, 4],), ([],), (None,), ([2, None, 5, 1],), ([7],)], "n array<int>").coalesce(1)
+    assert [r[0] for r in rows.select(sums_before(F.col("n"))).collect()] == [[0, 3, 4], [], None, [0, 2, None, None], [0]]
+    plan = rows.select(let(F.size("n"), lambda n: n + n).alias("x"))
+    assert [r.x for r in plan.collect()] == [6, 0, None, 8, 2] and "element_at" in plan._jdf.queryExecution().optimizedPlan().toString()
+    words = rows.select(F.lit(1).alias("doc_id"), F.lit(0).alias("sid"), F.transform("n", lambda n: F.struct(n.cast("string").alias("form"), F.lit("a").alias("gold"), F.lit("b").alias("found"))).alias("words"))
+    assert "aggregate" not in evaluation.failures_in(words)._jdf.queryExecution().optimizedPlan().toString()
