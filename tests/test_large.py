@@ -5,7 +5,7 @@ import itertools
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from corpusloom.operators import lexicon, spans
+from corpusloom.operators import lexicon, spans, tagging
 from corpusloom.plans import grammar as G
 from corpusloom.plans import inference as I
 from corpusloom.plans import outputs, rules
@@ -117,3 +117,10 @@ def test_nestable_spans_are_computed_once(spark):
     found = spans.nestable(rows.withColumn("span_id", F.col("span_id") + F.length(F.lit("marker"))))
     assert "LocalRelation" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r.span_id for r in found.collect()) in ([7, 9, 10], [8, 9, 10])
+
+
+def test_rules_do_not_ask_for_types_at_each_step(spark):
+    rows = spark.createDataFrame([(1, [("the", True, [("D", "x")]), ("run", True, [("Nc", "x"), ("Vm", "x")])])], "doc_id long, tokens array<struct<form:string,in_dict:boolean,candidates:array<struct<msd:string,lemma:string>>>>")
+    found = tagging.ruled(rows, [tagging.Rule(("<+WORD=the>", "<+/msd[0-9]+/=Nc>"), 1, "N.*")])
+    assert [[c.msd for c in t.candidates] for t in found.first().tokens] == [["D"], ["Nc"]]
+    assert "element_at(CASE" in found._jdf.queryExecution().optimizedPlan().toString()
