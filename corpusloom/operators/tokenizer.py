@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.rows import let, opened
+from ..functions.rows import let, opened, sums_before
 from ..sources.shared import written
 
 SPANS = "array<struct<start:int,end:int>>"
@@ -70,11 +70,13 @@ def unit_spans(sentences: DataFrame, dictionary: DataFrame, longest: int = 8) ->
     grouped = stopped.groupBy(beginning.alias("beginning")).agg(F.collect_set(F.struct("n", "word_key", F.coalesce("known", F.lit(False)).alias("stopped"))).alias("keys"))
     cut = sentences.select("doc_id", "sid", "text", F.regexp_extract_all("text", F.lit(T.TILE), F.lit(0)).alias("tiles"))
     keyed = cut.where(F.size("tiles") > 1).select("doc_id", "sid", "tiles", _canonical_tiles(F.col("text"), F.col("tiles")).alias("canonical"))
-    places = F.filter(F.sequence(F.lit(1), F.size("canonical") - 1), lambda i: F.element_at("canonical", i) != "~")
-    ask = lambda i, n: F.struct(i.alias("i"), F.array_join(F.slice("canonical", i, F.lit(n)), "").alias("beginning"))
-    asked = opened(keyed, ("doc_id", "sid"), F.flatten(F.transform(places, lambda i: F.array(ask(i, 2), ask(i, 3)))), "a").select("doc_id", "sid", "a.i", "a.beginning")
+    later = lambda k, name: F.slice("canonical", k, F.size("canonical")).alias(name)
+    runs = opened(keyed, ("doc_id", "sid"), F.arrays_zip(F.col("canonical").alias("a"), later(2, "b"), later(3, "c")), "r", at="i")
+    two = F.concat("r.a", "r.b")
+    at = runs.where((F.col("r.a") != "~") & F.col("r.b").isNotNull()).select("doc_id", "sid", (F.col("i") + 1).alias("i"), F.explode(F.array(two, F.concat(two, "r.c"))).alias("beginning"))
+    asked = at.where(F.col("beginning").isNotNull())
     met = asked.join(grouped, "beginning").groupBy("doc_id", "sid").agg(F.collect_list(F.struct("i", "keys")).alias("met"))
-    held = keyed.join(met, ["doc_id", "sid"]).withColumn("starts", T.starts(F.col("tiles")))
+    held = keyed.join(met, ["doc_id", "sid"]).withColumn("starts", sums_before(F.transform("tiles", F.length)))
     fits = lambda m: F.filter(m["keys"], lambda k: F.array_join(F.slice("canonical", m["i"], k["n"]), "") == k["word_key"])
     found = F.filter(F.transform("met", lambda m: F.struct(m["i"].alias("i"), F.array_max(fits(m)).alias("k"))), lambda m: m["k"].isNotNull())
     # Keys of two tiles and of more meet a place apart: the longest of both.

@@ -186,3 +186,11 @@ def test_words_that_overlap_nothing_are_placed_a_batch_at_once(spark):
     want = rows.select("sid", "text", one).select("sid", F.expr("substr(text, s.start + 1, s.end - s.start)").alias("form"), F.expr("s.start + 10"), F.expr("s.end + 10")).collect()
     assert sorted((r.sid, r.form, r.start, r.end) for r in found.collect()) == sorted(map(tuple, want))
     assert [r.tid for r in found.where("sid = 3").orderBy("tid").collect()] == list(range(found.where("sid = 3").count()))
+
+
+def test_places_ask_for_units_without_a_fold(spark):
+    s = spark.createDataFrame([(1, 0, "the big city is big ~ city"), (1, 1, "big"), (1, 2, "big city")], "doc_id long, sid long, text string")
+    found = K.unit_spans(s, spark.createDataFrame([("big~city",), ("is~big",), ("a.",)], "word_key string"))
+    assert sorted((r.sid, [(u.start, u.end) for u in r.units]) for r in found.collect()) == [(0, [(4, 12), (13, 19)]), (2, [(0, 8)])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "flatten" not in plan
