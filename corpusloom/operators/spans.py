@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -73,11 +76,68 @@ def nestable(spans: DataFrame) -> DataFrame:
     return keep.unionByName(mended)
 
 
+def _numbers(x: pa.Array) -> np.ndarray:
+    return pc.fill_null(x, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _laid(spans: pa.Array) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Rows, ends and whether these are known, of arrays of structs."""
+    ends = [pc.struct_field(spans.flatten(), k) for k in ("start", "end")]
+    return np.repeat(np.arange(len(spans)), _numbers(pc.list_value_length(spans))), [_numbers(e) for e in ends], [e.is_valid().to_numpy(zero_copy_only=False) for e in ends]
+
+
+def _inside(row: np.ndarray, ends: list[np.ndarray], gold: pa.Array) -> list[np.ndarray]:
+    """For each of a span's ends whether it is inside a gold span of its row: it is searched among the sorted starts, so that no span meets each gold one."""
+    gold_row, gold_ends, known = _laid(gold)
+    both = known[0] & known[1]
+    every = np.concatenate([*ends, *gold_ends, [0]])
+    low, wide = every.min(), every.max() - every.min() + 1
+    # Rows are laid one after the other, so that no span reaches into the next one.
+    start, end = ((gold_row * wide + e - low)[both] for e in gold_ends)
+    order = np.argsort(start)
+    start, reach = start[order], np.maximum.accumulate(np.append(-1, end[order]))
+    places = (row * wide + e - low for e in ends)
+    # Some span that starts up to here ends here or later.
+    return [reach[np.searchsorted(start, at, side="right")] >= at for at in places]
+
+
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), values)
+
+
+def _spans_meet(found: pa.Array, gold: pa.Array) -> pa.Array:
+    row, ends, known = _laid(found)
+    first, last = (inside & k for inside, k in zip(_inside(row, ends, gold), known, strict=True))
+    return _lists(_numbers(pc.list_value_length(found)), pa.array(first | last))
+
+
+def _cuts_meet(cuts: pa.Array, gold: pa.Array) -> pa.Array:
+    sizes, flat = _numbers(pc.list_value_length(cuts)), _numbers(cuts.flatten())
+    row, before = np.repeat(np.arange(len(cuts)), sizes), np.append(0, np.cumsum(flat))
+    begins = np.cumsum(sizes) - sizes
+    is_match = (np.arange(len(flat)) - begins[row]) % 2 == 1
+    start = (before[:-1] - before[begins[row]])[is_match]
+    row, ends = row[is_match], [start, start + flat[is_match] - 1]
+    hit = np.logical_or(*_inside(row, ends, gold))
+    return _lists(np.bincount(row[hit], minlength=len(cuts)), pa.StructArray.from_arrays([pa.array(e[hit]) for e in ends], ["start", "end"]))
+
+
+def intersecting_cuts(sentences: DataFrame, cuts: str, gold: str) -> DataFrame:
+    """``doc_id, sid, start, end``: matches that have an end inside a gold span, from sentences that hold both in their own row, without a shuffle.
+
+    ``cuts`` are the matches as ``grammar.cuts`` gives them, ``gold`` is an array of structs with ``start, end``; only these numbers go to Python, a batch at once.
+    """
+    met = F.arrow_udf(_cuts_meet, "array<struct<start:bigint,end:bigint>>")(cuts, gold)
+    return opened(sentences.select(*KEY, met.alias("met")), tuple(KEY), "met", "s").select(*KEY, "s.*")
+
+
 def intersecting(found: DataFrame, gold: DataFrame) -> DataFrame:
-    """Found spans that have an end inside a gold span of their sentence."""
-    a, b = found.alias("a"), gold.alias("b")
-    inside = F.col("a.start").between(F.col("b.start"), F.col("b.end")) | F.col("a.end").between(F.col("b.start"), F.col("b.end"))
-    return a.join(b, [*[F.col(f"a.{k}") == F.col(f"b.{k}") for k in KEY], inside], "left_semi")
+    """Found spans that have an end inside a gold span of their sentence. A sentence's spans meet once, not each with each."""
+    held = found.groupBy(*KEY).agg(F.collect_list(F.struct(*(c for c in found.columns if c not in KEY))).alias("found"))
+    known = gold.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("gold"))
+    ends = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    both = held.join(known, KEY).select(*KEY, "found", F.arrow_udf(_spans_meet, "array<boolean>")(ends, "gold").alias("hit"))
+    return opened(both, tuple(KEY), F.filter("found", lambda s, k: F.get("hit", k)), "s").select(*KEY, "s.*").select(*found.columns)
 
 
 def differences(found: DataFrame, gold: DataFrame) -> DataFrame:

@@ -1,14 +1,16 @@
 """What must hold when tables grow: alike nodes, long sequences, keys that are mostly missing, matches that are mostly none."""
 
 import itertools
+import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from corpusloom.operators import lexicon, spans, tagging
 from corpusloom.plans import grammar as G
 from corpusloom.plans import inference as I
-from corpusloom.plans import outputs, rules
+from corpusloom.plans import outputs, registry, rules
 
 
 def frame(spark, texts):
@@ -124,3 +126,43 @@ def test_rules_do_not_ask_for_types_at_each_step(spark):
     found = tagging.ruled(rows, [tagging.Rule(("<+WORD=the>", "<+/msd[0-9]+/=Nc>"), 1, "N.*")])
     assert [[c.msd for c in t.candidates] for t in found.first().tokens] == [["D"], ["Nc"]]
     assert "element_at(CASE" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_intersecting_spans_do_not_meet_each_with_each(spark):
+    kind = "doc_id long, sid long, span_id long, start int, end int"
+    numbers = random.Random(1)
+    some = lambda n: [(d, s, k, a := numbers.randint(-3, 40), a + numbers.randint(-1, 6)) for k in range(n) for d, s in ((1, 0), (1, 1), (2, 0))]
+    found = [*some(25), (1, 0, 7, 5, 9), (1, 0, 7, 5, 9), (3, 0, 1, 0, 9), (None, 0, 1, 0, 9), (4, 0, 1, None, 5), (4, 0, 2, 50, None), (4, 0, 3, None, None)]
+    gold = [*some(5), (None, 0, 1, 0, 9), (4, 0, 1, 5, 6), (4, 0, 2, None, 90), (4, 0, 3, 0, None), (5, 0, 1, 0, 9)]
+    within = lambda x, g: None not in (x, g[3], g[4]) and g[3] <= x <= g[4]
+    want = [f for f in found if f[0] is not None and any(f[:2] == g[:2] and (within(f[3], g) or within(f[4], g)) for g in gold)]
+    got = spans.intersecting(spark.createDataFrame(found, kind), spark.createDataFrame(gold, kind))
+    key = lambda r: tuple(map(str, r))
+    assert 0 < len(want) < len(found) and sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert "LeftSemi" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cuts_are_the_matches_in_their_rows(spark):
+    wanted = G.Grammar({"Main": G.sequence("<+w=a>", "<+w=b>")})
+    rows = sentences(spark)
+    cut = G.cuts(rows.withColumn("gold", F.expr("transform(array(1, 5), s -> named_struct('start', s, 'end', s + 1))")), wanted, keep=("gold",))
+    held = {r.sid: r.cuts for r in cut.collect()}
+    matches = {(k, sum(c[:i]), sum(c[: i + 1]) - 1) for k, c in held.items() for i in range(1, len(c), 2)}
+    assert matches == {(r.sid, r.start, r.start + r.len - 1) for r in G.match(rows, wanted).collect()} == {(0, 1, 2), (0, 3, 4), (3, 2, 3), (4, 1, 2), (4, 5, 6)}
+    assert sorted((r.sid, r.start, r.end) for r in spans.intersecting_cuts(cut, "cuts", "gold").collect()) == [(0, 1, 2), (3, 2, 3), (4, 1, 2), (4, 5, 6)]
+    with pytest.raises(G.GrammarError):
+        G.cuts(rows, G.Grammar({"Main": G.sequence("=>:Two", "<+w=a>"), "Two": G.sequence("<+w=b>")}))
+
+
+def test_intersecting_spans_cut_each_text_once_and_move_nothing(spark, sf_dir):
+    plan = registry.intersecting_spans(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and plan.count("FileScan") == 1
+
+
+def test_symbols_by_one_value_test_no_clause(spark):
+    clauses = G.parse_clauses("<+k=a>|<+k=b -k=c>|<-k=a>|<+other=x>|<-other=x +k=b>|<>")
+    rows = spark.createDataFrame([(["a", "b", "c", "zz", "", None],), ([],), (None,)], "ws array<string>").coalesce(1)
+    maps = rows.withColumn("ms", F.transform("ws", lambda w: F.when(w.isNull(), F.create_map(F.lit("n"), F.lit("n"))).otherwise(F.create_map(F.lit("k"), w))))
+    both = maps.select(G.symbols(clauses, "ws", lambda w: {"k": w, "unasked": F.length(w)}).alias("a"), G.symbols(clauses, "ms").alias("b"))
+    assert all(r.a == r.b for r in both.collect())
+    assert "substr" not in both.select("a")._jdf.queryExecution().optimizedPlan().toString()
