@@ -166,3 +166,12 @@ def test_symbols_by_one_value_test_no_clause(spark):
     both = maps.select(G.symbols(clauses, "ws", lambda w: {"k": w, "unasked": F.length(w)}).alias("a"), G.symbols(clauses, "ms").alias("b"))
     assert all(r.a == r.b for r in both.collect())
     assert "substr" not in both.select("a")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_of_nodes_follow_their_names_and_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(I, "BLOCK_CHARS", 300)
+    rows = [("x" * 100 + str(n), "k", "before", "ab"[n % 3 == 0]) for n in range(20)]
+    found = I.similar_nodes(spark.createDataFrame(rows, "node string, key string, side string, neighbour string"))
+    assert found.count() == 13 * 12 // 2 + 7 * 6 // 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
