@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -168,6 +169,17 @@ def test_symbols_by_one_value_test_no_clause(spark):
     assert "substr" not in both.select("a")._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_similar_nodes_tell_lower_case_words_by_their_letters(spark, tmp_path):
+    """The rows of the SQL, whose examples are not reduced to four kinds."""
+    texts = ["Ana are mere. Ana ala bere! Dan bea, 12 13 cai", "Ala are bere. Dan are. Ana, Ana are apa mica."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.a, r.b, round(r.similarity, 9)) for r in registry.similar_nodes(spark, str(tmp_path)).collect())
+    held = duckdb.connect()
+    held.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted((a, b, round(s, 9)) for a, b, s in held.execute(registry.oracle_sql()["similar_nodes"]).fetchall())
+    assert got == want and any("low e low a" in r[0] for r in got)
+
+
 def test_blocks_of_nodes_follow_their_names_and_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(I, "BLOCK_CHARS", 300)
     rows = [("x" * 100 + str(n), "k", "before", "ab"[n % 3 == 0]) for n in range(20)]
