@@ -22,6 +22,8 @@ SPANS = "array<struct<start:int,end:int>>"
 TOKENS = "array<struct<start:int,end:int,form:string>>"
 #: A hyphenated word of more parts is left whole.
 MOST_PARTS = 24
+#: Units that are sent to the tasks; where a dictionary has more, sentences meet them by joins.
+MOST_UNITS = 200_000
 
 
 def segmented(docs: DataFrame, abbreviations: tuple[str, ...] = (), ambiguous: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,6 +57,49 @@ def _canonical_tiles(text: Column, tiles: Column) -> Column:
     return let(whole, lambda w: F.when(F.size(w) == F.size(tiles), w).otherwise(each))
 
 
+def _unit_keys(dictionary: DataFrame, longest: int) -> DataFrame:
+    """``n, word_key, stopped``: the dictionary's units of two to ``2 * longest - 1`` tiles, and whether each ends with a full stop and is known without it."""
+    keys = dictionary.select("word_key").distinct().withColumn("n", F.size(T.unit_tiles(F.col("word_key")))).where((F.col("n") > 1) & (F.col("n") < 2 * longest))
+    bare = dictionary.select(F.col("word_key").alias("without")).distinct().withColumn("known", F.lit(True))
+    stopped = keys.withColumn("without", F.when(F.endswith("word_key", F.lit(".")), F.regexp_replace("word_key", r"\.\z", ""))).join(bare, "without", "left")
+    return stopped.select("n", "word_key", F.coalesce("known", F.lit(False)).alias("stopped"))
+
+
+def units_in(rows: DataFrame, dictionary: DataFrame, longest: int = 8) -> DataFrame | None:
+    """``rows`` with the ``units`` (as in ``unit_spans``) of their ``text``, found in the row itself by units that are sent to all tasks; None where there are more than ``MOST_UNITS``."""
+    keys = _unit_keys(dictionary, longest).limit(MOST_UNITS + 1).collect()
+    if len(keys) > MOST_UNITS:
+        return None
+    by_size = {n: [(r["word_key"], r["stopped"]) for r in keys if r["n"] == n] for n in sorted({r["n"] for r in keys})}
+    held = rows.sparkSession.sparkContext.broadcast(by_size)
+
+    def found(tiles: pa.Array, canonical: pa.Array) -> pa.Array:
+        n = pc.fill_null(pc.list_value_length(tiles), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words, flat = tiles.flatten(), canonical.flatten()
+        ends = np.repeat(np.cumsum(n), n)
+        sizes = pc.utf8_length(words).to_numpy().astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        first = np.repeat(at[np.cumsum(n) - n], n)
+        open_ = np.flatnonzero(~pc.equal(flat, "~").to_numpy(zero_copy_only=False)) if len(flat) else np.empty(0, np.int64)
+        length, stopped = np.zeros(len(flat), np.int64), np.zeros(len(flat), bool)
+        # Longer units are found later and count.
+        for k, own in held.value.items():
+            some = open_[open_ + k <= ends[open_]]
+            parts = [flat.take(pa.array(some + j)) for j in range(k)]
+            index = pc.index_in(pc.binary_join_element_wise(*parts, "") if len(some) else flat.slice(0, 0), value_set=pa.array([w for w, _ in own], pa.string()))
+            hits, which = some[index.is_valid().to_numpy(zero_copy_only=False)], index.drop_null().to_numpy()
+            length[hits], stopped[hits] = k, np.array([x for _, x in own], bool)[which]
+        places = np.flatnonzero(length > 0)
+        places = places[~(stopped[places] & (places + length[places] == ends[places]))]
+        spans = pa.StructArray.from_arrays([pa.array(at[places] - first[places], pa.int32()), pa.array(at[places + length[places]] - first[places], pa.int32())], names=["start", "end"])
+        offsets = np.searchsorted(places, np.concatenate([[0], np.cumsum(n)]))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)
+
+    cut = rows.withColumn("tiles", F.regexp_extract_all("text", F.lit(T.TILE), F.lit(0)))
+    keyed = cut.withColumn("canonical", _canonical_tiles(F.col("text"), F.col("tiles")))
+    return keyed.withColumn("units", F.arrow_udf(found, SPANS)("tiles", "canonical")).drop("tiles", "canonical")
+
+
 def unit_spans(sentences: DataFrame, dictionary: DataFrame, longest: int = 8) -> DataFrame:
     """``doc_id, sid, units``: for each place in a sentence the longest unit of two tiles or more (words, signs, blanks) that the dictionary has, as ``start, end``.
 
@@ -62,12 +107,9 @@ def unit_spans(sentences: DataFrame, dictionary: DataFrame, longest: int = 8) ->
     first word alone meets nothing; what is met goes back to its sentence, where the rest is compared. A unit that ends with the sentence's full stop and is
     known without it is left out.
     """
-    tiles = T.unit_tiles(F.col("word_key"))
-    keys = dictionary.select("word_key").distinct().withColumn("n", F.size(tiles)).where((F.col("n") > 1) & (F.col("n") < 2 * longest))
-    bare = dictionary.select(F.col("word_key").alias("without")).distinct().withColumn("known", F.lit(True))
-    stopped = keys.withColumn("without", F.when(F.endswith("word_key", F.lit(".")), F.regexp_replace("word_key", r"\.\z", ""))).join(bare, "without", "left")
+    stopped, tiles = _unit_keys(dictionary, longest), T.unit_tiles(F.col("word_key"))
     beginning = F.array_join(F.slice(tiles, F.lit(1), F.least(F.lit(3), F.col("n"))), "")
-    grouped = stopped.groupBy(beginning.alias("beginning")).agg(F.collect_set(F.struct("n", "word_key", F.coalesce("known", F.lit(False)).alias("stopped"))).alias("keys"))
+    grouped = stopped.groupBy(beginning.alias("beginning")).agg(F.collect_set(F.struct("n", "word_key", "stopped")).alias("keys"))
     cut = sentences.select("doc_id", "sid", "text", F.regexp_extract_all("text", F.lit(T.TILE), F.lit(0)).alias("tiles"))
     keyed = cut.where(F.size("tiles") > 1).select("doc_id", "sid", "tiles", _canonical_tiles(F.col("text"), F.col("tiles")).alias("canonical"))
     later = lambda k, name: F.slice("canonical", k, F.size("canonical")).alias(name)
@@ -170,16 +212,20 @@ def tokenized(sentences: DataFrame, dictionary: DataFrame | None = None) -> Data
 
     Candidates are words and signs, nonbreakable addresses, and, with a dictionary (``word_key, freq``), its units; they are made disjoint by
     ``unified``. Words with an inner hyphen that are unknown and do not begin with an address are cut by ``hyphen_parts``, computed once for each distinct word. Without a dictionary there is no
-    shuffle; with one, the sentences meet their units by their number, and of the tokens only those with a hyphen meet their parts. Sentences and their
-    tokens are then written to the shared folder once each, since both are read more than once.
+    shuffle. With one, units are looked up in the sentence's own row (beyond ``MOST_UNITS`` of them sentences are written to the shared folder and meet their units by their number); the tokens are
+    written there, since hyphenated words are read first, and only sentences that have some meet their parts.
     """
     text = F.col("text")
-    sentences = sentences if dictionary is None else written(sentences.select("doc_id", "sid", "start", "text"))
-    rows = sentences.select("doc_id", "sid", F.col("start").alias("from_"), "text", T.nonbreakable_spans(text).alias("whole"))
-    if dictionary is not None:
-        rows = rows.join(unit_spans(sentences, dictionary), ["doc_id", "sid"], "left").withColumn("units", F.coalesce("units", F.array().cast(SPANS)))
-    else:
+    rows = sentences.select("doc_id", "sid", "start", "text")
+    if dictionary is None:
         rows = rows.withColumn("units", F.array().cast(SPANS))
+    else:
+        dictionary = written(dictionary.select("word_key", "freq"))
+        if (held := units_in(rows, dictionary)) is None:
+            kept = written(rows)
+            held = kept.join(unit_spans(kept, dictionary), ["doc_id", "sid"], "left").withColumn("units", F.coalesce("units", F.array().cast(SPANS)))
+        rows = held
+    rows = rows.select("doc_id", "sid", F.col("start").alias("from_"), "text", T.nonbreakable_spans(text).alias("whole"), "units")
     # Nearly all sentences have words and signs alone, which follow each other; only in the others candidates overlap.
     more = F.concat("whole", "units")
     form = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substr("text", s["start"] + 1, s["end"] - s["start"]).alias("form"))
@@ -188,20 +234,27 @@ def tokenized(sentences: DataFrame, dictionary: DataFrame | None = None) -> Data
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     rows = rows.mapInArrow(_located, f"doc_id {kinds['doc_id']}, sid {kinds['sid']}, from_ {kinds['from_']}, fixed array<int>, tokens {TOKENS}")
     if dictionary is not None:
-        rows = _resplit(written(rows), dictionary)
+        rows = _resplit(rows, dictionary)
     found = opened(rows, ("doc_id", "sid", "from_"), "tokens", "t", at="tid")
     return found.select("doc_id", "sid", "tid", "t.form", (F.col("from_") + F.col("t.start")).alias("start"), (F.col("from_") + F.col("t.end")).alias("end"))
 
 
 def _resplit(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Tokens with hyphens cut into their parts."""
-    cuts = F.filter("tokens", lambda t: t["form"].rlike(r"\A.+-.+\z") & ~F.array_contains("fixed", t["start"]))
-    asked = opened(rows, ("doc_id", "sid"), cuts, "t").select("doc_id", "sid", F.col("t.form").alias("word")).distinct()
+    """``doc_id, sid, from_, tokens`` with the tokens with hyphens cut into their parts."""
+    asks = F.filter("tokens", lambda t: t["form"].rlike(r"\A.+-.+\z") & ~F.array_contains("fixed", t["start"]))
+    # A token ends where its form does, so its end is not written.
+    kept = written(rows.select("doc_id", "sid", "from_", F.transform(asks, lambda t: t["start"]).alias("cuts"), F.col("tokens.start").alias("starts"), F.col("tokens.form").alias("forms")), "zstd")
+    tokens = F.zip_with("starts", "forms", lambda at, w: F.struct(at.alias("start"), (at + F.length(w)).alias("end"), w.alias("form")))
+    rows = kept.select("doc_id", "sid", "from_", "cuts", tokens.cast(TOKENS).alias("tokens"))
+    plain, cut = rows.where("size(cuts) <= 0 OR cuts IS NULL").drop("cuts"), rows.where("size(cuts) > 0")
+    words = F.transform(F.filter("tokens", lambda t: F.array_contains("cuts", t["start"])), lambda t: t["form"])
+    asked = opened(cut, ("doc_id", "sid"), words, "word").distinct()
     parts = asked.join(hyphen_parts(asked, dictionary), "word").groupBy("doc_id", "sid").agg(F.map_from_entries(F.collect_list(F.struct("word", "parts"))).alias("parts"))
-    met = rows.join(parts, ["doc_id", "sid"], "left")
+    met = cut.join(parts, ["doc_id", "sid"], "left")
 
     def opened_token(t: Column) -> Column:
-        ps = F.when(~F.array_contains("fixed", t["start"]), F.try_element_at("parts", t["form"]))
+        ps = F.when(F.array_contains("cuts", t["start"]), F.try_element_at("parts", t["form"]))
         return F.when(ps.isNull(), F.array(t)).otherwise(F.zip_with(ps, T.starts(ps), lambda p, at: F.struct((t["start"] + at).cast("int").alias("start"), (t["start"] + at + F.length(p)).cast("int").alias("end"), p.alias("form"))))
 
-    return met.withColumn("tokens", F.when(F.col("parts").isNull(), F.col("tokens")).otherwise(F.flatten(F.transform("tokens", opened_token))))
+    tokens = F.when(F.col("parts").isNull(), F.col("tokens")).otherwise(F.flatten(F.transform("tokens", opened_token)))
+    return plain.unionByName(met.select("doc_id", "sid", "from_", tokens.alias("tokens")))

@@ -194,3 +194,20 @@ def test_places_ask_for_units_without_a_fold(spark):
     assert sorted((r.sid, [(u.start, u.end) for u in r.units]) for r in found.collect()) == [(0, [(4, 12), (13, 19)]), (2, [(0, 8)])]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "ArrowEvalPython" in plan and "flatten" not in plan
+
+
+def test_units_of_few_keys_move_no_sentence(spark, monkeypatch):
+    rng = random.Random(5)
+    words = ["de", "la", "sine", "a", "fi.", "și", "nu.", "Ce", "-", "1"]
+    s = frame(spark, [(d, k, 0, " ".join(rng.choices(words, k=rng.randint(0, 9)))) for d in range(20) for k in range(10)] + [(99, 0, 0, None)], "doc_id long, sid long, start int, text string")
+    dictionary = frame(spark, [(w, 9) for w in ("de~la", "de~la~sine", "a~fi.", "a~fi", "la~sine~a", "nu.", "și~nu.", "ce~-", "-~1", "de", "la", None)], "word_key string, freq long")
+    got = K.units_in(s, dictionary)
+    by_joins = {(r.doc_id, r.sid): sorted(map(tuple, r.units)) for r in K.unit_spans(s, dictionary).collect() if r.units}
+    assert {(r.doc_id, r.sid): sorted(map(tuple, r.units)) for r in got.collect() if r.units} == by_joins and len(by_joins) > 50
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    tokens = K.tokenized(s, dictionary)
+    plan = tokens._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan.split("Union")[1]
+    monkeypatch.setattr(K, "MOST_UNITS", 3)
+    assert K.units_in(s, dictionary) is None
+    assert sorted(map(tuple, K.tokenized(s, dictionary).collect())) == sorted(map(tuple, tokens.collect()))
