@@ -187,3 +187,34 @@ def test_blocks_of_nodes_follow_their_names_and_are_not_broadcast(spark, monkeyp
     assert found.count() == 13 * 12 // 2 + 7 * 6 // 2
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_bootstrap_computes_its_sentences_and_spans_once(spark):
+    seen = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def counting(rows, count):
+        def run(batches):
+            for b in batches:
+                count.add(b.num_rows)
+                yield b
+
+        return rows.mapInArrow(run, rows.schema)
+
+    texts = ["dnvdan", "vdaan", "dnv", "nvn", "daav"]
+    rows = spark.createDataFrame([(1, i, [{"w": c, "v": "x"} for c in t]) for i, t in enumerate(texts)], "doc_id long, sid long, features array<map<string,string>>")
+    gold = spark.createDataFrame([(1, 0, 0, 1), (1, 0, 3, 5), (1, 1, 1, 4), (1, 2, 0, 1)], "doc_id long, sid long, start int, `end` int")
+    _, found = I.bootstrap(counting(rows, seen[0]), counting(gold, seen[1]), "w")
+    assert sorted(map(tuple, found.select("doc_id", "sid", "start", "end").collect())) == sorted(map(tuple, gold.collect()))
+    assert [s.value for s in seen] == [5, 4]
+
+
+def test_differing_tokens_against_sets(spark):
+    numbers = random.Random(9)
+    some = lambda n: [(numbers.choice([1, 2, None]), numbers.randint(0, 2), a := numbers.randint(0, 12), a + numbers.randint(0, 4)) for _ in range(n)]
+    ddl, both = "doc_id long, sid long, start int, `end` int", some(10)
+    found, gold = some(12) + both, some(12) + both
+    tokens = lambda spans: {(d, s, t) for d, s, a, b in spans for t in range(a, b + 1)}
+    less = lambda x, y: {t for t in tokens(x) if t[0] is None or t not in tokens(y)}
+    extra, missed, _ = I.compared(spark.createDataFrame(found, ddl), spark.createDataFrame(gold, ddl))
+    assert set(map(tuple, extra.collect())) == less(found, gold) and set(map(tuple, missed.collect())) == less(gold, found)
+    assert extra.count() == len(less(found, gold))
