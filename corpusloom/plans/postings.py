@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.rows import let, opened
+from ..functions.rows import opened
 from ..operators.predicates import Clause, parse_clauses, pattern_of, with_macros
 from .grammar import Grammar, check, kind_of, match
 
@@ -96,14 +99,30 @@ def terms_of(need: Need) -> list[Has]:
     return sorted({t for p in need.parts for t in terms_of(p)}, key=lambda t: (t.attribute, t.value))
 
 
+def _entries(features: pa.Array) -> pa.Array:
+    """The distinct attributes and values of each sentence's feature maps, those of a batch at once; null values and null maps say nothing."""
+    n = pc.fill_null(pc.list_value_length(features), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    maps = features.flatten()
+    # A null map holds no entries.
+    places = maps.offsets.to_numpy()
+    held, items = np.diff(places), [x.slice(places[0], places[-1] - places[0]) for x in (maps.keys, maps.items)]
+    row = np.repeat(np.repeat(np.arange(len(n)), n), held)
+    keys, values = (x.dictionary_encode() for x in items)
+    known = values.is_valid().to_numpy(zero_copy_only=False)
+    key, value = (pc.fill_null(x.indices, 0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (keys, values))
+    at = np.flatnonzero(known)
+    first = at[np.unique(((row * max(1, len(keys.dictionary)) + key) * max(1, len(values.dictionary)) + value)[at], return_index=True)[1]]
+    offsets = np.searchsorted(row[first], np.arange(len(n) + 1))
+    found = pa.StructArray.from_arrays([x.take(pa.array(first)) for x in items], names=["key", "value"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)
+
+
 def write_index(sentences: DataFrame, path: str, features: str = "features") -> None:
     """Keep sentences (``doc_id, sid`` and a column of feature maps) and their posting lists under ``path``."""
     part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
     sentences.withColumn("part", part).write.partitionBy("part").parquet(f"{path}/sentences")
     kept = sentences.sparkSession.read.parquet(f"{path}/sentences")
-    # Sorted, then told from the one before: distinct entries of an array of structs would be compared each with each.
-    different = lambda es: F.filter(es, lambda e, i: (i == 0) | ~e.eqNullSafe(F.get(es, i - 1)))
-    entries = let(F.sort_array(F.flatten(F.transform(features, lambda t: F.map_entries(t)))), different)
+    entries = F.arrow_udf(_entries, "array<struct<key:string,value:string>>")(features)
     rows = opened(kept, ("doc_id", "sid", "part"), entries, "e").select(F.col("e.key").alias("attribute"), F.col("e.value").alias("value"), "doc_id", "sid", "part")
     known = rows.where("value IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(BUCKETS)).cast("int"))
     # Within a file values stand in order, so that a filter on one skips the others' row groups; a frequent value is spread over the writing tasks.

@@ -63,3 +63,13 @@ def test_formulas():
     assert P.needs(GRAMMARS["called"]) == P.Both(frozenset({P.Has("w", "rare5"), P.Has("t", "V")}))
     with pytest.raises(G.GrammarError):
         P.needs(one(":Nowhere"))
+
+
+def test_a_sentence_posts_each_value_once_without_sorting(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(d, k, [None if rng.random() < 0.1 else {"w": rng.choice("abc"), "k": rng.choice(["x", "y", None])} for _ in range(rng.randint(0, 8))]) for d in range(9) for k in range(20)]
+    rows += [(99, 0, None), (99, 1, [{}]), (99, 2, [None]), (99, 3, [{"w": "a", "v": "a"}, {"v": "a"}])]
+    P.write_index(spark.createDataFrame(rows, "doc_id long, sid long, features array<map<string,string>>"), f"{tmp_path}/index")
+    got = spark.read.parquet(f"{tmp_path}/index/postings").select("attribute", "value", "doc_id", "sid").collect()
+    want = {(a, v, d, k) for d, k, ts in rows for t in ts or () for a, v in (t or {}).items() if v is not None}
+    assert sorted(map(tuple, got)) == sorted(want)
